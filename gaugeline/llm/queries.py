@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import mixing, quality, url_filter
+from gaugeline.llm import media, mixing, quality, token_files, url_filter
 
 #: The rules of the contract, and the patterns of this operator's own for hosts that advertise.
 HOST_RULES = [url_filter.HostRule(*x) for x in (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))]
@@ -64,10 +64,24 @@ SELECT d.doc_id, d.size, c.source_size, c.target,
 FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source
 """
 
+def tokenizer_file(name: str = token_files.TOKENIZER) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_rows(spark, table(spark, sf_dir, "documents"), tokenizer_file()).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels"), learn_from=~quality.held_out(F.col("doc_id"))))
 
 
-QUERIES = {"op7_quality": op7_quality, "op1_url_filter": op1_url_filter, "op8_mix_sources": op8_mix_sources}
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(media.store(table(spark, sf_dir, "documents"))).drop("reason")
+
+
+QUERIES = {"op3_token_files": op3_token_files, "op9_media": op9_media, "op7_quality": op7_quality, "op1_url_filter": op1_url_filter, "op8_mix_sources": op8_mix_sources}
 SQL = {"op1_url_filter": OP1_SQL, "op8_mix_sources": OP8_SQL}
