@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import media, mixing, quality, token_files, url_filter
+from gaugeline.llm import media, mixing, quality, token_files, url_filter, warc
 
 #: The rules of the contract, and the patterns of this operator's own for hosts that advertise.
 HOST_RULES = [url_filter.HostRule(*x) for x in (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))]
@@ -83,5 +83,17 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.store(table(spark, sf_dir, "documents"))).drop("reason")
 
 
-QUERIES = {"op3_token_files": op3_token_files, "op9_media": op9_media, "op7_quality": op7_quality, "op1_url_filter": op1_url_filter, "op8_mix_sources": op8_mix_sources}
-SQL = {"op1_url_filter": OP1_SQL, "op8_mix_sources": OP8_SQL}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_rows(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS payload_digest, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS head FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> head THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> head THEN head END AS refers_to FROM g
+"""
+
+QUERIES = {"op10_warc": op10_warc, "op3_token_files": op3_token_files, "op9_media": op9_media, "op7_quality": op7_quality, "op1_url_filter": op1_url_filter, "op8_mix_sources": op8_mix_sources}
+SQL = {"op10_warc": OP10_SQL, "op1_url_filter": OP1_SQL, "op8_mix_sources": OP8_SQL}
