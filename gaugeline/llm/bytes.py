@@ -13,6 +13,9 @@ _P, _P_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 #: The separators of words: \x20 and \x09-\x0D; all other bytes belong to words.
 IN_WORD = np.ones(256, bool)
 IN_WORD[[0x20, *range(0x09, 0x0E)]] = False
+#: The same with ASCII punctuation as separators too.
+IN_PLAIN_WORD = IN_WORD.copy()
+IN_PLAIN_WORD[[b for b in range(128) if not chr(b).isalnum()]] = False
 TO_LOWER = np.arange(256, dtype=np.uint8)
 TO_LOWER[65:91] += 32
 
@@ -42,9 +45,10 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             at = end
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and how many words stand before each text (n+1 numbers). Words never cross texts."""
-    word = np.concatenate([[False], IN_WORD[data], [False]])
+def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = IN_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and how many words stand before each text (n+1 numbers). Words never cross texts.
+    ``inside``: which bytes belong to words."""
+    word = np.concatenate([[False], inside[data], [False]])
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     starts = np.flatnonzero(word[1:] & (~word[:-1] | edge))

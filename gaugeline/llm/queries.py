@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import html_text, media, mixing, quality, token_files, url_filter, warc
+from gaugeline.llm import html_text, media, mixing, near_dup, quality, token_files, url_filter, warc
 
 #: The rules of the contract, and the patterns of this operator's own for hosts that advertise.
 HOST_RULES = [url_filter.HostRule(*x) for x in (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))]
@@ -64,6 +64,10 @@ SELECT d.doc_id, d.size, c.source_size, c.target,
 FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source
 """
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.class_ids(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_file(name: str = token_files.TOKENIZER) -> str:
     import public_tokenizers
 
@@ -99,5 +103,5 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id <> head THEN head END AS refers_to FROM g
 """
 
-QUERIES = {"op4_html_text": op4_html_text, "op10_warc": op10_warc, "op3_token_files": op3_token_files, "op9_media": op9_media, "op7_quality": op7_quality, "op1_url_filter": op1_url_filter, "op8_mix_sources": op8_mix_sources}
+QUERIES = {"op2_near_duplicates": op2_near_duplicates, "op4_html_text": op4_html_text, "op10_warc": op10_warc, "op3_token_files": op3_token_files, "op9_media": op9_media, "op7_quality": op7_quality, "op1_url_filter": op1_url_filter, "op8_mix_sources": op8_mix_sources}
 SQL = {"op10_warc": OP10_SQL, "op1_url_filter": OP1_SQL, "op8_mix_sources": OP8_SQL}
