@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import decontaminate, html_text, media, mixing, near_dup, quality, token_files, url_filter, warc
+from gaugeline.llm import decontaminate, html_text, lm_score, media, mixing, near_dup, quality, token_files, url_filter, warc
 
 #: The rules of the contract, and the patterns of this operator's own for hosts that advertise.
 HOST_RULES = [url_filter.HostRule(*x) for x in (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))]
@@ -86,6 +86,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"), lm_score.training(F.col("doc_id")))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels"), learn_from=~quality.held_out(F.col("doc_id"))))
@@ -107,5 +111,5 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id <> head THEN head END AS refers_to FROM g
 """
 
-QUERIES = {"op5_decontaminate": op5_decontaminate, "op2_near_duplicates": op2_near_duplicates, "op4_html_text": op4_html_text, "op10_warc": op10_warc, "op3_token_files": op3_token_files, "op9_media": op9_media, "op7_quality": op7_quality, "op1_url_filter": op1_url_filter, "op8_mix_sources": op8_mix_sources}
+QUERIES = {"op6_lm_score": op6_lm_score, "op5_decontaminate": op5_decontaminate, "op2_near_duplicates": op2_near_duplicates, "op4_html_text": op4_html_text, "op10_warc": op10_warc, "op3_token_files": op3_token_files, "op9_media": op9_media, "op7_quality": op7_quality, "op1_url_filter": op1_url_filter, "op8_mix_sources": op8_mix_sources}
 SQL = {"op10_warc": OP10_SQL, "op1_url_filter": OP1_SQL, "op8_mix_sources": OP8_SQL}
