@@ -81,18 +81,39 @@ def thresholds(slim: DataFrame, wanted: DataFrame) -> DataFrame:
     return cut.select("source", "source_size", "target", "whole", "d1", "d2")
 
 
+def _cuts(slim: DataFrame, weights: Sequence[float], most: float, share: float) -> DataFrame:
+    sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
+    return small(keep(thresholds(slim, keep(targets(sizes, weights, most, share), "mix-targets")), "mix-cuts"))
+
+
+def _copies(most: float) -> Column:
+    """How often a row s is taken under the thresholds c of its source."""
+    once_more = F.when((F.col("s.d1") < F.col("c.d1")) | ((F.col("s.d1") == F.col("c.d1")) & (F.col("s.d2") < F.col("c.d2"))), 1).otherwise(0)
+    return F.least(F.col("c.whole") + once_more, F.lit(int(most))).cast("int")
+
+
+def _slim(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """id, source, size and digits of every row, written: the texts are read once for all the histograms."""
+    d1, d2 = digits(F.col(id_col))
+    return keep(df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), d1.alias("d1"), d2.alias("d2")), "mix-sizes")
+
+
 def mix(df: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0, share: float = 1.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, size, source_size, target, taken, copies, source: what the mix takes of every row of ``df``.
 
     The texts are read once; what follows works on a table of (id, source, size, two digits) in the shared folder. The
     table of thresholds has a row for each source; it is counted, and broadcast only up to storage.SMALL_ROWS rows.
     """
-    d1, d2 = digits(F.col(id_col))
-    slim = keep(df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), d1.alias("d1"), d2.alias("d2")), "mix-sizes")
-    sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
-    cuts = keep(thresholds(slim, keep(targets(sizes, weights, most, share), "mix-targets")), "mix-cuts")
-    once_more = F.when((F.col("s.d1") < F.col("c.d1")) | ((F.col("s.d1") == F.col("c.d1")) & (F.col("s.d2") < F.col("c.d2"))), 1).otherwise(0)
-    copies = F.least(F.col("whole") + once_more, F.lit(int(most))).cast("int")
-    joined = slim.alias("s").join(small(cuts).alias("c"), F.expr("s.source <=> c.source"), "left")
-    joined = joined.select("doc_id", "size", "source_size", "target", copies.alias("copies"), F.col("s.source").alias("source"))
+    slim = _slim(df, id_col, text_col, source_col)
+    joined = slim.alias("s").join(_cuts(slim, weights, most, share).alias("c"), F.expr("s.source <=> c.source"), "left")
+    joined = joined.select("doc_id", "size", "source_size", "target", _copies(most).alias("copies"), F.col("s.source").alias("source"))
     return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source")
+
+
+def mix_rows(df: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0, share: float = 1.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """row (a struct of all columns of ``df``) and copies: how often the mix takes each row. The digits follow from the id, so no text is shuffled."""
+    cuts = _cuts(_slim(df, id_col, text_col, source_col), weights, most, share)
+    d1, d2 = digits(F.col(id_col))
+    rows = df.select(F.struct(*df.columns).alias("row"), F.col(source_col).alias("source"), d1.alias("d1"), d2.alias("d2")).alias("s")
+    joined = rows.join(cuts.alias("c"), F.expr("s.source <=> c.source"), "left")
+    return joined.select("s.row", _copies(most).alias("copies"))

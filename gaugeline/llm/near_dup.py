@@ -288,8 +288,8 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
     """One row of each class, that of the least doc_id, with all columns of ``docs``."""
     rows = classes(docs, **options)
     kept = keep(rows.groupBy("comp").agg(F.min_by(F.struct("doc_id", "raw"), F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "raw")).alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.raw").alias("kept_raw")), "dup-kept")
-    marked = docs.withColumn("kept_raw", F.xxhash64(F.coalesce("text", F.lit(""))))
-    found = marked.alias("d").join(kept.alias("k"), F.expr("d.doc_id <=> k.kept_id and d.kept_raw = k.kept_raw"), "left_semi")
-    return found.dropDuplicates(["doc_id", "kept_raw"]).select(*docs.columns)
+    marked = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("raw"))
+    found = marked.alias("d").join(kept.alias("k"), F.expr("d.id <=> k.kept_id and d.raw = k.kept_raw"), "left_semi")
+    return found.dropDuplicates(["id", "raw"]).select("row.*")
 
 
