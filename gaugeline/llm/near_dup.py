@@ -36,7 +36,8 @@ from gaugeline.llm.bytes import TO_LOWER, hashes, mixed, pieces, shingles, spans
 from gaugeline.llm.storage import keep
 
 WIDTH, SIMILARITY = 5, 0.8
-BANDS, ROWS = 20, 4
+#: 280 coordinates: a pair of similarity 0.8 shares none of the bands with a chance of 1e-4, one of 0.3 shares one with 1e-2.
+BANDS, ROWS = 40, 7
 #: Rank cells start at 2^-6 and double; an area above this is cut into equal slices.
 FIRST_RANK, MOST_AREA = 1 / 64, 64.0
 _UNIT = 1.0 / (1 << 53)
@@ -191,25 +192,26 @@ def components(edges: DataFrame) -> DataFrame:
     """node, comp (least node of its component) for all nodes of the edges (a, b), by alternating large and small stars.
 
     Each half step is a map-side combined minimum and a join of two written tables, so that Spark can split a hub's rows.
+    Edges that are stars already take no step.
     """
-    pairs = keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges")
-    spark = edges.sparkSession
-    while True:
-        both = keep(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "cc-both")
+    edges = keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges")
+    while not _stars(edges):
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = keep(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "cc-least")
         # Large star: larger neighbours of a node now point to its least neighbour (or itself).
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        large = keep(large, "cc-large")
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        large = keep(large.distinct(), "cc-large")
         # Small star: a node and its smaller neighbours point to the least of them.
         least = keep(large.groupBy("a").agg(F.min("b").alias("m")), "cc-small")
-        small = large.join(least, "a")
-        after = keep(small.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "cc-edges")
-        # Finished when every node has one edge, to a node that has none of its own.
-        roots = after.select(F.col("b").alias("a")).distinct()
-        n, nodes = after.agg(F.count("*"), F.countDistinct("a")).first()
-        if n == nodes and after.join(roots, "a", "left_semi").isEmpty():
-            return after.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(spark.createDataFrame([], "node long, comp long") if n == 0 else roots.select(F.col("a").alias("node"), F.col("a").alias("comp")))
-        pairs = after
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        edges = keep(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "cc-edges")
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a smaller node, or only edges to larger ones."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
 # ------------------------------------------------------------------ buckets
@@ -248,7 +250,7 @@ def link_classes(sketches: DataFrame, docs: DataFrame, similarity: float = SIMIL
         stats = state.groupBy("bucket").agg(
             F.min("comp").alias("low"), F.max("comp").alias("high"), F.count_if(open_).alias("open"),
             F.count_if(open_ & F.col("linked")).alias("open_linked"),
-            F.min(F.when(open_, F.struct((~F.col("linked")).alias("l"), "draw", "node"))).alias("first"),
+            F.min(F.when(open_, F.struct((~F.col("linked")).alias("l"), "node"))).alias("first"),
         )
         # With one member left that was no hub, it has been compared with all others.
         stats = keep(stats.filter("low <> high and open > 1").select("bucket", "open", "open_linked", F.col("first.node").alias("first")), "dup-active")
@@ -266,7 +268,7 @@ def link_classes(sketches: DataFrame, docs: DataFrame, similarity: float = SIMIL
         edges = links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")))
         labels = keep(components(edges).withColumn("in_class", F.lit(True)), "dup-labels")
         members = keep(active.select("bucket", "node", "size", (F.col("served") | F.col("hub")).alias("served")), "dup-members")
-        hubs *= 4
+        hubs *= 16
     return spark.createDataFrame([], "node long, comp long") if labels is None else labels.select("node", "comp")
 
 
