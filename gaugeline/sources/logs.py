@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,25 +21,38 @@ def manifest(spark: SparkSession, folders: dict[str, str], s: Settings) -> DataF
 
     Files are hashed where they are read; a file is one row of the scan, so logs should be of ordinary size.
     """
-    out = None
+    found = {}
     for stream, folder in folders.items():
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            continue
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").load(folder)
-        out = (rows := _manifest_rows(files, stream, s)) if out is None else out.unionByName(rows)
-    return spark.createDataFrame([], MANIFEST) if out is None else out
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(path):
+            found[stream] = one_slash(str(fs.makeQualified(path).toString()))
+    if not found:
+        return spark.createDataFrame([], MANIFEST)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").load(list(found.values()))
+    return _manifest_rows(files, found, s)
+
+
+def one_slash(path: str) -> str:
+    """Local paths come with one slash or three, by the reader; here always with one."""
+    return re.sub("^file:/+", "file:/", path)
+
+
+def file_path() -> Column:
+    return F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
 
 
-def _manifest_rows(files: DataFrame, stream: str, s: Settings) -> DataFrame:
+def _manifest_rows(files: DataFrame, folders: dict[str, str], s: Settings) -> DataFrame:
+    files = files.withColumn("path", file_path())
+    stream = F.coalesce(*[F.when(F.startswith("path", F.lit(folder.rstrip("/") + "/")), F.lit(name)) for name, folder in folders.items()], F.lit("unknown"))
     name = F.element_at(F.split("path", "/"), -1)
     part = lambda k: F.regexp_extract(F.col("file_name"), s.filename_pattern, k)
     fits = F.col("file_name").rlike(s.filename_pattern)
     first_line = F.substring_index(F.decode(F.substring("content", 1, 65536), "UTF-8"), "\n", 1)
-    named = files.withColumns({"file_name": name, "first_line": first_line})
+    named = files.withColumns({"stream": stream, "file_name": name, "first_line": first_line})
     trial = F.when(fits, F.concat_ws("_", part(1), part(2), part(3), part(4))).otherwise("unknown")
     return named.select(
-        F.col("path").alias("file_path"), "file_name", trial.alias("trial_id"), F.when(fits, part(5)).otherwise(stream).alias("stream_type"),
+        F.col("path").alias("file_path"), "file_name", trial.alias("trial_id"), F.when(fits, part(5)).otherwise(F.col("stream")).alias("stream_type"),
         *[F.when(fits, part(k)).otherwise("unknown").alias(f"parsed_{c}") for k, c in enumerate(("drive", "route", "date", "time"), 1)],
         F.col("length").alias("file_size"), F.when(F.trim("first_line") == "", 0).otherwise(F.size(F.split("first_line", ","))).alias("detected_columns"),
         F.sha2("content", 256).alias("file_checksum"), F.when(fits, "ok").otherwise("malformed").alias("parser_status"),
@@ -94,8 +108,8 @@ def lines(spark: SparkSession, paths: Sequence[str], trials: DataFrame) -> DataF
 
     A log is read whole, as its order is its identity; the ordinal is its place in the file, not one made up afterwards.
     """
-    files = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), "value")
-    known = files.join(trials.select("file_path", "trial_id"), "file_path")
+    files = spark.read.text(list(paths), wholetext=True).select(file_path().alias("file_path"), "value")
+    known = files.join(trials.select(F.regexp_replace("file_path", "^file:/+", "file:/").alias("file_path"), "trial_id"), "file_path")
     return known.select("trial_id", F.posexplode(F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n")).alias("source_row_index", "line")).filter(F.trim("line") != "")
 
 
@@ -123,7 +137,7 @@ def read_stream(spark: SparkSession, files: DataFrame, sniff: bool = False) -> D
     heads = spark.read.text([r["file_path"] for r in files.select("file_path").collect()] or ["/nonexistent"], wholetext=True) if not files.isEmpty() else None
     if heads is None:
         return spark.createDataFrame([], "trial_id string, source_row_index long")
-    first = heads.select(F.col("_metadata.file_path").alias("file_path"), F.regexp_replace(F.substring_index(F.substring("value", 1, 65536), "\n", 1), "[\r﻿]", "").alias("head"))
+    first = heads.select(file_path().alias("file_path"), F.regexp_replace(F.substring_index(F.substring("value", 1, 65536), "\n", 1), "[\r﻿]", "").alias("head"))
     groups: dict[tuple, list[str]] = {}
     for r in first.withColumn("log", is_tracker_log(F.col("head"))).collect():
         key = ("log", len(r["head"].split(";"))) if sniff and r["log"] else ("csv", r["head"])
