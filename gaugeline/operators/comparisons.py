@@ -138,7 +138,7 @@ def baseline(telemetry: DataFrame, tracking: DataFrame, times: DataFrame, final:
         .when(F.coalesce("common_support_count", F.lit(0)) != F.col("canonical_support_count"), "baseline_common_support_does_not_cover_canonical_support").when(F.col("delta_rmse_mm").isNull(), "paired_score_metrics_non_finite")
     )
     rows = rows.withColumn("reason", reason)
-    good = rows.filter("reason is null").select("trial_id", "dataset_tier", "baseline_rmse_mm", F.col("final_rmse_mm").alias("offstap_rmse_mm"), "delta_rmse_mm", "common_support_count", "common_support_hash", "baseline_theta_rad", "baseline_tx", "baseline_ty")
+    good = rows.filter("reason is null").select("trial_id", "dataset_tier", "baseline_rmse_mm", F.col("final_rmse_mm").alias("final_rmse_mm"), "delta_rmse_mm", "common_support_count", "common_support_hash", "baseline_theta_rad", "baseline_tx", "baseline_ty")
     return good, rows.filter("reason is not null").select("trial_id", "dataset_tier", "reason", F.coalesce("common_support_count", F.lit(0)).alias("baseline_common_support_count"), "canonical_support_count")
 
 

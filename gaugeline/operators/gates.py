@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.functions.columns import finite, truthy
 
-GATES = ("discovered", "paired", "missing_required_stream", "quality_accepted", "calibration_non_degenerate", "temporal_valid", "clock_valid", "final_OFF_STAP_valid", "baseline_valid", "H1_eligible", "H2_all_four_arm_eligible", "H3_both_arm_eligible")
+GATES = ("discovered", "paired", "missing_required_stream", "quality_accepted", "calibration_non_degenerate", "temporal_valid", "clock_valid", "final_alignment_valid", "baseline_valid", "H1_eligible", "H2_all_four_arm_eligible", "H3_both_arm_eligible")
 MANIFEST_GATES = ("discovered", "paired", "missing_required_stream")
 STAGES = ("S0", "S1", "S2", "S3", "S4")
 
@@ -31,8 +31,8 @@ def gate_members(manifest: DataFrame, evidence: Mapping[str, DataFrame | None])
         "calibration_non_degenerate": lambda d: d.filter(F.lower("degeneracy_status") == "ok"),
         "temporal_valid": lambda d: d.filter(F.lower("status").isin("ok", "success")),
         "clock_valid": lambda d: d.filter(finite(F.col("scale_a")).isNotNull() & finite(F.col("offset_b")).isNotNull() & F.col("selected_model").isin("constant_offset", "affine")),
-        "final_OFF_STAP_valid": lambda d: d.filter(truthy(F.col("accepted_for_hypothesis_tests")) & finite(F.col("ate_rmse")).isNotNull()),
-        "baseline_valid": lambda d: d.filter(finite(F.col("baseline_rmse_mm")).isNotNull() & finite(F.col("offstap_rmse_mm")).isNotNull() & finite(F.col("delta_rmse_mm")).isNotNull()),
+        "final_alignment_valid": lambda d: d.filter(truthy(F.col("accepted_for_hypothesis_tests")) & finite(F.col("ate_rmse")).isNotNull()),
+        "baseline_valid": lambda d: d.filter(finite(F.col("baseline_rmse_mm")).isNotNull() & finite(F.col("final_rmse_mm")).isNotNull() & finite(F.col("delta_rmse_mm")).isNotNull()),
         "H1_eligible": lambda d: d.filter(truthy(F.col("valid_for_paper"))),
         "H2_all_four_arm_eligible": lambda d: having_all(d.withColumn("ok", (F.col("status") == "success") & finite(F.col("rmse_mm")).isNotNull()), "trial_id", "method", ("zoh", "linear", "pchip", "spline"), "ok"),
         "H3_both_arm_eligible": lambda d: having_all(d.withColumn("ok", truthy(F.col("valid_for_paper")) & finite(F.col("heldout_rmse_mm")).isNotNull()), "trial_id", "calibration_mode", ("split", "full"), "ok"),
@@ -75,7 +75,7 @@ def cascade(ledger: DataFrame, metrics: DataFrame, support: DataFrame) -> DataFr
 
     ``metrics``: trial_id, rmse_mm, status; ``support``: trial_id, support_hash, expected_hash, support_status.
     """
-    final = ledger.filter("gate = 'final_OFF_STAP_valid'").select("trial_id", F.col("gate_status").alias("final_gate"))
+    final = ledger.filter("gate = 'final_alignment_valid'").select("trial_id", F.col("gate_status").alias("final_gate"))
     rows = ledger.select("trial_id", "dataset_tier").distinct().join(final, "trial_id", "left").join(metrics, "trial_id", "left").join(support, "trial_id", "left")
     reason = (
         F.when(F.col("final_gate").isNull(), "missing_trial_gate_record").when(~F.col("final_gate").isin("passed", "failed"), "gate_status_unrecognized")

@@ -56,7 +56,7 @@ def tables(made: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     if "h2" in made:
         out["methods"] = made["h2"].filter("status = 'success'").groupBy("method").agg(F.avg("rmse_mm").alias("mean_rmse_mm"), F.count("*").alias("trials"))
     if "baseline" in made:
-        out["baseline"] = made["baseline"].select("trial_id", "baseline_rmse_mm", "offstap_rmse_mm", "delta_rmse_mm")
+        out["baseline"] = made["baseline"].select("trial_id", "baseline_rmse_mm", "final_rmse_mm", "delta_rmse_mm")
     if "inference" in made:
         out["decisions"] = made["inference"].select("hypothesis_id", "population", "n", "p_value", "p_adjusted", "decision")
     if "gate_ledger" in made:

@@ -526,7 +526,7 @@ def _ledger(spark: SparkSession, d: str) -> DataFrame:
     return gates.gate_ledger(ids, gates.gate_members(ids, {"quality_accepted": rejected, "calibration_non_degenerate": degenerate}))
 
 
-_GATES = """WITH g AS (SELECT unnest(['discovered', 'paired', 'missing_required_stream', 'quality_accepted', 'calibration_non_degenerate', 'temporal_valid', 'clock_valid', 'final_OFF_STAP_valid', 'baseline_valid', 'H1_eligible', 'H2_all_four_arm_eligible', 'H3_both_arm_eligible']) AS gate),
+_GATES = """WITH g AS (SELECT unnest(['discovered', 'paired', 'missing_required_stream', 'quality_accepted', 'calibration_non_degenerate', 'temporal_valid', 'clock_valid', 'final_alignment_valid', 'baseline_valid', 'H1_eligible', 'H2_all_four_arm_eligible', 'H3_both_arm_eligible']) AS gate),
 l AS (SELECT c_custkey AS trial_id, c_mktsegment AS dataset_tier, gate, CASE gate WHEN 'discovered' THEN true WHEN 'paired' THEN c_acctbal > 0 WHEN 'missing_required_stream' THEN c_acctbal <= 0 WHEN 'quality_accepted' THEN c_acctbal > 0 AND c_acctbal <= 9000 WHEN 'calibration_non_degenerate' THEN c_nationkey < 20 ELSE false END AS ok,
   gate IN ('discovered', 'paired', 'missing_required_stream', 'quality_accepted', 'calibration_non_degenerate') AS known FROM customer, g)"""
 

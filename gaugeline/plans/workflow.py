@@ -192,7 +192,7 @@ def _gate_ledger(run: Run) -> DataFrame:
     times = run["times"]
     evidence = {
         "quality_accepted": run["rejections"], "calibration_non_degenerate": run["degeneracy"], "temporal_valid": times.withColumnRenamed("temporal_status", "status"), "clock_valid": times.withColumnRenamed("clock_model", "selected_model"),
-        "final_OFF_STAP_valid": run["metrics"], "baseline_valid": made("baseline"), "H1_eligible": made("h1"), "H2_all_four_arm_eligible": made("h2"), "H3_both_arm_eligible": made("h3"),
+        "final_alignment_valid": run["metrics"], "baseline_valid": made("baseline"), "H1_eligible": made("h1"), "H2_all_four_arm_eligible": made("h2"), "H3_both_arm_eligible": made("h3"),
     }
     return gates.gate_ledger(run["pairs"], gates.gate_members(run["pairs"], evidence))
 

@@ -40,7 +40,7 @@ def test_run_of_all_results(spark, tmp_path):
     assert len(h2) == 8 and len({(r["trial_id"], r["common_support_hash"], r["common_support_count"]) for r in h2}) == 2
     assert run["h1"].count() == 2 and run["h3"].count() == 4
     assert run["baseline"].count() + run["baseline_rejections"].count() == 2
-    assert run["gate_ledger"].filter("gate = 'final_OFF_STAP_valid' and gate_status = 'passed'").count() == 2
+    assert run["gate_ledger"].filter("gate = 'final_alignment_valid' and gate_status = 'passed'").count() == 2
     assert run["inference"].count() > 0
     assert "## metrics" in (tmp_path / "out" / "report.md").read_text()
 
