@@ -586,3 +586,6 @@ def lag_correlation_curve(spark: SparkSession, d: str) -> DataFrame:
 def plane_fit(spark: SparkSession, d: str) -> DataFrame:
     e = stream(spark, d).select("trial_id", F.col("value").alias("x"), F.col("heading").alias("y"), (F.col("value") * F.col("heading") / 100).alias("z"))
     return alignment.plane_fit(e).select("trial_id", "planarity_residual")
+
+
+from gaugeline.plans import more_queries  # noqa: E402, F401 - registers its queries

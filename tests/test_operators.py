@@ -133,6 +133,12 @@ def test_signed_rank_exact_values():
     assert inference.signed_rank([1, -2, 3, 0]).w_plus == pytest.approx(2 + 4 + 0.5)
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 40])
+def test_walsh_median_by_bisection(n):
+    d = np.random.default_rng(n).normal(size=n).round(1)
+    assert inference.walsh_median(d, direct=0) == pytest.approx(inference.walsh_median(d), abs=1e-9)
+
+
 def test_tails():
     assert inference.chi2_tail(3.841458820694124, 1) == pytest.approx(0.05)
     assert inference.chi2_tail(7.814727903251179, 3) == pytest.approx(0.05)
