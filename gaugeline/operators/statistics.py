@@ -96,9 +96,11 @@ def decide(n: Column, p: Column, alpha: float = 0.05) -> Column:
 
 
 def pseudomedian(df: DataFrame, diff: str, group: Sequence[str]) -> DataFrame:
-    """Median of all Walsh averages of each group's differences, inside one array expression."""
-    d = df.groupBy(*group).agg(F.collect_list(diff).alias("d"))
-    pairs = F.flatten(F.transform("d", lambda x, i: F.transform(F.slice("d", i + 1, F.size("d")), lambda y: (x + y) / 2)))
-    walsh = d.select(*group, F.array_sort(pairs).alias("w")).withColumn("m", F.size("w"))
-    middle = (F.get("w", F.floor((F.col("m") - 1) / 2).cast("int")) + F.get("w", F.floor(F.col("m") / 2).cast("int"))) / 2
-    return walsh.select(*group, middle.alias("pseudomedian"))
+    """Median of all averages of two of a group's differences; the averages are counted, not listed."""
+    kinds = dict(df.dtypes)
+
+    def middle(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([[*key, inference.walsh_median(f["d"].to_numpy(float))]], columns=[*group, "pseudomedian"])
+
+    known = df.select(*group, F.col(diff).cast("double").alias("d")).filter("d is not null")
+    return known.groupBy(*group).applyInPandas(middle, ", ".join([*(f"{g} {kinds[g]}" for g in group), "pseudomedian double"]))
