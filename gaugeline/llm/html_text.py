@@ -97,6 +97,8 @@ def _opened(name: str, attributes: str, parent: Element) -> Element:
         e.unseen = True
     if name in BAD_TAGS or (name == "header" and not parent.article):
         e.bad = True
+    if parent.article:
+        words.discard("header")  # an article's own header holds its title
     if words & BAD_WORDS and name not in ("html", "body", "main"):
         e.flag = e
     elif holds:
@@ -135,6 +137,8 @@ def blocks(page: str) -> list[Block]:
     stack, out = [root], []
     parts: list[str] = []
     linked, links = 0, 0
+    #: How many elements of each name are open, so that looking for one that isn't costs nothing on deep pages.
+    opened: dict[str, int] = {"html": 1}
 
     def flush() -> None:
         nonlocal linked
@@ -154,9 +158,12 @@ def blocks(page: str) -> list[Block]:
         nonlocal links
         for e in stack[k:]:
             links -= e.name == "a"
+            opened[e.name] -= 1
         del stack[k:]
 
     def open_above(names: tuple[str, ...], stop: tuple[str, ...]) -> int:
+        if not any(opened.get(n) for n in names):
+            return 0
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].name in names:
                 return k
@@ -200,9 +207,9 @@ def blocks(page: str) -> list[Block]:
             flush()
             if name in ("html", "body"):
                 # Attributes of these count, but they never nest.
-                if len(stack) > 1 and any(e.name == name for e in stack):
+                if len(stack) > 1 and opened.get(name):
                     continue
-                close(1 if name == "html" else len([e for e in stack if e.name == "html"]))
+                close(1 if name == "html" else opened["html"])
             else:
                 # A block ends an open paragraph; list items, cells and rows end those before them.
                 k = open_above(("p",), ("table", "ul", "ol", "div", "section", "article", "aside", "main", "body", "td", "th", "li", "form", "nav", "header", "footer", "blockquote", "button"))
@@ -222,12 +229,13 @@ def blocks(page: str) -> list[Block]:
                     k = 0
                 if k:
                     close(k)
-                if any(e.name == "head" for e in stack):
+                if opened.get("head"):
                     close(next(k for k, e in enumerate(stack) if e.name == "head"))
         elif name in UNSEEN and name != "label":
             flush()
-        if name == "head" and len(stack) > 1 and any(e.name in ("head", "body") for e in stack):
+        if name == "head" and (opened.get("head") or opened.get("body")):
             continue
+        opened[name] = opened.get(name, 0) + 1
         stack.append(_opened(name, m["attributes"] or "", stack[-1]))
         links += name == "a"
     if at < len(page) and not stack[-1].unseen:
