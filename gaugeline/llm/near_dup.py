@@ -11,7 +11,9 @@ Classes. Texts with equal words are one node. Nodes that share a band are in a b
 its pairs: some members are hubs, which are compared with the others of the bucket by exact Jaccard similarity of their
 shingles; links join components; and a bucket is finished when it lies in one component, or all its members have been hubs.
 The number of hubs grows by rounds, linked members first, so that a bucket of copies is finished after a round or two, and
-one of unlike texts is compared in full in the end: no link that a shared band suggests is lost, however large the bucket.
+one of unlike texts is compared in full in the end. From the second round on a pair is compared once, in the first bucket that it
+shares, if its whole signatures agree in at least as many coordinates as a pair of the threshold's similarity has but for a
+chance of 2e-5; banding itself misses such a pair with a chance of 1e-4. No bucket is capped, and no pair dropped for its size.
 
 Everything is joins and aggregates over narrow tables in the shared folder; texts are read twice and never collected.
 Equal words are recognised by 64-bit hashes: among n distinct texts about n^2 / 2^65 pairs are taken for equal by chance.
@@ -155,7 +157,7 @@ def _nodes(words: np.ndarray, before: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, weighted: bool = False, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, raw (hash of the text as it is), node (hash of its words), n (distinct shingles), bands."""
+    """doc_id, raw (hash of the text as it is), node (hash of its words), n (distinct shingles), bands, and sig: a byte of each coordinate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text"):
@@ -166,11 +168,12 @@ def sketch(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int =
             for k in range(rows):
                 key = mixed((key ^ grouped[:, :, k]) + np.uint64(k + 1))
             key = mixed(key + np.arange(bands, dtype=np.uint64)[None, :]).view(np.int64)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1) * bands, pa.int32()), pa.array(key.ravel(), pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("raw"), pa.array(_nodes(words, before)), pa.array(np.diff(offsets), pa.int64()), flat], ["doc_id", "raw", "node", "n", "bands"])
+            lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+            columns = [part.column("doc_id").cast(pa.int64()), part.column("raw"), pa.array(_nodes(words, before)), pa.array(np.diff(offsets), pa.int64()), lists(key), lists(signature.astype(np.uint8).view(np.int8))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "raw", "node", "n", "bands", "sig"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("raw"), text.alias("text")).mapInArrow(run, "doc_id long, raw long, node long, n long, bands array<long>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("raw"), text.alias("text")).mapInArrow(run, "doc_id long, raw long, node long, n long, bands array<long>, sig array<byte>")
 
 
 def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -227,10 +230,15 @@ def _compare(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return full.filter(common >= F.lit(similarity) * union - F.lit(1e-9)).select("a", "b")
 
 
-def link_classes(sketches: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
+def least_agreement(similarity: float, coordinates: int) -> int:
+    """Equal signature coordinates that a pair of this similarity has but for a chance of 2e-5."""
+    return max(0, math.floor(coordinates * similarity - 4.2 * math.sqrt(coordinates * similarity * (1 - similarity))))
+
+
+def link_classes(sketches: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, coordinates: int = BANDS * ROWS) -> DataFrame:
     """node, comp for the nodes that are linked to others."""
     spark = sketches.sparkSession
-    nodes = keep(sketches.filter("n > 0").groupBy("node").agg(F.min_by(F.struct("n", "bands", "doc_id"), F.coalesce("doc_id", F.lit(1 << 62))).alias("s")).select("node", "s.n", "s.bands", "s.doc_id"), "dup-nodes")
+    nodes = keep(sketches.filter("n > 0").groupBy("node").agg(F.min_by(F.struct("n", "bands", "sig", "doc_id"), F.coalesce("doc_id", F.lit(1 << 62))).alias("s")).select("node", "s.n", "s.bands", "s.sig", "s.doc_id"), "dup-nodes")
     entries = nodes.select("node", F.col("n").alias("size"), F.explode("bands").alias("bucket"))
     shared = keep(entries.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").select("bucket"), "dup-buckets")
     members = keep(entries.join(shared, "bucket").select("bucket", "node", "size", F.lit(False).alias("served")), "dup-members")
@@ -258,13 +266,22 @@ def link_classes(sketches: DataFrame, docs: DataFrame, similarity: float = SIMIL
             break
         active = state.join(stats, "bucket")
         share = F.lit(float(hubs)) / F.when(F.col("linked"), F.col("open_linked")).otherwise(F.col("open"))
-        active = keep(active.withColumn("hub", open_ & ((F.col("node") == F.col("first")) | (F.col("draw") < share))).select("bucket", "node", "size", "served", "comp", "hub"), "dup-round")
-        h = active.filter("hub").select("bucket", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("sa"))
-        m = active.filter("not served").select("bucket", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("size").alias("sb"), F.col("hub").alias("hb"))
-        pairs = m.join(h, "bucket").filter("ca <> cb and (not hb or a < b)")
-        near = F.least("sa", "sb") >= F.lit(similarity) * F.greatest("sa", "sb") - F.lit(1e-9)
-        pairs = pairs.filter(near).select("a", "b", "ca", "cb").distinct()
-        links = keep(_compare(keep(pairs.select("a", "b"), "dup-pairs"), sets, similarity), "dup-links")
+        active = active.withColumn("hub", open_ & ((F.col("node") == F.col("first")) | (F.col("draw") < share))).select("bucket", "node", "size", "served", "comp", "hub")
+        near = (F.least("sa", "sb") >= F.lit(similarity) * F.greatest("sa", "sb") - F.lit(1e-9)) & F.expr("ca <> cb and (not hb or a < b)")
+        extra = []
+        if labels is None:
+            active = keep(active, "dup-round")
+        else:
+            # What one hub of each bucket has not linked is compared once, in the first bucket that a pair shares, and only if the
+            # signatures allow the similarity: these are the pairs of buckets that hold like, but not near, texts.
+            active = keep(active.join(nodes.select("node", "bands", "sig"), "node").select("bucket", "node", "size", "served", "comp", "hub", "bands", "sig"), "dup-round")
+            agree = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x))
+            near = near & (F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("h.bucket")) & (agree >= least_agreement(similarity, coordinates))
+            extra = ["bands", "sig"]
+        h = active.filter("hub").select("bucket", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("sa"), *[F.col(c).alias(f"{c}_a") for c in extra])
+        m = active.filter("not served").select("bucket", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("size").alias("sb"), F.col("hub").alias("hb"), *[F.col(c).alias(f"{c}_b") for c in extra])
+        pairs = m.alias("m").join(h.alias("h"), (F.col("m.bucket") == F.col("h.bucket")) & near).select("a", "b").distinct()
+        links = keep(_compare(keep(pairs, "dup-pairs"), sets, similarity), "dup-links")
         edges = links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")))
         labels = keep(components(edges).withColumn("in_class", F.lit(True)), "dup-labels")
         members = keep(active.select("bucket", "node", "size", (F.col("served") | F.col("hub")).alias("served")), "dup-members")
@@ -275,7 +292,7 @@ def link_classes(sketches: DataFrame, docs: DataFrame, similarity: float = SIMIL
 def classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
     """doc_id, raw, comp for every row of ``docs`` (doc_id, text): rows of equal comp are near duplicates, links carried on."""
     sketches = keep(sketch(docs, width, bands, rows, weighted), "dup-sketch")
-    labels = link_classes(sketches, docs, similarity, width)
+    labels = link_classes(sketches, docs, similarity, width, bands * rows)
     return keep(sketches.select("doc_id", "raw", "node").join(labels, "node", "left").select("doc_id", "raw", F.coalesce("comp", "node").alias("comp")), "dup-rows")
 
 
