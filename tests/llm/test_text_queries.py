@@ -88,6 +88,17 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got == want
 
 
+def test_group_of_copies_edited_more_and_less(spark):
+    """Pairs on both sides of the threshold: some copies hang on others only, some on none."""
+    rng = random.Random(21)
+    base = words(rng, 150)
+    rows = [(k, edited(rng, base, rng.choice([0.005, 0.02, 0.04, 0.08])), "a") for k in range(160)]
+    rows += [(500 + k, edited(rng, rows[k][1], 0.01), "a") for k in range(0, 160, 20)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.class_ids(frame(spark, rows)).collect()}
+    want = dict(zip([i for i, _, _ in rows], brute_classes(rows), strict=True))
+    assert len(set(want.values())) > 20 and got == want
+
+
 def test_dedup_keeps_one_row_of_each_class(spark):
     rows = near_rows()
     kept = near_dup.dedup(frame(spark, rows))
