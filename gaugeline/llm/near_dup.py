@@ -242,7 +242,7 @@ def link_classes(sketches: DataFrame, docs: DataFrame, similarity: float = SIMIL
     entries = nodes.select("node", F.col("n").alias("size"), F.explode("bands").alias("bucket"))
     shared = keep(entries.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").select("bucket"), "dup-buckets")
     members = keep(entries.join(shared, "bucket").select("bucket", "node", "size", F.lit(False).alias("served")), "dup-members")
-    wanted = keep(members.select("node").distinct().join(nodes, "node").select("doc_id").distinct(), "dup-wanted")
+    wanted = keep(members.select("node").distinct().join(nodes, "node").select("node", "doc_id", "bands", "sig"), "dup-wanted")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sets = shingle_sets(texts.join(wanted, texts.doc_id.eqNullSafe(wanted.doc_id), "left_semi"), width)
     sets = keep(sets.groupBy("node").agg(F.first("items").alias("items")), "dup-sets")
@@ -274,7 +274,7 @@ def link_classes(sketches: DataFrame, docs: DataFrame, similarity: float = SIMIL
         else:
             # What one hub of each bucket has not linked is compared once, in the first bucket that a pair shares, and only if the
             # signatures allow the similarity: these are the pairs of buckets that hold like, but not near, texts.
-            active = keep(active.join(nodes.select("node", "bands", "sig"), "node").select("bucket", "node", "size", "served", "comp", "hub", "bands", "sig"), "dup-round")
+            active = keep(active.join(wanted.select("node", "bands", "sig"), "node").select("bucket", "node", "size", "served", "comp", "hub", "bands", "sig"), "dup-round")
             agree = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x))
             near = near & (F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("h.bucket")) & (agree >= least_agreement(similarity, coordinates))
             extra = ["bands", "sig"]
