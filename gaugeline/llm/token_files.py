@@ -38,8 +38,8 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 SEEKABLE_MAGIC, SKIPPABLE, INDEX_FRAME = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 NO_ID = -(1 << 63)
-#: Distinct text pieces whose ids a worker remembers.
-REMEMBERED = 1_000_000
+#: Distinct text pieces whose ids a worker remembers during a task. After it they are dropped: a worker outlives its task.
+REMEMBERED = 400_000
 #: The byte alphabet of byte-level vocabularies: printable Latin-1 characters stand for themselves, the others, in order, for 256 and up.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_NAMES = {b: chr(b) for b in _PLAIN} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*_PLAIN}))}
@@ -229,6 +229,7 @@ def encode_table(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         for part in pieces(batches, text_col):
             tokens = [ids.astype(kind).tobytes() + tail for ids in own.encode_column(part.column(text_col))]
             yield pa.RecordBatch.from_arrays([part.column(id_col).cast(pa.int64()), pa.array(tokens, pa.binary())], ["doc_id", "tokens"])
+        own.known.clear()
 
     return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, tokens binary")
 
