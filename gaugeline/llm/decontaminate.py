@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-grams of test items are seeds that find passages in training texts, and a Smith-Waterman
+"""Benchmark decontamination: the n-grams of test items are seeds that find passages in training texts, and a Smith-Waterman
 alignment of words scores each passage, so that edited copies count too.
 
 The benchmark is the small side: it is taken in blocks of at most BLOCK_WORDS words (items are dealt to blocks by a hash, and
 every block runs over all texts), so what is sent to the tasks is bounded however large it grows. For each block the corpus
-is scanned twice: once to count how often each of the block's n-grams occurs in it, once to find seeds and align. Seeds are
-those n-grams of an item that are in its rarer half, or that are rare in the corpus; an item that has leaked everywhere
-so keeps seeds. Texts are never shuffled: a scan emits only hits, or drops the texts that have one.
+is scanned once. Every n-gram of an item is a seed, however often it occurs, so a copy of any part of an item is found that
+keeps three words in a row. Common n-grams give many passages that are no copies; a bound no score can exceed sorts out those that can't
+reach the threshold, the others are aligned. Texts are never shuffled: a scan emits only hits, or drops the texts that have one.
 
 Words are runs of bytes other than ASCII white space and punctuation, with A-Z lower-cased. An alignment gets 1 for an equal word,
 -0.5 for an unequal one and for a gap; the score is its best local value over the item's number of words.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.bytes import IN_PLAIN_WORD, TO_LOWER, hashes, pieces, shingles, spans, utf8
+from gaugeline.llm.bytes import IN_PLAIN_WORD, TO_LOWER, hashes, mixed, pieces, shingles, spans, utf8
 
 WIDTH = 3
 THRESHOLD = 0.4
@@ -34,6 +34,8 @@ LEAST_SCORE = 6.0
 BLOCK_WORDS = 1_000_000
 #: An n-gram is rare if it is at most this share of all n-grams of the corpus.
 RARE = 1e-6
+#: Places where a seed occurs that are looked at together, whole texts at a time.
+PLACES = 1 << 20
 EQUAL, UNEQUAL, GAP = 1.0, -0.5, -0.5
 
 
@@ -121,7 +123,8 @@ class Matcher:
         return Matcher(ids, [hashed[a:b] for a, b in zip(before[:-1], before[1:], strict=True)], grams[order], item[order], at[order], width)
 
     def rare(self, counts: dict[int, int], total: int) -> Matcher:
-        """With those seeds only that are rare; counts by hash (as signed), total of all n-grams."""
+        """With those seeds only that are rare; counts by hash (as signed), total of all n-grams. It misses copies of an item's commoner
+        half, so nothing that decides on texts uses it."""
         n = np.array([counts.get(int(h), 0) for h in self.seeds.view(np.int64)], np.int64)
         rank = np.zeros(len(n), np.int64)
         order = np.lexsort((self.seed_at, n, self.seed_item))
@@ -146,43 +149,94 @@ class Matcher:
         found = np.searchsorted(self.seeds, grams[maybe])
         return maybe[self.seeds[np.minimum(found, len(self.seeds) - 1)] == grams[maybe]]
 
+    def _item_words(self) -> np.ndarray:
+        """The words of each item as hashes that tell items apart, sorted."""
+        if getattr(self, "_known", None) is None:
+            item = np.repeat(np.arange(len(self.words)), [len(w) for w in self.words])
+            self._known = np.unique(_of_item(np.concatenate([np.zeros(0, np.uint64), *self.words]), item))
+        return self._known
+
+    def bounds(self, hashed: np.ndarray, item: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """For each passage, hashed[first:end], a score that its alignment with the item can't exceed.
+
+        In an alignment a word of the passage that the item lacks costs UNEQUAL or GAP, and any other gives EQUAL at most.
+        """
+        out = np.zeros(len(item))
+        known = self._item_words()
+        if not len(known):
+            return out
+        size = end - first
+        order = np.argsort(size, kind="stable")
+        at = 0
+        while at < len(order):
+            # Passages of like length, about a million words at most.
+            some = order[at : at + max(1, PLACES // max(1, int(size[order[min(at + 4095, len(order) - 1)]])))][:4096]
+            at += len(some)
+            columns = np.arange(int(size[some].max()))
+            inside = columns < size[some][:, None]
+            word = hashed[np.where(inside, first[some][:, None] + columns, 0)]
+            key = _of_item(word, item[some][:, None])
+            has = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
+            value = np.where(inside, np.where(has, EQUAL, max(UNEQUAL, GAP)), 0.0)
+            sums = np.concatenate([np.zeros((len(some), 1)), np.cumsum(value, axis=1)], axis=1)
+            out[some] = (sums - np.minimum.accumulate(sums, axis=1)).max(axis=1)
+        return out
+
     def hits(self, column: pa.Array, threshold: float) -> list[tuple[int, int, float, int, int]]:
         """(text, item, score, first word, end word) for each text and item with an alignment that reaches the threshold; the best each."""
         hashed, before = words_of(column)
         grams, offsets = shingles(hashed, before, self.width)
         where = self.occurrences(grams)
-        if not len(where):
-            return []
         low, high = np.searchsorted(self.seeds, grams[where], "left"), np.searchsorted(self.seeds, grams[where], "right")
+        text = np.searchsorted(offsets, where, "right") - 1
+        # Whole texts, with PLACES places or one text at a time.
+        done = np.concatenate([[0], np.cumsum(high - low)])
+        out, at = [], 0
+        while at < len(where):
+            end = max(at + 1, int(np.searchsorted(done, done[at] + PLACES, "right")) - 1)
+            end = int(np.searchsorted(text, text[end - 1], "left")) if end < len(where) and text[end] == text[end - 1] else end
+            end = end if end > at else int(np.searchsorted(text, text[at], "right"))
+            out += self._hits(hashed, before, where[at:end] - offsets[text[at:end]], text[at:end], low[at:end], high[at:end], threshold)
+            at = end
+        return out
+
+    def _hits(self, hashed: np.ndarray, before: np.ndarray, position: np.ndarray, text: np.ndarray, low: np.ndarray, high: np.ndarray, threshold: float) -> list[tuple[int, int, float, int, int]]:
+        """The hits of some whole texts; low to high (exclusive) are the seeds at each position."""
         many = high - low
         seed = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        text = np.searchsorted(offsets, where, "right") - 1
-        position, text = np.repeat(where - offsets[text], many), np.repeat(text, many)
+        position, text = np.repeat(position, many), np.repeat(text, many)
         item, begin = self.seed_item[seed], position - self.seed_at[seed]
         order = np.lexsort((begin, item, text))
         text, item, begin = text[order], item[order], begin[order]
-        length = np.array([len(w) for w in self.words], np.int64)[item]
+        words = np.array([len(w) for w in self.words], np.int64)
+        length = words[item]
         # Seeds of one copy say nearly the same place of the item's start; further away another copy begins.
         new = np.ones(len(text), bool)
         new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > length[1:] // 2 + 3)
         runs = np.flatnonzero(new)
         last = np.append(runs[1:], len(text)) - 1
-        size = np.diff(before)
-        rows = []
-        for a, z in zip(runs.tolist(), last.tolist(), strict=True):
-            t, n = int(text[a]), int(length[a])
-            pad = n // 4 + 3
-            rows.append((t, int(item[a]), max(0, int(begin[a]) - pad), min(int(size[t]), int(begin[z]) + n + pad)))
+        text, item, length = text[runs], item[runs], length[runs]
+        pad = length // 4 + 3
+        first = np.maximum(0, begin[runs] - pad)
+        end = np.minimum(np.diff(before)[text], begin[last] + length + pad)
+        needed = np.maximum(threshold * length, np.minimum(LEAST_SCORE, 0.8 * length))
+        able = np.flatnonzero(self.bounds(hashed, item, before[text] + first, before[text] + end) >= needed - 1e-6)
+        rows = list(zip(text[able].tolist(), item[able].tolist(), first[able].tolist(), end[able].tolist(), strict=True))
         scored = alignments([self.words[i] for _, i, _, _ in rows], [hashed[before[t] + a : before[t] + z] for t, _, a, z in rows])
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
-        for (t, i, a, _), (value, first, end) in zip(rows, scored, strict=True):
+        for (t, i, a, _), (value, begins, ends) in zip(rows, scored, strict=True):
             score = value / max(1, len(self.words[i]))
             enough = min(LEAST_SCORE, 0.8 * len(self.words[i]))
             if score >= threshold - 1e-9 and value >= enough - 1e-9 and score > best.get((t, i), (0.0,))[0]:
-                best[t, i] = (score, a + first, a + end)
+                best[t, i] = (score, a + begins, a + ends)
         return [(t, i, *rest) for (t, i), rest in sorted(best.items())]
 
 
+def _of_item(words: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Hashes of words that differ from item to item; like an alignment, without telling apart words by the second bit."""
+    return mixed((words | np.uint64(2)) ^ mixed(item.astype(np.uint64) + np.uint64(1)))
+
+
 # ------------------------------------------------------------------ distributed
 
 
@@ -196,31 +250,16 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
         yield [r[0] for r in rows], [r[1] for r in rows]
 
 
-def seed_counts(docs: DataFrame, matcher: Matcher, text_col: str = "text") -> tuple[dict[int, int], int]:
-    """How often each seed of the block occurs in the texts, and the number of all n-grams of the texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches, text_col):
-            grams, _ = shingles(*words_of(part.column(text_col)), matcher.width)
-            found, n = np.unique(grams[matcher.occurrences(grams)], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([None, *found.view(np.int64).tolist()], pa.int64()), pa.array([len(grams), *n.tolist()], pa.int64())], ["seed", "n"])
-
-    # A row for each seed of the block and one for the total: bounded by the block.
-    counts = {r["seed"]: r["n"] for r in docs.select(text_col).mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()}
-    return counts, counts.pop(None, 0)
-
-
-def matchers(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> Iterator[Matcher]:
+def matchers(benchmark: DataFrame, width: int = WIDTH) -> Iterator[Matcher]:
     for ids, texts in blocks(benchmark):
-        every = Matcher.of(ids, texts, width)
-        yield every.rare(*seed_counts(docs, every))
+        yield Matcher.of(ids, texts, width)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, score, begin, end (words of the text): the benchmark items that texts contain, edited or not."""
     schema = "doc_id long, item_id long, score double, begin long, end long"
     out = None
-    for matcher in matchers(docs.select(F.col(text_col).alias("text")), benchmark, width):
+    for matcher in matchers(benchmark, width):
 
         def run(batches: Iterator[pa.RecordBatch], matcher: Matcher = matcher) -> Iterator[pa.RecordBatch]:
             for part in pieces(batches, text_col):
@@ -237,7 +276,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text contains no benchmark item; no shuffle, as each text is judged where it is read."""
     out = docs
-    for matcher in matchers(docs.select(F.col(text_col).alias("text")), benchmark, width):
+    for matcher in matchers(benchmark, width):
 
         def run(batches: Iterator[pa.RecordBatch], matcher: Matcher = matcher) -> Iterator[pa.RecordBatch]:
             for part in pieces(batches, text_col):

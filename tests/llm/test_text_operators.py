@@ -169,6 +169,33 @@ def test_leaked_everywhere_keeps_its_seeds():
     assert 0 < len(r.seeds) and r.hits(pa.array(["x y z a quick brown fox jumps over the lazy dog and then sleeps q"]), 0.4)
 
 
+@pytest.mark.parametrize("seen", ["front", "back"])
+def test_copies_of_half_an_item_that_is_leaked_thousands_of_times(spark, seen):
+    """The whole of the first item is leaked, and half of the second: the other copies are those of the halves."""
+    items = [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(2)]
+    half = [" ".join(t.split()[20:] if seen == "back" else t.split()[:20]) for t in items]
+    texts = [items[0]] * 1500 + [half[0]] * 20 + [f"{half[1]} and {k} more words" for k in range(1000)]
+    texts += [" ".join(f"v{n}x{k}" for k in range(200)) for n in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, benchmark).collect()}
+    assert found == {(n, 0) for n in range(1520)} | {(n, 1) for n in range(1520, 2520)}
+    assert [r["doc_id"] for r in decontaminate.decontaminate(docs, benchmark).select("doc_id").orderBy("doc_id").collect()] == list(range(2520, 2820))
+
+
+def test_bound_is_never_below_the_alignment(monkeypatch):
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(12)]
+    items = [" ".join(rng.choices(vocabulary, k=rng.randrange(1, 30))) for _ in range(20)]
+    texts = [" ".join(w for w in items[k % 20].split() + rng.choices(vocabulary, k=20) if rng.random() < 0.8) for k in range(40)]
+    m = decontaminate.Matcher.of(list(range(20)), items)
+    whole = m.hits(pa.array(texts), 0.4)
+    monkeypatch.setattr(decontaminate, "PLACES", 50)
+    assert whole and m.hits(pa.array(texts), 0.4) == whole
+    monkeypatch.setattr(decontaminate.Matcher, "bounds", lambda self, hashed, item, first, end: np.full(len(item), 1e9))
+    assert m.hits(pa.array(texts), 0.4) == whole
+
+
 # ------------------------------------------------------------------ media and archives
 
 
