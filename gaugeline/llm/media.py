@@ -371,6 +371,12 @@ def average_hash(thumb: np.ndarray) -> str:
     return np.packbits(means > means.mean()).tobytes().hex()
 
 
+def below(thumbs: list[np.ndarray]) -> np.ndarray:
+    """One thumbnail of all, each below the one before; narrower ones are filled up with black."""
+    wide = max(t.shape[1] for t in thumbs)
+    return thumbs[0] if len(thumbs) == 1 else np.concatenate([np.pad(t, ((0, 0), (0, wide - t.shape[1]))) for t in thumbs])
+
+
 # ------------------------------------------------------------------ columns
 
 
@@ -389,7 +395,8 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def features(media: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, reason of stored media.
 
-    ``feature``: pixels across and down of the first image, number of images, and the hash of the first thumbnail.
+    ``feature``: pixels across and down of all images, one below the other, number of images, and the hash of their thumbnails
+    in the same order.
     """
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "reason"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
@@ -404,8 +411,8 @@ def features(media: DataFrame) -> DataFrame:
                     rows.append((None, None, None, *whole, None, images))
                     continue
                 payload = b"".join(thumb.tobytes() for _, thumb in images)
-                frame, thumb = images[0]
-                feature = f"{frame.width}x{frame.height}*{len(images)}:{average_hash(thumb)}"
+                across, down = max(frame.width for frame, _ in images), sum(frame.height for frame, _ in images)
+                feature = f"{across}x{down}*{len(images)}:{average_hash(below([thumb for _, thumb in images]))}"
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), *whole, feature, None))
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *(pa.array(c, k) for c, k in zip(columns, kinds[2:], strict=True))], names)

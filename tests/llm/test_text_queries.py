@@ -243,6 +243,14 @@ def test_media_rows(spark):
     assert [r["reason"] is not None for r in media.features(bad).collect()] == [True, True]
 
 
+def test_feature_covers_all_images_of_a_long_text(spark):
+    first = "q" * (media.MAX_ROWS * media.ROW)
+    found = media.features(media.store(frame(spark, [(1, first + "a" * 400_000, "a"), (2, first + "z" * 400_000, "a"), (3, first, "a")]))).collect()
+    feature = {r["doc_id"]: r["feature"] for r in found}
+    size = {k: f.split(":")[0] for k, f in feature.items()}
+    assert feature[1] != feature[2] and size[1] == size[2] == f"512x{8 * (8191 + 6250)}*2" and size[3] == "512x65528*1"
+
+
 def test_warc_rows(spark):
     big, other = "<p>" + "é" * 600, "<p>" + "x" * 997
     rows = [(1, "http://a/1", big), (2, "http://a/2", big), (9, None, big), (3, "bad url", other), (4, "u", "short"), (5, "u", "short"), (6, "u", None), (None, "u", other), (9, "again", big)]
