@@ -83,11 +83,12 @@ def parse(raw: bytes) -> tuple[Record, int]:
     if not end:
         raise Damaged("header doesn't end")
     headers: dict[str, str] = {}
-    for line in raw[start.end() : end.start()].decode("utf-8", "replace").splitlines():
+    # Lines end at line feeds only, and only blanks and tabs surround values: a url may hold other line ends and spaces of Unicode.
+    for line in re.split(r"\r?\n", raw[start.end() : end.start()].decode("utf-8", "replace")):
         name, colon, value = line.partition(":")
         if not colon:
             raise Damaged("header line without a colon")
-        headers[name.strip().lower()] = value.strip()
+        headers[name.strip(" \t").lower()] = value.strip(" \t")
     length = headers.get("content-length", "")
     if not length.isdigit():
         raise Damaged("no content length")
@@ -271,21 +272,25 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
 COLUMNS = "path string, start long, end long, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, gap string"
 
 
-def read(files: DataFrame, payloads: bool = False) -> DataFrame:
+def read(files: DataFrame, payloads: bool = False, whole: bool = False) -> DataFrame:
     """A row for each record of the archives in column ``path``, and for each quarantined gap (column gap: the reason, else null).
 
     Digest and length of a revisit's payload are those its record states; those of other records are taken from the bytes,
-    and checked against the record. With ``payloads``, column payload has the bytes.
+    and checked against the record. With ``payloads``, column payload has the bytes. With ``whole``, files is a manifest, and an
+    archive with a gap or another number of records than it states is an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column("path").to_pylist():
+            for path, stated in zip(batch.column("path").to_pylist(), batch.column("n_records").to_pylist(), strict=True):
                 fs, name = open_fs(path)
                 with fs.open_input_file(name) as f:
                     rows: list[tuple] = []
-                    size = 0
+                    size = records = 0
                     for found in salvage(f):
+                        if whole and isinstance(found, Gap):
+                            raise Damaged(f"{path}, bytes {found.start} to {found.end}: {found.reason}")
+                        records += 1
                         rows.append(_row(path, found, payloads))
                         size += len(rows[-1][-1] or b"") if payloads else 0
                         if len(rows) >= 4096 or size >= 4 << 20:
@@ -293,8 +298,10 @@ def read(files: DataFrame, payloads: bool = False) -> DataFrame:
                             rows, size = [], 0
                     if rows:
                         yield _batch(rows, payloads)
+                    if whole and records != stated:
+                        raise Damaged(f"{path}: {records} records of {stated}")
 
-    spread = files.select("path").repartition(max(1, min(10_000, files.count())), "path")
+    spread = files.select("path", F.col("n_records") if whole else F.lit(None).cast("long").alias("n_records")).repartition(max(1, min(10_000, files.count())), "path")
     return spread.mapInArrow(run, COLUMNS + (", payload binary" if payloads else ""))
 
 
@@ -322,6 +329,6 @@ def _batch(rows: list[tuple], payloads: bool) -> pa.RecordBatch:
 
 
 def page_rows(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Write the pages to new archives in the shared folder and return what the archives hold of each page."""
-    found = read(write(pages, work_folder(spark, "warc")))
-    return found.filter("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    """Write the pages to new archives in the shared folder and return what the archives hold of each page; if one can't be read, that is an error."""
+    found = read(write(pages, work_folder(spark, "warc")), whole=True)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")

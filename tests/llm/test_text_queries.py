@@ -251,6 +251,22 @@ def test_feature_covers_all_images_of_a_long_text(spark):
     assert feature[1] != feature[2] and size[1] == size[2] == f"512x{8 * (8191 + 6250)}*2" and size[3] == "512x65528*1"
 
 
+def test_warc_urls_with_line_ends_of_unicode(spark):
+    body = "<p>" + "y" * 1200
+    rows = [(k, f"http://a/{c}b{c}", body) for k, c in enumerate("\u0085\u2028\u2029\u00a0")] + [(9, "http://a/\u2028", body)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: (r["url"], r["record_type"], r["refers_to"]) for r in warc.page_rows(spark, df).collect()}
+    assert got == {k: (url, "response" if k == 9 else "revisit", None if k == 9 else 9) for k, url, _ in rows}
+
+
+def test_warc_page_rows_fail_if_a_page_is_lost(spark, monkeypatch):
+    df = spark.createDataFrame([(k, f"u{k}", f"page {k}") for k in range(4)], "page_id long, url string, html string")
+    write = warc.write
+    monkeypatch.setattr(warc, "write", lambda *a, **k: write(*a, **k).selectExpr("path", "n_records + 1 AS n_records", "n_bytes"))
+    with pytest.raises(Exception, match="records of"):
+        warc.page_rows(spark, df).collect()
+
+
 def test_warc_rows(spark):
     big, other = "<p>" + "é" * 600, "<p>" + "x" * 997
     rows = [(1, "http://a/1", big), (2, "http://a/2", big), (9, None, big), (3, "bad url", other), (4, "u", "short"), (5, "u", "short"), (6, "u", None), (None, "u", other), (9, "again", big)]
