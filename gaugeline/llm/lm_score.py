@@ -1,16 +1,16 @@
 """Language-model scores by logistic context mixing, beside a unigram base score.
 
 The model predicts the bytes of a text (A-Z lower-cased) bit by bit, and a zero byte at its end. Each of five predictors
-knows how often a bit was 0 and 1 after its context, the last 0 to 4 bytes and the bits of the byte so far, in a table of
-hashed contexts. Their stretched probabilities are mixed by weights that a gate selects (the longest known context and the
+knows how often a bit was 0 and 1 after its context, the last 0 to 4 bytes and the bits of the byte so far. Their stretched probabilities are mixed by weights that a gate selects (the longest known context and the
 bit's place), learnt online by gradient steps on coding cost; an adaptive probability map, indexed by the bits so far,
 refines the result. Scores are sums of log10 probabilities.
 
 What a byte's prediction depends on is the five-byte run it ends, so the corpus is gathered once as counts of such runs,
 over all training texts; predictors, weights and map are all learnt from these counts, each occurrence with itself left
 out of what predicts it. The runs are spread over tasks; each task takes its online steps on its runs, and the weights are
-averaged. Tables lie in the shared folder, where scoring tasks load them; their size is a parameter (2^22 contexts hold
-34 MB), collisions being part of the method.
+averaged. The counts lie in the shared folder, by exact context, as many as there are: no two contexts share a count, and one
+that was never seen has none. They are dealt to parts of at most PART contexts. If there is one part, a task holds it; else it
+reads part after part for each portion of runs and holds what that portion needs, so its memory stays bounded.
 
 The base score needs the count of every word. Words with at least N / HEAVY occurrences, at most HEAVY of them, are looked
 up in place; all rarer words go through a join on the word, in which no key can be hot.
@@ -36,7 +36,10 @@ from gaugeline.llm.bytes import TO_LOWER, hashes, mixed, pieces, spans, utf8
 from gaugeline.llm.storage import keep, open_fs, work_folder
 
 ORDERS = 5
-TABLE_BITS = 22
+#: Contexts in a part of the counts, about; a task holds one part at a time (16 bytes a context, and as much again to load it).
+PART = 1 << 22
+#: Runs of a portion for which counts are looked up in several parts.
+PORTION = 1 << 18
 HEAVY = 500_000
 PIECE = 8 << 20
 PRIOR = 0.4
@@ -80,6 +83,59 @@ def slots(codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return out, bit, so_far
 
 
+def context_keys(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys (runs x orders x 8) of the contexts of each bit, one to one, the bits (runs x 8), and the bits so far (runs x 8, from 1)."""
+    byte = codes & 255
+    place = np.arange(8)
+    bit = (byte[:, None] >> (7 - place)) & 1
+    so_far = (1 << place) | (byte[:, None] >> (8 - place))
+    # Order, context and bits so far take 43 bits; mixed() is a bijection.
+    context = np.stack([(codes >> 8 & (1 << 8 * k) - 1) + (k << 32) for k in range(ORDERS)], axis=1)
+    return mixed(((context << 8)[:, :, None] | so_far[:, None, :]).astype(np.uint64)), bit, so_far
+
+
+@dataclass(frozen=True)
+class Contexts:
+    """Counts of 0 and 1 by context: keys sorted and closed by the largest number, which is no context; and where each leading part of keys starts."""
+
+    keys: np.ndarray
+    n: np.ndarray  # 2 x keys
+    starts: np.ndarray
+    shift: np.uint64
+
+    @staticmethod
+    def of(keys: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> Contexts:
+        order = np.argsort(keys)
+        last = np.array([0], np.float32)
+        n = np.stack([np.concatenate([x[order].astype(np.float32), last]) for x in (n0, n1)])
+        bits = max(8, int(len(keys)).bit_length())
+        keys = np.concatenate([keys[order], np.array([~np.uint64(0)])])
+        shift = np.uint64(64 - bits)
+        starts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << shift).astype(np.int32)
+        return Contexts(keys, n, starts, shift)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key, or that of the closing one if it isn't there."""
+        flat = keys.ravel()
+        at = self.starts[(flat >> self.shift).astype(np.int64)]
+        left = np.flatnonzero(self.keys[at] < flat)
+        while len(left):
+            at[left] += 1
+            left = left[self.keys[at[left]] < flat[left]]
+        at[self.keys[at] != flat] = len(self.keys) - 1
+        return at.reshape(keys.shape)
+
+
+def looked_up(codes: np.ndarray, table: Contexts | np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of 0 and 1 of the contexts of each bit, the bits, and the bits so far. An array is a table of hashed slots."""
+    if isinstance(table, np.ndarray):
+        place, bit, so_far = slots(codes, int(table.shape[1]).bit_length() - 1)
+        return table[0][place], table[1][place], bit, so_far
+    keys, bit, so_far = context_keys(codes)
+    place = table.find(keys)
+    return table.n[0][place], table.n[1][place], bit, so_far
+
+
 def stretch(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
@@ -129,16 +185,15 @@ def start() -> Mixer:
     return Mixer(np.tile(np.append(np.full(ORDERS, 0.3), 0.0), (GATES, 1)))
 
 
-def left_out(codes: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def left_out(codes: np.ndarray, table: Contexts | np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Inputs, gates, bits and bits so far of runs, each with one occurrence of itself taken out of the counts."""
-    place, bit, so_far = slots(codes, int(table.shape[1]).bit_length() - 1)
-    n0, n1 = table[0][place], table[1][place]
+    n0, n1, bit, so_far = looked_up(codes, table)
     n1 = np.maximum(0, n1 - bit[:, None, :])
     n0 = np.maximum(0, n0 - (1 - bit)[:, None, :])
     return inputs(n0, n1), gates(n0 + n1), bit, so_far
 
 
-def learn(codes: np.ndarray, counts: np.ndarray, table: np.ndarray, batch: int = 1024, rounds: int = 2, rate: float = 0.03) -> tuple[np.ndarray, np.ndarray]:
+def learn(codes: np.ndarray, counts: np.ndarray, table: Contexts | np.ndarray, batch: int = 1024, rounds: int = 2, rate: float = 0.03) -> tuple[np.ndarray, np.ndarray]:
     """Weights learnt online, one step for each batch of runs in a hashed order, and what weight of evidence each gate had."""
     order = np.argsort(mixed(codes.astype(np.uint64)), kind="stable")
     weights = start().weights.copy()
@@ -162,14 +217,31 @@ def learn(codes: np.ndarray, counts: np.ndarray, table: np.ndarray, batch: int =
 
 
 @lru_cache(maxsize=1)
-def load_table(folder: str, bits: int) -> np.ndarray:
-    """Counts of 0 and 1 by context slot."""
+def load_part(folder: str, part: int) -> Contexts:
+    """A part of the counts."""
     fs, path = open_fs(folder)
-    table = np.zeros((2, 1 << bits), np.float32)
-    for part in pads.dataset(path, filesystem=fs, format="parquet").to_batches(columns=["slot", "n0", "n1"]):
-        at = part.column(0).to_numpy()
-        table[0, at], table[1, at] = part.column(1).to_numpy(), part.column(2).to_numpy()
-    return table
+    # With a schema, as a folder without contexts has no files.
+    schema = pa.schema([("key", pa.int64()), ("n0", pa.float64()), ("n1", pa.float64()), ("part", pa.int32())])
+    data = pads.dataset(path, schema=schema, filesystem=fs, format="parquet", partitioning=pads.partitioning(pa.schema([schema.field("part")]), flavor="hive"))
+    found = data.to_table(columns=["key", "n0", "n1"], filter=pads.field("part") == part)
+    return Contexts.of(found["key"].to_numpy().view(np.uint64), found["n0"].to_numpy(), found["n1"].to_numpy())
+
+
+def load_for(codes: np.ndarray, folder: str, parts: int) -> Contexts:
+    """Counts that the runs need: the only part, or an extract of all of them."""
+    if parts == 1:
+        return load_part(folder, 0)
+    need = np.zeros(0, np.uint64)
+    for at in range(0, len(codes), 1 << 14):
+        need = np.union1d(need, context_keys(codes[at : at + (1 << 14)])[0])
+    found = []
+    for part in range(parts):
+        some = load_part(folder, part)
+        mine = need[(need % np.uint64(parts)).astype(np.int64) == part]
+        place = some.find(mine)
+        there = place < len(some.keys) - 1
+        found.append((mine[there], some.n[0][place[there]], some.n[1][place[there]]))
+    return Contexts.of(*(np.concatenate(c) for c in zip(*found, strict=True)))
 
 
 @lru_cache(maxsize=1)
@@ -201,25 +273,33 @@ def gather(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def context_counts(found: DataFrame, bits: int) -> DataFrame:
-    """slot, n0, n1 from the runs' counts."""
+def context_counts(found: DataFrame) -> DataFrame:
+    """key, n0, n1 of every context, from the runs' counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((2, 1 << bits))
-        for batch in batches:
-            codes, n = batch.column("key").to_numpy(), batch.column("n").to_numpy()
-            for at in range(0, len(codes), 1 << 16):
-                place, bit, _ = slots(codes[at : at + (1 << 16)], bits)
-                flat, one = place.ravel(), np.broadcast_to(bit[:, None, :], place.shape).ravel()
-                weight = np.repeat(n[at : at + (1 << 16)], place.shape[1] * 8)
-                np.add.at(table[0], flat, weight * (1 - one))
-                np.add.at(table[1], flat, weight * one)
-        used = np.flatnonzero(table.any(axis=0))
-        for at in range(0, len(used), 1 << 16):
-            some = used[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(table[k, some], pa.float64()) for k in (0, 1))], ["slot", "n0", "n1"])
-
-    return found.mapInArrow(run, "slot int, n0 double, n1 double").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        for codes, n in _whole(batches, PORTION):
+            # Runs in order have contexts of order 4 together, so a slice has few keys.
+            order = np.argsort(codes)
+            for at in range(0, len(codes), 1 << 15):
+                some = order[at : at + (1 << 15)]
+                keys, bit, _ = context_keys(codes[some])
+                place, distinct = pd.factorize(keys.ravel().view(np.int64))
+                one = np.broadcast_to(bit[:, None, :], keys.shape).ravel()
+                weight = np.repeat(n[some], ORDERS * 8)
+                yield pa.RecordBatch.from_arrays([pa.array(distinct, pa.int64()), *(pa.array(np.bincount(place, weight * (one == v), len(distinct)), pa.float64()) for v in (0, 1))], ["key", "n0", "n1"])
+
+    return found.mapInArrow(run, "key long, n0 double, n1 double").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def write_contexts(found: DataFrame, folder: str) -> int:
+    """Write the counts of all contexts in parts, and return how many parts."""
+    counts = keep(context_counts(found), "lm-contexts")
+    parts = max(1, -(-counts.count() // PART))
+    # The key as an unsigned number modulo the parts.
+    low = F.pmod(F.col("key"), F.lit(parts))
+    part = low if parts & (parts - 1) == 0 else F.when(F.col("key") < 0, F.pmod(low + F.lit((1 << 64) % parts), F.lit(parts))).otherwise(low)
+    counts.withColumn("part", part.cast("int")).write.partitionBy("part").parquet(folder)
+    return parts
 
 
 def _whole(batches: Iterator[pa.RecordBatch], most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -236,12 +316,12 @@ def _whole(batches: Iterator[pa.RecordBatch], most: int = 1 << 19) -> Iterator[t
         yield np.concatenate(keys), np.concatenate(counts)
 
 
-def fit_mixer(found: DataFrame, table_folder: str, bits: int) -> Mixer:
+def fit_mixer(found: DataFrame, table_folder: str, parts: int) -> Mixer:
     """Weights, averaged over the tasks by their evidence, then the probability map under these weights."""
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, counts in _whole(batches):
-            weights, evidence = learn(keys, counts, load_table(table_folder, bits))
+            weights, evidence = learn(keys, counts, load_for(keys, table_folder, parts))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(GATES), pa.int32()), *(pa.array(weights[:, k] * evidence) for k in range(ORDERS + 1)), pa.array(evidence)], ["gate", *(f"w{k}" for k in range(ORDERS + 1)), "mass"])
 
     names = [*(f"w{k}" for k in range(ORDERS + 1)), "mass"]
@@ -254,8 +334,8 @@ def fit_mixer(found: DataFrame, table_folder: str, bits: int) -> Mixer:
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((2, 256 * STEPS))
-        table = load_table(table_folder, bits)
         for keys, counts in _whole(batches):
+            table = load_for(keys, table_folder, parts)
             for at in range(0, len(keys), 1 << 15):
                 x, gate, bit, so_far = left_out(keys[at : at + (1 << 15)], table)
                 low, part = _step(plain.mix(x, gate))
@@ -275,13 +355,11 @@ def fit_mixer(found: DataFrame, table_folder: str, bits: int) -> Mixer:
     return Mixer(weights, refined)
 
 
-def log10_probability(codes: np.ndarray, table: np.ndarray, mixer: Mixer) -> np.ndarray:
+def log10_probability(codes: np.ndarray, table: Contexts | np.ndarray, mixer: Mixer) -> np.ndarray:
     """Of the last byte of each run, given those before it."""
     out = np.empty(len(codes))
-    bits = int(table.shape[1]).bit_length() - 1
     for at in range(0, len(codes), 1 << 15):
-        place, bit, so_far = slots(codes[at : at + (1 << 15)], bits)
-        n0, n1 = table[0][place], table[1][place]
+        n0, n1, bit, so_far = looked_up(codes[at : at + (1 << 15)], table)
         p = mixer.probability(inputs(n0, n1), gates(n0 + n1), so_far)
         out[at : at + (1 << 15)] = np.log10(np.where(bit == 1, p, 1 - p)).sum(axis=1)
     return out
@@ -290,10 +368,10 @@ def log10_probability(codes: np.ndarray, table: np.ndarray, mixer: Mixer) -> np.
 # ------------------------------------------------------------------ scoring
 
 
-def score(docs: DataFrame, is_training: Column, bits: int = TABLE_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, is_training: Column, bits: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row.
 
-    ``is_training``: a condition on the rows that are learnt from.
+    ``is_training``: a condition on the rows that are learnt from. ``bits`` has no effect: counts are by exact context.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), is_training.alias("training"), F.col(text_col).alias("text"))
@@ -304,22 +382,21 @@ def score(docs: DataFrame, is_training: Column, bits: int = TABLE_BITS, id_col:
     total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     n, v = int(total[1]) + n_docs, int(total[0]) + (n_docs > 0)
     table_folder, heavy_folder = work_folder(spark, "lm-table"), work_folder(spark, "lm-heavy")
-    context_counts(contexts, bits).write.parquet(table_folder)
+    parts = write_contexts(contexts, table_folder)
     least = max(1, -(-n // HEAVY))
     words.filter(F.col("n") >= least).select("key", "n").write.parquet(heavy_folder)
-    mixer = fit_mixer(contexts, table_folder, bits)
+    mixer = fit_mixer(contexts, table_folder, parts)
     schema = "row long, doc_id long, training boolean, n_tokens long, n_known long, n_bytes long, known_sum double, score double, rare array<long>, times array<int>"
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = load_table(table_folder, bits)
         heavy, heavy_n = load_words(heavy_folder)
         value = np.append(np.log10(heavy_n + 1.0), 0.0)
         for part in pieces(batches, "text", PIECE):
             data, offsets = _lower(part.column("text"))
             codes, at = runs(data, offsets)
             which, distinct = pd.factorize(codes)
-            each = log10_probability(distinct, table, mixer)[which]
+            each = np.concatenate([log10_probability(some, load_for(some, table_folder, parts), mixer) for some in (distinct[a : a + PORTION] for a in range(0, len(distinct), PORTION))])[which]
             model = np.add.reduceat(each, at[:-1])
             starts, ends, before = spans(data, offsets)
             text = np.repeat(np.arange(part.num_rows), np.diff(before))

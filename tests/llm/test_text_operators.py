@@ -284,6 +284,21 @@ def test_bit_probabilities_sum_to_one():
     assert learnt < 1.5
 
 
+def test_contexts_never_share_a_count():
+    codes = np.random.default_rng(3).integers(0, 1 << 40, 20_000)
+    keys, _, _ = lm_score.context_keys(codes)
+    distinct, n = np.unique(keys, return_counts=True)
+    table = lm_score.Contexts.of(distinct, n, 2 * n)
+    assert (table.n[0][table.find(keys)] == n[np.searchsorted(distinct, keys)]).all() and (table.n[1][table.find(keys)] == 2 * n[np.searchsorted(distinct, keys)]).all()
+    order, context, so_far = np.arange(5)[:, None], np.stack([codes >> 8 & (1 << 8 * k) - 1 for k in range(5)], axis=1), lm_score.context_keys(codes)[2]
+    plain = (order.T.astype(np.int64) << 40)[:, :, None] | (context << 8)[:, :, None] | so_far[:, None, :]
+    assert len(distinct) == len(np.unique(plain))
+    other = lm_score.context_keys(np.random.default_rng(4).integers(0, 1 << 40, 20_000))[0]
+    unseen = ~np.isin(other, distinct)
+    assert unseen.sum() > 100_000 and not table.n[:, table.find(other)[unseen]].any()
+    assert not lm_score.Contexts.of(distinct[:0], n[:0], n[:0]).n[:, [0]].any()
+
+
 def test_quality_model_orders_texts():
     rng = random.Random(7)
     words = [f"{a}{b}" for a in "bcdfglmnprst" for b in ("able", "ing", "ora", "ent", "ist")]

@@ -282,6 +282,23 @@ def test_warc_rows(spark):
     assert warc.page_rows(spark, df.limit(0)).count() == 0
 
 
+def test_language_model_counts_every_context(spark, monkeypatch):
+    """The counts are as many as the contexts, and in one part or in several give the same scores."""
+    rng = random.Random(5)
+    docs = frame(spark, [(k, "".join(chr(rng.randrange(32, 0x3000)) for _ in range(400)), "a") for k in range(60)])
+    runs = lm_score.gather(docs).filter(F.col("kind") == lm_score.RUN)
+    codes = [r["key"] for r in runs.collect()]
+    want = {(k, code >> 8 & (1 << 8 * k) - 1, 1 << b | (code & 255) >> 8 - b) for code in codes for k in range(5) for b in range(8)}
+    counts = lm_score.context_counts(runs).agg(F.count("*"), F.sum(F.col("n0") + F.col("n1"))).first()
+    assert counts[0] == len(want) and counts[1] == 40 * runs.agg(F.sum("n")).first()[0]
+    scores = []
+    for part in (1 << 22, len(want) // 3):
+        monkeypatch.setattr(lm_score, "PART", part)
+        lm_score.load_part.cache_clear()
+        scores.append([r["score"] for r in lm_score.score(docs, F.col("doc_id") % 3 != 0).orderBy("doc_id").collect()])
+    assert scores[1] == pytest.approx(scores[0], rel=1e-9)
+
+
 def test_language_model_rows(spark):
     import math
 
