@@ -58,15 +58,21 @@ def training(doc_id: Column, parts: int = 7, out: int = 2) -> Column:
 def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The five-byte runs that end at each byte of each text and at its end, as integers; and their offsets. Before a text are zeros."""
     n = len(offsets) - 1
-    size = np.diff(offsets)
-    at = offsets[:-1] + np.arange(n) * ORDERS + ORDERS - 1
+    # After a text stand ORDERS zeros, before the first one zero less. Masks of bytes say where: numbers of places would take 8 times as much.
+    gap = (offsets[1:] + np.arange(n) * ORDERS)[:, None] + np.arange(ORDERS)
     flat = np.zeros(len(data) + n * ORDERS + ORDERS, np.uint8)
-    flat[np.arange(len(data)) + np.repeat(at - offsets[:-1], size)] = data
+    inside = np.ones(len(flat), bool)
+    inside[: ORDERS - 1] = inside[-1] = False
+    inside[gap + ORDERS - 1] = False
+    flat[inside] = data
     codes = np.zeros(len(flat) - ORDERS + 1, np.int64)
     for k in range(ORDERS):
-        codes |= flat[k : k + len(codes)].astype(np.int64) << 8 * (ORDERS - 1 - k)
-    out_offsets = np.concatenate([[0], np.cumsum(size + 1)])
-    return codes[np.arange(out_offsets[-1]) + np.repeat(at - (ORDERS - 1) - out_offsets[:-1], size + 1)], out_offsets
+        codes <<= 8
+        codes |= flat[k : k + len(codes)]
+    inside = np.ones(len(codes), bool)
+    inside[-1] = False
+    inside[gap[:, 1:]] = False
+    return codes[inside], np.concatenate([[0], np.cumsum(np.diff(offsets) + 1)])
 
 
 def slots(codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -336,10 +342,10 @@ def fit_mixer(found: DataFrame, table_folder: str, parts: int) -> Mixer:
         n = np.zeros((2, 256 * STEPS))
         for keys, counts in _whole(batches):
             table = load_for(keys, table_folder, parts)
-            for at in range(0, len(keys), 1 << 15):
-                x, gate, bit, so_far = left_out(keys[at : at + (1 << 15)], table)
+            for at in range(0, len(keys), 1 << 13):
+                x, gate, bit, so_far = left_out(keys[at : at + (1 << 13)], table)
                 low, part = _step(plain.mix(x, gate))
-                place, mass = (so_far * STEPS + low).ravel(), np.repeat(counts[at : at + (1 << 15)], 8)
+                place, mass = (so_far * STEPS + low).ravel(), np.repeat(counts[at : at + (1 << 13)], 8)
                 for shift, share in ((0, 1 - part), (1, part)):
                     for value in (0, 1):
                         n[value] += np.bincount(place + shift, mass * share.ravel() * (bit.ravel() == value), 256 * STEPS)
@@ -358,10 +364,10 @@ def fit_mixer(found: DataFrame, table_folder: str, parts: int) -> Mixer:
 def log10_probability(codes: np.ndarray, table: Contexts | np.ndarray, mixer: Mixer) -> np.ndarray:
     """Of the last byte of each run, given those before it."""
     out = np.empty(len(codes))
-    for at in range(0, len(codes), 1 << 15):
-        n0, n1, bit, so_far = looked_up(codes[at : at + (1 << 15)], table)
+    for at in range(0, len(codes), 1 << 13):
+        n0, n1, bit, so_far = looked_up(codes[at : at + (1 << 13)], table)
         p = mixer.probability(inputs(n0, n1), gates(n0 + n1), so_far)
-        out[at : at + (1 << 15)] = np.log10(np.where(bit == 1, p, 1 - p)).sum(axis=1)
+        out[at : at + (1 << 13)] = np.log10(np.where(bit == 1, p, 1 - p)).sum(axis=1)
     return out
 
 
