@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeline.config import Settings
-from gaugeline.functions.columns import finite
-from gaugeline.operators import alignment, cleaning, comparisons, gates, metrics, quality
+from gaugeline.functions.columns import finite, is_evaluation
+from gaugeline.operators import alignment, cleaning, comparisons, gates, metrics, quality, support
 from gaugeline.plans.presentation import tables
 from gaugeline.sources import logs, sinks
 
@@ -172,6 +172,8 @@ def _metrics(run: Run) -> DataFrame:
     trials = run["accepted"].join(run["degeneracy"].select("trial_id", "degeneracy_status"), "trial_id", "left").join(run["times"].select("trial_id", "temporal_status", F.col("b_final").alias("temporal_offset_s"), "clock_model", "scale_a"), "trial_id", "left")
     out = trials.join(base, "trial_id", "left").join(robust, "trial_id", "left").join(rpe, "trial_id", "left").join(run["spatial"].select("trial_id", F.col("trajectory_residual").alias("spatial_fit_residual")), "trial_id", "left")
     status = F.when(F.col("degeneracy_status") != "ok", F.col("degeneracy_status")).when(F.coalesce("num_samples", F.lit(0)) == 0, "no_common_samples").when(finite(F.col("ate_rmse")).isNull(), "failed_metric_computation").otherwise("success")
+    scored = support.common_support({"final": held}, comparisons.KEY, ["trial_id"]).select("trial_id", F.col("common_support_hash").alias("support_hash"))
+    out = out.join(scored, "trial_id", "left")
     return out.withColumn("status", status).withColumns({"rmse_mm": F.col("ate_rmse") * 1000, "accepted_for_hypothesis_tests": F.col("status") == "success"})
 
 
@@ -198,9 +200,13 @@ def _gate_ledger(run: Run) -> DataFrame:
 
 
 def _cascade(run: Run) -> DataFrame:
-    keys = comparisons.held_out(run["aligned"]).groupBy("trial_id").agg(F.array_sort(F.collect_list("source_row_index")).alias("k"))
-    hashed = keys.select("trial_id", F.sha2(F.array_join(F.col("k").cast("array<string>"), "\n"), 256).alias("support_hash"), F.lit("valid").alias("support_status"))
-    return gates.cascade(run["gate_ledger"], run["metrics"].select("trial_id", "rmse_mm", "status"), hashed.withColumn("expected_hash", F.col("support_hash")))
+    """The hash that the metrics were stored with against one of the aligned rows that the ledger has as evaluation rows, computed anew."""
+    held = comparisons.held_out(run["aligned"])
+    known = run["ledger"].filter((F.col("stream") == "ev3") & is_evaluation(F.col("partition"))).select("trial_id", F.explode("source_rows").alias("source_row_index"))
+    fresh = support.common_support({"final": held, "ledger": known}, comparisons.KEY, ["trial_id"])
+    found = run["metrics"].select("trial_id", "support_hash").join(fresh.select("trial_id", F.col("common_support_hash").alias("expected_hash")), "trial_id", "left")
+    found = found.join(support.validate(held, comparisons.KEY, ["trial_id"]).select("trial_id", "support_status"), "trial_id", "left")
+    return gates.cascade(run["gate_ledger"], run["metrics"].select("trial_id", "rmse_mm", "status"), found.withColumns({"support_status": F.coalesce("support_status", F.lit("empty")), "expected_hash": F.coalesce("expected_hash", F.lit(""))}))
 
 
 PRODUCTS: dict[str, Callable[[Run], DataFrame]] = {

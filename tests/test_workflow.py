@@ -45,6 +45,23 @@ def test_run_of_all_results(spark, tmp_path):
     assert "## metrics" in (tmp_path / "out" / "report.md").read_text()
 
 
+def test_cascade_checks_the_stored_support(spark, tmp_path):
+    from gaugeline.operators import comparisons, support
+
+    names = ["good", "changed", "lost", "twice"]
+    aligned = spark.createDataFrame([(n, k, "evaluation", 0.1) for n in names for k in (1, 2, 10)] + [("twice", 1, "evaluation", 0.1)], "trial_id string, source_row_index long, partition string, residual_norm double")
+    stored = {r["trial_id"]: r["common_support_hash"] for r in support.common_support({"final": aligned.dropDuplicates()}, comparisons.KEY, ["trial_id"]).collect()}
+    made = {
+        "aligned": aligned,
+        "ledger": spark.createDataFrame([(n, "ev3", "evaluation", [1, 2] if n == "lost" else [1, 2, 10, 11]) for n in names], "trial_id string, stream string, partition string, source_rows array<long>"),
+        "metrics": spark.createDataFrame([(n, 5.0, "success", "0" if n == "changed" else stored[n]) for n in names], "trial_id string, rmse_mm double, status string, support_hash string"),
+        "gate_ledger": spark.createDataFrame([(n, "planned_405", "final_alignment_valid", "passed") for n in names], "trial_id string, dataset_tier string, gate string, gate_status string"),
+    }
+    run = workflow.Run(spark, {}, f"file://{tmp_path}", made=made)
+    last = {r["trial_id"]: r["reason"] for r in workflow._cascade(run).filter("valid or reason != 'stage_not_persisted'").collect()}
+    assert last == {"good": None, "changed": "support_hash_mismatch", "lost": "support_hash_mismatch", "twice": "support_validation_failed"}
+
+
 def test_quality_gate_accepts_and_rejects(spark, tmp_path):
     inputs = trial(tmp_path, "D1_T1_2026-01-01_12-00-00", rows=120)
     trial(tmp_path, "D1_T2_2026-01-01_12-00-00", rows=30)
