@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-WINDOW = 1 << 18
-_P, _P_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+_P = 0x9E3779B97F4A7C15
+#: Spans of more bytes are hashed one by one.
+LONG = 512
+#: Masks that keep the first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: The separators of words: \x20 and \x09-\x0D; all other bytes belong to words.
 IN_WORD = np.ones(256, bool)
 IN_WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -56,17 +60,6 @@ def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = IN_WORD) -
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        size = 1 << int(n - 1).bit_length()
-        _powers = tuple(np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, base, np.uint64)])) for base in (_P, _P_INVERSE))
-    return _powers
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection on 64 bits after which all bits depend on all others (the finaliser of splitmix64)."""
     h = h ^ (h >> np.uint64(30))
@@ -77,21 +70,40 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of bytes; equal bytes have equal hashes wherever they stand. Spans are in order."""
-    out = np.empty(len(starts), np.uint64)
+def stretches(data: np.ndarray, offsets: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The texts as they are; a single text of more than ``most`` bytes in stretches that end after a separator, so no word is cut."""
+    if len(offsets) != 2 or len(data) <= most:
+        yield data, offsets
+        return
     at = 0
-    while at < len(starts):
-        low = int(starts[at])
-        to = max(at + 1, int(np.searchsorted(starts, low + WINDOW)))
-        high = int(ends[to - 1])
-        power, inverse = _power_tables(high - low + 1)
-        sums = np.zeros(high - low + 1, np.uint64)
-        np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * power[: high - low], out=sums[1:])
-        s, e = starts[at:to] - low, ends[at:to] - low
-        out[at:to] = (sums[e] - sums[s]) * inverse[s]
-        at = to
-    return mixed(out)
+    while at < len(data):
+        end = min(at + most, len(data))
+        while end < len(data) and IN_WORD[data[end - 1]]:
+            ahead = np.flatnonzero(~IN_WORD[data[end : end + most]])
+            end = min(len(data), end + (int(ahead[0]) + 1 if len(ahead) else most))
+        yield data[at:end], np.array([0, end - at])
+        at = end
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of bytes; equal bytes have equal hashes wherever they stand.
+
+    Eight bytes at a time are mixed into the hash by a bijection, so, unlike for a polynomial modulo 2^64, no texts of regular
+    structure are known that collide; spans above LONG bytes go through BLAKE2.
+    """
+    size = ends - starts
+    h = mixed(size.astype(np.uint64) + np.uint64(_P))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    live, at = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(live):
+        left = size[live] - at
+        chunk = eight[starts[live] + at] & _FIRST[np.minimum(left, 8)]
+        h[live] = mixed(h[live] ^ chunk) + np.uint64(_P)
+        live, at = live[left > 8], at + 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(padded[starts[i] : ends[i]].data, digest_size=8).digest(), "little")
+    return mixed(h)
 
 
 def shingles(words: np.ndarray, before: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

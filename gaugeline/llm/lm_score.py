@@ -1,29 +1,34 @@
 """Language-model scores by logistic context mixing, beside a unigram base score.
 
-The model predicts the bytes of a text (A-Z lower-cased) bit by bit, and a zero byte at its end. Each of five predictors
-knows how often a bit was 0 and 1 after its context, the last 0 to 4 bytes and the bits of the byte so far. Their stretched probabilities are mixed by weights that a gate selects (the longest known context and the
-bit's place), learnt online by gradient steps on coding cost; an adaptive probability map, indexed by the bits so far,
-refines the result. Scores are sums of log10 probabilities.
-
-What a byte's prediction depends on is the five-byte run it ends, so the corpus is gathered once as counts of such runs,
-over all training texts; predictors, weights and map are all learnt from these counts, each occurrence with itself left
-out of what predicts it. The runs are spread over tasks; each task takes its online steps on its runs, and the weights are
-averaged. The counts lie in the shared folder, by exact context, as many as there are: no two contexts share a count, and one
-that was never seen has none. They are dealt to parts of at most PART contexts. If there is one part, a task holds it; else it
-reads part after part for each portion of runs and holds what that portion needs, so its memory stays bounded.
-
-The base score needs the count of every word. Words with at least N / HEAVY occurrences, at most HEAVY of them, are looked
-up in place; all rarer words go through a join on the word, in which no key can be hot.
-
-Defined results: null texts are empty; an empty text is its end token alone; repeated rows are scored each; without any
-training text all counts are 0, N and V are 0, and every bit has probability one half; zero bytes in a text read like its end.
+The model predicts the bytes of a text (A-Z lower-cased) bit by bit, and a zero byte at its end. Each of five predictors knows how
+often a bit was 0 and 1 in the training texts after its context, the last 0 to 4 bytes and the bits of the byte so far. Their
+stretched probabilities are mixed by weights that a gate selects (how many contexts are known, and the bit's place); an adaptive
+probability map, indexed by the bits so far, refines the result. Scores are sums of log10 probabilities.
+
+What a byte's prediction depends on is the five-byte run it ends. So the corpus is gathered once, as counts of such runs over all
+texts, and everything else is work on distinct runs:
+
+* Contexts. Runs are dealt to tasks by a hash of their last three context bytes and sorted, so all runs of a context of three or
+  four bytes are neighbours in one task; a group has 65,536 runs at most, whatever the corpus. Shorter contexts have 2^24 cells
+  at most, and a task reads them as a table. So counts are by exact context, and no two contexts share one.
+* Learning. Weights are learnt online: the training runs are dealt by a hash to PORTIONS portions, and the model takes a step
+  after each. A step is an online Newton step for the coding cost of all occurrences in the portion, each with itself left out of
+  the counts that predict it; gradients and curvatures are sums over tasks. Then one pass sets the probability map.
+* Costs. Each distinct run gets its cost once, in units of UNIT. A text's score is the sum over its runs: frequent ones, HEAVY_RUNS
+  at most, are looked up in place, all rarer ones go through a join on the run, in which no key can be hot. The same is done for words.
+
+The order of learning is that of hashes, and sums are of whole units or rounded, so scores don't depend on how rows are dealt to
+tasks. A text isn't learnt from while it is scored: equal texts get equal scores.
+
+Defined results: null texts are empty; an empty text is its end token alone; repeated rows are scored each, and each counts in
+training; without any training text all counts are 0, N and V are 0, and every bit has probability one half; zero bytes in a
+text read like its end; a text of any length is taken in portions; columns other than id and text are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,144 +37,256 @@ import pyarrow.dataset as pads
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.bytes import TO_LOWER, hashes, mixed, pieces, spans, utf8
-from gaugeline.llm.storage import keep, open_fs, work_folder
+from gaugeline.llm.bytes import TO_LOWER, hashes, mixed, pieces, spans, stretches, utf8
+from gaugeline.llm.storage import Scratch, keep, open_fs
 
 ORDERS = 5
-#: Contexts in a part of the counts, about; a task holds one part at a time (16 bytes a context, and as much again to load it).
-PART = 1 << 22
-#: Runs of a portion for which counts are looked up in several parts.
-PORTION = 1 << 18
-HEAVY = 500_000
-PIECE = 8 << 20
+#: Bytes of text, and places of runs, that are looked at together.
+PIECE = 1 << 20
+#: Distinct keys that a task gathers before it passes them on.
+TALLY = 1 << 19
+#: Runs whose contexts are counted together, about; whole groups of three-byte contexts.
+GROUPED = 1 << 16
+#: Runs whose bits are looked at together.
+SLICE = 1 << 13
+#: The most runs and words that are looked up in place.
+HEAVY_RUNS, HEAVY_WORDS = 1 << 20, 500_000
+#: Steps of online learning.
+PORTIONS = 8
+#: Costs are whole numbers of this part of a factor of ten, so that their sums are exact.
+UNIT = 1 / (1 << 20)
 PRIOR = 0.4
 GATES = ORDERS * 8
+#: Steps of the probability map from -8 to 8.
 STEPS = 33
 WORD, RUN = 0, 1
+N_INPUTS = ORDERS + 1
+PAIRS = [(i, j) for i in range(N_INPUTS) for j in range(i, N_INPUTS)]
 
 
 def training(doc_id: Column, parts: int = 7, out: int = 2) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(parts)) != out
 
 
-# ------------------------------------------------------------------ runs and contexts
+# ------------------------------------------------------------------ runs
+
+
+@dataclass(frozen=True)
+class Places:
+    """Texts in a row with ORDERS - 1 zeros before and ORDERS zeros after each; a run ends at each byte of a text and at the zero after it."""
+
+    flat: np.ndarray
+    begins: np.ndarray  # where each text begins
+    ends: np.ndarray  # where its end zero stands
+
+    @staticmethod
+    def of(data: np.ndarray, offsets: np.ndarray) -> Places:
+        n = len(offsets) - 1
+        flat = np.zeros(len(data) + n * ORDERS + ORDERS - 1, np.uint8)
+        begins = offsets[:-1] + np.arange(n) * ORDERS + ORDERS - 1
+        for i in range(n):
+            flat[begins[i] : begins[i] + offsets[i + 1] - offsets[i]] = data[offsets[i] : offsets[i + 1]]
+        return Places(flat, begins, begins + np.diff(offsets))
+
+    def slices(self, most: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Codes of runs as integers of five bytes, and the text of each, about ``most`` at a time; a text may go over several slices."""
+        for low in range(0, len(self.flat) - ORDERS + 1, most):
+            high = min(low + most, len(self.flat) - ORDERS + 1)
+            codes = np.zeros(high - low, np.int64)
+            for k in range(ORDERS):
+                codes <<= 8
+                codes |= self.flat[low + k : high + k]
+            # The run that starts at place p ends at p + ORDERS - 1.
+            first, last = np.searchsorted(self.ends, low + ORDERS - 1), np.searchsorted(self.begins, high + ORDERS - 1)
+            begin = np.maximum(self.begins[first:last] - ORDERS + 1, low) - low
+            end = np.minimum(self.ends[first:last] - ORDERS + 2, high) - low
+            size = np.maximum(0, end - begin)
+            text = np.repeat(np.arange(first, last), size)
+            inside = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(len(text))
+            yield codes[inside], text
 
 
 def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The five-byte runs that end at each byte of each text and at its end, as integers; and their offsets. Before a text are zeros."""
-    n = len(offsets) - 1
-    # After a text stand ORDERS zeros, before the first one zero less. Masks of bytes say where: numbers of places would take 8 times as much.
-    gap = (offsets[1:] + np.arange(n) * ORDERS)[:, None] + np.arange(ORDERS)
-    flat = np.zeros(len(data) + n * ORDERS + ORDERS, np.uint8)
-    inside = np.ones(len(flat), bool)
-    inside[: ORDERS - 1] = inside[-1] = False
-    inside[gap + ORDERS - 1] = False
-    flat[inside] = data
-    codes = np.zeros(len(flat) - ORDERS + 1, np.int64)
-    for k in range(ORDERS):
-        codes <<= 8
-        codes |= flat[k : k + len(codes)]
-    inside = np.ones(len(codes), bool)
-    inside[-1] = False
-    inside[gap[:, 1:]] = False
-    return codes[inside], np.concatenate([[0], np.cumsum(np.diff(offsets) + 1)])
-
-
-def slots(codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Table places (runs x orders x 8) of the contexts of each bit, the bits (runs x 8), and the bits so far (runs x 8, from 1)."""
-    byte = codes & 255
-    place = np.arange(8)
-    bit = (byte[:, None] >> (7 - place)) & 1
-    so_far = (1 << place) | (byte[:, None] >> (8 - place))
-    out = np.empty((len(codes), ORDERS, 8), np.int64)
-    for k in range(ORDERS):
-        context = (codes >> 8 & (1 << 8 * k) - 1).astype(np.uint64) + np.uint64((k + 1) << 40)
-        base = mixed(context)
-        out[:, k] = ((base[:, None] + so_far.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
-    return out, bit, so_far
+    """All runs of some texts, and the n+1 offsets of texts among them."""
+    found = list(Places.of(data, offsets).slices())
+    codes = np.concatenate([np.zeros(0, np.int64), *(c for c, _ in found)])
+    return codes, np.concatenate([[0], np.cumsum(np.diff(offsets) + 1)])
 
 
-def context_keys(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys (runs x orders x 8) of the contexts of each bit, one to one, the bits (runs x 8), and the bits so far (runs x 8, from 1)."""
-    byte = codes & 255
-    place = np.arange(8)
-    bit = (byte[:, None] >> (7 - place)) & 1
-    so_far = (1 << place) | (byte[:, None] >> (8 - place))
-    # Order, context and bits so far take 43 bits; mixed() is a bijection.
-    context = np.stack([(codes >> 8 & (1 << 8 * k) - 1) + (k << 32) for k in range(ORDERS)], axis=1)
-    return mixed(((context << 8)[:, :, None] | so_far[:, None, :]).astype(np.uint64)), bit, so_far
+class Tally:
+    """Sums by key, of a bounded number of keys."""
 
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
 
-@dataclass(frozen=True)
-class Contexts:
-    """Counts of 0 and 1 by context: keys sorted and closed by the largest number, which is no context; and where each leading part of keys starts."""
+    def add(self, keys: np.ndarray, *sums: np.ndarray) -> None:
+        self.parts.append((keys, *sums))
+        self.size += len(keys)
 
-    keys: np.ndarray
-    n: np.ndarray  # 2 x keys
-    starts: np.ndarray
-    shift: np.uint64
+    def merged(self) -> tuple[np.ndarray, ...]:
+        """The sums, each key once; they stay here."""
+        if len(self.parts) > 1:
+            keys, *sums = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+            order = np.argsort(keys)
+            keys = keys[order]
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            self.parts = [(keys[first], *(np.add.reduceat(s[order], first) for s in sums))]
+            self.size = len(first)
+        return self.parts[0] if self.parts else ()
 
-    @staticmethod
-    def of(keys: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> Contexts:
-        order = np.argsort(keys)
-        last = np.array([0], np.float32)
-        n = np.stack([np.concatenate([x[order].astype(np.float32), last]) for x in (n0, n1)])
-        bits = max(8, int(len(keys)).bit_length())
-        keys = np.concatenate([keys[order], np.array([~np.uint64(0)])])
-        shift = np.uint64(64 - bits)
-        starts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << shift).astype(np.int32)
-        return Contexts(keys, n, starts, shift)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Place of each key, or that of the closing one if it isn't there."""
-        flat = keys.ravel()
-        at = self.starts[(flat >> self.shift).astype(np.int64)]
-        left = np.flatnonzero(self.keys[at] < flat)
-        while len(left):
-            at[left] += 1
-            left = left[self.keys[at[left]] < flat[left]]
-        at[self.keys[at] != flat] = len(self.keys) - 1
-        return at.reshape(keys.shape)
-
-
-def looked_up(codes: np.ndarray, table: Contexts | np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of 0 and 1 of the contexts of each bit, the bits, and the bits so far. An array is a table of hashed slots."""
-    if isinstance(table, np.ndarray):
-        place, bit, so_far = slots(codes, int(table.shape[1]).bit_length() - 1)
-        return table[0][place], table[1][place], bit, so_far
-    keys, bit, so_far = context_keys(codes)
-    place = table.find(keys)
-    return table.n[0][place], table.n[1][place], bit, so_far
-
-
-def stretch(p: np.ndarray) -> np.ndarray:
-    return np.log(p / (1 - p))
+
+def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    values = np.sort(values)
+    first = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+    return values[first], np.diff(np.append(first, len(values)))
+
+
+def _lower(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    data, offsets = utf8(column)
+    return TO_LOWER[data], offsets
+
+
+def gather(docs: DataFrame) -> DataFrame:
+    """kind, key, n, seen: how often each word (kind WORD, training texts only) and five-byte run (RUN, all texts) occurs in training texts
+    and in all. ``docs``: text, training."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tallies = {WORD: Tally(), RUN: Tally()}
+
+        def rows(kind: int) -> Iterator[pa.RecordBatch]:
+            found = tallies[kind].merged()
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found[0]), kind, np.int8)), *(pa.array(x, pa.int64()) for x in found)], ["kind", "key", "n", "seen"])
+            tallies[kind] = Tally()
+
+        for piece in pieces(batches, "text", PIECE):
+            for learnt in (True, False):
+                part = piece.filter(piece.column("training") if learnt else pa.compute.invert(piece.column("training")))
+                data, offsets = _lower(part.column("text"))
+                for codes, _ in Places.of(data, offsets).slices():
+                    keys, n = _counted(codes)
+                    tallies[RUN].add(keys, n * learnt, n)
+                if learnt:
+                    for some, at in stretches(data, offsets, PIECE):
+                        starts, ends, _ = spans(some, at)
+                        keys, n = _counted(hashes(some, starts, ends).view(np.int64))
+                        tallies[WORD].add(keys, n, n)
+            for kind, tally in tallies.items():
+                # Merging halves what is held, or else it is passed on.
+                if tally.size > TALLY and len(tally.merged()[0]) > TALLY // 2:
+                    yield from rows(kind)
+        for kind in tallies:
+            yield from rows(kind)
+
+    return docs.select("text", "training").mapInArrow(run, "kind byte, key long, n long, seen long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
+
+
+# ------------------------------------------------------------------ contexts
+
+
+class Counts:
+    """Counts of runs of a width as sorted keys, with sums up to each."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray) -> None:
+        """Keys are sorted, and may repeat."""
+        self.keys, self.sums = keys, np.concatenate([[0.0], np.cumsum(n, dtype=np.float64)])
+
+    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often 0 and 1 came at each bit of the last byte of each key (keys x 8), after its other bytes and the bits before."""
+        out = np.empty((2, len(keys), 8))
+        for j in range(8):
+            low = keys >> 8 - j << 8 - j
+            at = [self.sums[np.searchsorted(self.keys, x)] for x in (low, low + (1 << 7 - j), low + (1 << 8 - j))]
+            out[0, :, j], out[1, :, j] = at[1] - at[0], at[2] - at[1]
+        return out[0], out[1]
+
+
+def short_counts(folder: str) -> list[Counts]:
+    """Counts for contexts of 0, 1 and 2 bytes, from a table of three-byte runs, which has 2^24 rows at most."""
+    fs, path = open_fs(folder)
+    found = pads.dataset(path, schema=pa.schema([("key", pa.int64()), ("n", pa.int64())]), filesystem=fs, format="parquet").to_table()
+    keys, n = found["key"].to_numpy(), found["n"].to_numpy()
+    out = []
+    for k in range(3):
+        mine = keys & (1 << 8 * (k + 1)) - 1
+        order = np.argsort(mine, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(mine[order]) > 0)) if len(keys) else np.zeros(0, np.int64)
+        out.append(Counts(mine[order][first], np.add.reduceat(n[order], first) if len(keys) else n))
+    return out
+
+
+def context_counts(codes: np.ndarray, n: np.ndarray, short: list[Counts]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of 0 and 1 of the contexts of each bit (runs x orders x 8). The runs are all there are of their contexts of three bytes."""
+    out = np.empty((2, len(codes), ORDERS, 8))
+    for k in range(ORDERS):
+        keys = codes & (1 << 8 * (k + 1)) - 1
+        distinct, which = np.unique(keys, return_inverse=True)
+        table = short[k] if k < 3 else Counts(distinct, np.bincount(which, n, len(distinct)))
+        for value, counts in enumerate(table.of(distinct)):
+            out[value, :, k] = counts[which]
+    return out[0], out[1]
+
+
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """key, n and seen of sorted rows, in portions of whole groups of three-byte contexts."""
+    held, size = [], 0
+
+    def portions(last: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        nonlocal held, size
+        key, n, seen = (np.concatenate(c) for c in zip(*held, strict=True))
+        context = key >> 8 & 0xFFFFFF
+        end = len(key) if last else int(np.flatnonzero(context != context[-1])[-1]) + 1 if context[0] != context[-1] else 0
+        held, size = [(key[end:], n[end:], seen[end:])], len(key) - end
+        if end:
+            yield key[:end], n[:end], seen[:end]
+
+    for batch in batches:
+        held.append(tuple(batch.column(c).to_numpy() for c in ("key", "n", "seen")))
+        size += batch.num_rows
+        if size >= GROUPED:
+            yield from portions(False)
+    if size:
+        yield from portions(True)
+
+
+def by_context(found: DataFrame) -> DataFrame:
+    """The runs dealt and sorted as grouped() needs them."""
+    context = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFFFF).cast("long")).cast("int").alias("context")
+    return found.select(context, "key", "n", "seen").repartition("context").sortWithinPartitions("context", "key").select("key", "n", "seen")
+
+
+# ------------------------------------------------------------------ mixing
 
 
 def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def gates(total: np.ndarray) -> np.ndarray:
-    """Weight set of each bit (runs x 8), from the counts of its contexts (runs x orders x 8)."""
-    known = (total[:, 1:] >= 2).sum(axis=1)
-    return known * 8 + np.arange(8)
+def inputs(n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretched probabilities of the predictors (runs x orders x 8), and the weight set of each bit (runs x 8)."""
+    known = (n0 + n1 >= 2)[:, 1:].sum(axis=1)
+    return np.log((n1 + PRIOR) / (n0 + PRIOR)), known * 8 + np.arange(8)
+
 
+def bits(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bits of the last byte of each run (runs x 8), and the bits so far, from 1."""
+    byte, place = (codes & 255)[:, None], np.arange(8)
+    return byte >> (7 - place) & 1, 1 << place | byte >> (8 - place)
 
-def inputs(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    """Stretched probabilities of the predictors and a constant (runs x orders + 1 x 8)."""
-    x = np.log((n1 + PRIOR) / (n0 + PRIOR))
+
+def _with_constant(x: np.ndarray) -> np.ndarray:
     return np.concatenate([x, np.full((len(x), 1, 8), 0.3)], axis=1)
 
 
 @dataclass(frozen=True)
 class Mixer:
-    weights: np.ndarray  # gates x orders + 1
+    weights: np.ndarray  # gates x inputs
     refined: np.ndarray | None = None  # 256 x STEPS probabilities
 
     def mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         """Stretched probability of a 1 (runs x 8)."""
-        return np.clip(np.einsum("nkb,nbk->nb", x, self.weights[gate]), -12, 12)
+        return np.clip(np.einsum("nkb,nbk->nb", _with_constant(x), self.weights[gate]), -12, 12)
 
     def probability(self, x: np.ndarray, gate: np.ndarray, so_far: np.ndarray) -> np.ndarray:
         z = self.mix(x, gate)
@@ -179,6 +296,12 @@ class Mixer:
             p = 0.5 * p + 0.5 * ((1 - part) * self.refined[so_far, low] + part * self.refined[so_far, low + 1])
         return np.clip(p, 1e-7, 1 - 1e-7)
 
+    def costs(self, codes: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+        """Of the last byte of each run, in units."""
+        bit, so_far = bits(codes)
+        p = self.probability(*inputs(n0, n1), so_far)
+        return np.rint(-np.log10(np.where(bit == 1, p, 1 - p)).sum(axis=1) / UNIT).astype(np.int64)
+
 
 def _step(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The step of the probability map below a stretched probability, and how far it is on the way to the next."""
@@ -187,248 +310,264 @@ def _step(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low, x - low
 
 
-def start() -> Mixer:
-    return Mixer(np.tile(np.append(np.full(ORDERS, 0.3), 0.0), (GATES, 1)))
-
+class OnlineNewton:
+    """Weights for each gate, and the curvature of all that was seen; ``step`` takes the sums of a portion."""
+
+    def __init__(self, ridge: float = 1.0) -> None:
+        self.weights = np.tile(np.append(np.full(ORDERS, 0.3), 0.0), (GATES, 1))
+        self.curvature = np.tile(ridge * np.eye(N_INPUTS), (GATES, 1, 1))
+
+    def step(self, gradient: np.ndarray, curvature: np.ndarray) -> None:
+        self.curvature += curvature
+        for g in range(GATES):
+            change = np.linalg.solve(self.curvature[g], gradient[g])
+            # Rounded, so that the order in which tasks' sums are added up doesn't show.
+            self.weights[g] = np.round(self.weights[g] + np.clip(change, -0.5, 0.5), 9)
+
+
+def sums(codes: np.ndarray, n: np.ndarray, x: np.ndarray, gate: np.ndarray, mixer: Mixer) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient (gates x inputs) of the gain and its curvature (gates x pairs of inputs), over all occurrences."""
+    bit, _ = bits(codes)
+    p = squash(mixer.mix(x, gate))
+    error, bend = ((bit - p) * n[:, None]).ravel(), (p * (1 - p) * n[:, None]).ravel()
+    each = [c.ravel() for c in np.moveaxis(_with_constant(x), 1, 0)]
+    flat = gate.ravel()
+    return np.stack([np.bincount(flat, error * c, GATES) for c in each], axis=1), np.stack([np.bincount(flat, bend * each[i] * each[j], GATES) for i, j in PAIRS], axis=1)
+
+
+def map_counts(codes: np.ndarray, n: np.ndarray, x: np.ndarray, gate: np.ndarray, mixer: Mixer) -> np.ndarray:
+    """How often 0 and 1 came in each cell of the probability map (2 x cells)."""
+    bit, so_far = bits(codes)
+    low, part = _step(mixer.mix(x, gate))
+    out = np.zeros((2, 256 * STEPS))
+    place, mass = (so_far * STEPS + low).ravel(), np.repeat(n, 8)
+    for shift, share in ((0, 1 - part), (1, part)):
+        for value in (0, 1):
+            out[value] += np.bincount(place + shift, mass * share.ravel() * (bit.ravel() == value), 256 * STEPS)
+    return out
 
-def left_out(codes: np.ndarray, table: Contexts | np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs, gates, bits and bits so far of runs, each with one occurrence of itself taken out of the counts."""
-    n0, n1, bit, so_far = looked_up(codes, table)
-    n1 = np.maximum(0, n1 - bit[:, None, :])
-    n0 = np.maximum(0, n0 - (1 - bit)[:, None, :])
-    return inputs(n0, n1), gates(n0 + n1), bit, so_far
 
+def refined_map(n0: np.ndarray, n1: np.ndarray, seen: float = 20.0) -> np.ndarray:
+    """Probabilities of the map; every cell starts as if seen 20 times at its own probability."""
+    p = np.tile(squash(np.linspace(-8, 8, STEPS)), 256)
+    return np.round((n1 + seen * p) / (n0 + n1 + seen), 9).reshape(256, STEPS)
 
-def learn(codes: np.ndarray, counts: np.ndarray, table: Contexts | np.ndarray, batch: int = 1024, rounds: int = 2, rate: float = 0.03) -> tuple[np.ndarray, np.ndarray]:
-    """Weights learnt online, one step for each batch of runs in a hashed order, and what weight of evidence each gate had."""
-    order = np.argsort(mixed(codes.astype(np.uint64)), kind="stable")
-    weights = start().weights.copy()
-    squares = np.full_like(weights, 1e-4)
-    evidence = np.zeros(GATES)
-    for turn in range(rounds):
-        for at in range(0, len(order), batch):
-            some = order[at : at + batch]
-            x, gate, bit, _ = left_out(codes[some], table)
-            error = (bit - squash(np.clip(np.einsum("nkb,nbk->nb", x, weights[gate]), -12, 12))) * counts[some][:, None]
-            flat = gate.ravel()
-            mass = np.bincount(flat, np.repeat(counts[some], 8), GATES)
-            step = np.stack([np.bincount(flat, (error * x[:, k]).ravel(), GATES) for k in range(ORDERS + 1)], axis=1) / np.maximum(mass, 1)[:, None]
-            squares += step * step
-            weights += rate * step / np.sqrt(squares)
-            evidence += mass * (turn == 0)
-    return weights, evidence
 
+# ------------------------------------------------------------------ learning
 
-# ------------------------------------------------------------------ tables in the shared folder
 
+def left_out_inputs(found: DataFrame, short_folder: str) -> DataFrame:
+    """portion, key, n, x (16-bit numbers, orders x 8) and known (8 bytes) of every training run, with one occurrence of itself left out."""
 
-@lru_cache(maxsize=1)
-def load_part(folder: str, part: int) -> Contexts:
-    """A part of the counts."""
-    fs, path = open_fs(folder)
-    # With a schema, as a folder without contexts has no files.
-    schema = pa.schema([("key", pa.int64()), ("n0", pa.float64()), ("n1", pa.float64()), ("part", pa.int32())])
-    data = pads.dataset(path, schema=schema, filesystem=fs, format="parquet", partitioning=pads.partitioning(pa.schema([schema.field("part")]), flavor="hive"))
-    found = data.to_table(columns=["key", "n0", "n1"], filter=pads.field("part") == part)
-    return Contexts.of(found["key"].to_numpy().view(np.uint64), found["n0"].to_numpy(), found["n1"].to_numpy())
-
-
-def load_for(codes: np.ndarray, folder: str, parts: int) -> Contexts:
-    """Counts that the runs need: the only part, or an extract of all of them."""
-    if parts == 1:
-        return load_part(folder, 0)
-    need = np.zeros(0, np.uint64)
-    for at in range(0, len(codes), 1 << 14):
-        need = np.union1d(need, context_keys(codes[at : at + (1 << 14)])[0])
-    found = []
-    for part in range(parts):
-        some = load_part(folder, part)
-        mine = need[(need % np.uint64(parts)).astype(np.int64) == part]
-        place = some.find(mine)
-        there = place < len(some.keys) - 1
-        found.append((mine[there], some.n[0][place[there]], some.n[1][place[there]]))
-    return Contexts.of(*(np.concatenate(c) for c in zip(*found, strict=True)))
-
-
-@lru_cache(maxsize=1)
-def load_words(folder: str) -> tuple[np.ndarray, np.ndarray]:
-    """Heavy words, sorted by hash, and their counts."""
-    fs, path = open_fs(folder)
-    found = pads.dataset(path, filesystem=fs, format="parquet").to_table(columns=["key", "n"])
-    key, n = found["key"].to_numpy(), found["n"].to_numpy()
-    order = np.argsort(key)
-    return key[order], n[order]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        short = None
+        for keys, n, _ in grouped(batches):
+            short = short or short_counts(short_folder)
+            for codes, m, n0, n1 in _counted_slices(keys, n, short):
+                bit = bits(codes)[0][:, None, :]
+                x, gate = inputs(np.maximum(0, n0 - (1 - bit)), np.maximum(0, n1 - bit))
+                portion = (mixed(codes.astype(np.uint64)) % np.uint64(PORTIONS)).astype(np.int32)
+                numbers = x.astype("<f2").reshape(len(codes), -1)
+                known = (gate // 8).astype(np.uint8)
+                columns = [pa.array(portion), pa.array(codes), pa.array(m), *(pa.array([r.tobytes() for r in c], pa.binary()) for c in (numbers, known))]
+                yield pa.RecordBatch.from_arrays(columns, ["portion", "key", "n", "x", "known"]).filter(pa.array(m > 0))
+
+    return by_context(found).mapInArrow(run, "portion int, key long, n long, x binary, known binary")
+
+
+def _counted_slices(keys: np.ndarray, n: np.ndarray, short: list[Counts]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs, their n, and the counts of their contexts, slice by slice. A slice holds whole contexts of three bytes or, of a larger one, all."""
+    context = keys >> 8 & 0xFFFFFF
+    at = 0
+    while at < len(keys):
+        end = min(at + SLICE, len(keys))
+        if end < len(keys):
+            whole = int(np.searchsorted(context[at:], context[end])) + at
+            end = whole if whole > at else int(np.searchsorted(context[at:], context[at], "right")) + at
+        n0, n1 = context_counts(keys[at:end], n[at:end], short)
+        for a in range(at, end, SLICE):
+            z = min(a + SLICE, end)
+            yield keys[a:z], n[a:z], n0[a - at : z - at], n1[a - at : z - at]
+        at = end
+
+
+def _read_inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            m = part.num_rows
+            x = np.frombuffer(b"".join(part.column("x").to_pylist()), "<f2").reshape(m, ORDERS, 8).astype(np.float64)
+            known = np.frombuffer(b"".join(part.column("known").to_pylist()), np.uint8).reshape(m, 8).astype(np.int64)
+            yield part.column("key").to_numpy(), part.column("n").to_numpy(), x, known * 8 + np.arange(8)
+
+
+def fit_mixer(learnt_from: DataFrame) -> Mixer:
+    """Weights by a step for each portion of left_out_inputs(), then the probability map under these weights. What comes to the driver is
+    27 numbers a gate and step, and the cells of the map."""
+    learner = OnlineNewton()
+    names = [f"s{k}" for k in range(N_INPUTS + len(PAIRS))]
+    for portion in range(PORTIONS):
+        mixer = Mixer(learner.weights.copy())
+
+        def run(batches: Iterator[pa.RecordBatch], mixer: Mixer = mixer) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((GATES, len(names)))
+            for part in _read_inputs(batches):
+                total += np.concatenate(sums(*part, mixer), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(GATES), pa.int32()), *(pa.array(c) for c in total.T)], ["gate", *names])
+
+        some = learnt_from.filter(F.col("portion") == portion).select("key", "n", "x", "known")
+        total = np.zeros((GATES, len(names)))
+        for r in some.mapInArrow(run, "gate int, " + ", ".join(f"{c} double" for c in names)).groupBy("gate").agg(*(F.sum(c).alias(c) for c in names)).collect():
+            total[r["gate"]] = r[1:]
+        curvature = np.zeros((GATES, N_INPUTS, N_INPUTS))
+        for k, (i, j) in enumerate(PAIRS):
+            curvature[:, i, j] = curvature[:, j, i] = total[:, N_INPUTS + k]
+        learner.step(total[:, :N_INPUTS], curvature)
+    plain = Mixer(learner.weights)
 
+    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((2, 256 * STEPS))
+        for part in _read_inputs(batches):
+            n += map_counts(*part, plain)
+        used = np.flatnonzero(n.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(n[0, used]), pa.array(n[1, used])], ["cell", "n0", "n1"])
 
-def _lower(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    data, offsets = utf8(column)
-    return TO_LOWER[data], offsets
+    n = np.zeros((2, 256 * STEPS))
+    for r in learnt_from.select("key", "n", "x", "known").mapInArrow(refine, "cell int, n0 double, n1 double").groupBy("cell").agg(F.sum("n0"), F.sum("n1")).collect():
+        n[:, r[0]] = r[1:]
+    return Mixer(plain.weights, refined_map(*n))
 
 
-def gather(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """kind (WORD or RUN), key, n: counts of all words and five-byte runs of the texts."""
+def run_costs(found: DataFrame, short_folder: str, mixer: Mixer) -> DataFrame:
+    """key, cost, seen of every run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches, text_col, PIECE):
-            data, offsets = _lower(part.column(text_col))
-            starts, ends, _ = spans(data, offsets)
-            for kind, values in ((WORD, hashes(data, starts, ends).view(np.int64)), (RUN, runs(data, offsets)[0])):
-                codes, distinct = pd.factorize(values)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(distinct), kind, np.int8)), pa.array(distinct, pa.int64()), pa.array(np.bincount(codes, minlength=len(distinct)), pa.int64())], ["kind", "key", "n"])
+        short = None
+        for keys, n, seen in grouped(batches):
+            short = short or short_counts(short_folder)
+            cost = np.concatenate([mixer.costs(codes, n0, n1) for codes, _, n0, n1 in _counted_slices(keys, n, short)])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(cost), pa.array(seen)], ["key", "cost", "seen"])
+
+    return by_context(found).mapInArrow(run, "key long, cost long, seen long")
 
-    return docs.select(text_col).mapInArrow(run, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
+# ------------------------------------------------------------------ scoring
 
-def context_counts(found: DataFrame) -> DataFrame:
-    """key, n0, n1 of every context, from the runs' counts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for codes, n in _whole(batches, PORTION):
-            # Runs in order have contexts of order 4 together, so a slice has few keys.
-            order = np.argsort(codes)
-            for at in range(0, len(codes), 1 << 15):
-                some = order[at : at + (1 << 15)]
-                keys, bit, _ = context_keys(codes[some])
-                place, distinct = pd.factorize(keys.ravel().view(np.int64))
-                one = np.broadcast_to(bit[:, None, :], keys.shape).ravel()
-                weight = np.repeat(n[some], ORDERS * 8)
-                yield pa.RecordBatch.from_arrays([pa.array(distinct, pa.int64()), *(pa.array(np.bincount(place, weight * (one == v), len(distinct)), pa.float64()) for v in (0, 1))], ["key", "n0", "n1"])
-
-    return found.mapInArrow(run, "key long, n0 double, n1 double").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-
-
-def write_contexts(found: DataFrame, folder: str) -> int:
-    """Write the counts of all contexts in parts, and return how many parts."""
-    counts = keep(context_counts(found), "lm-contexts")
-    parts = max(1, -(-counts.count() // PART))
-    # The key as an unsigned number modulo the parts.
-    low = F.pmod(F.col("key"), F.lit(parts))
-    part = low if parts & (parts - 1) == 0 else F.when(F.col("key") < 0, F.pmod(low + F.lit((1 << 64) % parts), F.lit(parts))).otherwise(low)
-    counts.withColumn("part", part.cast("int")).write.partitionBy("part").parquet(folder)
-    return parts
-
-
-def _whole(batches: Iterator[pa.RecordBatch], most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Keys and counts of a task's rows, in portions of bounded size."""
-    keys, counts, n = [], [], 0
-    for batch in batches:
-        keys.append(batch.column("key").to_numpy())
-        counts.append(batch.column("n").to_numpy())
-        n += batch.num_rows
-        if n >= most:
-            yield np.concatenate(keys), np.concatenate(counts)
-            keys, counts, n = [], [], 0
-    if n:
-        yield np.concatenate(keys), np.concatenate(counts)
-
-
-def fit_mixer(found: DataFrame, table_folder: str, parts: int) -> Mixer:
-    """Weights, averaged over the tasks by their evidence, then the probability map under these weights."""
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, counts in _whole(batches):
-            weights, evidence = learn(keys, counts, load_for(keys, table_folder, parts))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(GATES), pa.int32()), *(pa.array(weights[:, k] * evidence) for k in range(ORDERS + 1)), pa.array(evidence)], ["gate", *(f"w{k}" for k in range(ORDERS + 1)), "mass"])
-
-    names = [*(f"w{k}" for k in range(ORDERS + 1)), "mass"]
-    rows = found.mapInArrow(weigh, "gate int, " + ", ".join(f"{n} double" for n in names)).groupBy("gate").agg(*(F.sum(n).alias(n) for n in names)).collect()
-    weights = start().weights.copy()
-    for r in rows:
-        if r["mass"] > 0:
-            weights[r["gate"]] = [r[f"w{k}"] / r["mass"] for k in range(ORDERS + 1)]
-    plain = Mixer(weights)
+def least_heavy(counts: DataFrame, by: str, most: int) -> int:
+    """The least count, of about a tenth's steps, that no more than ``most`` rows reach. The table's counts come in 640 kinds at most."""
+    kinds = counts.groupBy(F.floor(F.log2(F.col(by).cast("double")) * 10).cast("int").alias("kind")).agg(F.count("*").alias("rows"), F.max(by).alias("top")).orderBy(F.desc("kind")).collect()
+    rows, least = 0, 1
+    for r in kinds:
+        rows += r["rows"]
+        if rows > most:
+            return least
+        least = 2 ** (r["kind"] / 10)
+        least = int(np.ceil(least - 1e-9))
+    return 1
 
-    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((2, 256 * STEPS))
-        for keys, counts in _whole(batches):
-            table = load_for(keys, table_folder, parts)
-            for at in range(0, len(keys), 1 << 13):
-                x, gate, bit, so_far = left_out(keys[at : at + (1 << 13)], table)
-                low, part = _step(plain.mix(x, gate))
-                place, mass = (so_far * STEPS + low).ravel(), np.repeat(counts[at : at + (1 << 13)], 8)
-                for shift, share in ((0, 1 - part), (1, part)):
-                    for value in (0, 1):
-                        n[value] += np.bincount(place + shift, mass * share.ravel() * (bit.ravel() == value), 256 * STEPS)
-        used = np.flatnonzero(n.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(n[0, used]), pa.array(n[1, used])], ["cell", "n0", "n1"])
 
-    cells = found.mapInArrow(refine, "cell int, n0 double, n1 double").groupBy("cell").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect()
-    # Every cell starts as if seen 20 times at its own probability.
-    refined = np.tile(squash(np.linspace(-8, 8, STEPS)), (256, 1))
-    for r in cells:
-        p = refined.flat[r["cell"]]
-        refined.flat[r["cell"]] = (r["n1"] + 20 * p) / (r["n0"] + r["n1"] + 20)
-    return Mixer(weights, refined)
-
-
-def log10_probability(codes: np.ndarray, table: Contexts | np.ndarray, mixer: Mixer) -> np.ndarray:
-    """Of the last byte of each run, given those before it."""
-    out = np.empty(len(codes))
-    for at in range(0, len(codes), 1 << 13):
-        n0, n1, bit, so_far = looked_up(codes[at : at + (1 << 13)], table)
-        p = mixer.probability(inputs(n0, n1), gates(n0 + n1), so_far)
-        out[at : at + (1 << 13)] = np.log10(np.where(bit == 1, p, 1 - p)).sum(axis=1)
-    return out
+class Lookup:
+    """Numbers by key, as sorted arrays, read from a table of two columns."""
 
+    def __init__(self, folder: str) -> None:
+        fs, path = open_fs(folder)
+        found = pads.dataset(path, schema=pa.schema([("key", pa.int64()), ("value", pa.int64())]), filesystem=fs, format="parquet").to_table().sort_by("key")
+        self.keys, self.values = found["key"].to_numpy(), found["value"].to_numpy()
 
-# ------------------------------------------------------------------ scoring
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values, 0 for keys that aren't there, and which are."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        there = self.keys[at] == keys
+        return np.where(there, self.values[at], 0), there
+
+
+class Rest:
+    """Keys of texts that are not looked up in place, with how often each occurs, as lists by text."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []
 
+    def add(self, text: np.ndarray, keys: np.ndarray, kind: int) -> None:
+        if len(keys):
+            self.parts.append((text, keys, np.full(len(keys), kind, np.int8)))
 
-def score(docs: DataFrame, is_training: Column, bits: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def lists(self, n: int) -> list[pa.Array]:
+        text, keys, kind = (np.concatenate(c) for c in zip((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8)), *self.parts, strict=True))
+        order = np.lexsort((keys, kind, text))
+        text, keys, kind = text[order], keys[order], kind[order]
+        first = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (kind[1:] != kind[:-1]) | (keys[1:] != keys[:-1]))) if len(text) else np.zeros(0, np.int64)
+        at = pa.array(np.searchsorted(text[first], np.arange(n + 1)).astype(np.int32))
+        times = np.diff(np.append(first, len(text)))
+        return [pa.ListArray.from_arrays(at, pa.array(c, t)) for c, t in ((kind[first], pa.int8()), (keys[first], pa.int64()), (times, pa.int64()))]
+
+
+def score(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row.
 
-    ``is_training``: a condition on the rows that are learnt from. ``bits`` has no effect: counts are by exact context.
+    ``is_training``: a condition on the rows that are learnt from.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), is_training.alias("training"), F.col(text_col).alias("text"))
-    learnt_from = rows.filter("training")
-    found = keep(gather(learnt_from, "text"), "lm-counts")
-    words, contexts = found.filter(F.col("kind") == WORD), found.filter(F.col("kind") == RUN)
-    n_docs = learnt_from.count()
-    total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    n, v = int(total[1]) + n_docs, int(total[0]) + (n_docs > 0)
-    table_folder, heavy_folder = work_folder(spark, "lm-table"), work_folder(spark, "lm-heavy")
-    parts = write_contexts(contexts, table_folder)
-    least = max(1, -(-n // HEAVY))
-    words.filter(F.col("n") >= least).select("key", "n").write.parquet(heavy_folder)
-    mixer = fit_mixer(contexts, table_folder, parts)
-    schema = "row long, doc_id long, training boolean, n_tokens long, n_known long, n_bytes long, known_sum double, score double, rare array<long>, times array<int>"
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy, heavy_n = load_words(heavy_folder)
-        value = np.append(np.log10(heavy_n + 1.0), 0.0)
-        for part in pieces(batches, "text", PIECE):
-            data, offsets = _lower(part.column("text"))
-            codes, at = runs(data, offsets)
-            which, distinct = pd.factorize(codes)
-            each = np.concatenate([log10_probability(some, load_for(some, table_folder, parts), mixer) for some in (distinct[a : a + PORTION] for a in range(0, len(distinct), PORTION))])[which]
-            model = np.add.reduceat(each, at[:-1])
-            starts, ends, before = spans(data, offsets)
-            text = np.repeat(np.arange(part.num_rows), np.diff(before))
-            which, distinct = pd.factorize(hashes(data, starts, ends).view(np.int64))
-            place = np.searchsorted(heavy, distinct)
-            known = (heavy[np.minimum(place, len(heavy) - 1)] == distinct) if len(heavy) else np.zeros(len(distinct), bool)
-            place = np.where(known, place, len(heavy))
-            sums = np.bincount(text, value[place][which], part.num_rows) if len(text) else np.zeros(part.num_rows)
-            n_known = np.bincount(text, known[which], part.num_rows).astype(np.int64) if len(text) else np.zeros(part.num_rows, np.int64)
-            # Rare words: distinct ones of each text, with how often they occur in it.
-            rest = np.flatnonzero(~known[which]) if len(text) else np.zeros(0, np.int64)
-            pair, times = np.unique(text[rest] * np.int64(max(1, len(distinct))) + which[rest], return_counts=True)
-            rare = distinct[pair % max(1, len(distinct))] if len(pair) else np.zeros(0, np.int64)
-            cut = np.searchsorted(pair // max(1, len(distinct)), np.arange(part.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("row"), part.column("doc_id"), part.column("training"), pa.array(np.diff(before) + 1, pa.int64()), pa.array(n_known), pa.array(np.diff(offsets), pa.int64()), pa.array(sums), pa.array(model),
-                 pa.ListArray.from_arrays(pa.array(cut), pa.array(rare, pa.int64())), pa.ListArray.from_arrays(pa.array(cut), pa.array(times, pa.int32()))],
-                names,
-            )
-
-    scored = keep(rows.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "training", "text").mapInArrow(run, schema), "lm-scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("key"), F.col("w.times").alias("times"))
-    rare = rare.join(words.filter(F.col("n") < least).select("key", "n"), "key")
-    rare = rare.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("rare_sum"), F.sum("times").alias("rare_known"))
-    both = scored.select("row", "doc_id", "training", "n_tokens", "n_known", "n_bytes", "known_sum", "score").join(rare, "row", "left")
-    base = F.col("known_sum") + F.coalesce("rare_sum", F.lit(0.0)) + F.lit(float(np.log10(n_docs + 1.0))) - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1.0)))
-    end_known = 1 if n_docs else 0
-    bits_per_byte = -F.col("score") * float(np.log2(10)) / F.greatest("n_bytes", F.lit(1))
-    return both.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0)) + end_known).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", bits_per_byte.alias("bits_per_byte"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(is_training, F.lit(False)).alias("training"), F.col(text_col).alias("text"))
+    with Scratch(spark) as scratch:
+        found = scratch.keep(gather(rows), "lm-counts", by="kind")
+        words, all_runs = found.filter(F.col("kind") == WORD).select("key", "n"), found.filter(F.col("kind") == RUN).select("key", "n", "seen")
+        n_docs = rows.filter("training").count()
+        total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        n, v = int(total[1]) + n_docs, int(total[0]) + (n_docs > 0)
+        short_folder, heavy_words, heavy_runs = (scratch.folder(f"lm-{x}") for x in ("short", "heavy-words", "heavy-runs"))
+        all_runs.filter("n > 0").groupBy(F.col("key").bitwiseAND(F.lit(0xFFFFFF).cast("long")).alias("key")).agg(F.sum("n").alias("n")).write.parquet(short_folder)
+        mixer = fit_mixer(scratch.keep(left_out_inputs(all_runs, short_folder), "lm-inputs", by="portion"))
+        costs = scratch.keep(run_costs(all_runs, short_folder, mixer), "lm-costs")
+        least_word, least_run = least_heavy(words, "n", HEAVY_WORDS), least_heavy(costs, "seen", HEAVY_RUNS)
+        words.filter(F.col("n") >= least_word).select("key", F.col("n").alias("value")).write.parquet(heavy_words)
+        costs.filter(F.col("seen") >= least_run).select("key", F.col("cost").alias("value")).write.parquet(heavy_runs)
+        schema = "row long, doc_id long, training boolean, n_tokens long, n_known long, n_bytes long, known_sum double, cost long, kinds array<byte>, rare array<long>, times array<long>"
+        names = [c.split()[0] for c in schema.split(", ")]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            word_counts, run_cost = Lookup(heavy_words), Lookup(heavy_runs)
+            for part in pieces(batches, "text", PIECE):
+                m = part.num_rows
+                data, offsets = _lower(part.column("text"))
+                rest, cost = Rest(), np.zeros(m)
+                for codes, text in Places.of(data, offsets).slices():
+                    which, distinct = pd.factorize(codes)
+                    value, known = run_cost.find(distinct)
+                    cost += np.bincount(text, value[which], m)  # sums of whole numbers
+                    rare = np.flatnonzero(~known[which])
+                    rest.add(text[rare], codes[rare], RUN)
+                n_words, n_known, known_sum = np.ones(m, np.int64), np.zeros(m, np.int64), np.zeros(m)
+                for some, places in stretches(data, offsets, PIECE):
+                    starts, ends, before = spans(some, places)
+                    text = np.repeat(np.arange(m), np.diff(before))
+                    key = hashes(some, starts, ends).view(np.int64)
+                    which, distinct = pd.factorize(key)
+                    value, known = word_counts.find(distinct)
+                    n_words += np.diff(before)
+                    known_sum += np.bincount(text, np.where(known, np.log10(value + 1.0), 0.0)[which], m)
+                    n_known += np.bincount(text, known[which], m).astype(np.int64)
+                    rare = np.flatnonzero(~known[which])
+                    rest.add(text[rare], key[rare], WORD)
+                sizes = [pa.array(x, pa.int64()) for x in (n_words, n_known, np.diff(offsets))]
+                columns = [*(part.column(c) for c in ("row", "doc_id", "training")), *sizes, pa.array(known_sum), pa.array(cost.astype(np.int64)), *rest.lists(m)]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+        scored = scratch.keep(rows.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "training", "text").mapInArrow(run, schema), "lm-scored")
+        rare = scored.select("row", F.explode(F.arrays_zip("kinds", "rare", "times")).alias("w")).select("row", F.col("w.kinds").alias("kind"), F.col("w.rare").alias("key"), F.col("w.times").alias("times"))
+        light = words.filter(F.col("n") < least_word).select(F.lit(WORD).cast("byte").alias("kind"), "key", F.col("n").alias("value"))
+        light = light.unionByName(costs.filter(F.col("seen") < least_run).select(F.lit(RUN).cast("byte").alias("kind"), "key", F.col("cost").alias("value")))
+        word = F.col("kind") == WORD
+        rare = rare.join(light, ["kind", "key"]).groupBy("row").agg(
+            F.sum(F.when(word, F.col("times") * F.log10(F.col("value") + 1.0))).alias("rare_sum"), F.sum(F.when(word, F.col("times"))).alias("rare_known"),
+            F.sum(F.when(~word, F.col("times") * F.col("value"))).alias("rare_cost"),
+        )
+        both = scored.drop("kinds", "rare", "times").join(rare, "row", "left")
+        base = F.col("known_sum") + F.coalesce("rare_sum", F.lit(0.0)) + F.lit(float(np.log10(n_docs + 1.0))) - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1.0)))
+        model = (F.col("cost") + F.coalesce("rare_cost", F.lit(0))).cast("double") * F.lit(-UNIT)
+        known = F.col("n_known") + F.coalesce("rare_known", F.lit(0)) + (1 if n_docs else 0)
+        out = both.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", known.cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), model.alias("score"), "n_bytes")
+        bits_per_byte = -F.col("score") * float(np.log2(10)) / F.greatest("n_bytes", F.lit(1))
+        return keep(out.withColumn("bits_per_byte", bits_per_byte).drop("n_bytes"), "lm-scores")

@@ -14,9 +14,12 @@ SMALL_ROWS = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session, as a URI. Only where it is unset, as in tests, a folder of our own is set."""
+    """spark.checkpoint.dir of the session, as a URI. Only where it is unset and all of Spark is one process, as in tests, a folder of our own is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='shared-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -34,6 +37,36 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared one, through the file system that Spark itself uses for it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+class Scratch:
+    """Tables of one operator's run that nothing needs once its result is written: they are deleted when the block ends."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folders = spark, []
+
+    def folder(self, name: str) -> str:
+        self.folders.append(work_folder(self.spark, name))
+        return self.folders[-1]
+
+    def keep(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """As keep(); ``by``: a column whose values get folders of their own."""
+        folder = self.folder(name)
+        (df.write.partitionBy(by) if by else df.write).parquet(folder)
+        return self.spark.read.schema(df.schema).parquet(folder)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for folder in self.folders:
+            discard(self.spark, folder)
+
+
 def small(df: DataFrame) -> DataFrame:
     """Marked for broadcast if a count of the (written) table shows SMALL_ROWS rows at most, else as it is."""
     return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df

@@ -19,7 +19,7 @@ def test_words_hash_alike_wherever_they_stand():
 
 
 def test_words_longer_than_a_window():
-    long = "x" * (B.WINDOW * 2 + 5)
+    long = "x" * (B.LONG * 2 + 5)
     data, offsets = B.utf8(pa.array([f"a {long}", long]))
     h = B.hashes(data, *B.spans(data, offsets)[:2])
     assert h[1] == h[2]
@@ -264,59 +264,3 @@ def test_runs_end_at_each_byte():
     codes, at = lm_score.runs(*B.utf8(pa.array(["ab", None])))
     assert at.tolist() == [0, 3, 4]
     assert codes.tolist() == [ord("a"), ord("a") << 8 | ord("b"), ord("a") << 16 | ord("b") << 8, 0]
-
-
-def test_bit_probabilities_sum_to_one():
-    """Over all 256 next bytes the probabilities of a context sum to one."""
-    text = ("the cat sat on the mat and the dog " * 30).encode()
-    codes, _ = lm_score.runs(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-    keys, counts = np.unique(codes, return_counts=True)
-    table = np.zeros((2, 1 << 16))
-    place, bit, _ = lm_score.slots(keys, 16)
-    for v in (0, 1):
-        np.add.at(table[v], place.ravel(), (np.repeat(counts, 40) * (np.broadcast_to(bit[:, None, :], place.shape).ravel() == v)))
-    weights, _ = lm_score.learn(keys, counts, table)
-    refined = np.tile(lm_score.squash(np.linspace(-8, 8, lm_score.STEPS)), (256, 1))
-    m = lm_score.Mixer(weights, refined)
-    context = int.from_bytes(b"the ", "big") << 8
-    assert (10 ** lm_score.log10_probability(context + np.arange(256), table, m)).sum() == pytest.approx(1)
-    learnt = -lm_score.log10_probability(codes, table, m).sum() * np.log2(10) / len(text)
-    assert learnt < 1.5
-
-
-def test_contexts_never_share_a_count():
-    codes = np.random.default_rng(3).integers(0, 1 << 40, 20_000)
-    keys, _, _ = lm_score.context_keys(codes)
-    distinct, n = np.unique(keys, return_counts=True)
-    table = lm_score.Contexts.of(distinct, n, 2 * n)
-    assert (table.n[0][table.find(keys)] == n[np.searchsorted(distinct, keys)]).all() and (table.n[1][table.find(keys)] == 2 * n[np.searchsorted(distinct, keys)]).all()
-    order, context, so_far = np.arange(5)[:, None], np.stack([codes >> 8 & (1 << 8 * k) - 1 for k in range(5)], axis=1), lm_score.context_keys(codes)[2]
-    plain = (order.T.astype(np.int64) << 40)[:, :, None] | (context << 8)[:, :, None] | so_far[:, None, :]
-    assert len(distinct) == len(np.unique(plain))
-    other = lm_score.context_keys(np.random.default_rng(4).integers(0, 1 << 40, 20_000))[0]
-    unseen = ~np.isin(other, distinct)
-    assert unseen.sum() > 100_000 and not table.n[:, table.find(other)[unseen]].any()
-    assert not lm_score.Contexts.of(distinct[:0], n[:0], n[:0]).n[:, [0]].any()
-
-
-def test_quality_model_orders_texts():
-    rng = random.Random(7)
-    words = [f"{a}{b}" for a in "bcdfglmnprst" for b in ("able", "ing", "ora", "ent", "ist")]
-    good = [" ".join(rng.choices(words, k=80)).encode() for _ in range(120)]
-    bad = [" ".join(w.upper() + "!!" for w in rng.choices(words, k=80)).encode() for _ in range(120)]
-    m = quality.Model(quality.build_dictionary(good[:60]), quality.build_dictionary(bad[:60]))
-    x = m.differences(good[60:90] + bad[60:90])
-    slope, intercept = quality.fit_curve(x, np.repeat([1, 0], 30), np.ones(60))
-    m = quality.Model(m.good, m.bad, slope, intercept)
-    assert m.scores(good[90:]).min() > 0.7 > 0.3 > m.scores(bad[90:]).max()
-    assert quality.Model().scores([b"", b"x"]).tolist() == [0.5, 0.5]
-    assert 0 <= m.scores([b""])[0] <= 1
-
-
-def test_rule_index_uses_rarest_tokens():
-    rules = [url_filter.HostRule("example.org/es/", "block"), url_filter.HostRule("org/", "allow"), url_filter.PatternRule("*casino-win.*", "block")]
-    assert url_filter.rarest_token(rules) == ["example", "org", "casino"] or url_filter.rarest_token(rules)[1] == "org"
-    with pytest.raises(ValueError):
-        url_filter.build_index([rules[1]] * (url_filter.MAX_RULES + 1))
-
-

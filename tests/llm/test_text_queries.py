@@ -183,7 +183,7 @@ def test_token_rows(spark):
     rng = random.Random(5)
     rows = [(k * 3 - 50, words(rng, rng.randrange(0, 30)), "a") for k in range(200)] + [(None, "null id", "a"), (1, None, "b"), (1, "é\u3000x", "b"), (1, None, "b"), (10**12, "", "b")]
     path = tokenizer_file()
-    manifest = token_files.write_tokens(frame(spark, rows), token_files.work_folder(spark, "t"), path, rows_per_shard=30)
+    manifest = token_files.write_tokens(frame(spark, rows), token_files.work_folder(spark, "t"), path, shard_bytes=1500)
     assert manifest.count() > 3
     got = token_files.read_tokens(manifest).collect()
     own = token_files.Encoder(path).tokenizer
@@ -282,30 +282,13 @@ def test_warc_rows(spark):
     assert warc.page_rows(spark, df.limit(0)).count() == 0
 
 
-def test_language_model_counts_every_context(spark, monkeypatch):
-    """The counts are as many as the contexts, and in one part or in several give the same scores."""
-    rng = random.Random(5)
-    docs = frame(spark, [(k, "".join(chr(rng.randrange(32, 0x3000)) for _ in range(400)), "a") for k in range(60)])
-    runs = lm_score.gather(docs).filter(F.col("kind") == lm_score.RUN)
-    codes = [r["key"] for r in runs.collect()]
-    want = {(k, code >> 8 & (1 << 8 * k) - 1, 1 << b | (code & 255) >> 8 - b) for code in codes for k in range(5) for b in range(8)}
-    counts = lm_score.context_counts(runs).agg(F.count("*"), F.sum(F.col("n0") + F.col("n1"))).first()
-    assert counts[0] == len(want) and counts[1] == 40 * runs.agg(F.sum("n")).first()[0]
-    scores = []
-    for part in (1 << 22, len(want) // 3):
-        monkeypatch.setattr(lm_score, "PART", part)
-        lm_score.load_part.cache_clear()
-        scores.append([r["score"] for r in lm_score.score(docs, F.col("doc_id") % 3 != 0).orderBy("doc_id").collect()])
-    assert scores[1] == pytest.approx(scores[0], rel=1e-9)
-
-
 def test_language_model_rows(spark):
     import math
 
     rng = random.Random(9)
     rows = [(k, words(rng, rng.randrange(0, 40), 300), "a") for k in range(120)] + [(None, "null id", "a"), (500, None, "a"), (501, "", "a"), (1, "W1 w1 unseenword", "a")]
     docs = frame(spark, rows)
-    got = lm_score.score(docs, lm_score.training(F.col("doc_id")), bits=16).collect()
+    got = lm_score.score(docs, lm_score.training(F.col("doc_id"))).collect()
     token = lambda t: [*re.findall(r"[^\x20\x09-\x0d]+", (t or "").lower()), None]
     count = {}
     for i, t, _ in rows:
@@ -316,8 +299,8 @@ def test_language_model_rows(spark):
     want = sorted(((i is None, i or 0, len(token(t)), sum(w in count for w in token(t)), round(sum(math.log10((count.get(w, 0) + 1) / (n + v + 1)) for w in token(t)), 6)) for i, t, _ in rows))
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == want
     assert all(r["train_tokens"] == n and r["score"] < 0 for r in got)
-    assert lm_score.score(empty(spark), lm_score.training(F.col("doc_id")), bits=16).count() == 0
-    nothing = lm_score.score(docs, F.lit(False), bits=16).collect()
+    assert lm_score.score(empty(spark), lm_score.training(F.col("doc_id"))).count() == 0
+    nothing = lm_score.score(docs, F.lit(False)).collect()
     assert {(r["n_known"], r["train_tokens"]) for r in nothing} == {(0, 0)}
 
 
