@@ -6,12 +6,14 @@ descriptor and a magic number). A second skippable frame before it holds the doc
 document by its id with two short reads at the file's end and then reads and decompresses only that document's frame.
 Ids are little-endian unsigned integers of 16 or 32 bits, as the vocabulary needs.
 
-Shards cover consecutive ranges of document ids, cut by the ids' quantiles, so that the order over all shards is the order
-of ids without any global sort of texts: texts are tokenised where they are read, and only ids' compact arrays are shuffled.
+Shards cover consecutive ranges of document ids that hold about equally many bytes of text, so that the order over all shards is
+the order of ids without any global sort of texts: texts are tokenised where they are read, and only ids' compact arrays are
+shuffled, each shard to a task of its own. An id with so many rows that they make several shards is cut further by a checksum.
 A shard is written under a temporary name in the shared folder and renamed, so a task that runs twice leaves one file.
 
 Defined results: null texts are empty; an empty document is its end id alone; rows with equal document ids keep all their
-copies, ordered by their tokens; null ids come first; an empty table gives no shard and no rows.
+copies, ordered by ranges of their tokens' checksums where there are several shards of them, and by their tokens; null ids come
+first; a text of any length is one frame; an empty table gives no shard and no rows; columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -31,8 +34,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gaugeline.llm.bytes import hashes, pieces, utf8
-from gaugeline.llm.storage import keep, open_fs, work_folder
+from gaugeline.llm.bytes import hashes, mixed, pieces, utf8
+from gaugeline.llm.storage import Scratch, keep, open_fs, work_folder
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
@@ -209,18 +212,56 @@ class Shard:
 # ------------------------------------------------------------------ distributed writing and reading
 
 
-def shard_bounds(df: DataFrame, id_col: str, rows_per_shard: int) -> list[int]:
-    """Least ids of all shards but the first; from counts of the id column alone."""
-    n = df.count()
-    shards = max(1, min(10_000, n // rows_per_shard))
-    if shards == 1:
-        return []
-    found = df.select(F.percentile_approx(F.col(id_col), [k / shards for k in range(1, shards)], 100 * shards)).first()[0] or []
-    return sorted({int(x) for x in found})
-
-
-def encode_table(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
-    """id, tokens (little-endian 16-bit ids, or 32-bit where the vocabulary needs them), with the end id appended."""
+@dataclass(frozen=True)
+class Ranges:
+    """Ranges of ids, by their least ids (repeated: ranges of checksums of one id), and the shard of each range."""
+
+    bounds: np.ndarray
+    shard: np.ndarray
+
+    def of(self, keys: np.ndarray, checksums: np.ndarray) -> np.ndarray:
+        """The range of each row; ``checksums``: of 32 bits."""
+        left, right = np.searchsorted(self.bounds, keys, "left"), np.searchsorted(self.bounds, keys, "right")
+        return np.where(right > left, left + 1 + (checksums * (right - left) >> 32), left)
+
+    @property
+    def n_shards(self) -> int:
+        return int(self.shard[-1]) + 1
+
+
+def shard_ranges(docs: DataFrame, id_col: str, text_col: str, shard_bytes: int) -> Ranges:
+    """Ranges for shards of about ``shard_bytes`` bytes of text: quantiles of ids, four to a shard, put together by their bytes."""
+    with Scratch(docs.sparkSession) as scratch:
+        # A row has some bytes besides its text's.
+        slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"), (F.coalesce(F.octet_length(text_col), F.lit(0)) + 16).cast("long").alias("size"))
+        slim = scratch.keep(slim, "token-sizes")
+        total = slim.agg(F.sum("size")).first()[0] or 0
+        pieces_ = 4 * max(1, -(-total // shard_bytes))
+        one = Ranges(np.zeros(0, np.int64), np.zeros(1, np.int64))
+        if pieces_ == 4:
+            return one
+        quantiles = slim.select(F.percentile_approx("key", [k / pieces_ for k in range(1, pieces_)], 20 * pieces_)).first()[0]
+        fine = Ranges(np.array(sorted(quantiles), np.int64), np.arange(pieces_))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(pieces_, np.int64)
+            for batch in batches:
+                keys, size = batch.column("key").to_numpy(), batch.column("size").to_numpy()
+                # Rows of one id are shared out evenly here; which goes where is known once they have tokens.
+                np.add.at(sums, fine.of(keys, mixed(np.arange(len(keys)).astype(np.uint64)).astype(np.int64) & 0xFFFFFFFF), size)
+            used = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(sums[used])], ["piece", "size"])
+
+        size = np.zeros(pieces_, np.int64)
+        for r in slim.mapInArrow(run, "piece long, size long").groupBy("piece").agg(F.sum("size")).collect():
+            size[r[0]] = r[1]
+    # A range belongs to the shard in which its middle byte lies.
+    shard = (np.cumsum(size) - size // 2) // shard_bytes
+    return Ranges(fine.bounds, np.unique(shard, return_inverse=True)[1])
+
+
+def encode_table(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, ranges: Ranges | None = None) -> DataFrame:
+    """doc_id, tokens (little-endian 16-bit ids, or 32-bit where the vocabulary needs them), with the end id appended; and shard, if there are ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer_path)
@@ -228,31 +269,25 @@ def encode_table(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         tail = np.array([end_id], kind).tobytes()
         for part in pieces(batches, text_col):
             tokens = [ids.astype(kind).tobytes() + tail for ids in own.encode_column(part.column(text_col))]
-            yield pa.RecordBatch.from_arrays([part.column(id_col).cast(pa.int64()), pa.array(tokens, pa.binary())], ["doc_id", "tokens"])
+            ids = part.column(id_col).cast(pa.int64())
+            columns = [ids, pa.array(tokens, pa.binary())]
+            if ranges is not None:
+                range_ = ranges.of(ids.fill_null(NO_ID).to_numpy(), np.fromiter(map(zlib.crc32, tokens), np.int64, len(tokens)))
+                columns.append(pa.array(ranges.shard[range_], pa.int32()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tokens", "shard"][: len(columns)])
         own.known.clear()
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, tokens binary")
+    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, tokens binary" + (", shard int" if ranges is not None else ""))
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, rows_per_shard: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, shard_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write shards into ``folder`` and return their manifest: shard, path, n_docs, n_ids, first_id, width."""
     from tokenizers import Tokenizer
 
     width = 2 if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 else 4
-    bounds = shard_bounds(docs.select(id_col), id_col, rows_per_shard)
-    ids = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
-    shard = F.expr(f"int(aggregate(array({','.join(f'bigint({b})' for b in bounds)}), 0, (n, b) -> n + int(b <= coalesce(doc_id, {NO_ID}))))") if 0 < len(bounds) <= 64 else None
-    tokens = encode_table(docs, tokenizer_path, id_col, text_col).withColumn("key", ids)
-    if shard is None:
-        table = np.array(bounds, np.int64)
-
-        @F.pandas_udf("int")
-        def find(key: pd.Series) -> pd.Series:
-            return pd.Series(np.searchsorted(table, key.to_numpy(), "right").astype(np.int32))
-
-        shard = find("key")
-    sharded = tokens.withColumn("shard", shard).select("shard", "key", "tokens")
-    ordered = sharded.repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "key", "tokens")
+    ranges = shard_ranges(docs, id_col, text_col, shard_bytes)
+    sharded = encode_table(docs, tokenizer_path, id_col, text_col, ranges=ranges).select("shard", F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "tokens")
+    ordered = sharded.repartitionById(ranges.n_shards, F.col("shard")).sortWithinPartitions("shard", "key", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_fs(folder)
@@ -284,8 +319,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, rows_per_sha
 def read_tokens(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, shard, frame of every document, decoded from the files. ``start`` counts the ids of all documents
     before it: those of earlier shards come from the manifest, which has a row for each shard."""
-    starts = manifest.withColumn("shard_start", F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    files = starts.select("path", "shard", "shard_start", "width")
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    files = manifest.select("path", "shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("shard_start"), "width", F.count("*").over(before).cast("int").alias("place"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,7 +338,8 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                         ids = pa.array([None if x == NO_ID else x for x in columns[0]], pa.int64())
                         yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in columns[1:4]), *(pa.array(c, pa.int32()) for c in columns[4:])], ["doc_id", "start", "n_tokens", "ids_crc32", "shard", "frame"])
 
-    spread = files.repartition(max(1, min(10_000, manifest.count())), "shard")
+    # A task for each shard.
+    spread = files.repartitionById(max(1, manifest.count()), F.col("place"))
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int, frame int")
 
 

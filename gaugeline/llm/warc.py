@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeline.llm.storage import keep, open_fs, small, work_folder
@@ -301,7 +301,9 @@ def read(files: DataFrame, payloads: bool = False, whole: bool = False) -> DataF
                     if whole and records != stated:
                         raise Damaged(f"{path}: {records} records of {stated}")
 
-    spread = files.select("path", F.col("n_records") if whole else F.lit(None).cast("long").alias("n_records")).repartition(max(1, min(10_000, files.count())), "path")
+    # A task for each archive.
+    place = (F.row_number().over(Window.orderBy("path")) - 1).alias("place")
+    spread = files.select("path", F.col("n_records") if whole else F.lit(None).cast("long").alias("n_records"), place).repartitionById(max(1, files.count()), F.col("place"))
     return spread.mapInArrow(run, COLUMNS + (", payload binary" if payloads else ""))
 
 
