@@ -9,7 +9,9 @@ Character references are decoded, white space within a block becomes one space,
 order; nothing else is dropped or cut. Unclosed and misnested tags are closed as browsers would, as far as text goes.
 
 Defined results: null and empty pages, and pages without content, give an empty text; a page of plain text without any
-markup is one block and judged like any other; repeated rows each get the same answer; columns other than those named are not read.
+markup is one block and judged like any other; on a page where no block is worth anything by itself, the bias against blocks
+is left out; a page of any length or depth takes time in proportion to it, but for the cut; among equal cuts the one with the
+least text is taken; repeated rows each get the same answer; columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -45,32 +47,49 @@ BAD, ARTICLE, GOOD, PROSE, LENGTH, LINKS, BIAS = -9.0, 3.5, 1.5, 0.7, 1.3, -3.0,
 NEXT, SIBLING = 0.3, 0.5
 
 _TAG = re.compile(
-    r"<!--.*?(?:-->|--!>|\Z)|<(?P<raw>script|style|noscript|template|xmp|noframes)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*[^>]*>|\Z)"
+    r"<!--.*?(?:-->|--!>|\Z)|<(?P<raw>script|style|noscript|template|xmp|noframes)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*(?:>|\Z)|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?P<odd>/?)(?P<oddname>[a-z][^\s/>]*)[^>]*>|<[!?/][^>]*>|<[a-z!?/][^>]*\Z",
     re.IGNORECASE | re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.IGNORECASE)
+#: One attribute after the other: a name and its value, so that nothing inside a value is taken for a name.
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _WORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 
 
 class Element:
     """An open element: what its blocks inherit."""
 
-    __slots__ = ("article", "bad", "cancelled", "flag", "good", "name", "parent", "unseen")
+    __slots__ = ("article", "bad", "cancelled", "cleared", "flag", "good", "known", "name", "parent", "unseen")
 
     def __init__(self, name: str, parent: Element | None) -> None:
         self.name, self.parent, self.cancelled = name, parent, False
         self.bad, self.unseen, self.article, self.good = (parent.bad, parent.unseen, parent.article, parent.good) if parent else (False, False, False, False)
         #: The nearest element at or above this whose class or id has a bad word.
         self.flag = parent.flag if parent else None
+        #: Of an element with a bad word: how far those at or above it are cancelled (1: outside articles, 2: all).
+        self.cleared = 0
+        self.known: bool | None = None
 
     def flagged(self) -> bool:
-        e = self.flag
-        while e is not None:
-            if not e.cancelled:
-                return True
+        """Whether a bad word at or above this counts; asked when the whole page is read. Answers are kept, so deep pages take linear time."""
+        way, e = [], self.flag
+        while e is not None and e.known is None and e.cancelled:
+            way.append(e)
             e = e.parent.flag if e.parent else None
-        return False
+        answer = e is not None and (not e.cancelled if e.known is None else e.known)
+        for x in [*way, *([e] if e is not None else [])]:
+            x.known = answer
+        return answer
+
+    def clear(self, everywhere: bool) -> None:
+        """Cancel the bad words above, ``everywhere`` or outside articles."""
+        level = 2 if everywhere else 1
+        above, start = self.flag, self.flag
+        while above is not None and above.cleared < level:
+            above.cancelled |= everywhere or not above.article
+            above = above.parent.flag if above.parent else None
+        if start is not None:
+            start.cleared = max(start.cleared, level)
 
 
 def _opened(name: str, attributes: str, parent: Element) -> Element:
@@ -91,7 +110,7 @@ def _opened(name: str, attributes: str, parent: Element) -> Element:
                 holds |= value.lower() in ("main", "article")
             elif key == "style":
                 e.unseen |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE))
-            elif key == "hidden" or value.lower() == "true":
+            elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
                 e.unseen = True
     if name in UNSEEN:
         e.unseen = True
@@ -103,11 +122,7 @@ def _opened(name: str, attributes: str, parent: Element) -> Element:
         e.flag = e
     elif holds:
         # A wrapper around the article is no sidebar, whatever its name says.
-        above = parent.flag
-        while above is not None:
-            if name == "main" or not above.article:
-                above.cancelled = True
-            above = above.parent.flag if above.parent else None
+        parent.clear(name == "main")
         e.article = True
     elif words & GOOD_WORDS:
         e.good = True
@@ -124,7 +139,7 @@ class Block:
     def score(self) -> float:
         """Positive: the cost of calling it boilerplate; negative: of calling it content."""
         e = self.element
-        if e.bad or e.unseen or e.flagged():
+        if e.bad or e.flagged():
             return BAD
         n = len(self.text)
         prose = e.name in ("p", "blockquote", "pre") or e.name in HEADINGS
@@ -135,22 +150,22 @@ def blocks(page: str) -> list[Block]:
     """Blocks of text in page order."""
     root = Element("html", None)
     stack, out = [root], []
-    parts: list[str] = []
+    parts: list[str] = []  # of visible text since the last block began or ended
     linked, links = 0, 0
-    #: How many elements of each name are open, so that looking for one that isn't costs nothing on deep pages.
-    opened: dict[str, int] = {"html": 1}
+    #: Places of the open elements of each name, and of those that are blocks, so that no search walks over a deep page's elements.
+    opened: dict[str, list[int]] = {"html": [0]}
+    open_blocks = [0]
 
     def flush() -> None:
         nonlocal linked
         if parts:
-            if not stack[-1].unseen:
-                raw = "".join(parts)
-                text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
-                if text:
-                    e = stack[-1]
-                    while e.name not in BLOCK and e.parent is not None:
-                        e = e.parent
-                    out.append(Block(text, e, min(linked, len(text))))
+            raw = "".join(parts)
+            text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
+            if text:
+                e = stack[open_blocks[-1]]
+                while e.unseen and e.parent is not None:
+                    e = e.parent
+                out.append(Block(text, e, min(linked, len(text))))
             parts.clear()
         linked = 0
 
@@ -158,18 +173,16 @@ def blocks(page: str) -> list[Block]:
         nonlocal links
         for e in stack[k:]:
             links -= e.name == "a"
-            opened[e.name] -= 1
+            opened[e.name].pop()
+        while open_blocks[-1] >= k:
+            open_blocks.pop()
         del stack[k:]
 
     def open_above(names: tuple[str, ...], stop: tuple[str, ...]) -> int:
-        if not any(opened.get(n) for n in names):
-            return 0
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name in names:
-                return k
-            if stack[k].name in stop:
-                return 0
-        return 0
+        """Place of the innermost open element of these names, if no element of the names ``stop`` is open inside it, else 0."""
+        last = lambda some: max((opened[x][-1] for x in some if opened.get(x)), default=0)
+        k = last(names)
+        return k if k > last(stop) else 0
 
     at = 0
     for m in _TAG.finditer(page):
@@ -191,14 +204,14 @@ def blocks(page: str) -> list[Block]:
             k = open_above((name,), ())
             if k:
                 # An inline end tag doesn't close the blocks around it.
-                if name not in BLOCK and any(e.name in BLOCK for e in stack[k + 1 :]):
+                if name not in BLOCK and open_blocks[-1] > k:
                     continue
-                if name in BLOCK or stack[k].unseen:
+                if open_blocks[-1] >= k:
                     flush()
                 close(k)
             continue
         if name in VOID:
-            if name == "br" or name == "img":
+            if name == "br" or name == "img" or name == "input":
                 parts.append(" ")
             elif name == "hr":
                 flush()
@@ -209,7 +222,7 @@ def blocks(page: str) -> list[Block]:
                 # Attributes of these count, but they never nest.
                 if len(stack) > 1 and opened.get(name):
                     continue
-                close(1 if name == "html" else opened["html"])
+                close(1 if name == "html" else len(opened["html"]))
             else:
                 # A block ends an open paragraph; list items, cells and rows end those before them.
                 k = open_above(("p",), ("table", "ul", "ol", "div", "section", "article", "aside", "main", "body", "td", "th", "li", "form", "nav", "header", "footer", "blockquote", "button"))
@@ -230,12 +243,15 @@ def blocks(page: str) -> list[Block]:
                 if k:
                     close(k)
                 if opened.get("head"):
-                    close(next(k for k, e in enumerate(stack) if e.name == "head"))
-        elif name in UNSEEN and name != "label":
-            flush()
+                    close(opened["head"][0])
+        elif name in UNSEEN and not stack[-1].unseen:
+            # What isn't shown as prose stands between words; it ends no block.
+            parts.append(" ")
         if name == "head" and (opened.get("head") or opened.get("body")):
             continue
-        opened[name] = opened.get(name, 0) + 1
+        opened.setdefault(name, []).append(len(stack))
+        if name in BLOCK:
+            open_blocks.append(len(stack))
         stack.append(_opened(name, m["attributes"] or "", stack[-1]))
         links += name == "a"
     if at < len(page) and not stack[-1].unseen:
@@ -296,7 +312,10 @@ def source_side(costs: list[int], edges: list[tuple[int, int, int]]) -> list[boo
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    costs = [round(1000 * b.score()) for b in found]
+    scores = [b.score() for b in found]
+    # Where no block stands out, none is held to have to.
+    bias = 0.0 if any(x > 0 for x in scores) else BIAS
+    costs = [round(1000 * (x if x == BAD else x - bias)) for x in scores]
     edges, last = [], {}
     for i, b in enumerate(found):
         if i:
