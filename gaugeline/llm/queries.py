@@ -107,8 +107,8 @@ OP10_SQL = """
 WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS payload_digest, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes FROM pages),
 g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS head FROM p)
 SELECT page_id, payload_bytes, payload_digest,
-  CASE WHEN payload_bytes >= 1000 AND page_id <> head THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 1000 AND page_id <> head THEN head END AS refers_to FROM g
+  CASE WHEN payload_bytes >= 1000 AND head IS NOT NULL AND page_id IS DISTINCT FROM head THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM head THEN head END AS refers_to FROM g
 """
 
 QUERIES = {"op6_lm_score": op6_lm_score, "op5_decontaminate": op5_decontaminate, "op2_near_duplicates": op2_near_duplicates, "op4_html_text": op4_html_text, "op10_warc": op10_warc, "op3_token_files": op3_token_files, "op9_media": op9_media, "op7_quality": op7_quality, "op1_url_filter": op1_url_filter, "op8_mix_sources": op8_mix_sources}

@@ -3,8 +3,10 @@ expressions are then run.
 
 Everything on the main path is a Spark SQL expression over one row, so a scan of any size needs no shuffle, no join and no
 Python worker. The index is a literal array of hash buckets (crc32 of the token): looking a token up is one array access, so
-the cost per URL is its number of tokens, not the number of rules. The rule list is a parameter of at most MAX_RULES rules,
-which bounds the literal that is sent with each task.
+the cost per URL is its number of tokens, not the number of rules. The rule list is a parameter from the driver, which is sent
+with each task and doesn't grow with the table.
+
+Rules look at host and path with a ``#`` between them, which neither can hold; all other characters, line ends too, may occur in both.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, fits no rule and gets the default verdict;
 of rules that fit, the longest rule wins, then the first by code point; repeated rows each get the same answer; columns of
@@ -23,7 +25,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_RULES = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ENTRY = "array<array<struct<t:string,n:int,r:string,v:string,e:string>>>"
 #: Every key starts with these, so the token index must not use them.
@@ -46,7 +47,7 @@ class HostRule:
 
     def expression(self) -> str:
         host, slash, path = self.rule.partition("/")
-        return rf"^(?:[^\n]*\.)?{_quote(host.translate(str.maketrans(UPPER, LOWER)))}\n{_quote(slash + path)}"
+        return rf"^(?:[^#]*\.)?{_quote(host.translate(str.maketrans(UPPER, LOWER)))}\#{_quote(slash + path)}"
 
 
 @dataclass(frozen=True)
@@ -60,7 +61,7 @@ class PatternRule:
         return [t for t in _TOKEN.findall(self.rule) if re.search(rf"(?<![0-9a-z*]){t}(?![0-9a-z*])", self.rule)]
 
     def expression(self) -> str:
-        return "^" + "[^\\n]*".join(map(_quote, self.rule.split("*"))) + "\\n"
+        return "^" + "[^#]*".join(map(_quote, self.rule.split("*"))) + r"\#"
 
 
 def _quote(text: str) -> str:
@@ -76,8 +77,6 @@ def rarest_token(rules: Sequence[HostRule | PatternRule]) -> list[str]:
 
 def build_index(rules: Sequence[HostRule | PatternRule]) -> tuple[str, int]:
     """JSON of the buckets and their number. Rules without a literal token are kept under the empty token, which every URL has."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; the literal index is meant for {MAX_RULES} at most")
     n = max(1, 2 * len(rules))
     buckets: list[list[dict]] = [[] for _ in range(n)]
     for rule, token in zip(rules, rarest_token(rules), strict=True):
@@ -94,7 +93,7 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 
 def best_rule(key: Column, tokens: Column, rules: Sequence[HostRule | PatternRule]) -> Column:
-    """Struct (n, r, v) of the longest rule that fits ``key`` (host, newline, path); null if none does."""
+    """Struct (n, r, v) of the longest rule that fits ``key`` (host, #, path); null if none does."""
     index, n = build_index(rules)
     buckets = F.from_json(F.lit(index), _ENTRY)
     fetched = F.flatten(F.transform(tokens, lambda t: F.filter(F.get(buckets, F.pmod(F.crc32(t.cast("binary")), F.lit(n)).cast("int")), lambda e: e["t"] == t)))
@@ -109,7 +108,7 @@ def filter_urls(df: DataFrame, host_rules: Sequence[HostRule], pattern_rules: Se
     """
     host, path = split_url(F.col(url_col))
     parts = df.select(F.col(id_col), host.alias("host"), path.alias("path"))
-    key = F.concat("host", F.lit("\n"), "path")
+    key = F.concat("host", F.lit("#"), "path")
     tokens = F.array_distinct(F.split(F.concat(F.lit("-"), F.translate(key, UPPER, LOWER)), "[^0-9a-z]+"))
     found = parts.select("*", best_rule(key, tokens, host_rules).alias("h"), (best_rule(key, tokens, pattern_rules) if pattern_rules else F.lit(None).cast("struct<n:int,r:string,v:string>")).alias("p"))
     return found.select(id_col, "host", "path", F.col("h.r").alias("rule"), F.coalesce("h.v", "p.v", F.lit(default)).alias("verdict"), F.when(F.col("h").isNull(), F.col("p.r")).alias("pattern"))
