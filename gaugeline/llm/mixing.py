@@ -114,6 +114,6 @@ def mix_rows(df: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float =
     """row (a struct of all columns of ``df``) and copies: how often the mix takes each row. The digits follow from the id, so no text is shuffled."""
     cuts = _cuts(_slim(df, id_col, text_col, source_col), weights, most, share)
     d1, d2 = digits(F.col(id_col))
-    rows = df.select(F.struct(*df.columns).alias("row"), F.col(source_col).alias("source"), d1.alias("d1"), d2.alias("d2")).alias("s")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(source_col).alias("source"), d1.alias("d1"), d2.alias("d2")).alias("s")
     joined = rows.join(cuts.alias("c"), F.expr("s.source <=> c.source"), "left")
     return joined.select("s.row", _copies(most).alias("copies"))

@@ -1,6 +1,6 @@
 """Near-duplicate classes by DartMinHash signatures and banded joins.
 
-Signatures. Each shingle of a text is an element with a weight. Darts fall on an element's plane of weight and rank as a
+Signatures. Each shingle of a text is an element, and how often it occurs is its weight. Darts fall on an element's plane of weight and rank as a
 Poisson process that depends on the element alone: the plane is cut into cells at powers of two, and a cell's number of
 darts, their places and their signature coordinates come from hashes. A text keeps, for each coordinate, the dart of least
 rank among those below its elements' weights; two texts share a coordinate with a probability that is their weighted Jaccard
@@ -8,8 +8,8 @@ similarity. Only ranks below about k (ln k + 3) / total weight are looked at, an
 the cost is that of the elements plus k log k.
 
 Classes. Texts with equal words are one node. Nodes that share a band are in a bucket. No bucket is ever expanded into all
-its pairs: some members are hubs, which are compared with the others of the bucket by exact Jaccard similarity of their
-shingles; links join components; and a bucket is finished when it lies in one component, or all its members have been hubs.
+its pairs: some members are hubs, which are compared with the others of the bucket by exact weighted Jaccard similarity of their
+shingles (the sum of the lesser counts over that of the larger ones); links join components; and a bucket is finished when it lies in one component, or all its members have been hubs.
 The number of hubs grows by rounds, linked members first, so that a bucket of copies is finished after a round or two, and
 one of unlike texts is compared in full in the end. From the second round on a pair is compared once, in the first bucket that it
 shares, if its whole signatures agree in at least as many coordinates as a pair of the threshold's similarity has but for a
@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.llm.bytes import TO_LOWER, hashes, mixed, pieces, shingles, spans, utf8
-from gaugeline.llm.storage import keep
+from gaugeline.llm.storage import Scratch, keep
 
 WIDTH, SIMILARITY = 5, 0.8
 #: 280 coordinates: a pair of similarity 0.8 shares none of the bands with a chance of 1e-4, one of 0.3 shares one with 1e-2.
@@ -142,6 +142,17 @@ def distinct_elements(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return h[at], np.diff(np.append(at, len(h))), np.searchsorted(text[at], np.arange(len(offsets)))
 
 
+def occurrences(elements: np.ndarray, counts: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A text's elements once for each occurrence, the later ones under names of their own, and the new offsets: two texts' plain
+    Jaccard similarity on these is the weighted one on elements and counts."""
+    first = np.concatenate([[0], np.cumsum(counts)])
+    nth = np.arange(first[-1]) - np.repeat(first[:-1], counts)
+    names = np.repeat(elements, counts)
+    again = np.flatnonzero(nth)
+    names[again] = mixed(names[again] + nth[again].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return names, first[offsets]
+
+
 def _elements(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes and words before each text, then distinct shingles, their counts and offsets."""
     data, offsets = utf8(column)
@@ -156,8 +167,9 @@ def _nodes(words: np.ndarray, before: np.ndarray) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.blake2b(raw[8 * a : 8 * b], digest_size=8).digest(), "little", signed=True) for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True)], np.int64)
 
 
-def sketch(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, weighted: bool = False, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, raw (hash of the text as it is), node (hash of its words), n (distinct shingles), bands, and sig: a byte of each coordinate."""
+def sketch(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, weighted: bool = True, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """doc_id, raw (hash of the text as it is), node (hash of its words), n (its shingles; without weights, distinct ones), bands, and sig: a
+    byte of each coordinate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text"):
@@ -169,19 +181,22 @@ def sketch(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int =
                 key = mixed((key ^ grouped[:, :, k]) + np.uint64(k + 1))
             key = mixed(key + np.arange(bands, dtype=np.uint64)[None, :]).view(np.int64)
             lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
-            columns = [part.column("doc_id").cast(pa.int64()), part.column("raw"), pa.array(_nodes(words, before)), pa.array(np.diff(offsets), pa.int64()), lists(key), lists(signature.astype(np.uint8).view(np.int8))]
+            columns = [part.column("doc_id").cast(pa.int64()), part.column("raw"), pa.array(_nodes(words, before)), pa.array(np.diff(np.concatenate([[0], np.cumsum(counts)])[offsets] if weighted else offsets), pa.int64()), lists(key), lists(signature.astype(np.uint8).view(np.int8))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "raw", "node", "n", "bands", "sig"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("raw"), text.alias("text")).mapInArrow(run, "doc_id long, raw long, node long, n long, bands array<long>, sig array<byte>")
 
 
-def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """node, items (the low 32 bits of the shingles' hashes; chance agreement changes a similarity by far less than 1e-4)."""
+def shingle_sets(docs: DataFrame, width: int = WIDTH, weighted: bool = True) -> DataFrame:
+    """node, items (the low 32 bits of the hashes of the shingles' occurrences, or without weights of the shingles; chance agreement
+    changes a similarity by far less than 1e-4)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text"):
-            words, before, elements, _, offsets = _elements(part.column("text"), width)
+            words, before, elements, counts, offsets = _elements(part.column("text"), width)
+            if weighted:
+                elements, offsets = occurrences(elements, counts, offsets)
             items = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(elements.astype(np.uint32).view(np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array(_nodes(words, before)), items], ["node", "items"])
 
@@ -191,7 +206,7 @@ def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 # ------------------------------------------------------------------ components
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = keep) -> DataFrame:
     """node, comp (least node of its component) for all nodes of the edges (a, b), by alternating large and small stars.
 
     Each half step is a map-side combined minimum and a join of two written tables, so that Spark can split a hub's rows.
@@ -235,8 +250,14 @@ def least_agreement(similarity: float, coordinates: int) -> int:
     return max(0, math.floor(coordinates * similarity - 4.2 * math.sqrt(coordinates * similarity * (1 - similarity))))
 
 
-def link_classes(sketches: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, coordinates: int = BANDS * ROWS) -> DataFrame:
-    """node, comp for the nodes that are linked to others."""
+def link_classes(sketches: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, coordinates: int = BANDS * ROWS, weighted: bool = True, gate: bool = True) -> DataFrame:
+    """node, comp for the nodes that are linked to others. ``gate``: whether signatures may rule out a pair from the second round on."""
+    with Scratch(sketches.sparkSession) as scratch:
+        found = _link_classes(sketches, docs, similarity, width, coordinates, weighted, gate, scratch.keep)
+        return keep(found, "dup-classes")
+
+
+def _link_classes(sketches: DataFrame, docs: DataFrame, similarity: float, width: int, coordinates: int, weighted: bool, gate: bool, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     spark = sketches.sparkSession
     nodes = keep(sketches.filter("n > 0").groupBy("node").agg(F.min_by(F.struct("n", "bands", "sig", "doc_id"), F.coalesce("doc_id", F.lit(1 << 62))).alias("s")).select("node", "s.n", "s.bands", "s.sig", "s.doc_id"), "dup-nodes")
     entries = nodes.select("node", F.col("n").alias("size"), F.explode("bands").alias("bucket"))
@@ -244,7 +265,7 @@ def link_classes(sketches: DataFrame, docs: DataFrame, similarity: float = SIMIL
     members = keep(entries.join(shared, "bucket").select("bucket", "node", "size", F.lit(False).alias("served")), "dup-members")
     wanted = keep(members.select("node").distinct().join(nodes, "node").select("node", "doc_id", "bands", "sig"), "dup-wanted")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    sets = shingle_sets(texts.join(wanted, texts.doc_id.eqNullSafe(wanted.doc_id), "left_semi"), width)
+    sets = shingle_sets(texts.join(wanted, texts.doc_id.eqNullSafe(wanted.doc_id), "left_semi"), width, weighted)
     sets = keep(sets.groupBy("node").agg(F.first("items").alias("items")), "dup-sets")
     labels = None
     hubs = 1
@@ -276,24 +297,25 @@ def link_classes(sketches: DataFrame, docs: DataFrame, similarity: float = SIMIL
             # signatures allow the similarity: these are the pairs of buckets that hold like, but not near, texts.
             active = keep(active.join(wanted.select("node", "bands", "sig"), "node").select("bucket", "node", "size", "served", "comp", "hub", "bands", "sig"), "dup-round")
             agree = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x))
-            near = near & (F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("h.bucket")) & (agree >= least_agreement(similarity, coordinates))
+            near = near & (F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("h.bucket")) & (agree >= (least_agreement(similarity, coordinates) if gate else 0))
             extra = ["bands", "sig"]
         h = active.filter("hub").select("bucket", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("sa"), *[F.col(c).alias(f"{c}_a") for c in extra])
         m = active.filter("not served").select("bucket", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("size").alias("sb"), F.col("hub").alias("hb"), *[F.col(c).alias(f"{c}_b") for c in extra])
         pairs = m.alias("m").join(h.alias("h"), (F.col("m.bucket") == F.col("h.bucket")) & near).select("a", "b").distinct()
         links = keep(_compare(keep(pairs, "dup-pairs"), sets, similarity), "dup-links")
         edges = links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")))
-        labels = keep(components(edges).withColumn("in_class", F.lit(True)), "dup-labels")
+        labels = keep(components(edges, keep).withColumn("in_class", F.lit(True)), "dup-labels")
         members = keep(active.select("bucket", "node", "size", (F.col("served") | F.col("hub")).alias("served")), "dup-members")
         hubs *= 16
     return spark.createDataFrame([], "node long, comp long") if labels is None else labels.select("node", "comp")
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
+def classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, weighted: bool = True, gate: bool = True) -> DataFrame:
     """doc_id, raw, comp for every row of ``docs`` (doc_id, text): rows of equal comp are near duplicates, links carried on."""
-    sketches = keep(sketch(docs, width, bands, rows, weighted), "dup-sketch")
-    labels = link_classes(sketches, docs, similarity, width, bands * rows)
-    return keep(sketches.select("doc_id", "raw", "node").join(labels, "node", "left").select("doc_id", "raw", F.coalesce("comp", "node").alias("comp")), "dup-rows")
+    with Scratch(docs.sparkSession) as scratch:
+        sketches = scratch.keep(sketch(docs, width, bands, rows, weighted), "dup-sketch")
+        labels = link_classes(sketches, docs, similarity, width, bands * rows, weighted, gate)
+        return keep(sketches.select("doc_id", "raw", "node").join(labels, "node", "left").select("doc_id", "raw", F.coalesce("comp", "node").alias("comp")), "dup-rows")
 
 
 def class_ids(docs: DataFrame, **options) -> DataFrame:
@@ -307,7 +329,7 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
     """One row of each class, that of the least doc_id, with all columns of ``docs``."""
     rows = classes(docs, **options)
     kept = keep(rows.groupBy("comp").agg(F.min_by(F.struct("doc_id", "raw"), F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "raw")).alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.raw").alias("kept_raw")), "dup-kept")
-    marked = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("raw"))
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("raw"))
     found = marked.alias("d").join(kept.alias("k"), F.expr("d.id <=> k.kept_id and d.raw = k.kept_raw"), "left_semi")
     return found.dropDuplicates(["id", "raw"]).select("row.*")
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -34,14 +35,14 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
-def shingle_set(text):
+def shingle_counts(text):
     w = re.findall(r"[^\x20\x09-\x0d]+", (text or "").lower())
-    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+    return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
 
 
-def brute_classes(rows):
+def brute_classes(rows, weighted=True):
     """Least doc_id of each row's class by all pairs."""
-    sets = [shingle_set(t) for _, t, _ in rows]
+    sets = [shingle_counts(t) if weighted else Counter(set(shingle_counts(t))) for _, t, _ in rows]
     parent = list(range(len(rows)))
 
     def find(x):
@@ -51,8 +52,8 @@ def brute_classes(rows):
 
     for a in range(len(rows)):
         for b in range(a):
-            common = len(sets[a] & sets[b])
-            if sets[a] == sets[b] or common >= 0.8 * (len(sets[a]) + len(sets[b]) - common) - 1e-9 and common:
+            common, union = (sets[a] & sets[b]).total(), (sets[a] | sets[b]).total()
+            if sets[a] == sets[b] or common >= 0.8 * union - 1e-9 and common:
                 parent[max(find(a), find(b))] = min(find(a), find(b))
     ids = {}
     for k, (i, _, _) in enumerate(rows):
@@ -74,16 +75,20 @@ def near_rows():
     shared = words(rng, 60)
     rows += [(2000 + j, shared + " " + words(rng, 60), "b") for j in range(40)]
     rows += [(3000, None, "c"), (3001, "", "c"), (3002, "  \n", "c"), (3003, "One two", None), (3004, "one  TWO", None), (3005, "one two three", "c"), (7, rows[7][1], "a")]
+    # Lines repeated more and less often: the same shingles in other numbers.
+    line, tail = words(rng, 12) + " ", words(rng, 30)
+    rows += [(4000 + n, line * n + tail, "d") for n in (2, 3, 30, 32, 36, 200)] + [(4500, words(rng, 1) * 1, "d"), (4501, ("again " * 3000).strip(), "d"), (4502, ("again " * 3400).strip(), "d")]
     return rows
 
 
-def test_near_duplicates_against_all_pairs(spark):
+@pytest.mark.parametrize(("weighted", "gate"), [(True, True), (True, False), (False, True)])
+def test_near_duplicates_against_all_pairs(spark, weighted, gate):
     rows = near_rows()
     got = {}
-    for r in near_dup.class_ids(frame(spark, rows)).collect():
+    for r in near_dup.class_ids(frame(spark, rows), weighted=weighted, gate=gate).collect():
         got.setdefault(r["doc_id"], set()).add(r["class_id"])
     want = {}
-    for (i, _, _), c in zip(rows, brute_classes(rows), strict=True):
+    for (i, _, _), c in zip(rows, brute_classes(rows, weighted), strict=True):
         want.setdefault(i, set()).add(c)
     assert got == want
 
