@@ -3,11 +3,12 @@ text's sizes under the two, put through a logistic curve fitted on labelled rows
 
 A text is compressed in blocks of BLOCK bytes, so that in a long text too the dictionaries count and not what the compressor
 has learnt from the text itself; every byte of every text is in some block. Fitting is the one step on a sample: at most
-``per_class`` labelled texts of each class, of at most MAX_TEXT bytes, taken in the order of a hash of their ids. Half of them
-build the dictionaries, the others fit the curve, weighted to the classes' shares among all labels.
+``per_class`` labelled texts of each class, taken in the order of a hash of their ids, whatever their length; of one with more than
+``per_text`` characters that many are learnt from, in blocks that are spread over all of it. Half of them build the
+dictionaries, the others fit the curve, weighted to the classes' shares among all labels.
 
 Defined results: null and empty texts compress alike under both dictionaries and get the score of a difference of zero;
-with labels of one class only, or none, every score is 0.5; an id with several labels counts with the largest;
+texts of any length are scored whole; equal texts get equal scores; with labels of one class only, or none, every score is 0.5; an id with several labels counts with the largest;
 labels without a text, texts without a label and labels other than 0 and 1 are not learnt from; rows are never dropped by scoring.
 """
 
@@ -23,7 +24,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 1024
-MAX_TEXT = 65_536
 DICT_BYTES = 112_640
 LEVEL = 3
 
@@ -71,7 +71,7 @@ def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict:
 
 
 def build_dictionary(texts: list[bytes]) -> bytes:
-    """A trained dictionary; for too little text to train on, the text itself."""
+    """A trained dictionary of DICT_BYTES at most; for too little text to train on, the text itself."""
     samples = [t[i : i + 2048] for t in texts for i in range(0, len(t), 2048)]
     try:
         return zstandard.train_dictionary(min(DICT_BYTES, max(1024, sum(map(len, samples)) // 10)), samples).as_bytes()
@@ -96,7 +96,15 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return float(beta[0] / unit), float(beta[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, learn_from: Column | None = None) -> Model:
+def excerpt(text: Column, per_text: int) -> Column:
+    """Texts of up to ``per_text`` characters whole; of longer ones that many, in blocks at equal distances from the first to the last."""
+    n = max(2, per_text // BLOCK)
+    at = lambda k: (F.lit(1) + F.floor(k * (F.length(text) - BLOCK) / F.lit(n - 1))).cast("int")
+    spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.substring(text, at(k), F.lit(BLOCK))), "")
+    return F.when(F.length(text) <= F.lit(n * BLOCK), text).otherwise(spread)
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, learn_from: Column | None = None, per_text: int = 65_536) -> Model:
     """Learn from labelled rows of ``docs`` (doc_id, text) for which ``learn_from`` (an expression over doc_id) holds."""
     known = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known if learn_from is None else known.filter(learn_from)
@@ -105,9 +113,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, learn_from: C
         return Model()
     drawn = [known.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for q in (0, 1)]
     ids = F.broadcast(drawn[0].unionByName(drawn[1]))  # at most 2 * per_class rows
-    rows = docs.select("doc_id", "text").filter(F.octet_length("text").between(1, MAX_TEXT)).join(ids, "doc_id")
+    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(ids, "doc_id")
     # Repeated rows of an id could exceed the bound: one row for each id.
-    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    rows = rows.groupBy("doc_id", "quality").agg(F.min(excerpt(F.col("text"), per_text)).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     texts = {q: [r["text"].encode() for r in rows if r["quality"] == q] for q in (0, 1)}
     if min(map(len, texts.values())) < 2:
         return Model()
