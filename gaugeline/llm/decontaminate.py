@@ -275,14 +275,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text contains no benchmark item; no shuffle, as each text is judged where it is read."""
-    out = docs
+    # Columns go through under names of their own, as those of the table may hold dots.
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    out, text = docs.toDF(*names), names[docs.columns.index(text_col)]
+    schema = out.schema
     for matcher in matchers(benchmark, width):
 
         def run(batches: Iterator[pa.RecordBatch], matcher: Matcher = matcher) -> Iterator[pa.RecordBatch]:
-            for part in pieces(batches, text_col):
+            for part in pieces(batches, text):
                 clean = np.ones(part.num_rows, bool)
-                clean[[t for t, *_ in matcher.hits(part.column(text_col), threshold)]] = False
+                clean[[t for t, *_ in matcher.hits(part.column(text), threshold)]] = False
                 yield part.filter(pa.array(clean))
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+        out = out.mapInArrow(run, schema)
+    return out.toDF(*docs.columns)

@@ -101,7 +101,7 @@ def excerpt(text: Column, per_text: int) -> Column:
     n = max(2, per_text // BLOCK)
     at = lambda k: (F.lit(1) + F.floor(k * (F.length(text) - BLOCK) / F.lit(n - 1))).cast("int")
     spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.substring(text, at(k), F.lit(BLOCK))), "")
-    return F.when(F.length(text) <= F.lit(n * BLOCK), text).otherwise(spread)
+    return F.when(F.length(text) > F.lit(n * BLOCK), spread).otherwise(text)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, learn_from: Column | None = None, per_text: int = 65_536) -> Model:
