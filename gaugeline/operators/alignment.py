@@ -1,16 +1,18 @@
 """Per-trial fits and the reference operators.
 
 The relational parts (rigid fits, transforms, residuals) are expressions and aggregates. Splines, monotone cubics, lag
-correlation and the clock fit have no SQL form; they run as grouped maps over one trial at a time.
+correlation and the clock fit have no SQL form; they run on Arrow blocks of whole trials after one shuffle and one sort.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.config import Settings
@@ -18,6 +20,7 @@ from gaugeline.functions import signals
 from gaugeline.functions.columns import aligned_phase, rotate_translate, scenario
 from gaugeline.operators import asof
 from gaugeline.operators.cleaning import difference, ordered
+from gaugeline.operators.grouped import map_trials, numbers_of
 
 TEMPORAL = "b_onset double, b_refined double, b_final double, lag double, best double, second double, ratio double, temporal_status string"
 CLOCK = "clock_model string, scale_a double, offset_b double, candidate_a double, candidate_b double, gain double, mse_constant double, mse_affine double, hit_bound boolean"
@@ -38,87 +41,111 @@ def fit_time(telemetry: DataFrame, tracking: DataFrame, s: Settings, own: str |
         out = trials.selectExpr(key, *empty.split(", "))
         return out.withColumns({"b_onset": F.lit(0.0), "b_refined": F.lit(0.0), "b_final": F.lit(0.0), "temporal_status": F.lit("missing_input"), "clock_model": F.lit("constant_offset"), "scale_a": F.lit(1.0), "offset_b": F.lit(0.0), "gain": F.lit(0.0), "hit_bound": F.lit(False)})
 
-    def fit(trial: tuple, e: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        arrays = [f[c].to_numpy(float) for f, c in ((e, "t"), (e, "s"), (v, "t"), (v, "s"))]
-        t = signals.temporal_offset(*arrays, s, onset_only)
-        c = signals.clock_fit(*arrays, t["b_final"], s)
-        row = [trial[0], *(_none(t[k]) for k in ("b_onset", "b_refined", "b_final", "lag", "best", "second", "ratio")), t["status"]]
-        row += [c["model"], c["a"], _none(c["b"]), *(_none(c[k]) for k in ("candidate_a", "candidate_b", "gain", "mse_constant", "mse_affine")), c["hit_bound"]]
-        return pd.DataFrame([row], columns=[p.split()[0] for p in schema.split(", ")])
+    columns = [p.split()[0] for p in schema.split(", ")]
 
-    left = telemetry.select(key, F.col(own_time).cast("double").alias("t"), F.col(own).cast("double").alias("s"), F.lit(0).alias("__n"))
-    right = tracking.select(key, F.col(other_time).cast("double").alias("t"), F.col(other).cast("double").alias("s"))
-    return left.drop("__n").groupBy(key).cogroup(right.groupBy(key)).applyInPandas(fit, schema)
+    def fit(block: pa.Table, numbers: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for name, e, v in _signal_pairs(block, numbers):
+            offset = signals.temporal_offset(e, v, s, onset_only)
+            clock = signals.clock_fit(e, v, offset.b_final, s)
+            rows.append((name, *(_none(x) for x in offset[:-1]), offset.status, clock.model, *(_none(x) for x in clock[1:-1]), clock.hit_bound))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [block.schema.field(0).type, *_TYPES], strict=True)], columns)
+
+    return map_trials(_both_streams(telemetry, tracking, own, other, own_time, other_time, key), ["stream", "t", "place"], fit, schema)
+
+
+_TYPES = [pa.float64()] * 7 + [pa.string()] * 2 + [pa.float64()] * 7 + [pa.bool_()]
+
+
+def _both_streams(telemetry: DataFrame, tracking: DataFrame, own: str, other: str, own_time: str, other_time: str, key: str) -> DataFrame:
+    """trial, stream (0 or 1), t, s, place of the rows of trials."""
+    place = lambda df: F.col("source_row_index").cast("long") if "source_row_index" in df.columns else F.lit(0).cast("long")
+    pick = lambda df, k, t, v: df.select(key, F.lit(k).alias("stream"), F.col(t).cast("double").alias("t"), F.col(v).cast("double").alias("s"), place(df).alias("place"))
+    return pick(telemetry, 0, own_time, own).unionByName(pick(tracking, 1, other_time, other))
+
+
+def _signal_pairs(block: pa.Table, numbers: np.ndarray) -> Iterator[tuple[object, signals.Signal, signals.Signal]]:
+    """Trial and the signals of its two streams, trial by trial."""
+    t, y, stream = (numbers_of(block, c) for c in ("t", "s", "stream"))
+    edges = np.searchsorted(numbers, np.arange(numbers[-1] + 2))
+    for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        k = a + int(np.searchsorted(stream[a:z], 1))
+        yield block.column(0)[a].as_py(), signals.Signal.of(t[a:k], y[a:k]), signals.Signal.of(t[k:z], y[k:z])
 
 
 def correlation_curve(telemetry: DataFrame, tracking: DataFrame, s: Settings, own: str, other: str, own_time: str = "t", other_time: str = "t", key: str = "trial_id") -> DataFrame:
     """Lag, score and overlap of every evaluated lag of every trial, as rows."""
-    kind = dict(telemetry.dtypes)[key]
+    schema = f"{key} {dict(telemetry.dtypes)[key]}, lag_s double, score double, overlap_s double, status string"
 
-    def curve(trial: tuple, e: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        c = signals.lag_correlation(*signals.clean(e["t"], e["s"]), *signals.clean(v["t"], v["s"]), s)
-        return pd.DataFrame({key: trial[0], "lag_s": c.lags, "score": c.scores, "overlap_s": c.overlap, "status": c.status})
+    def curve(block: pa.Table, numbers: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for name, e, v in _signal_pairs(block, numbers):
+            found, peak = signals.lag_correlation(e, v, s)
+            n = len(found.lags)
+            columns = [pa.array([name] * n, block.schema.field(0).type), pa.array(found.lags), pa.array(found.scores, from_pandas=True), pa.array(found.overlap), pa.array([peak.status] * n, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [p.split()[0] for p in schema.split(", ")])
 
-    pick = lambda df, t, v: df.select(key, F.col(t).cast("double").alias("t"), F.col(v).cast("double").alias("s")).groupBy(key)
-    return pick(telemetry, own_time, own).cogroup(pick(tracking, other_time, other)).applyInPandas(curve, f"{key} {kind}, lag_s double, score double, overlap_s double, status string")
+    return map_trials(_both_streams(telemetry, tracking, own, other, own_time, other_time, key), ["stream", "t", "place"], curve, schema)
 
 
 def query_reference(queries: DataFrame, samples: DataFrame, values: Sequence[str], methods: Sequence[str] = signals.METHODS, key: str = "trial_id", query_time: str = "t", sample_time: str = "t", identity: str = "source_row_index") -> DataFrame:
     """Rows (key, identity, query time, method, ref_*, valid) of each query under each method; no extrapolation.
 
-    Holds and linear interpolation are window expressions; the two cubics need a trial's knots together.
+    Queries and samples are united, shuffled once and sorted once; all methods are worked out in one pass over blocks of whole trials. Of
+    samples with equal times the first counts.
     """
     if unknown := set(methods) - set(signals.METHODS):
         raise ValueError(f"unknown methods: {sorted(unknown)}")
-    q = queries.select(key, identity, F.col(query_time).cast("double").alias("t"))
-    v = samples.select(key, F.col(sample_time).cast("double").alias("t"), *[F.col(c).cast("double").alias(c) for c in values], F.col(identity).alias("__id") if identity in samples.columns else F.lit(0).alias("__id"))
-    v = v.filter(" and ".join(f"{c} is not null" for c in ("t", *values)))
-    parts = []
-    # The first of samples with equal times counts, as in the grouped maps.
-    unique = v.groupBy(key, "t").agg(F.min_by(F.struct(*values), "__id").alias("__s")).select(key, "t", "__s.*")
-    for method, join in (("zoh", asof.zero_order_hold), ("linear", asof.linear)):
-        if method in methods:
-            parts.append(join(q, unique, values, key=key).withColumn("method", F.lit(method)))
-    cubics = [m for m in methods if m in ("pchip", "spline")]
-    if cubics:
-        kinds = dict(queries.dtypes)
-        schema = f"{key} {kinds[key]}, {identity} {kinds[identity]}, t double, " + ", ".join(f"ref_{c} double" for c in values) + ", valid boolean, method string"
-
-        def run(trial: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            knots = signals.clean(b["t"], *[b[c] for c in values])
-            frames = []
-            for m in cubics:
-                out = pd.DataFrame({key: a[key], identity: a[identity], "t": a["t"]})
-                for c, y in zip(values, knots[1:], strict=True):
-                    out[f"ref_{c}"] = signals.query(m, knots[0], y, a["t"].to_numpy(float))
-                out["valid"] = np.isfinite(out[[f"ref_{c}" for c in values]].to_numpy(float)).all(axis=1)
-                out[[f"ref_{c}" for c in values]] = out[[f"ref_{c}" for c in values]].astype(object).where(out["valid"], None)
-                frames.append(out.assign(method=m))
-            return pd.concat(frames, ignore_index=True)[[p.split()[0] for p in schema.split(", ")]]
-
-        parts.append(q.groupBy(key).cogroup(unique.groupBy(key)).applyInPandas(run, schema))
+    proper = lambda c: F.col(c).isNotNull() & (F.abs(c) < float("inf"))
+    blank = [F.lit(None).cast("double").alias(c) for c in values]
+    kind = dict(queries.dtypes)[identity]
+    q = queries.select(key, F.col(query_time).cast("double").alias("t"), F.lit(1).alias("side"), F.lit(0).cast("long").alias("place"), F.col(identity).alias("id"), *blank)
+    place = F.col(identity).cast("long") if identity in samples.columns else F.lit(0).cast("long")
+    v = samples.select(key, F.col(sample_time).cast("double").alias("t"), F.lit(0).alias("side"), place.alias("place"), F.lit(None).cast(kind).alias("id"), *[F.col(c).cast("double").alias(c) for c in values])
+    v = v.filter(reduce(Column.__and__, [proper(c) for c in ("t", *values)]))
     columns = [key, identity, "t", "method", *[f"ref_{c}" for c in values], "valid"]
-    out = parts[0].select(*columns)
-    for p in parts[1:]:
-        out = out.unionByName(p.select(*columns))
-    return out
+    schema = f"{key} {dict(queries.dtypes)[key]}, {identity} {kind}, t double, method string, " + ", ".join(f"ref_{c} double" for c in values) + ", valid boolean"
+
+    def work(block: pa.Table, numbers: np.ndarray) -> Iterator[pa.RecordBatch]:
+        t, asked = numbers_of(block, "t"), numbers_of(block, "side") == 1
+        knot = ~asked
+        # Equal times are neighbours, as queries at a time come after its samples.
+        at = np.flatnonzero(knot)
+        again = np.append(False, (t[at][1:] == t[at][:-1]) & (numbers[at][1:] == numbers[at][:-1]))[: len(at)]
+        knot[at[again]] = False
+        at = at[~again]
+        knots = signals.Knots(t[at], np.stack([numbers_of(block, c)[at] for c in values]), numbers[at])
+        last = (np.cumsum(knot) - 1)[asked]
+        rows = block.select([key, "id", "t"]).filter(pa.array(asked)).combine_chunks()
+        if not rows.num_rows:
+            return
+        carried = [rows.column(c).combine_chunks() for c in (key, "id", "t")]
+        for method in methods:
+            found = knots.at(method, last, numbers[asked], t[asked])
+            good = np.isfinite(found).all(axis=0)
+            yield pa.RecordBatch.from_arrays([*carried, pa.array([method] * len(good), pa.string()), *(pa.array(f, mask=~good) for f in found), pa.array(good)], columns)
+
+    return map_trials(q.unionByName(v), [F.col("t").asc_nulls_first(), "side", "place"], work, schema)
 
 
 def spline_knots(samples: DataFrame, values: Sequence[str], key: str = "trial_id", time: str = "t") -> DataFrame:
     """Knots of the natural cubic trajectory with second derivatives (m_*): at least four knots, else no rows for the trial."""
-    kind = dict(samples.dtypes)[key]
-    schema = f"{key} {kind}, t double, " + ", ".join(f"{c} double, m_{c} double" for c in values)
-
-    def knots(trial: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        t, *ys = signals.clean(f[time], *[f[c] for c in values])
-        if len(t) < 4:
-            return pd.DataFrame(columns=[p.split()[0] for p in schema.split(", ")])
-        out = {key: trial[0], "t": t}
-        for c, y in zip(values, ys, strict=True):
-            out |= {c: y, f"m_{c}": signals.natural_moments(t, y)}
-        return pd.DataFrame(out)
-
-    return samples.select(key, F.col(time).cast("double").alias(time), *[F.col(c).cast("double").alias(c) for c in values]).groupBy(key).applyInPandas(knots, schema)
+    schema = f"{key} {dict(samples.dtypes)[key]}, {time} double, " + ", ".join(f"{c} double, m_{c} double" for c in values)
+
+    def knots(block: pa.Table, numbers: np.ndarray) -> Iterator[pa.RecordBatch]:
+        t, y = numbers_of(block, time), np.stack([numbers_of(block, c) for c in values])
+        good = np.isfinite(t) & np.isfinite(y).all(axis=0)
+        at = np.flatnonzero(good)
+        at = at[np.append(True, (np.diff(t[at]) != 0) | (np.diff(numbers[at]) != 0))[: len(at)]]
+        at = at[np.bincount(numbers[at], minlength=int(numbers[-1]) + 1)[numbers[at]] >= 4]
+        if not len(at):
+            return
+        own = signals.Knots(t[at], y[:, at], numbers[at])
+        pairs = [pa.array(c) for each in zip(own.y, own.moments(), strict=True) for c in each]
+        yield pa.RecordBatch.from_arrays([block.column(0).combine_chunks().take(pa.array(at)), pa.array(own.t), *pairs], [p.split()[0] for p in schema.split(", ")])
+
+    place = [F.col("source_row_index").cast("long").alias("place")] if "source_row_index" in samples.columns else [F.lit(0).cast("long").alias("place")]
+    picked = samples.select(key, F.col(time).cast("double").alias(time), *[F.col(c).cast("double").alias(c) for c in values], *place)
+    return map_trials(picked, [time, "place"], knots, schema)
 
 
 def query_knots(queries: DataFrame, knots: DataFrame, values: Sequence[str], key: str = "trial_id", time: str = "t") -> DataFrame:

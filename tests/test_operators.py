@@ -74,15 +74,44 @@ def test_linear_functions_are_kept(knots, line):
     assert np.isnan(signals.query("spline", t, y, np.array([t[0] - 1, t[-1] + 1, np.nan]))).all()
 
 
+def dense_moments(t, y):
+    """Of the natural cubic spline, from the full matrix."""
+    n = len(t)
+    a, r = np.eye(n), np.zeros(n)
+    for i in range(1, n - 1):
+        h0, h1 = t[i] - t[i - 1], t[i + 1] - t[i]
+        a[i, i - 1 : i + 2] = h0, 2 * (h0 + h1), h1
+        r[i] = 6 * ((y[i + 1] - y[i]) / h1 - (y[i] - y[i - 1]) / h0)
+    return np.linalg.solve(a, r)
+
+
+def test_splines_of_many_trials_side_by_side():
+    rng = np.random.default_rng(8)
+    sizes = [1, 2, 3, 4, 5, 9, 40, 3, 1, 257, 64]
+    t = [np.cumsum(rng.uniform(0.1, 2, n)) for n in sizes]
+    y = [rng.normal(size=n) for n in sizes]
+    knots = signals.Knots(np.concatenate(t), np.stack([np.concatenate(y), -2 * np.concatenate(y)]), np.repeat(np.arange(3, 3 + len(sizes)), sizes))
+    want = np.concatenate([dense_moments(a, b) for a, b in zip(t, y, strict=True)])
+    assert np.allclose(knots.moments(), [want, -2 * want], atol=1e-9)
+    for m in signals.METHODS:
+        at = 0
+        for k, (a, b) in enumerate(zip(t, y, strict=True)):
+            q = np.concatenate([a, rng.uniform(a[0] - 1, a[-1] + 1, 20)])
+            found = knots.at(m, at + np.searchsorted(a, q, "right") - 1, np.full(len(q), 3 + k), q)
+            assert np.allclose(found[0], signals.query(m, a, b, q), equal_nan=True) and np.allclose(found[1], -2 * found[0], equal_nan=True)
+            assert (found[0][: len(a)] == b).all() and np.isnan(found[0][(q < a[0]) | (q > a[-1])]).all()
+            at += len(a)
+
+
 def test_natural_spline_ends_and_smoothness():
     t, y = np.array([0.0, 1, 2.5, 3, 5]), np.array([1.0, -2, 0, 4, 1])
-    m = signals.natural_moments(t, y)
+    m = signals.Knots(t, y[None, :], np.zeros(5, int)).moments()[0]
     assert m[0] == m[-1] == 0
     e = 1e-4
-    slope = lambda x: (signals.cubic(t, y, m, np.array([x + e])) - signals.cubic(t, y, m, np.array([x - e])))[0] / (2 * e)
+    slope = lambda x: np.diff(signals.query("spline", t, y, np.array([x - e, x + e])))[0] / (2 * e)
     for knot in t[1:-1]:
         assert slope(knot - 2 * e) == pytest.approx(slope(knot + 2 * e), abs=0.02)
-        assert signals.cubic(t, y, m, np.array([knot]))[0] == pytest.approx(y[list(t).index(knot)])
+        assert signals.query("spline", t, y, np.array([knot]))[0] == pytest.approx(y[list(t).index(knot)])
 
 
 def test_monotone_cubic_stays_between_samples():
@@ -103,13 +132,48 @@ def test_rigid_fit_recovers_motion(theta, x, y):
 def test_lag_and_clock_recovered():
     t = np.arange(0, 40, 0.05)
     x = np.sin(t) + np.sin(2.7 * t) + np.sin(0.31 * t)
-    c = signals.lag_correlation(t, x, t + 1.5, x, Settings())
-    assert c.status == "ok" and c.best_lag == pytest.approx(1.5)
-    assert len(signals.lag_grid(5.0, 0.05)) == 201
-    fit = signals.clock_fit(t, x, 1.02 * t + 0.3, x, 0.3, Settings())
-    assert fit["model"] == "affine" and fit["a"] == pytest.approx(1.02, abs=1e-3) and fit["b"] == pytest.approx(0.3, abs=0.02)
-    same = signals.clock_fit(t, x, t + 0.3, x, 0.3, Settings())
-    assert same["model"] == "constant_offset" and same["a"] == 1.0
+    _, peak = signals.lag_correlation(signals.Signal(t, x), signals.Signal(t + 1.5, x), Settings())
+    assert peak.status == "ok" and peak.lag == pytest.approx(1.5)
+    fit = signals.clock_fit(signals.Signal(t, x), signals.Signal(1.02 * t + 0.3, x), 0.3, Settings())
+    assert fit.model == "affine" and fit.a == pytest.approx(1.02, abs=1e-3) and fit.b == pytest.approx(0.3, abs=0.02)
+    same = signals.clock_fit(signals.Signal(t, x), signals.Signal(t + 0.3, x), 0.3, Settings())
+    assert same.model == "constant_offset" and same.a == 1.0
+
+
+def test_lag_grids():
+    assert len(signals.lag_grid(5.0, 0.05)) == 201 and np.allclose(signals.lag_grid(5.0, 0.05), np.linspace(-5, 5, 201))
+    assert signals.lag_grid(0.12, 0.05).tolist() == pytest.approx([-0.12, -0.1, -0.05, 0, 0.05, 0.1, 0.12])
+    assert signals.lag_grid(0.0, 0.05).tolist() == [0] and not len(signals.lag_grid(math.nan, 1)) and not len(signals.lag_grid(1, 0))
+
+
+def test_correlations_against_one_lag_at_a_time(monkeypatch):
+    rng = np.random.default_rng(5)
+    a = signals.Signal(np.cumsum(rng.uniform(0.02, 0.2, 200)), rng.normal(size=200).cumsum())
+    b = signals.Signal(np.cumsum(rng.uniform(0.02, 0.2, 150)) + 1, rng.normal(size=150).cumsum())
+    lags = signals.lag_grid(3.0, 0.25)
+    want = []
+    for lag in lags:
+        low, high = max(a.t[0], b.t[0] - lag), min(a.t[-1], b.t[-1] - lag)
+        q = low + 0.25 * np.arange(int((high - low) / 0.25) + 1)
+        q = q[(q >= a.t[0]) & (q <= a.t[-1]) & (q + lag >= b.t[0]) & (q + lag <= b.t[-1])]  # rounding may leave an end out
+        want.append(np.corrcoef(np.interp(q, *a), np.interp(q + lag, *b))[0, 1])
+    for points in (1 << 20, 50):
+        monkeypatch.setattr(signals, "POINTS", points)
+        assert np.allclose(signals.correlations(a, b, lags, 0.25, 5.0).scores, want)
+    assert np.isnan(signals.correlations(a, b, lags, 0.25, 1e6).scores).all()
+
+
+def test_choice_of_lags():
+    s = Settings()
+    lags = np.arange(-5, 6.0)
+    curve = lambda **high: signals.Curve(lags, np.array([high.get(f"m{-int(x)}" if x < 0 else f"p{int(x)}", 0.0) for x in lags]), lags * 0)
+    assert signals.choose(curve(m2=0.9, p2=0.9), s)[:3] == (-2.0, 0.9, 0.9)
+    assert signals.choose(curve(p1=0.9, m2=0.9, p4=0.3), s).lag == 1.0
+    assert signals.choose(signals.Curve(lags, lags * math.nan, lags), s) == signals.Peak()
+    assert signals.choose(curve(p5=0.9), s).status == "boundary_limit"
+    assert signals.choose(curve(p1=s.min_correlation / 2), s).status == "low_correlation"
+    assert signals.choose(curve(p1=0.9, m3=0.9 / s.min_peak_ratio + 0.01), s).status == "ambiguous"
+    assert signals.choose(curve(p1=0.9), s).status == "ok"
 
 
 def test_peaks_of_plateaus():
@@ -117,9 +181,9 @@ def test_peaks_of_plateaus():
 
 
 def test_onset_falls_back():
-    assert signals.onset(np.array([1.0, 2, 3]), np.array([0, 0.6, 1]), 0.5) == 2.0
-    assert signals.onset(np.array([1.0, 2]), np.array([0, 0.1]), 0.5) == 1.0
-    assert math.isnan(signals.onset(np.array([]), np.array([])))
+    assert signals.Signal(np.array([1.0, 2, 3]), np.array([0, 0.6, 1])).onset(0.5) == 2.0
+    assert signals.Signal(np.array([1.0, 2]), np.array([0, 0.1])).onset(0.5) == 1.0
+    assert math.isnan(signals.Signal(np.array([]), np.array([])).onset())
 
 
 # ------------------------------------------------------------------ inference
