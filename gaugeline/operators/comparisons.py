@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.config import Settings
@@ -120,40 +120,119 @@ def h3(telemetry: DataFrame, tracking: DataFrame, bounds: DataFrame, ledger: Dat
     return wide.select("trial_id", F.inline(modes), "delta_rmse_mm", "common_support_count", "common_support_hash", "support_status", "valid_for_paper", "reason")
 
 
-def baseline(telemetry: DataFrame, tracking: DataFrame, times: DataFrame, final: DataFrame, tiers: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """The engineering baseline (onset offset, no clock scale, fit on the whole trajectory) against the final arm.
+def baseline(telemetry: DataFrame, tracking: DataFrame, times: DataFrame, final: DataFrame, tiers: DataFrame, s: Settings) -> DataFrame:
+    """The engineering baseline (onset offset, no clock scale, fit on the whole trajectory, zero-order hold) against the final arm.
 
-    Returns the scored trials and the excluded ones with reasons: a baseline that doesn't cover every row of the final arm's
+    A row for each trial of ``tiers``, with a reason where it isn't scored: a baseline that doesn't cover every row of the final arm's
     support isn't scored on fewer rows instead.
     """
     clock = times.select("trial_id", F.lit(1.0).alias("scale_a"), F.col("b_onset").alias("offset_b"))
     spatial = alignment.spatial_fit(telemetry, tracking, clock, s)
-    arm = alignment.align(telemetry, tracking, _parameters(clock, spatial), s)
+    arm = alignment.align(telemetry, tracking, _parameters(clock, spatial), s, "zoh")
     both = score({"baseline": arm, "final": final})
     expected = held_out(final).groupBy("trial_id").agg(F.count_distinct("source_row_index").alias("canonical_support_count"))
-    rows = tiers.select("trial_id", "dataset_tier").join(expected, "trial_id", "left").join(both, "trial_id", "left").join(spatial.select("trial_id", F.col("theta_rad").alias("baseline_theta_rad"), F.col("tx").alias("baseline_tx"), F.col("ty").alias("baseline_ty")), "trial_id", "left")
-    rows = rows.withColumn("delta_rmse_mm", F.col("baseline_rmse_mm") - F.col("final_rmse_mm"))
+    fits = spatial.select("trial_id", F.col("theta_rad").alias("baseline_theta_rad"), F.col("tx").alias("baseline_tx"), F.col("ty").alias("baseline_ty"))
+    rows = tiers.select("trial_id", "dataset_tier")
+    for side in (expected, both, fits):
+        rows = rows.join(side, "trial_id", "left")
+    rows = rows.withColumns({"delta_rmse_mm": F.col("baseline_rmse_mm") - F.col("final_rmse_mm"), "common_support_count": F.coalesce("common_support_count", F.lit(0))})
     reason = (
         F.when(F.col("canonical_support_count").isNull(), "canonical_support_missing").when(F.col("baseline_theta_rad").isNull(), "baseline_spatial_fit_invalid")
-        .when(F.coalesce("common_support_count", F.lit(0)) != F.col("canonical_support_count"), "baseline_common_support_does_not_cover_canonical_support").when(F.col("delta_rmse_mm").isNull(), "paired_score_metrics_non_finite")
+        .when(F.col("common_support_count") != F.col("canonical_support_count"), "baseline_common_support_does_not_cover_canonical_support").when(finite(F.col("delta_rmse_mm")).isNull(), "paired_score_metrics_non_finite")
     )
-    rows = rows.withColumn("reason", reason)
-    good = rows.filter("reason is null").select("trial_id", "dataset_tier", "baseline_rmse_mm", F.col("final_rmse_mm").alias("final_rmse_mm"), "delta_rmse_mm", "common_support_count", "common_support_hash", "baseline_theta_rad", "baseline_tx", "baseline_ty")
-    return good, rows.filter("reason is not null").select("trial_id", "dataset_tier", "reason", F.coalesce("common_support_count", F.lit(0)).alias("baseline_common_support_count"), "canonical_support_count")
-
-
-def inference(h1_rows: DataFrame, h2_rows: DataFrame, h3_rows: DataFrame, tiers: DataFrame) -> DataFrame:
-    """The family of tests over the planned and all populations, Holm-adjusted within the planned one, with decisions."""
-    populations = tiers.select("trial_id", F.explode(F.when(F.col("dataset_tier") == "planned_405", F.array(F.lit("planned"), F.lit("all"))).otherwise(F.array(F.lit("all")))).alias("population"))
-    one = h1_rows.filter("valid_for_paper").select("trial_id", F.lit("H1").alias("hypothesis_id"), F.col("onset_rmse_mm").alias("a"), F.col("refined_rmse_mm").alias("b"))
-    three = h3_rows.filter("valid_for_paper").groupBy("trial_id").pivot("calibration_mode", ["split", "full"]).agg(F.first("heldout_rmse_mm")).select("trial_id", F.lit("H3").alias("hypothesis_id"), F.col("split").alias("a"), F.col("full").alias("b"))
-    two = statistics.contrasts(h2_rows, METHODS, value="rmse_mm").select("trial_id", F.concat(F.lit("H2 "), "contrast").alias("hypothesis_id"), "a", "b")
-    rows = one.unionByName(two).unionByName(three).join(populations, "trial_id")
-    tests = statistics.signed_rank_tests(rows, "a", "b", ["hypothesis_id", "population"])
+    return rows.select("trial_id", "dataset_tier", "baseline_rmse_mm", "final_rmse_mm", "delta_rmse_mm", "common_support_count", "common_support_hash", "baseline_theta_rad", "baseline_tx", "baseline_ty", "canonical_support_count", reason.alias("reason"))
+
+
+#: Populations of tests, and the tiers of their trials.
+POPULATIONS = {"planned": ("planned_405",), "all": ("planned_405", "extended_previous_paper")}
+MODES = ("split", "full")
+
+
+def _near(a: Column, b: Column) -> Column:
+    return F.abs(a - b) <= 1e-9 + 1e-7 * F.abs(b)
+
+
+def h1_eligible(rows: DataFrame) -> DataFrame:
+    """h1() rows with ``why_not``: the first check that fails, or NULL. Only such rows are tested whose difference follows from their arms."""
+    refused = (
+        F.when(~F.coalesce("valid_for_paper", F.lit(False)), "not_valid").when(finite(F.col("delta_rmse_mm")).isNull(), "delta_not_finite").when(F.coalesce("common_support_count", F.lit(0)) <= 0, "support_empty")
+        .when(F.length(F.coalesce("common_support_hash", F.lit(""))) == 0, "support_hash_missing").when(F.coalesce("fit_status", F.lit("")) != "ok", "fit_not_ok")
+        .when(~F.coalesce(_near(F.col("onset_rmse_mm") - F.col("refined_rmse_mm"), F.col("delta_rmse_mm")), F.lit(False)), "delta_differs_from_arms")
+    )
+    return rows.withColumn("why_not", refused)
+
+
+def h3_eligible(rows: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+    """One row for each trial of h3(): both arms side by side, and ``why_not``. ``ledger``: to check keys of the fit against the partition."""
+    wide = rows.groupBy("trial_id").agg(
+        F.count("*").alias("n_rows"), F.count_distinct("calibration_mode").alias("n_modes"), F.bool_and(F.coalesce("valid_for_paper", F.lit(False))).alias("valid"), F.min("delta_rmse_mm").alias("delta"), F.max("delta_rmse_mm").alias("delta_b"), F.count("delta_rmse_mm").alias("n_delta"),
+        F.min("common_support_count").alias("support"), F.max("common_support_count").alias("support_b"), F.min("common_support_hash").alias("hash"), F.max("common_support_hash").alias("hash_b"), F.count("common_support_hash").alias("n_hash"),
+        F.bool_and(F.col("support_status") == "valid").alias("support_valid"), *[F.max(F.when(F.col("calibration_mode") == m, F.col("heldout_rmse_mm"))).alias(m) for m in MODES],
+    )
+    if ledger is not None:
+        own = ledger.filter("stream = 'ev3'").groupBy("trial_id").agg(*[F.max(F.when(F.col("partition") == p, F.size("source_rows"))).alias(f"n_{p}") for p in ("calibration", "evaluation")], F.max(F.when(F.col("partition") == "evaluation", F.col("identity_hash"))).alias("evaluation_hash"))
+        wide = wide.join(own, "trial_id", "left")
+    refused = (
+        F.when((F.col("n_rows") != 2) | (F.col("n_modes") != 2), "not_one_row_for_each_mode").when(~F.coalesce("valid", F.lit(False)), "not_valid").when((F.col("n_delta") != 2) | finite(F.col("delta")).isNull(), "delta_not_finite")
+        .when(finite(F.col("split")).isNull() | finite(F.col("full")).isNull(), "score_not_finite").when(F.coalesce("support", F.lit(0)) <= 0, "support_empty").when(F.col("support") != F.col("support_b"), "support_counts_differ")
+        .when((F.col("n_hash") != 2) | (F.length("hash") == 0), "support_hash_missing").when(F.col("hash") != F.col("hash_b"), "support_hashes_differ").when(~F.coalesce("support_valid", F.lit(False)), "support_not_valid")
+        .when(~_near(F.col("delta"), F.col("delta_b")), "deltas_differ").when(~_near(F.col("split") - F.col("full"), F.col("delta")), "delta_differs_from_arms")
+    )
+    if ledger is not None:
+        refused = (
+            refused.when(F.coalesce("n_calibration", F.lit(0)) <= 0, "split_fit_without_keys").when(F.coalesce("n_evaluation", F.lit(0)) <= 0, "no_evaluation_keys_to_leak")
+            .when(F.col("evaluation_hash").isNull(), "partition_hash_missing").when(F.col("support") > F.col("n_evaluation"), "support_beyond_evaluation_keys")
+        )
+    return wide.withColumn("why_not", refused)
+
+
+def _populations(tiers: DataFrame) -> DataFrame:
+    names = F.array_compact(F.array(*[F.when(F.col("dataset_tier").isin(*t), F.lit(p)) for p, t in POPULATIONS.items()]))
+    return tiers.select("trial_id", F.explode(names).alias("population"))
+
+
+def h2_friedman(h2_rows: DataFrame, tiers: DataFrame) -> DataFrame:
+    """The Friedman test over trials with all four operators on one shared support, for both populations."""
+    rows = h2_rows.filter("status = 'success'").select("trial_id", "method", F.col("rmse_mm").alias("value"), "common_support_hash").join(_populations(tiers), "trial_id")
+    return statistics.friedman_tests(rows, METHODS, ["population"], support="common_support_hash")
+
+
+def h2_posthoc(h2_rows: DataFrame, tiers: DataFrame) -> DataFrame:
+    """Signed rank tests of all pairs of operators, Holm-adjusted within each population."""
+    whole = statistics.complete_blocks(h2_rows.filter("status = 'success'"), METHODS, value="rmse_mm", support="common_support_hash")
+    rows = statistics.contrasts(whole, METHODS, value="rmse_mm").join(_populations(tiers), "trial_id")
+    return statistics.holm(statistics.signed_rank_tests(rows, "a", "b", ["population", "contrast"]), family=["population"])
+
+
+def inference(h1_rows: DataFrame, h2_rows: DataFrame, h3_rows: DataFrame, tiers: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+    """H1, H2 and H3 over the planned and all populations, Holm-adjusted within the planned one, with decisions.
+
+    A hypothesis that has no eligible trial in a population has a row too, with n = 0 and the commonest reason why not.
+    """
+    members = _populations(tiers)
+    one, three = h1_eligible(h1_rows), h3_eligible(h3_rows, ledger)
+    pairs = one.filter("why_not is null").select("trial_id", F.lit("H1").alias("hypothesis_id"), F.col("onset_rmse_mm").alias("a"), F.col("refined_rmse_mm").alias("b"))
+    pairs = pairs.unionByName(three.filter("why_not is null").select("trial_id", F.lit("H3").alias("hypothesis_id"), F.col("split").alias("a"), F.col("full").alias("b")))
+    signed = statistics.signed_rank_tests(pairs.join(members, "trial_id"), "a", "b", ["hypothesis_id", "population"])
+    joint = h2_friedman(h2_rows, tiers).select(F.lit("H2").alias("hypothesis_id"), "population", "n", "statistic", "p_value", "kendall_w", "status")
+    tests = signed.unionByName(joint, allowMissingColumns=True)
+    refused = one.select("trial_id", F.lit("H1").alias("hypothesis_id"), "why_not").unionByName(three.select("trial_id", F.lit("H3").alias("hypothesis_id"), "why_not")).filter("why_not is not null").join(members, "trial_id")
+    counts = refused.groupBy("hypothesis_id", "population", "why_not").agg(F.count("*").alias("c"))
+    commonest = counts.groupBy("hypothesis_id", "population").agg(F.max_by("why_not", F.struct("c", "why_not")).alias("reason"))
+    names = F.array(*[F.struct(F.lit(h).alias("hypothesis_id"), F.lit(p).alias("population")) for h in ("H1", "H2", "H3") for p in POPULATIONS])
+    every = tests.sparkSession.range(1).select(F.inline(names))
+    tests = every.join(tests, ["hypothesis_id", "population"], "left").join(commonest, ["hypothesis_id", "population"], "left")
+    tests = tests.withColumns({"n": F.coalesce("n", F.lit(0)), "reason": F.when(F.coalesce("n", F.lit(0)) == 0, F.coalesce("reason", F.lit("no_rows"))), "status": F.coalesce("status", F.lit("insufficient_or_no_eligible_rows"))})
     family = tests.withColumn("p_family", F.when(F.col("population") == "planned", F.col("p_value")))
     adjusted = statistics.holm(family, "p_family", "p_adjusted", ["population"])
     return adjusted.drop("p_family").withColumn("decision", statistics.decide(F.col("n"), F.coalesce("p_adjusted", "p_value")))
 
 
+def conclusion_stability(decisions: DataFrame) -> DataFrame:
+    """Whether each hypothesis is decided alike over the planned and over all trials."""
+    wide = decisions.groupBy("hypothesis_id").agg(*[F.max(F.when(F.col("population") == p, F.col(c))).alias(f"{p}_{c}") for p in POPULATIONS for c in ("n", "decision")])
+    return wide.withColumn("stable", F.col("planned_decision") == F.col("all_decision"))
+
+
 def ledger_of(telemetry: DataFrame, tracking: DataFrame) -> DataFrame:
     return quality.ledger(telemetry.unionByName(tracking, allowMissingColumns=True))

@@ -77,11 +77,11 @@ def cascade(ledger: DataFrame, metrics: DataFrame, support: DataFrame) -> DataFr
     """
     final = ledger.filter("gate = 'final_alignment_valid'").select("trial_id", F.col("gate_status").alias("final_gate"))
     rows = ledger.select("trial_id", "dataset_tier").distinct().join(final, "trial_id", "left").join(metrics, "trial_id", "left").join(support, "trial_id", "left")
+    # What is wrong with the gate comes before anything about the support.
     reason = (
-        F.when(F.col("final_gate").isNull(), "missing_trial_gate_record").when(~F.col("final_gate").isin("passed", "failed"), "gate_status_unrecognized")
-        .when(F.col("support_hash").isNull(), "support_hash_unavailable").when(F.col("support_status") != "valid", "support_validation_failed")
-        .when(F.col("support_hash") != F.col("expected_hash"), "support_hash_mismatch").when(F.coalesce(F.col("status"), F.lit("missing")) != "success", F.coalesce("status", F.lit("missing_canonical_provenance_artifact")))
-        .when(F.col("final_gate") == "failed", "final_gate_failed")
+        F.when(F.col("final_gate").isNull(), "missing_trial_gate_record").when(F.col("final_gate") == "failed", "final_gate_failed").when(F.col("final_gate") != "passed", "gate_status_unrecognized")
+        .when(F.col("support_hash").isNull(), "support_hash_unavailable").when(F.col("support_status") != "valid", "support_validation_failed").when(F.col("support_hash") != F.col("expected_hash"), "support_hash_mismatch")
+        .when(F.col("status").isNull(), "missing_canonical_provenance_artifact").when(F.col("status") != "success", F.col("status"))
     )
     grid = rows.select("trial_id", "dataset_tier", "rmse_mm", reason.alias("why"), F.explode(F.array(*[F.lit(s) for s in STAGES])).alias("stage"))
     last = F.col("stage") == STAGES[-1]

@@ -93,14 +93,58 @@ def repeatability(df: DataFrame, column: str, group: str = "scenario_id", limit:
     return out.withColumns({"cv": cv, "status": F.when(F.col("n") < 2, "insufficient_repetitions").when(F.col("std") <= limit, "repeatable").otherwise("variable")})
 
 
+def _parameters(df: DataFrame) -> DataFrame:
+    """Rotation in degrees and the translation's length in mm beside a trial's parameters."""
+    return df.withColumns({"rotation_deg": F.degrees("theta_rad"), "translation_mm": F.hypot("tx", "ty") * 1000})
+
+
+def scenario_repeatability(df: DataFrame, expected: int = 5, limit: float = 50.0) -> DataFrame:
+    """For each scenario: repetitions, spread of the error, and spreads of offset, rotation and translation (0 for a single one).
+
+    ``df``: scenario_id, rmse_mm, ate_mm, rpe_mm, offset_s, theta_rad, tx, ty.
+    """
+    spread = lambda c: F.when(F.count(c) > 1, F.stddev_samp(c)).when(F.count(c) == 1, 0.0)
+    both = [x for c in ("ate_mm", "rpe_mm") for x in (F.avg(c).alias(f"mean_{c}"), F.stddev_samp(c).alias(f"std_{c}"))]
+    both += [x for c in ("offset_s", "rotation_deg", "translation_mm") for x in (F.avg(c).alias(f"mean_{c}"), spread(c).alias(f"std_{c}"))]
+    quartiles = F.percentile("rmse_mm", F.lit(0.75)) - F.percentile("rmse_mm", F.lit(0.25))
+    out = _parameters(df).groupBy("scenario_id").agg(F.count("*").alias("repetitions"), F.avg("rmse_mm").alias("mean_rmse_mm"), F.stddev_samp("rmse_mm").alias("std_rmse_mm"), F.median("rmse_mm").alias("median_rmse_mm"), quartiles.alias("iqr_rmse_mm"), *both)
+    # Without a spread, as of one repetition, nothing is below the limit.
+    status = F.when(F.col("std_rmse_mm") < limit, "acceptable").otherwise("high_variance")
+    return out.withColumns({"missing_repetitions": F.lit(expected) - F.col("repetitions"), "cv_rmse": F.when(F.col("mean_rmse_mm") > 0, F.col("std_rmse_mm") / F.col("mean_rmse_mm")).otherwise(0.0), "status": status})
+
+
+def parameter_stability(df: DataFrame) -> DataFrame:
+    """Parameters and errors of every trial side by side."""
+    return _parameters(df).select("scenario_id", "trial_id", "offset_s", "rotation_deg", "tx", "ty", "translation_mm", "fit_rmse_mm", "rmse_mm", "ate_mm", "rpe_mm", F.lit("stable").alias("status"))
+
+
+def scenario_robustness(df: DataFrame, limit: float = 50.0) -> DataFrame:
+    """For each scenario: error, what makes it hard, and its place from the least error on.
+
+    ``df``: scenario_id, rmse_mm, ate_mm, rpe_mm, peak_ratio, irregularity, temporal_status. Scenarios are as many as a design has cells.
+    """
+    mean = F.avg("rmse_mm")
+    out = df.groupBy("scenario_id").agg(
+        F.count("*").alias("repetitions"), mean.alias("mean_rmse_mm"), F.median("rmse_mm").alias("median_rmse_mm"), F.percentile("rmse_mm", F.lit(0.95)).alias("p95_rmse_mm"), F.avg("ate_mm").alias("mean_ate_mm"), F.avg("rpe_mm").alias("mean_rpe_mm"),
+        F.avg("irregularity").alias("mean_irregularity"), F.avg(finite(F.col("peak_ratio"))).alias("mean_peak_ratio"), F.avg(F.when(F.col("temporal_status").isNotNull(), (F.col("temporal_status") != "ok").cast("int"))).alias("temporal_ambiguity_rate"),
+        F.when(mean < limit, "robust").otherwise("brittle").alias("status"), (mean / 100).alias("difficulty_score"), F.when(mean > limit, "hard").otherwise("easy").alias("difficulty"),
+    )
+    return out.withColumn("place", F.row_number().over(Window.orderBy(F.col("mean_rmse_mm").asc_nulls_last(), "scenario_id")))
+
+
+def group_summary(df: DataFrame, group: Sequence[str], columns: Sequence[str] = ("rmse_mm",)) -> DataFrame:
+    """summary() over all rows, by each of the grouping columns and by all of them, in one pass: a column is NULL where it isn't grouped by."""
+    sets = [[], *[[F.col(g)] for g in group], *([[F.col(g) for g in group]] if len(group) > 1 else [])]
+    return df.groupingSets(sets, *[F.col(g) for g in group]).agg(F.grouping_id().alias("level"), *summary(columns))
+
+
 def variance_decomposition(df: DataFrame, column: str, group: str = "scenario_id") -> DataFrame:
     """Overall variance, that of the group means, and what is left, at least 0."""
-    # Both levels come from one pass over the rows: group sums, counts and squares.
+    # Moments are merged from groups' own, as sums of squares would cancel for values far from 0.
     v = F.col(column)
-    groups = df.filter(v.isNotNull()).groupBy(group).agg(F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
-    total, mean = F.sum("n"), F.sum("s") / F.sum("n")
-    overall = (F.sum("q") - total * mean * mean) / (total - 1)
-    out = groups.agg(overall.alias("overall"), F.var_samp(F.col("s") / F.col("n")).alias("between"))
+    groups = df.filter(v.isNotNull()).groupBy(group).agg(F.avg(v).alias("m"))
+    overall = df.agg(F.var_samp(v).alias("overall"))
+    out = overall.crossJoin(groups.agg(F.var_samp("m").alias("between")))  # one row each
     return out.withColumn("within", F.greatest(F.lit(0.0), F.col("overall") - F.col("between")))
 
 

@@ -74,6 +74,41 @@ def friedman_statistic(df: DataFrame, methods: Sequence[str], block: str = "tria
     return sums.crossJoin(ties).select(F.coalesce("n", F.lit(0)).alias("n"), statistic.alias("statistic")).withColumn("kendall_w", F.col("statistic") / (F.col("n") * (k - 1)))
 
 
+def friedman_tests(df: DataFrame, methods: Sequence[str], group: Sequence[str], block: str = "trial_id", method: str = "method", value: str = "value", support: str | None = None) -> DataFrame:
+    """n, statistic, Kendall's W, p-value and status of each group's complete blocks; a block may be in several groups."""
+    k = len(methods)
+    once = df.select(block, method, value, *([support] if support else [])).distinct()
+    whole = df.join(complete_blocks(once, methods, block, method, value, support).select(block).distinct(), block, "left_semi")
+    ranked = whole.withColumn("r", average_rank(F.col(value), *group, block))
+    tied = ranked.groupBy(*group, block, value).agg(F.count("*").alias("c")).groupBy(*group).agg(F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("ties"))
+    sums = ranked.groupBy(*group, method).agg(F.sum("r").alias("s"), F.count("*").alias("m")).groupBy(*group).agg(F.sum(F.col("s") * F.col("s")).alias("q"), F.max("m").alias("n"))
+    raw = 12 / (F.col("n") * k * (k + 1)) * F.col("q") - 3 * F.col("n") * (k + 1)
+    left = 1 - F.col("ties") / (F.col("n") * k * (k * k - 1))
+    out = sums.join(tied, list(group)).withColumn("statistic", F.when(left > 0, raw / left).otherwise(0.0))
+
+    @F.pandas_udf("double")
+    def tail(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: inference.chi2_tail(v, k - 1))
+
+    enough = F.col("n") >= 2
+    return out.select(*group, "n", F.when(enough, F.col("statistic")).alias("statistic"), F.when(enough, F.col("statistic") / (F.col("n") * (k - 1))).alias("kendall_w"), F.when(enough, tail("statistic")).alias("p_value"), F.when(enough, "ok").otherwise("insufficient_complete_blocks").alias("status"))
+
+
+def two_configurations(df: DataFrame, a: str, b: str, group: Sequence[str]) -> DataFrame:
+    """For each group, a Wilcoxon test where the differences don't look normal, else a paired t test: test, shapiro_p, statistic, p_value, n."""
+    kinds = dict(df.dtypes)
+    schema = ", ".join([*(f"{g} {kinds[g]}" for g in group), "n long, test string, shapiro_p double, statistic double, p_value double"])
+
+    def compare(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        if len(f) < 3:
+            return pd.DataFrame([[*key, len(f), "insufficient_pairs", None, None, None]], columns=[c.split()[0] for c in schema.split(", ")])
+        r = inference.comparator(f["a"], f["b"])
+        return pd.DataFrame([[*key, len(f), r["test"], r["shapiro_p"], r["statistic"], r["p_value"]]], columns=[c.split()[0] for c in schema.split(", ")])
+
+    pairs = df.select(*group, F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).filter("a is not null and b is not null")
+    return pairs.groupBy(*group).applyInPandas(compare, schema)
+
+
 def contrasts(df: DataFrame, methods: Sequence[str], block: str = "trial_id", method: str = "method", value: str = "value") -> DataFrame:
     """Differences of every pair of methods within each block, in the order of the methods. One pivot; no self join."""
     wide = complete_blocks(df, methods, block, method, value).groupBy(block).pivot(method, list(methods)).agg(F.first(value))

@@ -6,6 +6,7 @@ import hashlib
 import json
 import shutil
 from collections.abc import Mapping, Sequence
+from html import escape
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -97,12 +98,24 @@ def publish(files: Mapping[str, Sequence[Path]], target: Path) -> Path:
     return index
 
 
-def markdown(title: str, sections: Mapping[str, DataFrame], limit: int = 200) -> str:
-    """A report of small tables; longer ones are cut with a note of how many rows there are."""
+def _cells(df: DataFrame) -> list[list[str]]:
+    """All rows of a presentation table as text; these tables are aggregates, or have a row for each trial."""
+    return [["" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v) for v in r] for r in df.toLocalIterator()]
+
+
+def markdown(title: str, sections: Mapping[str, DataFrame]) -> str:
+    """A report of presentation tables, with all their rows."""
     out = [f"# {title}", ""]
     for name, df in sections.items():
-        rows = df.limit(limit + 1).collect()
         out += [f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-        out += ["| " + " | ".join("" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v).replace("|", "\\|") for v in r) + " |" for r in rows[:limit]]
-        out += ([f"({df.count()} rows in all)"] if len(rows) > limit else []) + [""]
+        out += ["| " + " | ".join(x.replace("|", "\\|") for x in r) + " |" for r in _cells(df)] + [""]
     return "\n".join(out)
+
+
+def html(title: str, sections: Mapping[str, DataFrame]) -> str:
+    """The same report as a page."""
+    out = ["<!DOCTYPE html>", f"<html><head><meta charset='utf-8'><title>{escape(title)}</title></head><body>", f"<h1>{escape(title)}</h1>"]
+    row = lambda tag, values: "<tr>" + "".join(f"<{tag}>{escape(x)}</{tag}>" for x in values) + "</tr>"
+    for name, df in sections.items():
+        out += [f"<h2>{escape(name)}</h2>", "<table>", row("th", df.columns), *(row("td", r) for r in _cells(df)), "</table>"]
+    return "\n".join([*out, "</body></html>"])

@@ -42,7 +42,60 @@ def test_run_of_all_results(spark, tmp_path):
     assert run["baseline"].count() + run["baseline_rejections"].count() == 2
     assert run["gate_ledger"].filter("gate = 'final_alignment_valid' and gate_status = 'passed'").count() == 2
     assert run["inference"].count() > 0
-    assert "## metrics" in (tmp_path / "out" / "report.md").read_text()
+    assert "## metrics" in (tmp_path / "out" / "report.md").read_text() and "<h2>metrics</h2>" in (tmp_path / "out" / "report.html").read_text()
+    manifest = {f["figure_id"]: f["status"] for f in json.loads((tmp_path / "out" / "figures" / "manifest.json").read_text())}
+    assert len(manifest) == 10 and manifest["h1"] == manifest["error_distribution"] == manifest["scenario_heatmap"] == "available"
+    assert (tmp_path / "out" / "figures" / "h1.json").exists() and spark.read.parquet(f"{tmp_path}/out/figures/cells/h2").count() > 0
+    index = {f["file"]: f["sha256"] for f in json.loads((tmp_path / "out" / "index.json").read_text())}
+    from gaugeline.sources import sinks
+
+    assert index["report.md"] == sinks.sha256_file(tmp_path / "out" / "report.md") and any(f.startswith("tables/metrics/") for f in index)
+    decisions = {(r["hypothesis_id"], r["population"]): r["n"] for r in run["inference"].collect()}
+    assert decisions == {(h, p): 2 for h in ("H1", "H2", "H3") for p in ("planned", "all")}
+    assert {r["place"] for r in run["robustness"].collect()} == {1, 2} and run["stability"].count() == 2 and run["repeatability"].count() == 2
+    record = json.loads((tmp_path / "out" / "provenance.json").read_text())
+    assert {r["status"] for r in record} == {"made"} and run["schema"].filter("product = 'metrics' and column = 'rmse_mm'").count() == 1
+
+
+def test_baseline_holds_the_last_sample(spark):
+    """The baseline's reference is a zero-order hold: on a straight line at constant speed it lags behind by the time since the sample."""
+    from gaugeline.operators import alignment, comparisons
+
+    e = [("a", k, k * 0.1, 0.1 * k, 0.0, 1.0, 0.0, "evaluation" if k > 60 else "calibration") for k in range(120)]
+    v = [("a", k, k * 0.25, 0.25 * k, 0.0) for k in range(48)]
+    own = spark.createDataFrame(e, "trial_id string, source_row_index long, local_time_s double, odometry_x double, odometry_y double, motor_speed double, turn_rate double, partition string")
+    other = spark.createDataFrame(v, "trial_id string, source_row_index long, relative_time_s double, planar_x double, planar_y double")
+    times = spark.createDataFrame([("a", 0.0, 0.0, 1.0, 0.0, "ok")], "trial_id string, b_onset double, b_final double, scale_a double, offset_b double, temporal_status string")
+    s = Settings(flip_y=False)
+    params = comparisons._parameters(times, alignment.spatial_fit(own, other, times, s))
+    final = alignment.align(own, other, params, s)
+    tiers = spark.createDataFrame([("a", "planned_405"), ("b", "planned_405")], "trial_id string, dataset_tier string")
+    rows = {r["trial_id"]: r for r in comparisons.baseline(own, other, times, final, tiers, s).collect()}
+    late = [(k * 0.1) % 0.25 for k in range(61, 118)]
+    held = [x if 0.25 - x > 1e-9 else 0.0 for x in late]
+    want = 1000 * math.sqrt(sum(x * x for x in held) / len(held))
+    assert rows["a"]["reason"] is None and rows["a"]["baseline_rmse_mm"] == pytest.approx(want, rel=1e-6) and rows["a"]["final_rmse_mm"] == pytest.approx(0, abs=1e-6)
+    assert rows["b"]["reason"] == "canonical_support_missing" and rows["b"]["common_support_count"] == 0
+
+
+def test_eligibility_names_the_check_that_fails(spark):
+    from gaugeline.operators import comparisons
+
+    good = ("ok", True, 5.0, 3.0, 2.0, 4, "h")
+    cases = {"good": {}, "fit_not_ok": {0: "low"}, "not_valid": {1: False}, "delta_not_finite": {4: None}, "support_empty": {5: 0}, "support_hash_missing": {6: ""}, "delta_differs_from_arms": {4: 2.5}}
+    rows = [(name, *[change.get(k, x) for k, x in enumerate(good)]) for name, change in cases.items()]
+    df = spark.createDataFrame(rows, "trial_id string, fit_status string, valid_for_paper boolean, onset_rmse_mm double, refined_rmse_mm double, delta_rmse_mm double, common_support_count long, common_support_hash string")
+    assert {r["trial_id"]: r["why_not"] for r in comparisons.h1_eligible(df).collect()} == {n: None if n == "good" else n for n in cases}
+    pair = {"split": ["split", 5.0, 2.0, 4, "h", "valid", True], "full": ["full", 3.0, 2.0, 4, "h", "valid", True]}
+    cases = {
+        "good": {}, "not_valid": {("full", 6): False}, "delta_not_finite": {("full", 2): None}, "score_not_finite": {("split", 1): None}, "support_empty": {("split", 3): 0, ("full", 3): 0}, "support_counts_differ": {("full", 3): 5},
+        "support_hash_missing": {("full", 4): None}, "support_hashes_differ": {("full", 4): "g"}, "support_not_valid": {("full", 5): "empty"}, "deltas_differ": {("full", 2): 2.5}, "delta_differs_from_arms": {("split", 1): 9.0}, "not_one_row_for_each_mode": {("full", 0): "split"},
+    }
+    rows = [(name, *[change.get((mode, k), x) for k, x in enumerate(row)]) for name, change in cases.items() for mode, row in pair.items()]
+    df = spark.createDataFrame(rows, "trial_id string, calibration_mode string, heldout_rmse_mm double, delta_rmse_mm double, common_support_count long, common_support_hash string, support_status string, valid_for_paper boolean")
+    assert {r["trial_id"]: r["why_not"] for r in comparisons.h3_eligible(df).collect()} == {n: None if n == "good" else n for n in cases}
+    ledger = spark.createDataFrame([("good", "ev3", "calibration", [], "x"), ("good", "ev3", "evaluation", [1, 2, 3, 4], "y")], "trial_id string, stream string, partition string, source_rows array<long>, identity_hash string")
+    assert comparisons.h3_eligible(df, ledger).filter("trial_id = 'good'").first()["why_not"] == "split_fit_without_keys"
 
 
 def test_cascade_checks_the_stored_support(spark, tmp_path):
@@ -107,13 +160,17 @@ def test_tracker_log_is_recognised(spark, tmp_path):
 
 
 def test_selection_and_plan():
-    assert workflow.parse_results(" h1, core ") == {"h1", "core"}
-    for bad in ("", "all,h1", "nonsense"):
+    chosen = workflow.Selection.of(" h1, core ")
+    assert chosen.results == ("core", "h1") and "h1" in chosen.products and not {"h2", "baseline", "cascade"} & set(chosen.products)
+    for bad in ("", "all,h1", "nonsense", "h1,nonsense", ","):
         with pytest.raises(ValueError):
-            workflow.parse_results(bad)
-    assert workflow.expand_results(frozenset({"tables"})) == workflow.NUMERIC | {"diagnostics", "tables"}
-    plan = workflow.build_plan(frozenset({"all"}))
-    assert len(plan) == len(set(plan)) and plan[: len(workflow.CORE)] == workflow.CORE
+            workflow.Selection.of(bad)
+    assert workflow.Selection.of("tables").results == ("core", "h1", "h2", "h3", "baseline", "diagnostics", "tables")
+    every = workflow.Selection.of("all")
+    assert set(every.results) == set(workflow.RESULTS)
+    place = {p: k for k, p in enumerate(workflow.PRODUCTS)}
+    assert all(place[r] < place[p] for p, reads in workflow.READS.items() for r in reads.split())
+    assert all(p in place for some in (*workflow.RESULTS.values(), *workflow.READS.values()) for p in some.split())
 
 
 def test_folders_must_not_overlap(tmp_path):
@@ -122,6 +179,8 @@ def test_folders_must_not_overlap(tmp_path):
         with pytest.raises(ValueError):
             workflow.check_folders([tmp_path / "in"], out)
     workflow.check_folders([tmp_path / "in"], tmp_path / "öut")
+    with pytest.raises(ValueError):
+        workflow.check_folders([tmp_path / "in", tmp_path / "in" / ".." / "in"], tmp_path / "out")
 
 
 def test_settings(tmp_path):
