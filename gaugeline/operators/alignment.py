@@ -19,7 +19,7 @@ from gaugeline.config import Settings
 from gaugeline.functions import signals
 from gaugeline.functions.columns import aligned_phase, rotate_translate, scenario
 from gaugeline.operators import asof
-from gaugeline.operators.cleaning import difference, ordered
+from gaugeline.operators.cleaning import difference, ordered, path_length
 from gaugeline.operators.grouped import map_trials, numbers_of
 
 TEMPORAL = "b_onset double, b_refined double, b_final double, lag double, best double, second double, ratio double, temporal_status string"
@@ -183,9 +183,7 @@ def heading_fit(telemetry: DataFrame, tracking: DataFrame, s: Settings, own: tup
     """The alternative fit: directions of both paths between their start and where each has travelled a set distance."""
 
     def start_direction(df: DataFrame, x: str, y: str, time: str, p: str) -> DataFrame:
-        line = ordered(time)
-        way = F.coalesce(F.hypot(difference(F.col(x), line), difference(F.col(y), line)), F.lit(0.0))
-        run = df.withColumn("__way", way).withColumn("__sum", F.sum("__way").over(line.rowsBetween(-(1 << 62), 0)))
+        run = path_length(df, x, y, "__sum", time, key)
         point = F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
         out = run.groupBy(key).agg(F.min_by(point, F.struct(time, "source_row_index")).alias("a"), F.min_by(point, F.when(F.col("__sum") >= s.heading_distance_m, F.struct(time, "source_row_index"))).alias("b"))
         return out.select(key, F.col("a.x").alias(f"{p}x0"), F.col("a.y").alias(f"{p}y0"), F.atan2(F.col("b.y") - F.col("a.y"), F.col("b.x") - F.col("a.x")).alias(f"{p}dir"))

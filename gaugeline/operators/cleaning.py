@@ -49,6 +49,23 @@ def difference(c: Column, line: Window) -> Column:
     return c - F.lag(c).over(line)
 
 
+def path_length(df: DataFrame, x: str, y: str, out: str = "path", time: str = "t", key: str = "trial_id", identity: str = "source_row_index") -> DataFrame:
+    """Column ``out``: how far each trial has come along its rows."""
+    line = ordered(time, identity, key)
+    step = F.coalesce(F.hypot(difference(F.col(x), line), difference(F.col(y), line)), F.lit(0.0))
+    return df.withColumn(out, step).withColumn(out, F.sum(out).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def first_above(df: DataFrame, value: str, threshold: float, time: str = "t", key: str = "trial_id") -> DataFrame:
+    """trial, onset: the first time at which the value is above the threshold, else the first time."""
+    return df.groupBy(key).agg(F.coalesce(F.min(F.when(F.col(value) > threshold, F.col(time))), F.min(time)).alias("onset"))
+
+
+def rolling_mean(value: str, time: str = "t", width: int = 5, key: str = "trial_id", identity: str = "source_row_index") -> Column:
+    """Mean of up to ``width`` rows around each."""
+    return F.avg(value).over(ordered(time, identity, key).rowsBetween(-(width // 2), width // 2))
+
+
 def first_known(c: Column, line: Window) -> Column:
     """The first non-NULL value in the window's order, on every row."""
     return F.first(c, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
@@ -114,7 +131,7 @@ def tracking_signals(df: DataFrame, s: Settings, time: str = "relative_time_s")
 
 def dead_reckoning(df: DataFrame, s: Settings, time: str = "local_time_s", left: str = "left_speed", right: str = "right_speed", key: str = "trial_id", identity: str = "source_row_index") -> DataFrame:
     """Odometry of a two-wheeled drive: the heading is the running sum of turn rate times time step, the position that of
-    speed times its cosine and sine. Unknown wheel speeds count as 0, the first time step is 0."""
+    speed times its cosine and sine, the way that of speed. Unknown wheel speeds count as 0, the first time step is 0."""
     line = ordered(time, identity, key)
     running = line.rowsBetween(Window.unboundedPreceding, 0)
     wheel = {side: F.coalesce(F.radians(F.col(c)), F.lit(0.0)) * s.wheel_radius_m for side, c in (("l", left), ("r", right))}
@@ -122,7 +139,7 @@ def dead_reckoning(df: DataFrame, s: Settings, time: str = "local_time_s", left:
     out = df.withColumns({"__dt": dt, "__v": (wheel["l"] + wheel["r"]) / 2, "__w": (wheel["r"] - wheel["l"]) / s.wheel_track_m})
     out = out.withColumn("odometry_theta", F.sum(F.col("__w") * F.col("__dt")).over(running))
     way = F.col("__v") * F.col("__dt")
-    return out.withColumns({"odometry_x": F.sum(way * F.cos("odometry_theta")).over(running), "odometry_y": F.sum(way * F.sin("odometry_theta")).over(running)}).drop("__dt", "__v", "__w")
+    return out.withColumns({"odometry_way": F.sum(way).over(running), "odometry_x": F.sum(way * F.cos("odometry_theta")).over(running), "odometry_y": F.sum(way * F.sin("odometry_theta")).over(running)}).drop("__dt", "__v", "__w")
 
 
 def planar(df: DataFrame, s: Settings) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.config import Settings
 from gaugeline.functions.signals import METHODS
-from gaugeline.operators import alignment, quality, statistics, support
+from gaugeline.operators import alignment, metrics, quality, statistics, support
 from gaugeline.functions.columns import finite, is_evaluation, rotate_translate
 
 KEY = ["source_row_index"]
@@ -21,6 +21,11 @@ def held_out(aligned: DataFrame) -> DataFrame:
     return aligned.filter(is_evaluation(F.col("partition")) & finite(F.col("residual_norm")).isNotNull())
 
 
+def stacked(arms: Mapping[str, DataFrame]) -> DataFrame:
+    """Rows of all arms with the arm's name."""
+    return reduce(DataFrame.unionByName, [df.withColumn("arm", F.lit(name)) for name, df in arms.items()])
+
+
 def score(arms: Mapping[str, DataFrame]) -> DataFrame:
     """One row a trial: RMSE of each arm in mm on the common support, its count, hash and status.
 
@@ -28,7 +33,7 @@ def score(arms: Mapping[str, DataFrame]) -> DataFrame:
     """
     rows = {name: held_out(df).select("trial_id", "source_row_index", "residual_norm") for name, df in arms.items()}
     common = support.common_support(rows, KEY, ["trial_id"])
-    kept = reduce(DataFrame.unionByName, [df.withColumn("arm", F.lit(name)) for name, df in support.filter_common(rows, KEY, ["trial_id"]).items()])
+    kept = stacked(support.filter_common(rows, KEY, ["trial_id"]))
     names = sorted(arms)
     rmse = kept.groupBy("trial_id").agg(*[(F.sqrt(F.avg(F.when(F.col("arm") == n, F.col("residual_norm") * F.col("residual_norm")))) * 1000).alias(f"{n}_rmse_mm") for n in names])
     valid = F.col("support_status") == "valid"
@@ -217,8 +222,7 @@ def inference(h1_rows: DataFrame, h2_rows: DataFrame, h3_rows: DataFrame, tiers:
     joint = h2_friedman(h2_rows, tiers).select(F.lit("H2").alias("hypothesis_id"), "population", "n", "statistic", "p_value", "kendall_w", "status")
     tests = signed.unionByName(joint, allowMissingColumns=True)
     refused = one.select("trial_id", F.lit("H1").alias("hypothesis_id"), "why_not").unionByName(three.select("trial_id", F.lit("H3").alias("hypothesis_id"), "why_not")).filter("why_not is not null").join(members, "trial_id")
-    counts = refused.groupBy("hypothesis_id", "population", "why_not").agg(F.count("*").alias("c"))
-    commonest = counts.groupBy("hypothesis_id", "population").agg(F.max_by("why_not", F.struct("c", "why_not")).alias("reason"))
+    commonest = metrics.most_common(refused, ["hypothesis_id", "population"], "why_not", "reason")
     names = F.array(*[F.struct(F.lit(h).alias("hypothesis_id"), F.lit(p).alias("population")) for h in ("H1", "H2", "H3") for p in POPULATIONS])
     every = tests.sparkSession.range(1).select(F.inline(names))
     tests = every.join(tests, ["hypothesis_id", "population"], "left").join(commonest, ["hypothesis_id", "population"], "left")

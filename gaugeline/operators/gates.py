@@ -21,6 +21,12 @@ def having_all(df: DataFrame, key: str, member: str, members: Sequence[str], ok:
     return out.filter((F.col("n") == len(members)) & (F.col("d") == len(members)) & F.col("ok")).select(key)
 
 
+def looked_up(df: DataFrame, known: DataFrame, column: str, default: str = "unknown", key: str = "trial_id") -> DataFrame:
+    """Every row with its trial's entry of a table, or the default."""
+    entries = known.groupBy(key).agg(F.min(column).alias(column))
+    return df.join(entries, key, "left").withColumn(column, F.coalesce(column, F.lit(default)))
+
+
 def gate_members(manifest: DataFrame, evidence: Mapping[str, DataFrame | None]) -> dict[str, DataFrame | None]:
     """Trials that pass each gate; None where the evidence is missing. Gates without an entry in ``evidence`` follow from the manifest."""
     ids = manifest.select("trial_id").distinct()

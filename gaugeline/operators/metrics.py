@@ -157,6 +157,12 @@ def describe_delta(df: DataFrame, column: str, group: Sequence[str] = (), limits
     return df.groupBy(*group).agg(*aggregates)
 
 
+def most_common(df: DataFrame, group: Sequence[str], column: str, out: str = "most_common") -> DataFrame:
+    """The value that each group has most often; of equally frequent ones the least."""
+    counts = df.groupBy(*group, column).agg(F.count("*").alias("__n"))
+    return counts.groupBy(*group).agg(F.min_by(column, F.struct(-F.col("__n"), column)).alias(out))
+
+
 def populations(df: DataFrame, tier: str, sets: Mapping[str, Sequence[str]]) -> DataFrame:
     """Rows once for each overlapping population that their tier belongs to."""
     names = F.array_compact(F.array(*[F.when(F.col(tier).isin(*tiers), F.lit(name)) for name, tiers in sets.items()]))

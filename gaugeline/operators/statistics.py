@@ -54,13 +54,14 @@ def signed_rank_tests(df: DataFrame, a: str, b: str, group: Sequence[str]) -> Da
     return df.select(*group, (F.col(a) - F.col(b)).cast("double").alias("diff")).groupBy(*group).applyInPandas(test, schema)
 
 
-def complete_blocks(df: DataFrame, methods: Sequence[str], block: str = "trial_id", method: str = "method", value: str = "value", support: str | None = None) -> DataFrame:
+def complete_blocks(df: DataFrame, methods: Sequence[str], block: str | Sequence[str] = "trial_id", method: str = "method", value: str = "value", support: str | None = None) -> DataFrame:
     """Rows of the blocks that have every method exactly once with a finite value, and one support hash if that is asked for."""
     checks = [F.count("*") == len(methods), F.count_distinct(F.when(F.col(method).isin(*methods), F.col(method))) == len(methods), F.count(value) == len(methods)]
     if support:
         checks += [F.count_distinct(support) == 1, F.count(support) == len(methods)]
-    whole = df.groupBy(block).agg(*[c.alias(f"c{k}") for k, c in enumerate(checks)]).filter(" and ".join(f"c{k}" for k in range(len(checks))))
-    return df.join(whole.select(block), block, "left_semi")
+    keys = [block] if isinstance(block, str) else list(block)
+    whole = df.groupBy(*keys).agg(*[c.alias(f"c{k}") for k, c in enumerate(checks)]).filter(" and ".join(f"c{k}" for k in range(len(checks))))
+    return df.join(whole.select(*keys), keys, "left_semi")
 
 
 def friedman_statistic(df: DataFrame, methods: Sequence[str], block: str = "trial_id", method: str = "method", value: str = "value") -> DataFrame:
@@ -77,9 +78,7 @@ def friedman_statistic(df: DataFrame, methods: Sequence[str], block: str = "tria
 def friedman_tests(df: DataFrame, methods: Sequence[str], group: Sequence[str], block: str = "trial_id", method: str = "method", value: str = "value", support: str | None = None) -> DataFrame:
     """n, statistic, Kendall's W, p-value and status of each group's complete blocks; a block may be in several groups."""
     k = len(methods)
-    once = df.select(block, method, value, *([support] if support else [])).distinct()
-    whole = df.join(complete_blocks(once, methods, block, method, value, support).select(block).distinct(), block, "left_semi")
-    ranked = whole.withColumn("r", average_rank(F.col(value), *group, block))
+    ranked = complete_blocks(df, methods, [*group, block], method, value, support).withColumn("r", average_rank(F.col(value), *group, block))
     tied = ranked.groupBy(*group, block, value).agg(F.count("*").alias("c")).groupBy(*group).agg(F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("ties"))
     sums = ranked.groupBy(*group, method).agg(F.sum("r").alias("s"), F.count("*").alias("m")).groupBy(*group).agg(F.sum(F.col("s") * F.col("s")).alias("q"), F.max("m").alias("n"))
     raw = 12 / (F.col("n") * k * (k + 1)) * F.col("q") - 3 * F.col("n") * (k + 1)
@@ -94,6 +93,12 @@ def friedman_tests(df: DataFrame, methods: Sequence[str], group: Sequence[str],
     return out.select(*group, "n", F.when(enough, F.col("statistic")).alias("statistic"), F.when(enough, F.col("statistic") / (F.col("n") * (k - 1))).alias("kendall_w"), F.when(enough, tail("statistic")).alias("p_value"), F.when(enough, "ok").otherwise("insufficient_complete_blocks").alias("status"))
 
 
+def paired_values(df: DataFrame, arm: str, arms: tuple[str, str], value: str, key: str = "trial_id") -> DataFrame:
+    """trial, a, b: mean values of two arms, for trials that have both."""
+    wide = df.filter(F.col(arm).isin(*arms)).groupBy(key).agg(*[F.avg(F.when(F.col(arm) == x, F.col(value))).alias(n) for x, n in zip(arms, "ab", strict=True)])
+    return wide.filter("a is not null and b is not null")
+
+
 def two_configurations(df: DataFrame, a: str, b: str, group: Sequence[str]) -> DataFrame:
     """For each group, a Wilcoxon test where the differences don't look normal, else a paired t test: test, shapiro_p, statistic, p_value, n."""
     kinds = dict(df.dtypes)

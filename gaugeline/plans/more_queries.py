@@ -48,31 +48,33 @@ def paired_arms(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH m AS (SELECT o_custkey, avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F') AS a, avg(o_totalprice) FILTER (WHERE o_orderstatus = 'O') AS b FROM orders GROUP BY o_custkey)
 SELECT count(*) AS n, round(avg(a - b), 4) AS mean_delta, round(median(a - b), 4) AS median_delta FROM m WHERE a IS NOT NULL AND b IS NOT NULL""", 4)
 def configuration_delta(spark: SparkSession, d: str) -> DataFrame:
-    """Inner join of two configurations' values on the trial, as differences."""
-    o = table(spark, d, "orders").filter(F.col("o_orderstatus").isin("F", "O"))
-    mean = o.groupBy("o_custkey", "o_orderstatus").agg(F.avg("o_totalprice").alias("v"))
-    a, b = (mean.filter(F.col("o_orderstatus") == s).select("o_custkey", F.col("v").alias(n)) for s, n in (("F", "a"), ("O", "b")))
-    return a.join(b, "o_custkey").agg(F.count("*").alias("n"), F.avg(F.col("a") - F.col("b")).alias("mean_delta"), F.median(F.col("a") - F.col("b")).alias("median_delta"))
+    """Two configurations' values on the trials that have both, as differences."""
+    pairs = statistics.paired_values(table(spark, d, "orders"), "o_orderstatus", ("F", "O"), "o_totalprice", "o_custkey")
+    return metrics.describe_delta(pairs.withColumn("delta", F.col("a") - F.col("b")), "delta").select("n", F.col("mean").alias("mean_delta"), F.col("median").alias("median_delta"))
 
 
-@query("SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) = 2 AND count(DISTINCT CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderstatus END) = 2 AND bool_and(o_totalprice > 1000)", None)
+@query("SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) = 2 AND count(DISTINCT CASE WHEN l_returnflag IN ('A', 'R') THEN l_returnflag END) = 2 AND bool_and(l_quantity > 5)", None)
 def both_modes_eligible(spark: SparkSession, d: str) -> DataFrame:
-    return gates.having_all(table(spark, d, "orders").withColumn("ok", F.col("o_totalprice") > 1000), "o_custkey", "o_orderstatus", ("F", "O"), "ok")
+    return gates.having_all(table(spark, d, "lineitem").withColumn("ok", F.col("l_quantity") > 5), "l_orderkey", "l_returnflag", ("A", "R"), "ok")
 
 
-_CASCADE = _GATES + """, t AS (SELECT DISTINCT trial_id, dataset_tier FROM l), k AS (SELECT t.*, c_acctbal AS rmse, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 'h' END AS h, CASE WHEN c_custkey % 4 = 1 THEN 'g' ELSE 'h' END AS x FROM t JOIN customer ON c_custkey = trial_id),
-c AS (SELECT trial_id, dataset_tier, stage, CASE WHEN stage <> 'S4' THEN 'stage_not_persisted' WHEN h IS NULL THEN 'support_hash_unavailable' WHEN h <> x THEN 'support_hash_mismatch' ELSE 'final_gate_failed' END AS reason FROM k, (SELECT unnest(['S0', 'S1', 'S2', 'S3', 'S4']) AS stage))"""
+_CASCADE = """WITH k AS (SELECT c_custkey AS trial_id, CASE WHEN c_custkey % 7 <> 6 THEN CASE c_custkey % 7 WHEN 0 THEN 'failed' WHEN 1 THEN 'maybe' ELSE 'passed' END END AS gate, c_acctbal AS rmse,
+  CASE WHEN c_custkey % 5 <> 0 THEN 'h' END AS h, CASE WHEN c_custkey % 5 = 1 THEN 'g' ELSE 'h' END AS x, CASE WHEN c_custkey % 5 = 2 THEN 'empty' ELSE 'valid' END AS support, CASE WHEN c_custkey % 11 = 0 THEN 'no_common_samples' ELSE 'success' END AS status FROM customer),
+w AS (SELECT *, CASE WHEN gate IS NULL THEN 'missing_trial_gate_record' WHEN gate = 'failed' THEN 'final_gate_failed' WHEN gate <> 'passed' THEN 'gate_status_unrecognized' WHEN h IS NULL THEN 'support_hash_unavailable' WHEN support <> 'valid' THEN 'support_validation_failed'
+  WHEN h <> x THEN 'support_hash_mismatch' WHEN status <> 'success' THEN status END AS why FROM k),
+c AS (SELECT trial_id, 'planned_405' AS dataset_tier, stage, CASE WHEN stage = 'S4' AND why IS NULL THEN rmse END AS score_mm, stage = 'S4' AND why IS NULL AS valid, CASE WHEN stage <> 'S4' THEN 'stage_not_persisted' ELSE why END AS reason FROM w, (SELECT unnest(['S0', 'S1', 'S2', 'S3', 'S4']) AS stage))"""
 
 
-def _cascade_rows(spark: SparkSession, d: str, ledger: DataFrame) -> DataFrame:
-    k = F.col("c_custkey")
-    c = table(spark, d, "customer").select(k.alias("trial_id"), F.col("c_acctbal").alias("rmse_mm"), F.lit("success").alias("status"), F.when(k % 4 != 0, "h").alias("support_hash"), F.when(k % 4 == 1, "g").otherwise("h").alias("expected_hash"), F.lit("valid").alias("support_status"))
-    return gates.cascade(ledger, c.select("trial_id", "rmse_mm", "status"), c.select("trial_id", "support_hash", "expected_hash", "support_status"))
-
-
-@query(_CASCADE + " SELECT trial_id, dataset_tier, stage, NULL::DOUBLE AS score_mm, false AS valid, reason FROM c", None)
+@query(_CASCADE + " SELECT * FROM c", None)
 def cascade_rows(spark: SparkSession, d: str) -> DataFrame:
-    return _cascade_rows(spark, d, _ledger(spark, d))
+    """Gates, hashes and statuses of all kinds: every reason has rows."""
+    k = F.col("c_custkey")
+    c = table(spark, d, "customer")
+    gate = F.when(k % 7 == 6, "paired").otherwise("final_alignment_valid")
+    ledger = c.select(k.alias("trial_id"), F.lit("planned_405").alias("dataset_tier"), gate.alias("gate"), F.when(k % 7 == 0, "failed").when(k % 7 == 1, "maybe").otherwise("passed").alias("gate_status"))
+    scores = c.select(k.alias("trial_id"), F.col("c_acctbal").alias("rmse_mm"), F.when(k % 11 == 0, "no_common_samples").otherwise("success").alias("status"))
+    known = c.select(k.alias("trial_id"), F.when(k % 5 != 0, "h").alias("support_hash"), F.when(k % 5 == 1, "g").otherwise("h").alias("expected_hash"), F.when(k % 5 == 2, "empty").otherwise("valid").alias("support_status"))
+    return gates.cascade(ledger, scores, known)
 
 
 @query("""WITH c AS (SELECT 'S' || (o_orderkey % 4 + (CASE WHEN o_orderkey % 4 > 2 THEN 1 ELSE 0 END)) AS stage, o_custkey, o_totalprice AS s FROM orders), g AS (SELECT stage, avg(s) AS m, median(s) AS d, count(DISTINCT o_custkey) AS n FROM c GROUP BY stage)
@@ -111,25 +113,27 @@ def closest_to_median(spark: SparkSession, d: str) -> DataFrame:
     return presentation.closest_to_median(table(spark, d, "customer").withColumnRenamed("c_custkey", "trial_id"), "c_acctbal").select("trial_id")
 
 
-@query("""WITH s AS (SELECT o_orderpriority, CASE WHEN o_orderdate < TIMESTAMP '1995-01-01' THEN 'early' ELSE 'late' END AS part, avg(o_totalprice) AS m FROM orders GROUP BY ALL)
-SELECT o_orderpriority, round(max(m) FILTER (WHERE part = 'early'), 4) AS early, round(max(m) FILTER (WHERE part = 'late'), 4) AS late, (max(m) FILTER (WHERE part = 'early') > 150000) = (max(m) FILTER (WHERE part = 'late') > 150000) AS stable FROM s GROUP BY o_orderpriority""", 4)
+@query("""WITH p AS (SELECT o_orderpriority AS hypothesis_id, 'all' AS population, o_totalprice FROM orders UNION ALL SELECT o_orderpriority, 'planned', o_totalprice FROM orders WHERE o_orderkey % 40 = 0),
+s AS (SELECT hypothesis_id, population, count(*) AS n, CASE WHEN avg(o_totalprice) > 150000 THEN 'supported' ELSE 'not_supported' END AS decision FROM p GROUP BY ALL)
+SELECT hypothesis_id, max(n) FILTER (WHERE population = 'planned') AS planned_n, max(decision) FILTER (WHERE population = 'planned') AS planned_decision, max(n) FILTER (WHERE population = 'all') AS all_n, max(decision) FILTER (WHERE population = 'all') AS all_decision,
+max(decision) FILTER (WHERE population = 'planned') = max(decision) FILTER (WHERE population = 'all') AS stable FROM s GROUP BY hypothesis_id""", None)
 def stability_of_conclusions(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").withColumn("part", F.when(F.col("o_orderdate") < F.lit("1995-01-01").cast("timestamp_ntz"), "early").otherwise("late"))
-    wide = o.groupBy("o_orderpriority").pivot("part", ["early", "late"]).agg(F.avg("o_totalprice"))
-    return wide.withColumn("stable", (F.col("early") > 150000) == (F.col("late") > 150000))
+    o = table(spark, d, "orders").withColumn("tier", F.when(F.col("o_orderkey") % 40 == 0, "planned").otherwise("more"))
+    rows = metrics.populations(o, "tier", {"planned": ["planned"], "all": ["planned", "more"]})
+    decision = F.when(F.avg("o_totalprice") > 150000, "supported").otherwise("not_supported")
+    return comparisons.conclusion_stability(rows.groupBy(F.col("o_orderpriority").alias("hypothesis_id"), "population").agg(F.count("*").alias("n"), decision.alias("decision")))
 
 
 @query("""WITH $STREAMS, r AS (SELECT trial_id, count(*) AS n FROM s GROUP BY trial_id) SELECT e.trial_id, e.source_row_index, CASE WHEN n > 66 THEN 'long' ELSE 'short' END AS tier FROM e LEFT JOIN r USING (trial_id)""", None)
 def tier_lookup(spark: SparkSession, d: str) -> DataFrame:
-    tiers = stream(spark, d).groupBy("trial_id").agg(F.count("*").alias("n")).select("trial_id", F.when(F.col("n") > 66, "long").otherwise("short").alias("tier"))
-    return own(spark, d).join(tiers, "trial_id", "left").select("trial_id", "source_row_index", F.coalesce("tier", F.lit("unknown")).alias("tier"))
+    tiers = stream(spark, d).groupBy("trial_id").agg(F.when(F.count("*") > 66, "long").otherwise("short").alias("tier"))
+    return gates.looked_up(own(spark, d), tiers, "tier").select("trial_id", "source_row_index", "tier")
 
 
 @query("""WITH $STREAMS, k AS (SELECT trial_id, source_row_index, row_number() OVER (PARTITION BY trial_id ORDER BY t, source_row_index) AS n FROM e) SELECT trial_id, source_row_index FROM k WHERE n % 10 = 1""", None)
 def every_tenth_row(spark: SparkSession, d: str) -> DataFrame:
     """The thinned series of a plot: here the sample is the feature."""
-    rows = own(spark, d).withColumn("n", F.row_number().over(cleaning.ordered("t")))
-    return rows.filter("n % 10 = 1").select("trial_id", "source_row_index")
+    return presentation.thinned(own(spark, d)).select("trial_id", "source_row_index")
 
 
 @query("""WITH $STREAMS, a AS (SELECT trial_id, t, arg_min(value, source_row_index) AS value FROM v GROUP BY ALL), j AS (SELECT e.trial_id, e.value AS y, a0.value AS v0, e.heading AS h FROM e ASOF JOIN a a0 ON e.trial_id = a0.trial_id AND e.t >= a0.t JOIN (SELECT trial_id, max(t) AS hi FROM a GROUP BY 1) m ON m.trial_id = e.trial_id AND e.t <= m.hi)
@@ -172,3 +176,50 @@ def rank_test_family(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH $STREAMS SELECT event_type, count(value) AS value_n, round(avg(value), 6) AS value_mean, round(stddev_samp(value), 6) AS value_std, round(median(value), 6) AS value_median, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS value_iqr, round(min(value), 6) AS value_min, round(max(value), 6) AS value_max, round(1.96 * stddev_samp(value) / sqrt(count(value)), 6) AS value_ci95 FROM s GROUP BY event_type""")
 def summary_by_phase(spark: SparkSession, d: str) -> DataFrame:
     return stream(spark, d).groupBy("event_type").agg(*metrics.summary(["value"]))
+
+
+_SCENARIOS = """k AS (SELECT c_custkey AS trial_id, c_nationkey::VARCHAR AS scenario_id, (c_acctbal + 1000) / 100 AS rmse_mm, c_acctbal / 50 AS ate_mm, (c_custkey % 10)::DOUBLE AS rpe_mm, (c_custkey % 3)::DOUBLE AS offset_s, (c_custkey % 4) / 10 AS theta_rad, (c_custkey % 6) / 100 AS tx, (c_custkey % 8) / 100 AS ty,
+  1 + (c_custkey % 5) / 10 AS peak_ratio, (c_custkey % 7) / 10 AS irregularity, CASE WHEN c_custkey % 3 = 0 THEN 'ambiguous' ELSE 'ok' END AS temporal_status, (c_custkey % 11)::DOUBLE AS fit_rmse_mm FROM customer)"""
+
+
+def _scenario_rows(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return table(spark, d, "customer").select(
+        k.alias("trial_id"), F.col("c_nationkey").cast("string").alias("scenario_id"), ((F.col("c_acctbal") + 1000) / 100).alias("rmse_mm"), (F.col("c_acctbal") / 50).alias("ate_mm"), (k % 10).cast("double").alias("rpe_mm"), (k % 3).cast("double").alias("offset_s"),
+        (k % 4 / 10).alias("theta_rad"), (k % 6 / 100).alias("tx"), (k % 8 / 100).alias("ty"), (1 + k % 5 / 10).alias("peak_ratio"), (k % 7 / 10).alias("irregularity"), F.when(k % 3 == 0, "ambiguous").otherwise("ok").alias("temporal_status"), (k % 11).cast("double").alias("fit_rmse_mm"),
+    )
+
+
+@query("WITH " + _SCENARIOS + """ SELECT scenario_id, count(*) AS repetitions, round(avg(rmse_mm), 6) AS mean_rmse_mm, round(median(rmse_mm), 6) AS median_rmse_mm, round(quantile_cont(rmse_mm, 0.95), 6) AS p95_rmse_mm, round(avg(ate_mm), 6) AS mean_ate_mm, round(avg(rpe_mm), 6) AS mean_rpe_mm, round(avg(irregularity), 6) AS mean_irregularity,
+round(avg(peak_ratio), 6) AS mean_peak_ratio, round(avg((temporal_status <> 'ok')::INT), 6) AS temporal_ambiguity_rate, CASE WHEN avg(rmse_mm) < 50 THEN 'robust' ELSE 'brittle' END AS status, round(avg(rmse_mm) / 100, 6) AS difficulty_score, CASE WHEN avg(rmse_mm) > 50 THEN 'hard' ELSE 'easy' END AS difficulty,
+row_number() OVER (ORDER BY avg(rmse_mm), scenario_id)::INT AS place FROM k GROUP BY scenario_id""")
+def scenario_robustness(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.scenario_robustness(_scenario_rows(spark, d))
+
+
+@query("WITH " + _SCENARIOS + """, p AS (SELECT *, degrees(theta_rad) AS rotation_deg, sqrt(tx * tx + ty * ty) * 1000 AS translation_mm FROM k) SELECT scenario_id, count(*) AS repetitions, round(avg(rmse_mm), 5) AS mean_rmse_mm, round(stddev_samp(rmse_mm), 5) AS std_rmse_mm, round(median(rmse_mm), 5) AS median_rmse_mm,
+round(quantile_cont(rmse_mm, 0.75) - quantile_cont(rmse_mm, 0.25), 5) AS iqr_rmse_mm, round(avg(ate_mm), 5) AS mean_ate_mm, round(stddev_samp(ate_mm), 5) AS std_ate_mm, round(avg(rpe_mm), 5) AS mean_rpe_mm, round(stddev_samp(rpe_mm), 5) AS std_rpe_mm, round(avg(offset_s), 5) AS mean_offset_s,
+round(CASE WHEN count(*) > 1 THEN stddev_samp(offset_s) ELSE 0 END, 5) AS std_offset_s, round(avg(rotation_deg), 5) AS mean_rotation_deg, round(CASE WHEN count(*) > 1 THEN stddev_samp(rotation_deg) ELSE 0 END, 5) AS std_rotation_deg, round(avg(translation_mm), 5) AS mean_translation_mm,
+round(CASE WHEN count(*) > 1 THEN stddev_samp(translation_mm) ELSE 0 END, 5) AS std_translation_mm, 5 - count(*) AS missing_repetitions, round(CASE WHEN avg(rmse_mm) > 0 THEN stddev_samp(rmse_mm) / avg(rmse_mm) ELSE 0 END, 5) AS cv_rmse, CASE WHEN stddev_samp(rmse_mm) < 50 THEN 'acceptable' ELSE 'high_variance' END AS status
+FROM p GROUP BY scenario_id""", 5)
+def scenario_repeatability(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.scenario_repeatability(_scenario_rows(spark, d))
+
+
+@query("WITH " + _SCENARIOS + " SELECT scenario_id, trial_id, offset_s, round(degrees(theta_rad), 6) AS rotation_deg, round(tx, 6) AS tx, round(ty, 6) AS ty, round(sqrt(tx * tx + ty * ty) * 1000, 6) AS translation_mm, fit_rmse_mm, round(rmse_mm, 6) AS rmse_mm, round(ate_mm, 6) AS ate_mm, rpe_mm, 'stable' AS status FROM k")
+def parameter_stability(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.parameter_stability(_scenario_rows(spark, d))
+
+
+@query("""WITH v AS (SELECT l_orderkey AS b, CASE l_linenumber WHEN 1 THEN 'zoh' WHEN 2 THEN 'linear' WHEN 3 THEN 'pchip' ELSE 'spline' END AS m, floor(l_quantity / 10) AS x FROM lineitem WHERE l_linenumber <= 4),
+w AS (SELECT b FROM v GROUP BY b HAVING count(*) = 4 AND count(DISTINCT m) = 4), q AS (SELECT v.*, unnest(CASE WHEN b % 3 = 0 THEN ['planned', 'all'] ELSE ['all'] END) AS population FROM v JOIN w USING (b)),
+r AS (SELECT *, rank() OVER (PARTITION BY population, b ORDER BY x) + (count(*) OVER (PARTITION BY population, b, x) - 1) / 2.0 AS r FROM q),
+t AS (SELECT population, sum(c * c * c - c) AS ties FROM (SELECT population, b, x, count(*) AS c FROM r GROUP BY ALL) GROUP BY population), s AS (SELECT population, sum(z * z) AS q, max(n) AS n FROM (SELECT population, m, sum(r) AS z, count(*) AS n FROM r GROUP BY ALL) GROUP BY population),
+f AS (SELECT population, n, (12 / (n * 20.0) * q - 15.0 * n) / (1 - ties / (n * 60.0)) AS statistic FROM s JOIN t USING (population))
+SELECT population, n, round(statistic, 6) AS statistic, round(statistic / (n * 3), 6) AS kendall_w, 'ok' AS status FROM f""")
+def friedman_by_population(spark: SparkSession, d: str) -> DataFrame:
+    """Overlapping populations of complete blocks; p-values are tested on their own."""
+    k = F.col("l_linenumber")
+    v = table(spark, d, "lineitem").filter(k <= 4).select(F.col("l_orderkey").alias("trial_id"), F.when(k == 1, "zoh").when(k == 2, "linear").when(k == 3, "pchip").otherwise("spline").alias("method"), F.floor(F.col("l_quantity") / 10).cast("double").alias("value"))
+    rows = v.withColumn("population", F.explode(F.when(F.col("trial_id") % 3 == 0, F.array(F.lit("planned"), F.lit("all"))).otherwise(F.array(F.lit("all")))))
+    return statistics.friedman_tests(rows, ("zoh", "linear", "pchip", "spline"), ["population"]).drop("p_value")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.functions.columns import truthy
+from gaugeline.operators.cleaning import ordered
 
 
 def histogram(df: DataFrame, column: str, bins: int = 20, group: Sequence[str] = ()) -> DataFrame:
@@ -37,6 +38,11 @@ def closest_to_median(df: DataFrame, column: str) -> DataFrame:
     return df.crossJoin(df.agg(F.median(column).alias("__m"))).filter(F.col(column).isNotNull()).orderBy(F.abs(F.col(column) - F.col("__m")), "trial_id").limit(1).drop("__m")
 
 
+def thinned(df: DataFrame, every: int = 10, time: str = "t") -> DataFrame:
+    """Each trial's first row and every so-manieth after it, for plots of long series."""
+    return df.withColumn("__k", F.row_number().over(ordered(time))).filter((F.col("__k") - 1) % every == 0).drop("__k")
+
+
 def by_frequency(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)
 

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from gaugeline.config import Settings
 from gaugeline.functions import columns as C
-from gaugeline.operators import alignment, asof, cleaning, gates, metrics, quality, statistics, support
+from gaugeline.operators import alignment, asof, cleaning, comparisons, gates, metrics, quality, statistics, support
+from gaugeline.plans import presentation
 from gaugeline.plans.stand_ins import SQL_STREAMS, other, own, rounded, stream, table
+from gaugeline.sources import logs
 
 S = Settings(min_rows=20, extended_min_rows=25, max_gap_s=200_000.0, max_irregularity=1.2, calibration_s=1_000_000.0, rpe_interval_s=86_400.0, rpe_tolerance_s=20_000.0, huber_delta=10.0, outlier_m=100.0, tracking_gap_s=86_400.0)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,29 +117,23 @@ def tracking_signals(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH $STREAMS, d AS (SELECT *, coalesce(t - lag(t) OVER w, 0) / 1000 AS dt, radians(value) * 0.028 AS l, radians(heading) * 0.028 AS r FROM e WINDOW w AS (PARTITION BY trial_id ORDER BY t, source_row_index)),
 h AS (SELECT *, sum((r - l) / 0.12 * dt) OVER (PARTITION BY trial_id ORDER BY t, source_row_index ROWS UNBOUNDED PRECEDING) AS theta FROM d)
-SELECT trial_id, source_row_index, round(theta, 3) AS odometry_theta, round(sum((l + r) / 2 * dt) OVER (PARTITION BY trial_id ORDER BY t, source_row_index ROWS UNBOUNDED PRECEDING), 3) AS way FROM h""", 3)
+SELECT trial_id, source_row_index, round(theta, 3) AS odometry_theta, round(sum((l + r) / 2 * dt) OVER (PARTITION BY trial_id ORDER BY t, source_row_index ROWS UNBOUNDED PRECEDING), 3) AS odometry_way FROM h""", 3)
 def dead_reckoning(spark: SparkSession, d: str) -> DataFrame:
     e = own(spark, d).withColumns({"left": F.col("value"), "right": F.col("heading"), "ms": F.col("t") / 1000})
-    out = cleaning.dead_reckoning(e, S, "ms", "left", "right")
-    # The way is the length of the odometry's steps, signed by the speed; it doesn't depend on how headings of many turns are rounded.
-    line = cleaning.ordered("t")
-    step = (F.radians("left") + F.radians("right")) / 2 * S.wheel_radius_m * F.coalesce(cleaning.difference(F.col("ms"), line), F.lit(0.0))
-    return out.withColumn("step", step).select("trial_id", "source_row_index", "odometry_theta", F.sum("step").over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("way"))
+    return cleaning.dead_reckoning(e, S, "ms", "left", "right").select("trial_id", "source_row_index", "odometry_theta", "odometry_way")
 
 
 @query("""WITH $STREAMS, p AS (SELECT *, sqrt(power(value - lag(value) OVER w, 2) + power(heading - lag(heading) OVER w, 2)) AS way FROM e WINDOW w AS (PARTITION BY trial_id ORDER BY t, source_row_index)),
 c AS (SELECT *, sum(coalesce(way, 0)) OVER (PARTITION BY trial_id ORDER BY t, source_row_index ROWS UNBOUNDED PRECEDING) AS run FROM p)
 SELECT trial_id, round(max(run), 4) AS path_length, round(min(t) FILTER (WHERE run >= 500), 4) AS crossed_at FROM c GROUP BY trial_id""", 4)
 def path_crossing(spark: SparkSession, d: str) -> DataFrame:
-    line = cleaning.ordered("t")
-    way = F.coalesce(F.hypot(cleaning.difference(F.col("value"), line), cleaning.difference(F.col("heading"), line)), F.lit(0.0))
-    run = own(spark, d).withColumn("way", way).withColumn("run", F.sum("way").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    run = cleaning.path_length(own(spark, d), "value", "heading", "run")
     return run.groupBy("trial_id").agg(F.max("run").alias("path_length"), F.min(F.when(F.col("run") >= 500, F.col("t"))).alias("crossed_at"))
 
 
 @query("WITH $STREAMS SELECT trial_id, source_row_index, round(avg(value) OVER (PARTITION BY trial_id ORDER BY t, source_row_index ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS smooth FROM e")
 def rolling_mean(spark: SparkSession, d: str) -> DataFrame:
-    return own(spark, d).select("trial_id", "source_row_index", F.avg("value").over(cleaning.ordered("t").rowsBetween(-2, 2)).alias("smooth"))
+    return own(spark, d).select("trial_id", "source_row_index", cleaning.rolling_mean("value").alias("smooth"))
 
 
 @query("""SELECT count(*) AS duplicate_key_count, coalesce(sum(n), 0)::BIGINT AS duplicate_key_rows FROM (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1)""", None)
@@ -186,10 +182,11 @@ def compatibility_gate(spark: SparkSession, d: str) -> DataFrame:
     return quality.compatibility_issues(*_stream_pair(spark, d), S)
 
 
-@query(_REJECTED + " SELECT DISTINCT trial_id FROM s WHERE trial_id NOT IN (SELECT trial_id FROM r)", None)
+@query(_REJECTED + " SELECT DISTINCT trial_id FROM s WHERE trial_id NOT IN (SELECT trial_id FROM r WHERE reason LIKE '%irregularity')", None)
 def accepted_trials(spark: SparkSession, d: str) -> DataFrame:
+    """Under the one gate that the stand-in streams don't all fail."""
     pairs = stream(spark, d).select("trial_id").distinct().withColumn("pair_status", F.lit("paired"))
-    return quality.accepted(pairs, quality.rejections(*_stream_pair(spark, d), S)).select("trial_id")
+    return quality.accepted(pairs, quality.rejections(*_stream_pair(spark, d), S).filter("reason like '%irregularity'")).select("trial_id")
 
 
 @query("""WITH $STREAMS, d AS (SELECT trial_id, value * (lead(t) OVER w - t) AS part, lead(t) OVER w - t AS dt, abs(heading - lag(heading) OVER w) AS turn FROM e WINDOW w AS (PARTITION BY trial_id ORDER BY t, source_row_index)),
@@ -290,12 +287,14 @@ def time_overlap(spark: SparkSession, d: str) -> DataFrame:
     return alignment.overlap(own(spark, d), other(spark, d), "t", "t")
 
 
-@query("""WITH $STREAMS, g AS (SELECT trial_id, count(*) FILTER (WHERE event_type = 'click') AS c, count(*) FILTER (WHERE event_type = 'error') AS x FROM s GROUP BY trial_id)
-SELECT trial_id, c AS n_first, x AS n_second, CASE WHEN c > 3 THEN 'duplicate_first' WHEN x > 3 THEN 'duplicate_second' WHEN c = 0 THEN 'missing_first' WHEN x = 0 THEN 'missing_second' ELSE 'paired' END AS status FROM g""", None)
+@query("""WITH f AS (SELECT 'D' || (user_id % 9 + 1) || '_T1_' || user_id AS trial_id, event_type, event_id FROM events WHERE event_id % 29 < 3 AND event_type IN ('click', 'error')),
+g AS (SELECT trial_id, count(*) FILTER (WHERE event_type = 'click') AS e, count(*) FILTER (WHERE event_type = 'error') AS v FROM f GROUP BY trial_id)
+SELECT trial_id, CASE WHEN e > 1 THEN 'duplicate_ev3' WHEN v > 1 THEN 'duplicate_vrmt' WHEN e = 0 THEN 'missing_ev3' WHEN v = 0 THEN 'missing_vrmt' ELSE 'paired' END AS pair_status, e::INT AS n_ev3, v::INT AS n_vrmt FROM g""", None)
 def pair_streams(spark: SparkSession, d: str) -> DataFrame:
-    g = stream(spark, d).groupBy("trial_id").agg(F.count_if(F.col("event_type") == "click").alias("n_first"), F.count_if(F.col("event_type") == "error").alias("n_second"))
-    a, b = F.col("n_first"), F.col("n_second")
-    return g.withColumn("status", F.when(a > 3, "duplicate_first").when(b > 3, "duplicate_second").when(a == 0, "missing_first").when(b == 0, "missing_second").otherwise("paired"))
+    e = table(spark, d, "events").filter((F.col("event_id") % 29 < 3) & F.col("event_type").isin("click", "error"))
+    trial = F.concat(F.lit("D"), F.col("user_id") % 9 + 1, F.lit("_T1_"), F.col("user_id"))
+    files = e.select(trial.alias("trial_id"), F.when(F.col("event_type") == "click", "ev3").otherwise("vrmt").alias("stream_type"), F.concat(F.lit("/f/"), "event_id").alias("file_path"), F.col("event_id").cast("string").alias("file_name"), F.lit("").alias("file_checksum"), F.lit("ok").alias("parser_status"))
+    return logs.pairs(files).select("trial_id", "pair_status", F.size("ev3_files").alias("n_ev3"), F.size("vrmt_files").alias("n_vrmt"))
 
 
 # ------------------------------------------------------------------ metrics
@@ -326,11 +325,11 @@ def summary_statistics(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy("o_orderpriority").agg(*metrics.summary(["o_totalprice"]))
 
 
-@query("""SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_quantity), 6) AS mean_quantity FROM lineitem GROUP BY GROUPING SETS ((), (l_returnflag), (l_linestatus), (l_returnflag, l_linestatus))""")
+@query("""SELECT l_returnflag, l_linestatus, GROUPING(l_returnflag, l_linestatus)::BIGINT AS level, count(l_quantity) AS l_quantity_n, round(avg(l_quantity), 6) AS l_quantity_mean, round(stddev_samp(l_quantity), 6) AS l_quantity_std, round(median(l_quantity), 6) AS l_quantity_median,
+round(quantile_cont(l_quantity, 0.75) - quantile_cont(l_quantity, 0.25), 6) AS l_quantity_iqr, round(min(l_quantity), 6) AS l_quantity_min, round(max(l_quantity), 6) AS l_quantity_max, round(1.96 * stddev_samp(l_quantity) / sqrt(count(l_quantity)), 6) AS l_quantity_ci95
+FROM lineitem GROUP BY GROUPING SETS ((), (l_returnflag), (l_linestatus), (l_returnflag, l_linestatus))""")
 def grouping_sets_summary(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem")
-    sets = [[], [F.col("l_returnflag")], [F.col("l_linestatus")], [F.col("l_returnflag"), F.col("l_linestatus")]]
-    return li.groupingSets(sets, "l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.avg("l_quantity").alias("mean_quantity"))
+    return metrics.group_summary(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], ["l_quantity"])
 
 
 @query("""WITH m AS (SELECT avg(o_totalprice) AS m FROM orders GROUP BY o_custkey), o AS (SELECT var_samp(o_totalprice) AS v FROM orders)
@@ -364,20 +363,18 @@ def zscore_outliers(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_orderpriority, mode(o_orderstatus ORDER BY o_orderstatus) AS most_common FROM (SELECT o_orderpriority, o_orderstatus FROM orders) GROUP BY o_orderpriority", None)
 def most_common_reason(spark: SparkSession, d: str) -> DataFrame:
-    counts = table(spark, d, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"))
-    return counts.groupBy("o_orderpriority").agg(F.min_by("o_orderstatus", F.struct(-F.col("n"), "o_orderstatus")).alias("most_common"))
+    return metrics.most_common(table(spark, d, "orders"), ["o_orderpriority"], "o_orderstatus")
 
 
 @query("SELECT p_brand, round(avg(p_retailprice) FILTER (WHERE p_size <= 10), 4) AS small, round(avg(p_retailprice) FILTER (WHERE p_size > 10), 4) AS large FROM part GROUP BY p_brand", 4)
 def pivot_mean(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").withColumn("cell", F.when(F.col("p_size") <= 10, "small").otherwise("large"))
-    return p.groupBy("p_brand").pivot("cell", ["small", "large"]).agg(F.avg("p_retailprice"))
+    return presentation.heatmap(p, "p_brand", "cell", ["small", "large"], "p_retailprice")
 
 
-@query("SELECT l_returnflag, l_linestatus, round(min(l_quantity), 4) AS low, round(quantile_cont(l_quantity, 0.25), 4) AS q1, round(median(l_quantity), 4) AS mid, round(quantile_cont(l_quantity, 0.75), 4) AS q3, round(max(l_quantity), 4) AS high FROM lineitem GROUP BY ALL", 4)
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(min(l_quantity), 4) AS low, round(quantile_cont(l_quantity, 0.25), 4) AS q1, round(median(l_quantity), 4) AS median, round(quantile_cont(l_quantity, 0.75), 4) AS q3, round(max(l_quantity), 4) AS high FROM lineitem GROUP BY ALL", 4)
 def box_summary(spark: SparkSession, d: str) -> DataFrame:
-    q = F.percentile("l_quantity", F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(q.alias("q")).select("l_returnflag", "l_linestatus", *[F.get("q", F.lit(k)).alias(c) for k, c in enumerate(("low", "q1", "mid", "q3", "high"))])
+    return presentation.box(table(spark, d, "lineitem"), "l_quantity", ["l_returnflag", "l_linestatus"])
 
 
 # ------------------------------------------------------------------ support and sets
@@ -415,16 +412,15 @@ def canonical_keys(spark: SparkSession, d: str) -> DataFrame:
     return support.with_token(table(spark, d, "customer").select("c_custkey", raw.alias("raw")), ["raw"]).select("c_custkey", "support_key", "key_reason")
 
 
-@query("SELECT n_nationkey FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9000", None)
+@query("SELECT n_nationkey FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9000 AND c_custkey % 9 = 0", None)
 def set_difference(spark: SparkSession, d: str) -> DataFrame:
-    rich = table(spark, d, "customer").filter("c_acctbal > 9000").select(F.col("c_nationkey").alias("n_nationkey"))
-    return table(spark, d, "nation").select("n_nationkey").join(rich, "n_nationkey", "left_anti")
+    rich = table(spark, d, "customer").filter("c_acctbal > 9000 and c_custkey % 9 = 0").select(F.col("c_nationkey").alias("n_nationkey"))
+    return gates.missing_cells(table(spark, d, "nation").select("n_nationkey"), rich, ["n_nationkey"])
 
 
 @query("SELECT c_custkey AS k, 'customer' AS arm FROM customer UNION ALL SELECT s_suppkey, 'supplier' FROM supplier", None)
 def union_arms(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.lit("customer").alias("arm"))
-    return a.unionByName(table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.lit("supplier").alias("arm")))
+    return comparisons.stacked({t: table(spark, d, t).select(F.col(c).alias("k")) for t, c in (("customer", "c_custkey"), ("supplier", "s_suppkey"))})
 
 
 # ------------------------------------------------------------------ fits in SQL
@@ -440,7 +436,7 @@ def rigid_se2(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH $STREAMS SELECT trial_id, round(coalesce(min(t) FILTER (WHERE value > 100), min(t)), 6) AS onset_s FROM e GROUP BY trial_id")
 def onset(spark: SparkSession, d: str) -> DataFrame:
-    return own(spark, d).groupBy("trial_id").agg(F.coalesce(F.min(F.when(F.col("value") > 100, F.col("t"))), F.min("t")).alias("onset_s"))
+    return cleaning.first_above(own(spark, d), "value", 100).withColumnRenamed("onset", "onset_s")
 
 
 # ------------------------------------------------------------------ rank statistics
@@ -551,8 +547,8 @@ def missing_design_cells(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS repetition_id FROM customer)
 SELECT c_custkey AS trial_id, c_nationkey AS scenario_id, repetition_id::INT AS repetition_id, CASE WHEN repetition_id <= 5 THEN 'planned_405' ELSE 'extended_previous_paper' END AS dataset_tier FROM r""", None)
 def repetition_numbers(spark: SparkSession, d: str) -> DataFrame:
-    rep = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("trial_id"), F.col("c_nationkey").alias("scenario_id"), rep.alias("repetition_id")).withColumn("dataset_tier", F.when(F.col("repetition_id") <= 5, "planned_405").otherwise("extended_previous_paper"))
+    trials = table(spark, d, "customer").select(F.col("c_custkey").alias("trial_id"), F.col("c_nationkey").alias("scenario_id"))
+    return logs.repetitions(trials, F.lit(True)).drop("candidate")
 
 
 # ------------------------------------------------------------------ without an SQL equivalent

@@ -59,6 +59,13 @@ def _manifest_rows(files: DataFrame, folders: dict[str, str], s: Settings) -> Da
     )
 
 
+def repetitions(trials: DataFrame, candidate: Column, most: int = 5) -> DataFrame:
+    """candidate, repetition_id and dataset_tier: the first repetitions of each scenario among the candidates are planned."""
+    line = Window.partitionBy("scenario_id", "candidate").orderBy("trial_id")
+    out = trials.withColumn("candidate", candidate).withColumn("repetition_id", F.when(F.col("candidate"), F.row_number().over(line)).otherwise(1))
+    return out.withColumn("dataset_tier", F.when(F.col("candidate") & (F.col("repetition_id") <= most), "planned_405").otherwise("extended_previous_paper"))
+
+
 def pairs(files: DataFrame) -> DataFrame:
     """One row for each trial, and one for each malformed file: status, tier, repetition and what both streams have.
 
@@ -74,10 +81,8 @@ def pairs(files: DataFrame) -> DataFrame:
         "status_reasons": reasons, "drive_id": F.coalesce(F.get(parts, F.lit(0)), F.lit("unknown")), "route_id": F.coalesce(F.get(parts, F.lit(1)), F.lit("unknown")),
     }).withColumns({"status": F.coalesce(F.get("status_reasons", F.lit(0)), F.lit("paired")), "scenario_id": F.concat_ws("_", "drive_id", "route_id")})
     planned = (F.col("status") == "paired") & F.col("drive_id").rlike("^D0*[1-9]$") & F.col("route_id").rlike("^T0*[1-9]$")
-    line = Window.partitionBy("scenario_id", "candidate").orderBy("trial_id")
-    trials = trials.withColumn("candidate", planned).withColumn("repetition_id", F.when(F.col("candidate"), F.row_number().over(line)).otherwise(1))
-    tier = F.when(F.col("status") != "paired", "diagnostic_or_unplanned").when(F.col("candidate") & (F.col("repetition_id") <= 5), "planned_405").otherwise("extended_previous_paper")
-    out = _pair_columns(trials.withColumn("dataset_tier", tier))
+    trials = repetitions(trials, planned)
+    out = _pair_columns(trials.withColumn("dataset_tier", F.when(F.col("status") != "paired", "diagnostic_or_unplanned").otherwise(F.col("dataset_tier"))))
     malformed = files.filter("parser_status = 'malformed'").select(
         F.col("file_name").alias("trial_id"), F.array(F.lit("malformed_filename")).alias("status_reasons"), F.lit("malformed_filename").alias("status"), F.lit("unknown").alias("drive_id"), F.lit("unknown").alias("route_id"), F.lit("unknown").alias("scenario_id"),
         F.lit(0).alias("repetition_id"), F.lit("unknown").alias("dataset_tier"),
