@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Sequence
 
@@ -48,7 +49,7 @@ def _manifest_rows(files: DataFrame, folders: dict[str, str], s: Settings) -> Da
     name = F.element_at(F.split("path", "/"), -1)
     part = lambda k: F.regexp_extract(F.col("file_name"), s.filename_pattern, k)
     fits = F.col("file_name").rlike(s.filename_pattern)
-    first_line = F.substring_index(F.decode(F.substring("content", 1, 65536), "UTF-8"), "\n", 1)
+    first_line = F.substring_index(F.decode("content", "UTF-8"), "\n", 1)
     named = files.withColumns({"stream": stream, "file_name": name, "first_line": first_line})
     trial = F.when(fits, F.concat_ws("_", part(1), part(2), part(3), part(4))).otherwise("unknown")
     return named.select(
@@ -108,51 +109,55 @@ def _pair_columns(df: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ log lines
 
 
-def lines(spark: SparkSession, paths: Sequence[str], trials: DataFrame) -> DataFrame:
-    """trial_id, source_row_index, line of every line of whole files, in file order. ``trials``: file_path, trial_id.
+def lines(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """trial_id, head (the file's first line), source_row_index and line of every other line that isn't blank, in file order. ``files``:
+    file_path, trial_id. Paths come to the driver, where Spark's scan holds them anyway.
 
     A log is read whole, as its order is its identity; the ordinal is its place in the file, not one made up afterwards.
     """
-    files = spark.read.text(list(paths), wholetext=True).select(file_path().alias("file_path"), "value")
-    known = files.join(trials.select(F.regexp_replace("file_path", "^file:/+", "file:/").alias("file_path"), "trial_id"), "file_path")
-    return known.select("trial_id", F.posexplode(F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n")).alias("source_row_index", "line")).filter(F.trim("line") != "")
+    paths = [r["file_path"] for r in files.select("file_path").distinct().collect()]
+    known = files.select(F.regexp_replace("file_path", "^file:/+", "file:/").alias("file_path"), "trial_id")
+    whole = spark.read.text(paths, wholetext=True).select(file_path().alias("file_path"), "value") if paths else spark.createDataFrame([], "file_path string, value string")
+    split = F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n")
+    rows = whole.join(known, "file_path").select("trial_id", F.regexp_replace(F.get(split, F.lit(0)), "^\ufeff", "").alias("head"), F.posexplode(split).alias("source_row_index", "line"))
+    return rows.filter(F.trim("line") != "")
 
 
-def is_tracker_log(first_line: Column) -> Column:
-    return first_line.contains(";") & (first_line.contains("INFO") | first_line.contains("tracker"))
-
-
-def read_csv(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Text columns of lines with a header. Row indices count data rows from 0. Missing fields are NULL."""
-    fields = F.from_csv(F.col("line"), F.lit(", ".join(f"`c{k}` string" for k in range(len(columns)))))
-    body = rows.filter("source_row_index > 0").withColumn("f", fields)
-    return body.select("trial_id", (F.col("source_row_index") - 1).cast("bigint").alias("source_row_index"), *[F.col(f"f.c{k}").alias(c) for k, c in enumerate(columns)])
-
-
-def read_tracker_log(rows: DataFrame, width: int = len(TRACKER_COLUMNS)) -> DataFrame:
-    """The headerless semicolon log: known names first, col_i beyond them."""
-    names = [*TRACKER_COLUMNS[:width], *(f"col_{i}" for i in range(len(TRACKER_COLUMNS), width))]
-    parts = F.split("line", ";")
-    return rows.select("trial_id", F.col("source_row_index").cast("bigint").alias("source_row_index"), *[F.nullif(F.trim(F.get(parts, F.lit(i))), F.lit("")).alias(c) for i, c in enumerate(names)])
+def is_tracker_log(first_line: str) -> bool:
+    return ";" in first_line and ("INFO" in first_line or "tracker" in first_line)
 
 
 def read_stream(spark: SparkSession, files: DataFrame, sniff: bool = False) -> DataFrame:
-    """Raw text columns of all logs in ``files`` (file_path, trial_id). Files are grouped by their header (one small row a file
-    on the driver), read group by group and united by name; ``sniff`` also accepts the headerless tracker log."""
-    heads = spark.read.text([r["file_path"] for r in files.select("file_path").collect()] or ["/nonexistent"], wholetext=True) if not files.isEmpty() else None
-    if heads is None:
+    """Raw text columns of all logs in ``files`` (file_path, trial_id), united by name; missing fields are NULL, and row indices count
+    data rows from 0. Fields may be quoted; a line end inside quotes ends the row all the same.
+
+    Only the different first lines come to the driver, of which there are as many as formats; with them every row is read in one scan.
+    ``sniff`` also accepts the headerless tracker log: known names first, col_i beyond them.
+    """
+    rows = lines(spark, files)
+    heads = {r["head"]: next(csv.reader([r["head"]]), []) for r in rows.filter("source_row_index = 0").select("head").distinct().collect()}
+    trackers = {h: len(h.split(";")) for h in heads if sniff and is_tracker_log(h)}
+    first, names = 0 if trackers else 1, []
+    formats: list[tuple[str, list[str], Column]] = []
+    for h, header in sorted(heads.items()):
+        fields = F.split("line", ";") if h in trackers else F.array(*[F.col(f"f.c{k}") for k in range(len(header))])
+        own = [*TRACKER_COLUMNS, *(f"col_{i}" for i in range(len(TRACKER_COLUMNS), trackers[h]))][: trackers[h]] if h in trackers else header
+        formats.append((h, own, fields))
+        names += [c for c in own if c not in names]
+    if not names:
         return spark.createDataFrame([], "trial_id string, source_row_index long")
-    first = heads.select(file_path().alias("file_path"), F.regexp_replace(F.substring_index(F.substring("value", 1, 65536), "\n", 1), "[\r﻿]", "").alias("head"))
-    groups: dict[tuple, list[str]] = {}
-    for r in first.withColumn("log", is_tracker_log(F.col("head"))).collect():
-        key = ("log", len(r["head"].split(";"))) if sniff and r["log"] else ("csv", r["head"])
-        groups.setdefault(key, []).append(r["file_path"])
-    out = None
-    for (kind, head), paths in sorted(groups.items(), key=str):
-        rows = lines(spark, paths, files)
-        part = read_tracker_log(rows, head) if kind == "log" else read_csv(rows, head.split(","))
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+    wide = max(len(own) for _, own, _ in formats)
+    parsed = rows.withColumn("f", F.from_csv(F.col("line"), F.lit(", ".join(f"`c{k}` string" for k in range(wide)))))
+    tracked = F.col("head").isin(*trackers) if trackers else F.lit(False)
+    # The first line of a log is a row, that of a table its header.
+    parsed = parsed.filter((F.col("source_row_index") >= first) & (tracked | (F.col("source_row_index") > 0)))
+
+    def value(name: str) -> Column:
+        found = [F.when(F.col("head") == h, F.nullif(F.trim(F.get(fields, F.lit(own.index(name)))), F.lit("")) if h in trackers else F.get(fields, F.lit(own.index(name)))) for h, own, fields in formats if name in own]
+        return F.coalesce(*found)
+
+    place = F.col("source_row_index") - F.when(tracked, 0).otherwise(1)
+    return parsed.select("trial_id", place.cast("bigint").alias("source_row_index"), *[value(c).alias(c) for c in names])
 
 
 # ------------------------------------------------------------------ tables

@@ -201,3 +201,18 @@ def test_missing_required_columns(spark, tmp_path):
     assert logs.optional(spark, f"{tmp_path}/none", "a int").count() == 0
     with pytest.raises(LookupError):
         logs.exactly_one(spark.range(2).withColumn("k", F.lit("a")), "k", "a")
+
+
+def test_logs_of_different_headers_in_one_scan(spark, tmp_path):
+    """Quoted commas, a byte order mark, blank lines, short rows, a header of many columns, and an empty file."""
+    wide = ",".join(f"c{k}" for k in range(9000))
+    (tmp_path / "a.csv").write_bytes('﻿time,"speed, left",x\r\n1,"2,5",3\r\n\r\n4,5\r\n'.encode())
+    (tmp_path / "b.csv").write_text("x,time\n7,8\n")
+    (tmp_path / "c.csv").write_text("")
+    (tmp_path / "d.csv").write_text(wide + "\n" + ",".join(str(k) for k in range(9000)) + "\n")
+    files = spark.createDataFrame([(f"file://{tmp_path}/{n}.csv", n) for n in "abc"], "file_path string, trial_id string")
+    got = [tuple(r) for r in logs.read_stream(spark, files).select("trial_id", "source_row_index", "time", "speed, left", "x").orderBy("trial_id", "source_row_index").collect()]
+    assert got == [("a", 0, "1", "2,5", "3"), ("a", 2, "4", "5", None), ("b", 0, "8", None, "7")]
+    assert logs.read_stream(spark, files.limit(0)).count() == 0
+    long = logs.manifest(spark, {"ev3": str(tmp_path)}, Settings()).filter("file_name = 'd.csv'").first()
+    assert long["detected_columns"] == 9000 and len(wide) > 50_000
