@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Mapping
 from dataclasses import dataclass, field, fields, replace
 from pathlib import Path
@@ -30,7 +31,10 @@ class Settings:
     wheel_track_m: float = 0.120
     lever_arm: tuple[float, float, float] = (0.005, 0.0, 0.10)
     apply_lever_arm: bool = True
+    #: direct, or fitted_plane: the same axes, with each row's distance to the trial's fitted plane.
     planar_mode: str = "direct"
+    #: rigid: least squares over the calibration rows; heading: from the first heading_distance_m of both paths.
+    spatial_method: str = "rigid"
     planar_x: str = "x"
     planar_y: str = "z"
     flip_y: bool = True
@@ -69,6 +73,9 @@ class Settings:
     def __post_init__(self) -> None:
         for name in ("telemetry_time_to_s", "tracking_time_to_s"):
             unit_factor(getattr(self, name), name)
+        for name, known in (("planar_mode", ("direct", "fitted_plane")), ("spatial_method", ("rigid", "heading"))):
+            if getattr(self, name) not in known:
+                raise ValueError(f"{name} must be one of {', '.join(known)}, not {getattr(self, name)!r}")
 
 
 def unit_factor(value: Any, name: str) -> float:
@@ -82,14 +89,22 @@ def unit_factor(value: Any, name: str) -> float:
 
 
 def load(path: str | Path | None = None, **overrides: Any) -> Settings:
-    """Defaults, then a YAML file's entries, then explicit overrides; names are the fields of Settings."""
+    """Defaults, then a YAML file's entries, then the environment's, then explicit overrides; names are the fields of Settings.
+
+    An environment variable is GAUGELINE_ and the field's name in capitals; its text is read like an entry of the file.
+    """
     found: dict[str, Any] = {}
+    known = {f.name for f in fields(Settings)}
+    outside = {n: os.environ[f"GAUGELINE_{n.upper()}"] for n in sorted(known) if f"GAUGELINE_{n.upper()}" in os.environ}
     if path is not None:
         import yaml
 
         found = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
-    found = {**found, **overrides}
-    known = {f.name for f in fields(Settings)}
+    if outside:
+        import yaml
+
+        outside = {n: yaml.safe_load(text) for n, text in outside.items()}
+    found = {**found, **outside, **overrides}
     if unknown := sorted(set(found) - known):
         raise ValueError(f"unknown settings: {', '.join(unknown)}")
     for stream in ("telemetry", "tracking"):

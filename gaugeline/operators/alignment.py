@@ -192,6 +192,30 @@ def heading_fit(telemetry: DataFrame, tracking: DataFrame, s: Settings, own: tup
     return both.select(key, (F.col("edir") - F.col("vdir")).alias("theta_rad"), "ex0", "ey0", "vx0", "vy0")
 
 
+def spatial(telemetry: DataFrame, tracking: DataFrame, times: DataFrame, s: Settings, key: str = "trial_id") -> DataFrame:
+    """theta_rad, tx, ty and trajectory_residual by the method of the settings, with the number and the hash of the rows that were fitted."""
+    if s.spatial_method == "rigid":
+        fits = spatial_fit(telemetry, tracking, times, s, key)
+    else:
+        start = heading_fit(telemetry, tracking.withColumn("planar_y", -F.col("planar_y") if s.flip_y else F.col("planar_y")), s, key=key)
+        c, d = F.cos("theta_rad"), F.sin("theta_rad")
+        fits = start.select(key, F.lit(None).cast("long").alias("n"), "theta_rad", (F.col("ex0") - c * F.col("vx0") + d * F.col("vy0")).alias("tx"), (F.col("ey0") - d * F.col("vx0") - c * F.col("vy0")).alias("ty"), F.lit(None).cast("double").alias("trajectory_residual"))
+    known = telemetry.filter("local_time_s is not null and odometry_x is not null and odometry_y is not null")
+    keys = known.groupBy(key).agg(F.array_sort(F.collect_list("source_row_index")).alias("k"))
+    used = keys.select(key, F.size("k").cast("long").alias("fit_source_key_count"), F.sha2(F.array_join(F.col("k").cast("array<string>"), "\n"), 256).alias("fit_source_key_hash"))
+    payload = F.to_json(F.struct(F.lit(s.spatial_method).alias("method"), F.col(key).cast("string").alias("trial"), F.lit(s.flip_y).alias("flip_y"), F.col("fit_source_key_hash").alias("keys")))
+    return fits.join(used, key, "left").withColumns({"spatial_method": F.lit(s.spatial_method), "fit_hash": F.sha2(payload, 256)})
+
+
+def plane_residual(df: DataFrame, columns: Sequence[str] = ("x", "y", "z"), key: str = "trial_id") -> DataFrame:
+    """Column planarity_residual: the distance of each row to its trial's least-squares plane, positive on the side of the second axis."""
+    fits = plane_fit(df, columns, key).select(key, "nx", "ny", "nz")
+    centre = df.filter(" and ".join(f"{c} is not null" for c in columns)).groupBy(key).agg(*[F.avg(c).alias(f"__{c}") for c in columns])
+    sign = F.when(F.col("ny") < 0, -1.0).otherwise(1.0)
+    distance = sum((F.col(n) * (F.col(c) - F.col(f"__{c}")) for n, c in zip(("nx", "ny", "nz"), columns, strict=True)), F.lit(0.0))
+    return df.join(fits.join(centre, key), key, "left").withColumn("planarity_residual", sign * distance).drop("nx", "ny", "nz", *[f"__{c}" for c in columns])
+
+
 def plane_fit(samples: DataFrame, columns: Sequence[str] = ("x", "y", "z"), key: str = "trial_id") -> DataFrame:
     """Normal and root mean square distance of each trial's least-squares plane, from the moments' aggregates and a 3x3 eigenproblem."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]

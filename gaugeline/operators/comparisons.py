@@ -16,6 +16,24 @@ from gaugeline.functions.columns import finite, is_evaluation, rotate_translate
 KEY = ["source_row_index"]
 
 
+#: What the arms of a comparison are made by: offset, scale, rows of the fit, reference operator.
+POLICIES: dict[str, dict[str, tuple[str, str, str, str]]] = {
+    "H1": {"onset": ("onset", "constant", "calibration", "spline"), "refined": ("refined", "constant", "calibration", "spline")},
+    "H2": {m: ("refined", "selected", "calibration", m) for m in METHODS},
+    "H3": {"split": ("refined", "selected", "calibration", "spline"), "full": ("refined", "selected", "all", "spline")},
+    "baseline": {"baseline": ("onset", "constant", "all", "zoh"), "final": ("refined", "selected", "calibration", "spline")},
+}
+
+
+def check_policies(policies: Mapping[str, Mapping[str, Sequence[str]]] = POLICIES) -> None:
+    """Arms of a hypothesis differ in one thing only, those of the baseline in every one; else their difference says nothing."""
+    for name, arms in policies.items():
+        differing = [len(set(column)) > 1 for column in zip(*arms.values(), strict=True)]
+        wanted = 4 if name == "baseline" else 1
+        if sum(differing) != wanted:
+            raise ValueError(f"the arms of {name} differ in {sum(differing)} policies, not in {wanted}")
+
+
 def held_out(aligned: DataFrame) -> DataFrame:
     """Evaluation rows with a finite residual."""
     return aligned.filter(is_evaluation(F.col("partition")) & finite(F.col("residual_norm")).isNotNull())

@@ -104,6 +104,8 @@ def _split(run: Run, name: str) -> DataFrame:
         rows = cleaning.telemetry_signals(rows, s)
         return quality.partition(rows, run["bounds"], "local_time_s", "ev3")
     rows = cleaning.planar(cleaning.tracking_signals(rows, s), s)
+    if s.planar_mode == "fitted_plane":
+        rows = alignment.plane_residual(rows)
     return quality.partition(rows, run["bounds"], "relative_time_s", "vrmt")
 
 
@@ -133,7 +135,7 @@ def _times(run: Run) -> DataFrame:
 
 def _spatial(run: Run) -> DataFrame:
     cal = [_good(run, n).filter("partition = 'calibration'") for n in ("telemetry_rows", "tracking_rows")]
-    return alignment.spatial_fit(*cal, run["times"], run.settings)
+    return alignment.spatial(*cal, run["times"], run.settings)
 
 
 def _params(run: Run) -> DataFrame:
@@ -189,6 +191,15 @@ def _compatible(run: Run) -> DataFrame:
     return quality.compatibility_issues(e, v, run.settings)
 
 
+def _lag_curves(run: Run) -> DataFrame:
+    """What the correlation of the two streams was at each lag, over the calibration rows."""
+    s = run.settings
+    cal = [_good(run, n).filter("partition = 'calibration'") for n in ("telemetry_rows", "tracking_rows")]
+    if s.telemetry_proxy not in cal[0].columns or s.tracking_proxy not in cal[1].columns:
+        return _nothing(run, "trial_id string, lag_s double, score double, overlap_s double, status string")
+    return alignment.correlation_curve(*cal, s, s.telemetry_proxy, s.tracking_proxy, "local_time_s", "relative_time_s")
+
+
 def _schema(run: Run) -> DataFrame:
     """Types, rows and NULLs of the columns of the cleaned streams and the metrics."""
     reports = [sinks.schema_report(run[p]).withColumn("product", F.lit(p)) for p in ("telemetry", "tracking", "metrics")]
@@ -253,6 +264,7 @@ PRODUCTS: dict[str, Callable[[Run], DataFrame]] = {
     "robustness": lambda r: metrics.scenario_robustness(_scored(r)),
     "variance": lambda r: metrics.variance_decomposition(r["metrics"].filter("status = 'success'"), "rmse_mm", "scenario_id"),
     "balance": _balance,
+    "lag_curves": _lag_curves,
     "gate_ledger": _gate_ledger,
     "gate_pivot": lambda r: gates.gate_pivot(r["gate_ledger"], ["planned_405", "extended_previous_paper"]),
     "cascade": _cascade,
@@ -268,7 +280,7 @@ READS: dict[str, str] = {
     "telemetry_rows": "telemetry bounds", "tracking_rows": "tracking bounds", "ledger": "telemetry_rows tracking_rows", "degeneracy": "telemetry_rows tracking_rows bounds", "times": "degeneracy", "spatial": "times",
     "params": "times spatial", "aligned": "params", "metrics": "aligned accepted spatial", "phases": "aligned", "schema": "metrics", "h1": "times", "h2": "params", "h3": "bounds ledger", "baseline_arm": "aligned accepted times",
     "baseline": "baseline_arm", "baseline_rejections": "baseline_arm", "compatible": "pairs diagnostics", "summary": "metrics", "repeatability": "metrics params", "stability": "metrics params", "robustness": "metrics times diagnostics",
-    "variance": "metrics", "balance": "pairs accepted", "gate_ledger": "pairs rejections degeneracy times metrics", "gate_pivot": "gate_ledger", "cascade": "gate_ledger metrics ledger", "stage_summary": "cascade",
+    "variance": "metrics", "balance": "pairs accepted", "lag_curves": "degeneracy", "gate_ledger": "pairs rejections degeneracy times metrics", "gate_pivot": "gate_ledger", "cascade": "gate_ledger metrics ledger", "stage_summary": "cascade",
     "inference": "h1 h2 h3 accepted ledger", "conclusions": "inference", "friedman": "h2 accepted", "posthoc": "h2 accepted",
 }
 #: What each result consists of. Every run has the core; what is presented is drawn from all the others.
@@ -278,7 +290,7 @@ RESULTS: dict[str, str] = {
     "h2": "h2 friedman posthoc",
     "h3": "h3",
     "baseline": "baseline baseline_rejections",
-    "diagnostics": "gate_ledger gate_pivot cascade stage_summary compatible summary repeatability stability robustness variance balance",
+    "diagnostics": "gate_ledger gate_pivot cascade stage_summary compatible summary repeatability stability robustness variance balance lag_curves",
     "tables": "inference conclusions",
     "figures": "inference",
     "report": "inference",
@@ -347,6 +359,7 @@ def execute(spark: SparkSession, inputs: dict[str, str], folder: str, results: s
     """Run a selection into an empty folder. status.json says RUNNING, PASS or FAILED with the reason; provenance.json has an entry for each
     product. ``frozen``: only paths and config_id of the settings may differ from the defaults."""
     s = settings or Settings()
+    comparisons.check_policies()
     if frozen:
         check_frozen(s)
     chosen = Selection.of(results)
@@ -376,6 +389,14 @@ def execute(spark: SparkSession, inputs: dict[str, str], folder: str, results: s
         if "tables" in chosen.results:
             for table_name, df in made.items():
                 sinks.write_csv(df, f"{out.root}/tables/{table_name}", df.columns[:1])
+        sinks.write_json(run["times"], f"{out.root}/parameters/temporal")
+        sinks.write_json(run["spatial"], f"{out.root}/parameters/spatial")
+        if "lag_curves" in run.made:
+            sinks.write_json(run["lag_curves"], f"{out.root}/parameters/correlation")
+        if "inference" in run.made:
+            # Of the shared table of tests, each hypothesis gets its own part.
+            for h in ("H1", "H2", "H3"):
+                sinks.write_csv(run["inference"].filter(F.col("hypothesis_id") == h), f"{out.root}/hypotheses/{h}", ["population"])
         if "figures" in chosen.results:
             write_figures(run, out)
         if "report" in chosen.results:
@@ -406,11 +427,25 @@ def write_figures(run: Run, out: Folder) -> None:
         raise RunError("no figure has a row to show")
 
 
+#: Columns that readers of a product count on.
+CONTRACTS = {
+    "gate_ledger": "trial_id string, dataset_tier string, gate string, gate_status string, reason string",
+    "cascade": "trial_id string, dataset_tier string, stage string, score_mm double, valid boolean, reason string",
+    "metrics": "trial_id string, rmse_mm double, status string, accepted_for_hypothesis_tests boolean, support_hash string",
+    "h1": "trial_id string, delta_rmse_mm double, common_support_hash string, valid_for_paper boolean, reason string",
+    "h2": "trial_id string, method string, rmse_mm double, common_support_hash string, status string",
+    "h3": "trial_id string, calibration_mode string, heldout_rmse_mm double, delta_rmse_mm double, common_support_hash string, valid_for_paper boolean",
+    "baseline": "trial_id string, baseline_rmse_mm double, final_rmse_mm double, delta_rmse_mm double, common_support_hash string",
+}
+
+
 def validate_family(run: Run, result: str) -> None:
     """What a published result must hold: its products made, one row for each trial (and arm), and scores only where rows are valid."""
     for product in RESULTS[result].split():
         if product not in run.made:
             raise RunError(f"{result}: {product} was not made")
+        if product in CONTRACTS:
+            logs.contract(run[product], product, CONTRACTS[product])
     keys = {"metrics": ["trial_id"], "h1": ["trial_id"], "h2": ["trial_id", "method"], "h3": ["trial_id", "calibration_mode"], "baseline": ["trial_id"], "cascade": ["trial_id", "stage"], "gate_ledger": ["trial_id", "gate"]}
     for product in set(RESULTS[result].split()) & set(keys):
         if not run[product].groupBy(*keys[product]).count().filter("count > 1").isEmpty():

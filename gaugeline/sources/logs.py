@@ -173,10 +173,28 @@ def optional(spark: SparkSession, path: str, schema: str, fmt: str = "parquet",
         return spark.createDataFrame([], schema)
 
 
+def read_by_name(spark: SparkSession, folder: str, pattern: str, key: str = "trial_id", group: int = 1) -> DataFrame:
+    """Parquet files of one folder in one scan, with an id taken from each file's name; files whose name doesn't fit are left out."""
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(folder).withColumn("__name", F.element_at(F.split(file_path(), "/"), -1))
+    return rows.filter(F.col("__name").rlike(pattern)).withColumn(key, F.regexp_extract("__name", pattern, group)).drop("__name")
+
+
 class MissingColumns(ValueError):
     """A required table lacks columns."""
 
 
+def contract(df: DataFrame, name: str, schema: str) -> DataFrame:
+    """The table, if it has the contract's columns under their types; else an error that names all that is wrong."""
+    kinds, wrong = dict(df.dtypes), []
+    for part in schema.split(", "):
+        column, kind = part.split(" ", 1)
+        if kinds.get(column) != kind:
+            wrong.append(f"{column} is {kinds.get(column, 'missing')}, not {kind}")
+    if wrong:
+        raise MissingColumns(f"{name}: {'; '.join(wrong)}")
+    return df
+
+
 def required(spark: SparkSession, path: str, columns: Sequence[str], fmt: str = "parquet", **options: str) -> DataFrame:
     df = spark.read.format(fmt).options(**options).load(path)
     if missing := [c for c in columns if c not in df.columns]:

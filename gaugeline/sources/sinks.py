@@ -29,6 +29,12 @@ def write_csv(df: DataFrame, path: str, sort: Sequence[str] = ()) -> None:
     (out.orderBy(*sort).coalesce(1) if sort else out).write.mode("overwrite").option("header", "true").csv(path)
 
 
+def write_json(df: DataFrame, path: str, drop: Sequence[str] = ()) -> None:
+    """A JSON object for each row, NULL fields included; non-finite numbers are NULL."""
+    kept = df.drop(*drop)
+    kept.select(*[(finite(F.col(c)) if kind in ("float", "double") else F.col(c)).alias(c) for c, kind in kept.dtypes]).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
 def write_trials(df: DataFrame, path: str, key: str = "trial_id") -> None:
     """Parquet with a folder for each trial, so that reads of some trials skip the others; rows of a trial are dealt by it first."""
     df.repartition(F.col(key)).write.mode("overwrite").partitionBy(key).parquet(path)

@@ -216,3 +216,55 @@ def test_logs_of_different_headers_in_one_scan(spark, tmp_path):
     assert logs.read_stream(spark, files.limit(0)).count() == 0
     long = logs.manifest(spark, {"ev3": str(tmp_path)}, Settings()).filter("file_name = 'd.csv'").first()
     assert long["detected_columns"] == 9000 and len(wide) > 50_000
+
+
+def test_settings_from_the_environment(monkeypatch, tmp_path):
+    monkeypatch.setenv("GAUGELINE_MIN_ROWS", "7")
+    monkeypatch.setenv("GAUGELINE_LEVER_ARM", "[1.0, 2.0, 3.0]")
+    (tmp_path / "s.yaml").write_text("min_rows: 9\nmin_duration_s: 2.5\n")
+    s = load(tmp_path / "s.yaml")
+    assert (s.min_rows, s.min_duration_s, s.lever_arm) == (7, 2.5, (1.0, 2.0, 3.0)) and load(None, min_rows=3).min_rows == 3
+    with pytest.raises(ValueError):
+        Settings(planar_mode="bent")
+
+
+def test_policies_of_arms_differ_in_one_thing():
+    from gaugeline.operators import comparisons
+
+    comparisons.check_policies()
+    with pytest.raises(ValueError):
+        comparisons.check_policies({"H1": {"a": ("onset", "constant", "calibration", "spline"), "b": ("refined", "selected", "calibration", "spline")}})
+    with pytest.raises(ValueError):
+        comparisons.check_policies({"baseline": {"a": ("onset", "constant", "all", "zoh"), "b": ("onset", "selected", "calibration", "spline")}})
+
+
+def test_contracts_and_ids_from_names(spark, tmp_path):
+    for k in (1, 2):
+        spark.range(k).write.parquet(f"{tmp_path}/t/D{k}_raw.parquet")
+    got = sorted((r["trial_id"], r["id"]) for r in logs.read_by_name(spark, f"{tmp_path}/t", r"^(part)-.*parquet$").collect())
+    assert got == [("part", 0), ("part", 0), ("part", 1)] and logs.read_by_name(spark, f"{tmp_path}/t", "^(D9).*$").count() == 0
+    df = spark.range(1).withColumn("x", F.lit("a"))
+    assert logs.contract(df, "t", "id bigint, x string") is df
+    with pytest.raises(logs.MissingColumns, match="x is string, not double; y is missing, not int"):
+        logs.contract(df, "t", "x double, y int")
+
+
+def test_plane_residuals_and_heading_fit(spark):
+    from gaugeline.operators import alignment
+
+    rng = np.random.default_rng(3)
+    x, z = rng.normal(size=(2, 200))
+    rows = [("a", k, float(a), float(0.3 * a - 0.2 * b + (0.5 if k == 7 else 0.0)), float(b)) for k, (a, b) in enumerate(zip(x, z, strict=True))]
+    got = alignment.plane_residual(spark.createDataFrame(rows, "trial_id string, source_row_index long, x double, y double, z double")).orderBy("source_row_index").collect()
+    far = [r["planarity_residual"] for r in got]
+    assert max(range(200), key=lambda k: far[k]) == 7 and far[7] == pytest.approx(0.5 / math.sqrt(1 + 0.3**2 + 0.2**2), abs=0.02) and abs(np.mean(far)) < 1e-9
+    theta = 0.7
+    e = [("a", k, 0.1 * k, 0.01 * k + 2, 5.0) for k in range(60)]
+    v = [("a", k, 0.1 * k, 0.01 * k * math.cos(theta) - 1, 0.01 * k * math.sin(theta)) for k in range(60)]
+    own = spark.createDataFrame(e, "trial_id string, source_row_index long, local_time_s double, odometry_x double, odometry_y double")
+    other = spark.createDataFrame(v, "trial_id string, source_row_index long, relative_time_s double, planar_x double, planar_y double")
+    times = spark.createDataFrame([("a", 1.0, 0.0)], "trial_id string, scale_a double, offset_b double")
+    by = {m: alignment.spatial(own, other, times, Settings(flip_y=False, spatial_method=m)).first() for m in ("rigid", "heading")}
+    for r in by.values():
+        assert (r["theta_rad"], r["tx"], r["ty"]) == pytest.approx((-theta, 2 + math.cos(theta), 5 - math.sin(theta)), abs=1e-6) and r["fit_source_key_count"] == 60
+    assert by["rigid"]["fit_source_key_hash"] == by["heading"]["fit_source_key_hash"] and by["rigid"]["fit_hash"] != by["heading"]["fit_hash"]
