@@ -189,6 +189,8 @@ def salvage(f) -> Iterator[tuple[int, Record] | Gap]:
     """Records with their positions, and the gaps between them, of a plain or compressed archive, in order."""
     source = Source(f)
     at, bad, reason = 0, None, ""
+    # Where each pattern comes next: searched for again only when that place is passed, so the file is gone through once for each.
+    ahead = {GZIP: -1, b"WARC/1.": -1}
     while at < source.size:
         packed = source.read(at, 3) == GZIP
         try:
@@ -206,7 +208,8 @@ def salvage(f) -> Iterator[tuple[int, Record] | Gap]:
         except Damaged as e:
             if bad is None:
                 bad, reason = at, str(e)
-            at = min(source.find(GZIP, at + 1), source.find(b"WARC/1.", at + 1))
+            ahead = {pattern: place if place > at else source.find(pattern, at + 1) for pattern, place in ahead.items()}
+            at = min(ahead.values())
             continue
         if bad is not None:
             yield Gap(bad, at, reason)

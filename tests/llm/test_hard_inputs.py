@@ -1,5 +1,6 @@
 """Inputs on which operators once lost or changed data, and cases of their docstrings: long texts, ties, repeats, hot keys."""
 
+import hashlib
 import itertools
 import random
 import time
@@ -169,3 +170,19 @@ def test_null_page_ids_revisit(spark):
     df = spark.createDataFrame([(None, "u", body), (4, "u", body), (None, "u", body + "other"), (None, "v", body + "other")], "page_id long, url string, html string")
     got = sorted((str(r["page_id"]), r["record_type"], str(r["refers_to"])) for r in warc.page_rows(spark, df).collect())
     assert got == [("4", "response", "None"), ("None", "response", "None"), ("None", "response", "None"), ("None", "revisit", "4")]
+
+
+def test_salvage_of_many_damaged_members_is_linear():
+    """Thousands of false starts of one kind and none of the other: the rest of the file isn't searched again for each."""
+    import io
+
+    good = warc.member(warc.record("response", 1, "http://a/", b"x" * 50, hashlib.sha1(b"x" * 50).hexdigest()))
+
+    def found(n):
+        began = time.perf_counter()
+        rows = list(warc.salvage(io.BytesIO((warc.GZIP + b"junk" * 20) * n + good)))
+        assert isinstance(rows[0], warc.Gap) and rows[0].end == 83 * n and len(rows) == 2 and rows[1][1].payload == b"x" * 50
+        return time.perf_counter() - began
+
+    found(10)
+    assert found(16_000) < 40 * max(found(2000), 0.02)
