@@ -14,7 +14,7 @@ import zstandard
 pytest.importorskip("gaugeline.llm")
 from pyspark.sql import functions as F  # noqa: E402
 
-from gaugeline.llm import media, quality  # noqa: E402
+from gaugeline.llm import decontaminate, media, quality  # noqa: E402
 
 # ------------------------------------------------------------------ quality
 
@@ -212,3 +212,47 @@ def test_pipeline_on_awkward_rows(spark, tmp_path):
 
 def test_pipeline_on_empty_tables(spark, tmp_path):
     assert run_pipeline(spark, tmp_path, [], DOCS, []) == []
+
+
+# ------------------------------------------------------------------ contamination
+
+
+def plain_alignment(item, text):
+    """Best Smith-Waterman score of two word lists: 1 for equal words, -0.5 for others and for gaps."""
+    row, best = [0.0] * (len(text) + 1), 0.0
+    for a in item:
+        new = [0.0]
+        for k, b in enumerate(text, 1):
+            new.append(max(0.0, row[k - 1] + (1 if a == b else -0.5), row[k] - 0.5, new[k - 1] - 0.5))
+        row, best = new, max(best, *new)
+    return best
+
+
+def test_contamination_against_all_alignments(spark):
+    """Every text against every item, edited at rates on both sides of the threshold; found are those with three item words in a row."""
+    rng = random.Random(17)
+    word = lambda: f"w{rng.randrange(600)}"
+    items = [[word() for _ in range(n)] for n in (3, 5, 8, 20, 40, 90)]
+    rows = []
+    for k in range(150):
+        text = [word() for _ in range(rng.randrange(0, 60))]
+        if k % 3:
+            source = items[rng.randrange(len(items))]
+            a = rng.randrange(len(source))
+            part = source[a : a + rng.randrange(2, len(source) + 1)]
+            rate = rng.choice([0, 0.1, 0.3, 0.5])
+            part = [w for x in part for w in ([x] if rng.random() > rate else rng.choice([[], [word()], [x, word()]]))]
+            at = rng.randrange(len(text) + 1)
+            text = text[:at] + part + text[at:]
+        rows.append((k, ", ".join(text)))
+    want = set()
+    for k, t in rows:
+        own = t.replace(",", "").split()
+        grams = {tuple(own[i : i + 3]) for i in range(len(own) - 2)}
+        for j, item in enumerate(items):
+            score = plain_alignment(item, own)
+            if score >= max(0.4 * len(item), min(6, 0.8 * len(item))) - 1e-9 and grams & {tuple(item[i : i + 3]) for i in range(len(item) - 2)}:
+                want.add((k, j, round(score / len(item), 6)))
+    bench = spark.createDataFrame([(j, " ".join(i)) for j, i in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], round(r["score"], 6)) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == want and 12 < len(want) < 120
