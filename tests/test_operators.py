@@ -282,3 +282,27 @@ def test_gap_sessions_on_a_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(r["rows"] for r in spark.table("sessions").collect()) == [2, 3]
+
+
+def _run_stream(spark, df, name, folder):
+    query = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{folder}/checkpoint-{name}").start()
+    query.processAllAvailable()
+    query.stop()
+    return spark.table(name).collect()
+
+
+def test_streams_are_paired_and_counted(spark, tmp_path):
+    from gaugeline.streaming import streams
+
+    schema = "trial_id string, ts timestamp, v double"
+    rows = {"left": [("a", 0, 1.0), ("a", 10, 2.0), ("b", 0, 3.0), ("a", 500, 0.0)], "right": [("a", 0.5, 1.5), ("a", 11.5, 2.5), ("b", 30, 3.5), ("a", 500, 0.5)]}
+    sources = {}
+    for side, some in rows.items():
+        frame = spark.createDataFrame([(k, 1e9 + t, v) for k, t, v in some], "trial_id string, t double, v double").select("trial_id", F.timestamp_seconds("t").alias("ts"), "v")
+        frame.write.parquet(f"{tmp_path}/{side}")
+        sources[side] = lambda side=side: spark.readStream.schema(schema).parquet(f"{tmp_path}/{side}")
+    paired = _run_stream(spark, streams.paired_samples(sources["left"](), sources["right"]()), "paired", tmp_path)
+    assert sorted((r["trial_id"], r["left"]["v"], r["right"]["v"]) for r in paired) == [("a", 0.0, 0.5), ("a", 1.0, 1.5)]
+    # Windows behind the watermark are out; the last one is still open.
+    rates = _run_stream(spark, streams.windowed_rates(sources["left"]()), "rates", tmp_path)
+    assert sorted((r["trial_id"], r["start"].timestamp() - 1e9, r["rows"]) for r in rates) == [("a", 0.0, 1), ("a", 10.0, 1), ("b", 0.0, 1)]
