@@ -578,10 +578,30 @@ def lag_correlation_curve(spark: SparkSession, d: str) -> DataFrame:
     return alignment.correlation_curve(own_s, other_s, Settings(), "value", "value", "rel", "rel")
 
 
-@query()
+@query("""WITH $STREAMS, p AS (SELECT trial_id, value AS x, heading AS y, value * heading / 100 AS z FROM s),
+m AS (SELECT trial_id, covar_pop(x, x) AS a, covar_pop(y, y) AS b, covar_pop(z, z) AS c, covar_pop(x, y) AS d, covar_pop(y, z) AS e, covar_pop(x, z) AS f FROM p GROUP BY trial_id),
+q AS (SELECT *, (a + b + c) / 3 AS q FROM m), r AS (SELECT *, sqrt((power(a - q, 2) + power(b - q, 2) + power(c - q, 2) + 2 * (d * d + e * e + f * f)) / 6) AS p FROM q),
+t AS (SELECT *, ((a - q) * ((b - q) * (c - q) - e * e) - d * (d * (c - q) - e * f) + f * (d * e - (b - q) * f)) / (2 * p * p * p) AS h FROM r)
+SELECT trial_id, round(sqrt(greatest(0, q + 2 * p * cos(acos(greatest(-1, least(1, h))) / 3 + 2 * pi() / 3))), 3) AS planarity_residual FROM t""", 3)
 def plane_fit(spark: SparkSession, d: str) -> DataFrame:
+    """The distance to the least-squares plane, against the closed form of a symmetric matrix's least eigenvalue."""
     e = stream(spark, d).select("trial_id", F.col("value").alias("x"), F.col("heading").alias("y"), (F.col("value") * F.col("heading") / 100).alias("z"))
     return alignment.plane_fit(e).select("trial_id", "planarity_residual")
 
 
+@query("""WITH $STREAMS, k AS (SELECT trial_id, t, arg_min(value, source_row_index) AS y FROM v GROUP BY trial_id, t),
+h AS (SELECT *, lead(t) OVER w - t AS h, (lead(y) OVER w - y) / (lead(t) OVER w - t) AS s, count(*) OVER (PARTITION BY trial_id) AS n, max(t) OVER (PARTITION BY trial_id) AS hi FROM k WINDOW w AS (PARTITION BY trial_id ORDER BY t)),
+g AS (SELECT *, lag(h) OVER w AS h0, lag(s) OVER w AS s0, lead(h) OVER w AS h1, lead(s) OVER w AS s1, lag(h, 2) OVER w AS h00, lag(s, 2) OVER w AS s00 FROM h WINDOW w AS (PARTITION BY trial_id ORDER BY t)),
+x AS (SELECT *, CASE WHEN h0 IS NULL THEN ((2 * h + h1) * s - h * s1) / (h + h1) WHEN h IS NULL THEN ((2 * h0 + h00) * s0 - h0 * s00) / (h0 + h00) END AS e, coalesce(s0, 0) AS sl, CASE WHEN h0 IS NULL THEN s ELSE s0 END AS own, CASE WHEN h0 IS NULL THEN s1 ELSE s00 END AS far FROM g),
+d AS (SELECT trial_id, t, y, n, hi, CASE WHEN h0 IS NOT NULL AND h IS NOT NULL THEN CASE WHEN s0 * s > 0 THEN 3 * (h0 + h) / ((2 * h + h0) / s0 + (h + 2 * h0) / s) ELSE 0 END
+  WHEN sign(e) <> sign(own) THEN 0 WHEN sign(own) <> sign(far) AND abs(e) > 3 * abs(own) THEN 3 * own ELSE e END AS d FROM x),
+z AS (SELECT *, lead(t) OVER w AS t1, lead(y) OVER w AS y1, lead(d) OVER w AS d1 FROM d WINDOW w AS (PARTITION BY trial_id ORDER BY t)),
+j AS (SELECT e.trial_id, e.source_row_index, e.t AS q, z.*, t1 - z.t AS h, CASE WHEN t1 IS NULL THEN 0 ELSE (e.t - z.t) / (t1 - z.t) END AS u FROM e ASOF LEFT JOIN z ON e.trial_id = z.trial_id AND e.t >= z.t)
+SELECT trial_id, source_row_index, round(CASE WHEN y IS NULL OR q > hi THEN NULL WHEN t1 IS NULL THEN y WHEN n < 3 THEN y + (y1 - y) * u
+  ELSE (1 + 2 * u) * power(1 - u, 2) * y + u * power(1 - u, 2) * h * d + u * u * (3 - 2 * u) * y1 + u * u * (u - 1) * h * d1 END, 5) AS ref_value FROM j""", 5)
+def monotone_reference(spark: SparkSession, d: str) -> DataFrame:
+    """The monotone cubic at every telemetry row; it needs a sample's four neighbours only, so SQL can say it."""
+    return alignment.query_reference(own(spark, d), other(spark, d), ["value"], ["pchip"]).select("trial_id", "source_row_index", "ref_value")
+
+
 from gaugeline.plans import more_queries  # noqa: E402, F401 - registers its queries
