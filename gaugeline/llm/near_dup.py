@@ -1,6 +1,6 @@
 """Near-duplicate classes by DartMinHash signatures and banded joins.
 
-Signatures. Each shingle of a text is an element, and how often it occurs is its weight. Darts fall on an element's plane of weight and rank as a
+Signatures. Each shingle of a text is an element with a weight: 1, or with ``weighted`` how often it occurs. Darts fall on an element's plane of weight and rank as a
 Poisson process that depends on the element alone: the plane is cut into cells at powers of two, and a cell's number of
 darts, their places and their signature coordinates come from hashes. A text keeps, for each coordinate, the dart of least
 rank among those below its elements' weights; two texts share a coordinate with a probability that is their weighted Jaccard
@@ -8,12 +8,14 @@ similarity. Only ranks below about k (ln k + 3) / total weight are looked at, an
 the cost is that of the elements plus k log k.
 
 Classes. Texts with equal words are one node. Nodes that share a band are in a bucket. No bucket is ever expanded into all
-its pairs: some members are hubs, which are compared with the others of the bucket by exact weighted Jaccard similarity of their
-shingles (the sum of the lesser counts over that of the larger ones); links join components; and a bucket is finished when it lies in one component, or all its members have been hubs.
+its pairs: some members are hubs, which are compared with the others of the bucket by exact Jaccard similarity of their
+shingles (with weights, the sum of the lesser counts over that of the larger ones); links join components; and a bucket is finished when it lies in one component, or all its members have been hubs.
 The number of hubs grows by rounds, linked members first, so that a bucket of copies is finished after a round or two, and
-one of unlike texts is compared in full in the end. From the second round on a pair is compared once, in the first bucket that it
-shares, if its whole signatures agree in at least as many coordinates as a pair of the threshold's similarity has but for a
-chance of 2e-5; banding itself misses such a pair with a chance of 1e-4. No bucket is capped, and no pair dropped for its size.
+one of unlike texts is gone through in full in the end. From the second round on a pair is compared in one place, the first
+bucket that it shares. In all rounds a pair is compared only if its signatures agree in at least as many coordinates as a pair of
+the threshold's similarity has but for a chance of 2e-5; from the second round on, when what is left is mostly like but not near,
+a finer signature of 1024 coordinates, of the members that are left, is asked too, with the same chance. Banding itself misses
+such a pair with a chance of 1e-4. No bucket is capped, and no pair dropped for its size.
 
 Everything is joins and aggregates over narrow tables in the shared folder; texts are read twice and never collected.
 Equal words are recognised by 64-bit hashes: among n distinct texts about n^2 / 2^65 pairs are taken for equal by chance.
@@ -40,6 +42,8 @@ from gaugeline.llm.storage import Scratch, keep
 WIDTH, SIMILARITY = 5, 0.8
 #: 280 coordinates: a pair of similarity 0.8 shares none of the bands with a chance of 1e-4, one of 0.3 shares one with 1e-2.
 BANDS, ROWS = 40, 7
+#: Coordinates of the finer signatures, which members of buckets that a first round hasn't finished get.
+FINE = 1024
 #: Rank cells start at 2^-6 and double; an area above this is cut into equal slices.
 FIRST_RANK, MOST_AREA = 1 / 64, 64.0
 _UNIT = 1.0 / (1 << 53)
@@ -92,12 +96,14 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray | None, offsets: n
         limit = rank_limit[t]
         best = np.full(n * k, np.inf)
         value = np.zeros(n * k, np.uint64)
+        # Elements above each weight cell's start: ever fewer.
+        weight_cells = [(*cell, None if w is None or not cell[0] else np.flatnonzero(w > cell[1])) for cell in _cells(1.0 if w is None else float(w.max()), 1.0)]
         for rank_cell, r0, r1 in _cells(float(limit.max()), FIRST_RANK):
             ranked = np.flatnonzero(limit > r0) if r0 >= float(limit.min()) else None
-            for weight_cell, w0, w1 in _cells(1.0 if w is None else float(w.max()), 1.0):
-                live = ranked
-                if w is not None and weight_cell:
-                    live = np.flatnonzero((w > w0) & (limit > r0))
+            for weight_cell, w0, w1, above in weight_cells:
+                live = ranked if above is None else above[limit[above] > r0]
+                if live is not None and not len(live):
+                    continue
                 ee, tt, ll = (e, t, limit) if live is None else (e[live], t[live], limit[live])
                 ww = None if w is None else (w if live is None else w[live])
                 slices = max(1, math.ceil((r1 - r0) * (w1 - w0) / MOST_AREA))
@@ -167,7 +173,7 @@ def _nodes(words: np.ndarray, before: np.ndarray) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.blake2b(raw[8 * a : 8 * b], digest_size=8).digest(), "little", signed=True) for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True)], np.int64)
 
 
-def sketch(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, weighted: bool = True, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def sketch(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, weighted: bool = False, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, raw (hash of the text as it is), node (hash of its words), n (its shingles; without weights, distinct ones), bands, and sig: a
     byte of each coordinate."""
 
@@ -188,7 +194,7 @@ def sketch(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int =
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("raw"), text.alias("text")).mapInArrow(run, "doc_id long, raw long, node long, n long, bands array<long>, sig array<byte>")
 
 
-def shingle_sets(docs: DataFrame, width: int = WIDTH, weighted: bool = True) -> DataFrame:
+def shingle_sets(docs: DataFrame, width: int = WIDTH, weighted: bool = False) -> DataFrame:
     """node, items (the low 32 bits of the hashes of the shingles' occurrences, or without weights of the shingles; chance agreement
     changes a similarity by far less than 1e-4)."""
 
@@ -203,6 +209,23 @@ def shingle_sets(docs: DataFrame, width: int = WIDTH, weighted: bool = True) ->
     return docs.select("text").mapInArrow(run, "node long, items array<int>")
 
 
+def fine_signatures(sets: DataFrame, k: int = FINE) -> DataFrame:
+    """node, fine: a byte of each of ``k`` coordinates, drawn independently of sketch()'s."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                items = part.column("items")
+                offsets = items.offsets.to_numpy().astype(np.int64)
+                elements = mixed(items.flatten().to_numpy().view(np.uint32).astype(np.uint64) + np.uint64(1))
+                signature = dart_signatures(elements, None, offsets - offsets[0], k, seed=2).astype(np.uint8).view(np.int8)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * k, pa.int32()), pa.array(signature.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("node"), lists], ["node", "fine"])
+
+    return sets.select("node", "items").mapInArrow(run, "node long, fine array<byte>")
+
+
 # ------------------------------------------------------------------ components
 
 
@@ -250,8 +273,8 @@ def least_agreement(similarity: float, coordinates: int) -> int:
     return max(0, math.floor(coordinates * similarity - 4.2 * math.sqrt(coordinates * similarity * (1 - similarity))))
 
 
-def link_classes(sketches: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, coordinates: int = BANDS * ROWS, weighted: bool = True, gate: bool = True) -> DataFrame:
-    """node, comp for the nodes that are linked to others. ``gate``: whether signatures may rule out a pair from the second round on."""
+def link_classes(sketches: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, coordinates: int = BANDS * ROWS, weighted: bool = False, gate: bool = True) -> DataFrame:
+    """node, comp for the nodes that are linked to others. ``gate``: whether signatures may rule out a pair."""
     with Scratch(sketches.sparkSession) as scratch:
         found = _link_classes(sketches, docs, similarity, width, coordinates, weighted, gate, scratch.keep)
         return keep(found, "dup-classes")
@@ -267,7 +290,7 @@ def _link_classes(sketches: DataFrame, docs: DataFrame, similarity: float, width
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sets = shingle_sets(texts.join(wanted, texts.doc_id.eqNullSafe(wanted.doc_id), "left_semi"), width, weighted)
     sets = keep(sets.groupBy("node").agg(F.first("items").alias("items")), "dup-sets")
-    labels = None
+    labels = fine = None
     hubs = 1
     while True:
         state = members.withColumn("comp", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -288,17 +311,23 @@ def _link_classes(sketches: DataFrame, docs: DataFrame, similarity: float, width
         active = state.join(stats, "bucket")
         share = F.lit(float(hubs)) / F.when(F.col("linked"), F.col("open_linked")).otherwise(F.col("open"))
         active = active.withColumn("hub", open_ & ((F.col("node") == F.col("first")) | (F.col("draw") < share))).select("bucket", "node", "size", "served", "comp", "hub")
+        # A pair is compared only if the signatures allow the similarity, as buckets hold many pairs that are like, but not near; and after
+        # the first round, in which each bucket has one hub, in one place only, the first bucket that it shares.
+        extra = ["sig"] if labels is None else ["sig", "bands"]
+        active = active.join(wanted.select("node", *extra), "node")
+        if labels is not None and gate:
+            if fine is None:
+                fine = keep(fine_signatures(sets.join(active.select("node").distinct(), "node", "left_semi")), "dup-fine")
+            active, extra = active.join(fine, "node"), [*extra, "fine"]
+        active = keep(active.select("bucket", "node", "size", "served", "comp", "hub", *extra), "dup-round")
+        agree = lambda c: F.size(F.filter(F.zip_with(f"{c}_a", f"{c}_b", lambda x, y: x == y), lambda x: x))
         near = (F.least("sa", "sb") >= F.lit(similarity) * F.greatest("sa", "sb") - F.lit(1e-9)) & F.expr("ca <> cb and (not hb or a < b)")
-        extra = []
-        if labels is None:
-            active = keep(active, "dup-round")
-        else:
-            # What one hub of each bucket has not linked is compared once, in the first bucket that a pair shares, and only if the
-            # signatures allow the similarity: these are the pairs of buckets that hold like, but not near, texts.
-            active = keep(active.join(wanted.select("node", "bands", "sig"), "node").select("bucket", "node", "size", "served", "comp", "hub", "bands", "sig"), "dup-round")
-            agree = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x))
-            near = near & (F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("h.bucket")) & (agree >= (least_agreement(similarity, coordinates) if gate else 0))
-            extra = ["bands", "sig"]
+        if gate:
+            near = near & (agree("sig") >= least_agreement(similarity, coordinates))
+            if labels is not None:
+                near = near & (agree("fine") >= least_agreement(similarity, FINE))
+        if labels is not None:
+            near = near & (F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("h.bucket"))
         h = active.filter("hub").select("bucket", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("sa"), *[F.col(c).alias(f"{c}_a") for c in extra])
         m = active.filter("not served").select("bucket", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("size").alias("sb"), F.col("hub").alias("hb"), *[F.col(c).alias(f"{c}_b") for c in extra])
         pairs = m.alias("m").join(h.alias("h"), (F.col("m.bucket") == F.col("h.bucket")) & near).select("a", "b").distinct()
@@ -310,7 +339,7 @@ def _link_classes(sketches: DataFrame, docs: DataFrame, similarity: float, width
     return spark.createDataFrame([], "node long, comp long") if labels is None else labels.select("node", "comp")
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, weighted: bool = True, gate: bool = True) -> DataFrame:
+def classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, weighted: bool = False, gate: bool = True) -> DataFrame:
     """doc_id, raw, comp for every row of ``docs`` (doc_id, text): rows of equal comp are near duplicates, links carried on."""
     with Scratch(docs.sparkSession) as scratch:
         sketches = scratch.keep(sketch(docs, width, bands, rows, weighted), "dup-sketch")

@@ -40,7 +40,7 @@ def shingle_counts(text):
     return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
 
 
-def brute_classes(rows, weighted=True):
+def brute_classes(rows, weighted=False):
     """Least doc_id of each row's class by all pairs."""
     sets = [shingle_counts(t) if weighted else Counter(set(shingle_counts(t))) for _, t, _ in rows]
     parent = list(range(len(rows)))
