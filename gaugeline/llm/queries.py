@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import decontaminate, html_text, lm_score, media, mixing, near_dup, quality, token_files, url_filter, warc
+from gaugeline.llm import bpe, centroids, decontaminate, html_text, importance, lm_score, media, mixing, near_dup, quality, token_files, url_filter, warc
 
 #: The rules of the contract, and the patterns of this operator's own for hosts that advertise.
 HOST_RULES = [url_filter.HostRule(*x) for x in (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))]
@@ -111,5 +111,78 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM head THEN head END AS refers_to FROM g
 """
 
-QUERIES = {"op6_lm_score": op6_lm_score, "op5_decontaminate": op5_decontaminate, "op2_near_duplicates": op2_near_duplicates, "op4_html_text": op4_html_text, "op10_warc": op10_warc, "op3_token_files": op3_token_files, "op9_media": op9_media, "op7_quality": op7_quality, "op1_url_filter": op1_url_filter, "op8_mix_sources": op8_mix_sources}
-SQL = {"op10_warc": OP10_SQL, "op1_url_filter": OP1_SQL, "op8_mix_sources": OP8_SQL}
+
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+OP11_SQL = r"""
+WITH steps AS (SELECT i AS byte, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS code FROM range(256) t(i)),
+codes AS (SELECT list(code ORDER BY byte) AS code FROM steps),
+said AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, 'corpus' AS side, row_number() OVER () AS r FROM documents
+  UNION ALL SELECT NULL, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), 'target', -row_number() OVER () FROM benchmark),
+grams AS (SELECT side, r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS gram FROM said),
+kinds AS (SELECT gram, hex(encode(gram)) AS h FROM (SELECT DISTINCT gram FROM grams)),
+crcs AS (SELECT gram, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(code[1 + (xor(c, b) & 255)], c >> 8)), 4294967295) % 10000 AS bucket FROM kinds, codes),
+hits AS (SELECT side, r, bucket FROM grams JOIN crcs USING (gram)),
+counts AS (SELECT bucket, count(*) FILTER (side = 'corpus') AS s, count(*) FILTER (side = 'target') AS t FROM hits GROUP BY bucket),
+gain AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((sum(s) OVER ())::DOUBLE + 10000) / ((s + 1)::DOUBLE * ((sum(t) OVER ())::DOUBLE + 10000))))::BIGINT AS gain FROM counts),
+weights AS (SELECT r, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM hits JOIN gain USING (bucket) WHERE side = 'corpus' GROUP BY r),
+scored AS (SELECT doc_id, r, coalesce(len(w), 0) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM said LEFT JOIN weights USING (r) WHERE side = 'corpus'),
+placed AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * n // 100 THEN place END AS rank FROM scored LEFT JOIN placed USING (r)
+"""
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("centroid_sha256", centroids.digest(F.col("centroid"))).drop("centroid")
+
+
+def _op12_sql(rounds: int = centroids.ROUNDS) -> str:
+    """A CTE for each step of each round."""
+    at = "list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    near = lambda centroids: f"SELECT r, arg_min(n, d * 64 + n) AS n, min(d)::BIGINT AS d FROM (SELECT r, n, {at}::BIGINT AS d FROM v, {centroids}) GROUP BY r"
+    steps = [
+        """v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        "c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS n, v AS c FROM v QUALIFY n < 16)",
+    ]
+    for k in range(rounds):
+        steps += [
+            f"a{k} AS ({near(f'c{k}')})",
+            f"s{k} AS (SELECT n, i, sum(v[i])::HUGEINT AS s, count(*) AS m FROM a{k} JOIN v USING (r), range(1, 65) t(i) GROUP BY n, i)",
+            f"u{k} AS (SELECT n, list(((s - ((s % m) + m) % m) // m)::BIGINT ORDER BY i) AS c FROM s{k} GROUP BY n)",
+            f"c{k + 1} AS (SELECT n, coalesce(u{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN u{k} USING (n))",
+        ]
+    steps.append(f"last AS ({near(f'c{rounds}')})")
+    return "WITH " + ",\n".join(x.replace(" AS (", " AS MATERIALIZED (", 1) for x in steps) + f"""
+SELECT vec_id, n::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY n)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+  sha256(list_aggregate(c, 'string_agg', ',')) AS centroid_sha256 FROM last JOIN v USING (r) JOIN c{rounds} USING (n)"""
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    file = tokenizer_file()
+    rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), file), file)
+    n_tokens = (F.length("ids") / 4).cast("long")
+    return rows.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+QUERIES = {
+    "op6_lm_score": op6_lm_score,
+    "op5_decontaminate": op5_decontaminate,
+    "op2_near_duplicates": op2_near_duplicates,
+    "op4_html_text": op4_html_text,
+    "op10_warc": op10_warc,
+    "op3_token_files": op3_token_files,
+    "op9_media": op9_media,
+    "op7_quality": op7_quality,
+    "op1_url_filter": op1_url_filter,
+    "op8_mix_sources": op8_mix_sources,
+    "op11_importance": op11_importance,
+    "op12_centroids": op12_centroids,
+    "op13_bpe": op13_bpe,
+}
+SQL = {"op10_warc": OP10_SQL, "op1_url_filter": OP1_SQL, "op8_mix_sources": OP8_SQL, "op11_importance": OP11_SQL, "op12_centroids": _op12_sql()}
