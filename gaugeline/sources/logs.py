@@ -1,4 +1,4 @@
-"""File manifests, trial pairing and the raw log readers. Everything is a scan and an aggregate over files or lines; nothing is listed or opened on the driver."""
+"""File manifests, trial pairing and the raw log readers. Everything is a scan and an aggregate over files or records; no file is opened on the driver."""
 
 from __future__ import annotations
 
@@ -6,11 +6,14 @@ import csv
 import re
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeline.config import Settings
+from gaugeline.sources import records
 
 MANIFEST = "file_path string, file_name string, trial_id string, stream_type string, parsed_drive string, parsed_route string, parsed_date string, parsed_time string, file_size long, detected_columns int, file_checksum string, parser_status string"
 #: Columns of the headerless tracker log, as it is written.
@@ -39,12 +42,8 @@ def one_slash(path: str) -> str:
     return re.sub("^file:/+", "file:/", path)
 
 
-def file_path() -> Column:
-    return F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
-
-
 def _manifest_rows(files: DataFrame, folders: dict[str, str], s: Settings) -> DataFrame:
-    files = files.withColumn("path", file_path())
+    files = files.withColumn("path", records.file_path())
     stream = F.coalesce(*[F.when(F.startswith("path", F.lit(folder.rstrip("/") + "/")), F.lit(name)) for name, folder in folders.items()], F.lit("unknown"))
     name = F.element_at(F.split("path", "/"), -1)
     part = lambda k: F.regexp_extract(F.col("file_name"), s.filename_pattern, k)
@@ -106,21 +105,7 @@ def _pair_columns(df: DataFrame) -> DataFrame:
     )
 
 
-# ------------------------------------------------------------------ log lines
-
-
-def lines(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """trial_id, head (the file's first line), source_row_index and line of every other line that isn't blank, in file order. ``files``:
-    file_path, trial_id. Paths come to the driver, where Spark's scan holds them anyway.
-
-    A log is read whole, as its order is its identity; the ordinal is its place in the file, not one made up afterwards.
-    """
-    paths = [r["file_path"] for r in files.select("file_path").distinct().collect()]
-    known = files.select(F.regexp_replace("file_path", "^file:/+", "file:/").alias("file_path"), "trial_id")
-    whole = spark.read.text(paths, wholetext=True).select(file_path().alias("file_path"), "value") if paths else spark.createDataFrame([], "file_path string, value string")
-    split = F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n")
-    rows = whole.join(known, "file_path").select("trial_id", F.regexp_replace(F.get(split, F.lit(0)), "^\ufeff", "").alias("head"), F.posexplode(split).alias("source_row_index", "line"))
-    return rows.filter(F.trim("line") != "")
+# ------------------------------------------------------------------ logs
 
 
 def is_tracker_log(first_line: str) -> bool:
@@ -129,13 +114,18 @@ def is_tracker_log(first_line: str) -> bool:
 
 def read_stream(spark: SparkSession, files: DataFrame, sniff: bool = False) -> DataFrame:
     """Raw text columns of all logs in ``files`` (file_path, trial_id), united by name; missing fields are NULL, and row indices count
-    data rows from 0. Fields may be quoted; a line end inside quotes ends the row all the same.
+    data records from 0. Fields may be quoted, with line ends and doubled quotes inside.
 
-    Only the different first lines come to the driver, of which there are as many as formats; with them every row is read in one scan.
-    ``sniff`` also accepts the headerless tracker log: known names first, col_i beyond them.
+    Logs are read by byte ranges (``records.py``), so one may have any size. Only the different first records come to the driver, of
+    which there are as many as formats, and the paths, which Spark's scan holds there anyway. ``sniff`` also accepts the headerless
+    tracker log: known names first, col_i beyond them.
     """
-    rows = lines(spark, files)
-    heads = {r["head"]: next(csv.reader([r["head"]]), []) for r in rows.filter("source_row_index = 0").select("head").distinct().collect()}
+    known = files.select(F.regexp_replace("file_path", "^file:/+", "file:/").alias("file_path"), "trial_id")
+    found = records.records(spark, [r["file_path"] for r in known.select("file_path").distinct().collect()])
+    # One row for each file: its first record names the format.
+    first_records = found.filter("record = 0").select("file_path", F.col("text").alias("head"))
+    rows = found.join(known.join(first_records, "file_path"), "file_path").select("trial_id", "head", F.col("record").alias("source_row_index"), F.col("text").alias("line"))
+    heads = {r["head"]: next(csv.reader([r["head"]]), []) for r in first_records.select("head").distinct().collect()}
     trackers = {h: len(h.split(";")) for h in heads if sniff and is_tracker_log(h)}
     first, names = 0 if trackers else 1, []
     formats: list[tuple[str, list[str], Column]] = []
@@ -147,7 +137,7 @@ def read_stream(spark: SparkSession, files: DataFrame, sniff: bool = False) -> D
     if not names:
         return spark.createDataFrame([], "trial_id string, source_row_index long")
     wide = max(len(own) for _, own, _ in formats)
-    parsed = rows.withColumn("f", F.from_csv(F.col("line"), F.lit(", ".join(f"`c{k}` string" for k in range(wide)))))
+    parsed = rows.withColumn("f", F.from_csv(F.col("line"), F.lit(", ".join(f"`c{k}` string" for k in range(wide))), {"escape": '"'}))
     tracked = F.col("head").isin(*trackers) if trackers else F.lit(False)
     # The first line of a log is a row, that of a table its header.
     parsed = parsed.filter((F.col("source_row_index") >= first) & (tracked | (F.col("source_row_index") > 0)))
@@ -163,19 +153,31 @@ def read_stream(spark: SparkSession, files: DataFrame, sniff: bool = False) -> D
 # ------------------------------------------------------------------ tables
 
 
+#: What Spark's readers say of files that aren't of the format asked for.
+UNREADABLE = ("is not a Parquet file", "CANNOT_READ_FOOTER", "CANNOT_READ_FILE_FOOTER", "MALFORMED_RECORD_IN_PARSING", "PARQUET_COLUMN_DATA_TYPE_MISMATCH")
+
+
 def optional(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", **options: str) -> DataFrame:
-    """A table, or an empty one of this schema where it is missing or can't be read."""
+    """A table, or an empty one of this schema where its path is missing or its files aren't of the format.
+
+    Anything else that goes wrong, such as a lost executor or a denied access, is an error and no empty table.
+    """
     try:
         df = spark.read.format(fmt).options(**options).schema(schema).load(path)
         df.limit(1).count()
         return df
-    except Exception:  # noqa: BLE001 - a missing or broken optional table is an empty one by definition
-        return spark.createDataFrame([], schema)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    except (PySparkException, Py4JJavaError) as broken:
+        if not any(sign in str(broken) for sign in UNREADABLE):
+            raise
+    return spark.createDataFrame([], schema)
 
 
 def read_by_name(spark: SparkSession, folder: str, pattern: str, key: str = "trial_id", group: int = 1) -> DataFrame:
     """Parquet files of one folder in one scan, with an id taken from each file's name; files whose name doesn't fit are left out."""
-    rows = spark.read.option("recursiveFileLookup", "true").parquet(folder).withColumn("__name", F.element_at(F.split(file_path(), "/"), -1))
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(folder).withColumn("__name", F.element_at(F.split(records.file_path(), "/"), -1))
     return rows.filter(F.col("__name").rlike(pattern)).withColumn(key, F.regexp_extract("__name", pattern, group)).drop("__name")
 
 

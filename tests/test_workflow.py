@@ -212,7 +212,7 @@ def test_logs_of_different_headers_in_one_scan(spark, tmp_path):
     (tmp_path / "d.csv").write_text(wide + "\n" + ",".join(str(k) for k in range(9000)) + "\n")
     files = spark.createDataFrame([(f"file://{tmp_path}/{n}.csv", n) for n in "abc"], "file_path string, trial_id string")
     got = [tuple(r) for r in logs.read_stream(spark, files).select("trial_id", "source_row_index", "time", "speed, left", "x").orderBy("trial_id", "source_row_index").collect()]
-    assert got == [("a", 0, "1", "2,5", "3"), ("a", 2, "4", "5", None), ("b", 0, "8", None, "7")]
+    assert got == [("a", 0, "1", "2,5", "3"), ("a", 1, "4", "5", None), ("b", 0, "8", None, "7")]
     assert logs.read_stream(spark, files.limit(0)).count() == 0
     long = logs.manifest(spark, {"ev3": str(tmp_path)}, Settings()).filter("file_name = 'd.csv'").first()
     assert long["detected_columns"] == 9000 and len(wide) > 50_000
