@@ -179,27 +179,48 @@ def apply_rigid(df: DataFrame, fits: DataFrame, x: str, y: str, out: tuple[str,
     return joined.withColumns({out[0]: ax, out[1]: ay}).drop("theta_rad", "tx", "ty")
 
 
-def heading_fit(telemetry: DataFrame, tracking: DataFrame, s: Settings, own: tuple[str, str] = ("odometry_x", "odometry_y"), other: tuple[str, str] = ("planar_x", "planar_y"), own_time: str = "local_time_s", other_time: str = "relative_time_s", key: str = "trial_id") -> DataFrame:
-    """The alternative fit: directions of both paths between their start and where each has travelled a set distance."""
-
-    def start_direction(df: DataFrame, x: str, y: str, time: str, p: str) -> DataFrame:
-        run = path_length(df, x, y, "__sum", time, key)
-        point = F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-        out = run.groupBy(key).agg(F.min_by(point, F.struct(time, "source_row_index")).alias("a"), F.min_by(point, F.when(F.col("__sum") >= s.heading_distance_m, F.struct(time, "source_row_index"))).alias("b"))
-        return out.select(key, F.col("a.x").alias(f"{p}x0"), F.col("a.y").alias(f"{p}y0"), F.atan2(F.col("b.y") - F.col("a.y"), F.col("b.x") - F.col("a.x")).alias(f"{p}dir"))
-
-    both = start_direction(telemetry, *own, own_time, "e").join(start_direction(tracking, *other, other_time, "v"), key)
-    return both.select(key, (F.col("edir") - F.col("vdir")).alias("theta_rad"), "ex0", "ey0", "vx0", "vy0")
+def heading_fit(telemetry: DataFrame, tracking: DataFrame, times: DataFrame, s: Settings, own: tuple[str, str] = ("odometry_x", "odometry_y"), other: tuple[str, str] = ("planar_x", "planar_y"), own_time: str = "local_time_s", other_time: str = "relative_time_s", key: str = "trial_id") -> DataFrame:
+    """The alternative fit: the rotation between the directions in which both paths set out, on the mapped clock (``times``: scale_a, offset_b).
+
+    The tracked path is interpolated at the mapped times of the telemetry, of samples at one time the first counts, and both paths run over
+    the rows where both are known. A path's direction is that from its start to the first row at which it has come the set distance; a path
+    shorter than that goes to its last row. n is the number of such rows, and start_residual how far the two points lie apart after the
+    rotation. With fewer than two rows, or where a path's point is its start, theta_rad is 0 and start_residual NULL. Every trial of the
+    telemetry has a row.
+    """
+    mapped = telemetry.join(times.select(key, "scale_a", "offset_b"), key, "left").withColumn("__q", F.coalesce("scale_a", F.lit(1.0)) * F.col(own_time) + F.coalesce("offset_b", F.lit(0.0)))
+    queries = mapped.select(key, "source_row_index", F.col(own_time).alias("__own"), F.col("__q").alias("t"), F.col(own[0]).alias("ex"), F.col(own[1]).alias("ey"))
+    samples = tracking.select(key, F.col(other_time).alias("t"), F.col(other[0]).alias("vx"), F.col(other[1]).alias("vy"), "source_row_index").filter("t is not null and vx is not null and vy is not null")
+    first = samples.groupBy(key, "t").agg(F.min_by(F.struct("vx", "vy"), "source_row_index").alias("p")).select(key, "t", "p.vx", "p.vy")
+    matched = asof.linear(queries, first, ["vx", "vy"]).filter("valid and ex is not null and ey is not null").select(key, "source_row_index", "__own", "ex", "ey", F.col("ref_vx").alias("vx"), F.col("ref_vy").alias("vy"))
+    run = path_length(path_length(matched, "ex", "ey", "__e", "__own", key), "vx", "vy", "__v", "__own", key)
+    place = F.struct("__own", "source_row_index")
+
+    def reached(x: str, y: str, way: str) -> Column:
+        """The point that ends a path's first stretch, and when it is reached."""
+        point = F.struct(F.col(x).alias("x"), F.col(y).alias("y"), place.alias("at"))
+        return F.coalesce(F.min_by(point, F.when(F.col(way) >= s.heading_distance_m, place)), F.max_by(point, place))
+
+    ends = run.groupBy(key).agg(F.count("*").alias("n"), F.min_by(F.struct("ex", "ey", "vx", "vy", place.alias("at")), place).alias("o"), reached("ex", "ey", "__e").alias("e"), reached("vx", "vy", "__v").alias("v"))
+    step = lambda p, axis: F.col(f"{p}.{axis}") - F.col(f"o.{p}{axis}")
+    usable = (F.col("n") >= 2) & (F.col("e.at") != F.col("o.at")) & (F.col("v.at") != F.col("o.at"))
+    theta = F.atan2(step("e", "y"), step("e", "x")) - F.atan2(step("v", "y"), step("v", "x"))
+    turned = ends.withColumn("theta_rad", F.when(usable, theta).otherwise(0.0))
+    c, d = F.cos("theta_rad"), F.sin("theta_rad")
+    apart = F.hypot(c * step("v", "x") - d * step("v", "y") - step("e", "x"), d * step("v", "x") + c * step("v", "y") - step("e", "y"))
+    fits = turned.select(key, "n", "theta_rad", F.when(usable, apart).alias("start_residual"), *[F.col(f"o.{c0}").alias(f"{c0}0") for c0 in ("ex", "ey", "vx", "vy")])
+    every = telemetry.select(key).distinct().join(fits, key, "left")
+    return every.withColumns({"n": F.coalesce("n", F.lit(0)), "theta_rad": F.coalesce("theta_rad", F.lit(0.0))})
 
 
 def spatial(telemetry: DataFrame, tracking: DataFrame, times: DataFrame, s: Settings, key: str = "trial_id") -> DataFrame:
-    """theta_rad, tx, ty and trajectory_residual by the method of the settings, with the number and the hash of the rows that were fitted."""
+    """theta_rad, tx, ty, trajectory_residual and start_residual by the method of the settings, with the number and the hash of the rows that were fitted."""
     if s.spatial_method == "rigid":
-        fits = spatial_fit(telemetry, tracking, times, s, key)
+        fits = spatial_fit(telemetry, tracking, times, s, key).withColumn("start_residual", F.lit(None).cast("double"))
     else:
-        start = heading_fit(telemetry, tracking.withColumn("planar_y", -F.col("planar_y") if s.flip_y else F.col("planar_y")), s, key=key)
+        start = heading_fit(telemetry, tracking.withColumn("planar_y", -F.col("planar_y") if s.flip_y else F.col("planar_y")), times, s, key=key)
         c, d = F.cos("theta_rad"), F.sin("theta_rad")
-        fits = start.select(key, F.lit(None).cast("long").alias("n"), "theta_rad", (F.col("ex0") - c * F.col("vx0") + d * F.col("vy0")).alias("tx"), (F.col("ey0") - d * F.col("vx0") - c * F.col("vy0")).alias("ty"), F.lit(None).cast("double").alias("trajectory_residual"))
+        fits = start.select(key, "n", "theta_rad", "start_residual", (F.col("ex0") - c * F.col("vx0") + d * F.col("vy0")).alias("tx"), (F.col("ey0") - d * F.col("vx0") - c * F.col("vy0")).alias("ty"), F.lit(None).cast("double").alias("trajectory_residual"))
     known = telemetry.filter("local_time_s is not null and odometry_x is not null and odometry_y is not null")
     keys = known.groupBy(key).agg(F.array_sort(F.collect_list("source_row_index")).alias("k"))
     used = keys.select(key, F.size("k").cast("long").alias("fit_source_key_count"), F.sha2(F.array_join(F.col("k").cast("array<string>"), "\n"), 256).alias("fit_source_key_hash"))

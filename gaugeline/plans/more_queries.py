@@ -223,3 +223,20 @@ def friedman_by_population(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "lineitem").filter(k <= 4).select(F.col("l_orderkey").alias("trial_id"), F.when(k == 1, "zoh").when(k == 2, "linear").when(k == 3, "pchip").otherwise("spline").alias("method"), F.floor(F.col("l_quantity") / 10).cast("double").alias("value"))
     rows = v.withColumn("population", F.explode(F.when(F.col("trial_id") % 3 == 0, F.array(F.lit("planned"), F.lit("all"))).otherwise(F.array(F.lit("all")))))
     return statistics.friedman_tests(rows, ("zoh", "linear", "pchip", "spline"), ["population"]).drop("p_value")
+
+
+@query("""WITH $STREAMS, u AS (SELECT trial_id, t, arg_min(value, source_row_index) AS vx, arg_min(heading, source_row_index) AS vy FROM v GROUP BY ALL), q AS (SELECT *, 1.0001 * t - 150000 AS m FROM e),
+a AS (SELECT q.*, u.t AS t0, u.vx AS x0, u.vy AS y0 FROM q ASOF JOIN u ON q.trial_id = u.trial_id AND q.m >= u.t), b AS (SELECT a.*, u.t AS t1, u.vx AS x1, u.vy AS y1 FROM a ASOF JOIN u ON a.trial_id = u.trial_id AND a.m <= u.t),
+p AS (SELECT trial_id, source_row_index, t, value AS ex, heading AS ey, CASE WHEN t1 > t0 THEN x0 + (x1 - x0) * (m - t0) / (t1 - t0) ELSE x0 END AS vx, CASE WHEN t1 > t0 THEN y0 + (y1 - y0) * (m - t0) / (t1 - t0) ELSE y0 END AS vy FROM b),
+d AS (SELECT *, coalesce(sqrt(power(ex - lag(ex) OVER w, 2) + power(ey - lag(ey) OVER w, 2)), 0) AS de, coalesce(sqrt(power(vx - lag(vx) OVER w, 2) + power(vy - lag(vy) OVER w, 2)), 0) AS dv, row_number() OVER w AS k FROM p WINDOW w AS (PARTITION BY trial_id ORDER BY t, source_row_index)),
+c AS (SELECT *, sum(de) OVER w AS se, sum(dv) OVER w AS sv FROM d WINDOW w AS (PARTITION BY trial_id ORDER BY k ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT trial_id, count(*) AS n, coalesce(min(k) FILTER (WHERE se >= 2000), max(k)) AS ke, coalesce(min(k) FILTER (WHERE sv >= 2000), max(k)) AS kv FROM c GROUP BY trial_id),
+z AS (SELECT g.trial_id, n, ke > 1 AND kv > 1 AS good, o.ex AS ex0, o.ey AS ey0, o.vx AS vx0, o.vy AS vy0, i.ex - o.ex AS ax, i.ey - o.ey AS ay, j.vx - o.vx AS bx, j.vy - o.vy AS bz FROM g JOIN c o ON o.trial_id = g.trial_id AND o.k = 1 JOIN c i ON i.trial_id = g.trial_id AND i.k = ke JOIN c j ON j.trial_id = g.trial_id AND j.k = kv),
+h AS (SELECT *, CASE WHEN good THEN atan2(ay, ax) - atan2(bz, bx) ELSE 0 END AS theta FROM z)
+SELECT r.trial_id, coalesce(n, 0) AS n, round(coalesce(theta, 0), 5) AS theta_rad, round(CASE WHEN good THEN sqrt(power(cos(theta) * bx - sin(theta) * bz - ax, 2) + power(sin(theta) * bx + cos(theta) * bz - ay, 2)) END, 5) AS start_residual,
+round(ex0, 5) AS ex0, round(ey0, 5) AS ey0, round(vx0, 5) AS vx0, round(vy0, 5) AS vy0 FROM (SELECT DISTINCT trial_id FROM e) r LEFT JOIN h USING (trial_id)""", 5)
+def heading_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Directions of both streams' paths over their first 2000 units, on a clock of scale 1.0001; some paths are shorter."""
+    e = own(spark, d)
+    times = e.select("trial_id").distinct().select("trial_id", F.lit(1.0001).alias("scale_a"), F.lit(-150000.0).alias("offset_b"))
+    return alignment.heading_fit(e, other(spark, d), times, Settings(heading_distance_m=2000.0), ("value", "heading"), ("value", "heading"), "t", "t")
