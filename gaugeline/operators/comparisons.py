@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.config import Settings
 from gaugeline.functions.signals import METHODS
-from gaugeline.operators import alignment, metrics, quality, statistics, support
+from gaugeline.operators import alignment, metrics, ordered, quality, statistics, support
 from gaugeline.functions.columns import finite, is_evaluation, rotate_translate
 
 KEY = ["source_row_index"]
@@ -166,6 +166,40 @@ def baseline(telemetry: DataFrame, tracking: DataFrame, times: DataFrame, final:
     return rows.select("trial_id", "dataset_tier", "baseline_rmse_mm", "final_rmse_mm", "delta_rmse_mm", "common_support_count", "common_support_hash", "baseline_theta_rad", "baseline_tx", "baseline_ty", "canonical_support_count", reason.alias("reason"))
 
 
+def h1_summary(rows: DataFrame) -> DataFrame:
+    """Of h1() rows: the mean difference of the valid ones, how many these are, and how many were left out as ambiguous."""
+    valid = F.coalesce("valid_for_paper", F.lit(False))
+    return rows.agg(F.avg(F.when(valid, F.col("delta_rmse_mm"))).alias("mean_delta_rmse"), F.count_if(valid).alias("accepted_for_h1"), F.count_if(F.col("fit_status") == "ambiguous").alias("excluded_ambiguous_count"))
+
+
+#: The baseline's populations, and the tiers of their trials; those with True are tested.
+BASELINE_POPULATIONS = {
+    "planned_population": (("planned_405",), True),
+    "extended_only_population": (("extended_previous_paper",), False),
+    "combined_compatible_population": (("planned_405", "extended_previous_paper"), True),
+}
+
+
+def baseline_summary(rows: DataFrame) -> DataFrame:
+    """Of baseline() rows that are scored: a row for each population, also an empty one, with what the difference looks like, both arms' means and
+    medians, and the paired test."""
+    members = metrics.populations(rows, "dataset_tier", {p: tiers for p, (tiers, _) in BASELINE_POPULATIONS.items()})
+    described = metrics.describe_delta(members, "delta_rmse_mm", ["population"])
+    described = described.withColumnsRenamed({c: f"{c}_delta_mm" for c in described.columns if c not in ("population", "paired_n", "exact_equality_count", "nonzero_count", "threshold_counts")})
+    arms = members.groupBy("population").agg(*[F.avg(f"{a}_rmse_mm").alias(f"mean_{a}_rmse_mm") for a in ("baseline", "final")])
+    middle = ordered.quantiles(members, ["population"], ["baseline_rmse_mm", "final_rmse_mm"], {"m": 0.5})
+    middle = middle.groupBy("population").agg(*[F.max(F.when(F.col("name") == f"{a}_rmse_mm", F.col("m"))).alias(f"median_{a}_rmse_mm") for a in ("baseline", "final")])
+    tested = [p for p, (_, wanted) in BASELINE_POPULATIONS.items() if wanted]
+    tests = statistics.comparator_tests(members.filter(F.col("population").isin(tested)), "baseline_rmse_mm", "final_rmse_mm", ["population"]).drop("n")
+    out = rows.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, BASELINE_POPULATIONS))).alias("population"))
+    for side in (described, arms, middle, tests):
+        out = out.join(side, "population", "left")
+    none = F.create_map(*[x for name in metrics.EXCEEDED for x in (F.lit(name), F.lit(0).cast("long"))])
+    counts = {c: F.coalesce(c, F.lit(0)) for c in ("paired_n", "exact_equality_count", "nonzero_count")}
+    untested = F.col("population").isin(tested) & F.col("paired_test_name").isNull()
+    return out.withColumns(counts | {"threshold_counts": F.coalesce("threshold_counts", none), "paired_test_name": F.when(untested, "not_computable").otherwise(F.col("paired_test_name"))})
+
+
 #: Populations of tests, and the tiers of their trials.
 POPULATIONS = {"planned": ("planned_405",), "all": ("planned_405", "extended_previous_paper")}
 MODES = ("split", "full")
@@ -209,21 +243,21 @@ def h3_eligible(rows: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     return wide.withColumn("why_not", refused)
 
 
-def _populations(tiers: DataFrame) -> DataFrame:
+def populations(tiers: DataFrame) -> DataFrame:
     names = F.array_compact(F.array(*[F.when(F.col("dataset_tier").isin(*t), F.lit(p)) for p, t in POPULATIONS.items()]))
     return tiers.select("trial_id", F.explode(names).alias("population"))
 
 
 def h2_friedman(h2_rows: DataFrame, tiers: DataFrame) -> DataFrame:
     """The Friedman test over trials with all four operators on one shared support, for both populations."""
-    rows = h2_rows.filter("status = 'success'").select("trial_id", "method", F.col("rmse_mm").alias("value"), "common_support_hash").join(_populations(tiers), "trial_id")
+    rows = h2_rows.filter("status = 'success'").select("trial_id", "method", F.col("rmse_mm").alias("value"), "common_support_hash").join(populations(tiers), "trial_id")
     return statistics.friedman_tests(rows, METHODS, ["population"], support="common_support_hash")
 
 
 def h2_posthoc(h2_rows: DataFrame, tiers: DataFrame) -> DataFrame:
     """Signed rank tests of all pairs of operators, Holm-adjusted within each population."""
     whole = statistics.complete_blocks(h2_rows.filter("status = 'success'"), METHODS, value="rmse_mm", support="common_support_hash")
-    rows = statistics.contrasts(whole, METHODS, value="rmse_mm").join(_populations(tiers), "trial_id")
+    rows = statistics.contrasts(whole, METHODS, value="rmse_mm").join(populations(tiers), "trial_id")
     return statistics.holm(statistics.signed_rank_tests(rows, "a", "b", ["population", "contrast"]), family=["population"])
 
 
@@ -232,7 +266,7 @@ def inference(h1_rows: DataFrame, h2_rows: DataFrame, h3_rows: DataFrame, tiers:
 
     A hypothesis that has no eligible trial in a population has a row too, with n = 0 and the commonest reason why not.
     """
-    members = _populations(tiers)
+    members = populations(tiers)
     one, three = h1_eligible(h1_rows), h3_eligible(h3_rows, ledger)
     pairs = one.filter("why_not is null").select("trial_id", F.lit("H1").alias("hypothesis_id"), F.col("onset_rmse_mm").alias("a"), F.col("refined_rmse_mm").alias("b"))
     pairs = pairs.unionByName(three.filter("why_not is null").select("trial_id", F.lit("H3").alias("hypothesis_id"), F.col("split").alias("a"), F.col("full").alias("b")))

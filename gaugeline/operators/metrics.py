@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from gaugeline.config import Settings
 from gaugeline.functions.columns import finite, huber, is_evaluation
+from gaugeline.operators import ordered
 from gaugeline.operators.asof import partner_after
+from gaugeline.sources.kept import kept
 
 
 def ate(residual: Column) -> list[Column]:
@@ -63,12 +65,15 @@ def describe_errors(df: DataFrame, column: str, prefix: str, key: str = "trial_i
 
 
 def robust_statistics(df: DataFrame, column: str) -> DataFrame:
-    """Median, MAD, quartile range and extremes over trials; zeros without any."""
-    known = df.filter(finite(F.col(column)).isNotNull()).select(F.col(column).alias("v"))
-    middle = known.agg(F.median("v").alias("m"))
-    deviations = known.crossJoin(middle).withColumn("d", F.abs(F.col("v") - F.col("m")))
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return deviations.agg(zero(F.median("v")).alias("median"), zero(F.median("d")).alias("mad"), zero(F.percentile("v", F.lit(0.75)) - F.percentile("v", F.lit(0.25))).alias("iqr"), zero(F.min("v")).alias("min"), zero(F.max("v")).alias("max"))
+    """Median, MAD, quartile range and extremes over trials; zeros without any. Medians are looked up in order, not gathered."""
+    counts = kept(ordered.counted(df, (), column))
+    middle = ordered.quantiles_of_counts(counts, (), {"median": 0.5, "q1": 0.25, "q3": 0.75})
+    deviations = counts.crossJoin(middle.select("median")).groupBy(F.abs(F.col("v") - F.col("median")).alias("v")).agg(F.sum("n").alias("n"))  # one row beside each
+    mad = ordered.quantiles_of_counts(deviations, (), {"mad": 0.5}).select("mad")
+    ends = counts.agg(F.min("v").alias("min"), F.max("v").alias("max"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
+    every = ends.crossJoin(middle).crossJoin(mad).withColumn("iqr", F.col("q3") - F.col("q1"))  # one row each
+    return every.select(*[zero(c) for c in ("median", "mad", "iqr", "min", "max")])
 
 
 def summary(columns: Sequence[str]) -> list[Column]:
@@ -133,9 +138,27 @@ def scenario_robustness(df: DataFrame, limit: float = 50.0) -> DataFrame:
 
 
 def group_summary(df: DataFrame, group: Sequence[str], columns: Sequence[str] = ("rmse_mm",)) -> DataFrame:
-    """summary() over all rows, by each of the grouping columns and by all of them, in one pass: a column is NULL where it isn't grouped by."""
+    """summary() over all rows, by each of the grouping columns and by all of them: a column is NULL where it isn't grouped by, and level says which are.
+
+    Equal values are counted before the groups are formed, so all sets are made from one pass over the rows, and no group's values are gathered:
+    medians and quartiles are looked up in order.
+    """
     sets = [[], *[[F.col(g)] for g in group], *([[F.col(g) for g in group]] if len(group) > 1 else [])]
-    return df.groupingSets(sets, *[F.col(g) for g in group]).agg(F.grouping_id().alias("level"), *summary(columns))
+    items = F.array(*[F.struct(F.lit(c).alias("name"), finite(F.col(c)).alias("v")) for c in columns])
+    long = df.select(*group, F.inline(items)).filter("v is not null").groupBy(*group, "name", "v").agg(F.count("*").alias("n"))
+    by_set = kept(long.groupingSets([[*s, F.col("name"), F.col("v")] for s in sets], *[F.col(g) for g in group], F.col("name"), F.col("v")).agg((F.grouping_id() / 4).cast("long").alias("level"), F.sum("n").alias("n")))
+    keys = [*group, "level", "name"]
+    key = F.struct(*keys)
+    n, v = F.col("n").cast("double"), F.col("v")
+    means = by_set.groupBy(*keys).agg(F.sum("n").alias("n_rows"), (F.sum(n * v) / F.sum(n)).alias("mean"), F.min("v").alias("min"), F.max("v").alias("max")).withColumn("__key", key)
+    # Deviations from the mean, as sums of squares would cancel for values far from 0.
+    apart = by_set.withColumn("__key", key).join(means.select("__key", "mean"), "__key").groupBy("__key").agg(F.sum(n * (v - F.col("mean")) * (v - F.col("mean"))).alias("squares"))
+    places = ordered.quantiles_of_counts(by_set, keys, {"q1": 0.25, "median": 0.5, "q3": 0.75}).select(key.alias("__key"), "q1", "median", "q3")
+    std = F.when(F.col("n_rows") > 1, F.sqrt(F.col("squares") / (F.col("n_rows") - 1)))
+    each = means.join(apart, "__key").join(places, "__key").withColumns({"std": std, "iqr": F.col("q3") - F.col("q1")}).withColumn("ci95", 1.96 * F.col("std") / F.sqrt("n_rows"))
+    part = lambda c, x: F.max(F.when(F.col("name") == c, F.col(x)))
+    wide = [part(c, x).alias(f"{c}_{out}") for c in columns for x, out in (("n_rows", "n"), ("mean", "mean"), ("std", "std"), ("median", "median"), ("iqr", "iqr"), ("min", "min"), ("max", "max"), ("ci95", "ci95"))]
+    return each.groupBy(*group, "level").agg(*wide)
 
 
 def variance_decomposition(df: DataFrame, column: str, group: str = "scenario_id") -> DataFrame:
@@ -148,13 +171,27 @@ def variance_decomposition(df: DataFrame, column: str, group: str = "scenario_id
     return out.withColumn("within", F.greatest(F.lit(0.0), F.col("overall") - F.col("between")))
 
 
-def describe_delta(df: DataFrame, column: str, group: Sequence[str] = (), limits: Sequence[float] = (0, 1, 2, 5, 10, 20, 50), percents: Sequence[float] = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) -> DataFrame:
-    """Count, mean, spread, extremes, how many exceed each limit, and percentiles of a difference."""
-    v = F.col(column)
-    aggregates = [F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")]
-    aggregates += [F.count_if(v > x).alias(f"over_{x:g}") for x in limits]
-    aggregates += [F.percentile(v, F.lit(p)).alias(f"p{round(100 * p):02d}") for p in percents]
-    return df.groupBy(*group).agg(*aggregates)
+#: Sizes of a difference that are counted as exceeded, by the names they are reported under.
+EXCEEDED: dict[str, float] = {"0.0": 0.0, "1e-12": 1e-12, "1e-09": 1e-9, "1e-06": 1e-6, "0.001": 0.001, "0.01": 0.01, "0.1": 0.1}
+PERCENTS = (1, 5, 25, 50, 75, 95, 99)
+
+
+def describe_delta(df: DataFrame, column: str, group: Sequence[str] = ()) -> DataFrame:
+    """What a paired difference looks like: how many there are, are exactly 0 and aren't, how many exceed each size in EXCEEDED (a map from its name), mean,
+    median, spread, quartile range, percentiles and extremes, the largest size among them.
+
+    A spread needs two values. Percentiles are exact, for a group of any size. Without a group an empty table has a row of zeros and NULLs.
+    """
+    v = finite(F.col(column))
+    over = F.create_map(*[x for name, limit in EXCEEDED.items() for x in (F.lit(name), F.count_if(F.abs(v) > limit))])
+    out = df.groupBy(*group).agg(
+        F.count(v).alias("paired_n"), F.count_if(v == 0).alias("exact_equality_count"), F.count_if(v != 0).alias("nonzero_count"), over.alias("threshold_counts"),
+        F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"), F.max(F.abs(v)).alias("max_abs"),
+    )
+    places = ordered.quantiles(df, group, [column], {f"p{p:02d}": p / 100 for p in PERCENTS}).drop("name", "total")
+    keyed = lambda x: x.withColumn("__at", F.struct(*group, F.lit(0).alias("__one")))  # noqa: E731 - NULL groups are groups, too
+    both = keyed(out).join(keyed(places).drop(*group), "__at", "left").drop("__at")
+    return both.withColumnRenamed("p50", "median").withColumn("iqr", F.col("p75") - F.col("p25"))
 
 
 def most_common(df: DataFrame, group: Sequence[str], column: str, out: str = "most_common") -> DataFrame:

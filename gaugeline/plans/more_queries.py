@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from gaugeline.config import Settings
 from gaugeline.functions import columns as C
-from gaugeline.operators import alignment, cleaning, comparisons, gates, metrics, statistics
+from gaugeline.operators import alignment, asof, cleaning, comparisons, gates, metrics, statistics
 from gaugeline.plans import presentation
-from gaugeline.plans.registry import _GATES, _ledger, query
+from gaugeline.plans.registry import _GATES, _TESTED, _ledger, _signed_rank_sql, query
 from gaugeline.plans.stand_ins import other, own, stream, table
 from gaugeline.sources import sinks
 
@@ -50,7 +50,7 @@ SELECT count(*) AS n, round(avg(a - b), 4) AS mean_delta, round(median(a - b), 4
 def configuration_delta(spark: SparkSession, d: str) -> DataFrame:
     """Two configurations' values on the trials that have both, as differences."""
     pairs = statistics.paired_values(table(spark, d, "orders"), "o_orderstatus", ("F", "O"), "o_totalprice", "o_custkey")
-    return metrics.describe_delta(pairs.withColumn("delta", F.col("a") - F.col("b")), "delta").select("n", F.col("mean").alias("mean_delta"), F.col("median").alias("median_delta"))
+    return metrics.describe_delta(pairs.withColumn("delta", F.col("a") - F.col("b")), "delta").select(F.col("paired_n").alias("n"), F.col("mean").alias("mean_delta"), F.col("median").alias("median_delta"))
 
 
 @query("SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) = 2 AND count(DISTINCT CASE WHEN l_returnflag IN ('A', 'R') THEN l_returnflag END) = 2 AND bool_and(l_quantity > 5)", None)
@@ -140,8 +140,6 @@ def every_tenth_row(spark: SparkSession, d: str) -> DataFrame:
 SELECT trial_id, count(*) AS n, round(atan2(covar_pop(v0, h) - covar_pop(v0 / 2, y), covar_pop(v0, y) + covar_pop(v0 / 2, h)), 6) AS theta_rad FROM j GROUP BY trial_id HAVING count(*) >= 3""")
 def matched_rigid_fit(spark: SparkSession, d: str) -> DataFrame:
     """As-of matched samples, then the closed-form rigid fit: two shuffles on the same key, the second reused from the first."""
-    from gaugeline.operators import asof
-
     samples = other(spark, d).groupBy("trial_id", "t").agg(F.min_by("value", "source_row_index").alias("value"))
     m = asof.zero_order_hold(own(spark, d), samples, ["value"]).filter("valid").withColumn("half", F.col("ref_value") / 2)
     return alignment.rigid_fit(m, ("ref_value", "half"), ("value", "heading")).select("trial_id", "n", "theta_rad")
@@ -165,7 +163,10 @@ def held_out_comparison(spark: SparkSession, d: str) -> DataFrame:
     return comparisons.h2(e, v, params, Settings())
 
 
-@query()
+_FAMILY = """, f AS (SELECT *, row_number() OVER (ORDER BY p_value NULLS LAST) AS k, count(p_value) OVER () AS m FROM test), h AS (SELECT *, CASE WHEN p_value IS NOT NULL THEN least(1, max(p_value * (m - k + 1)) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING)) END AS p_adjusted FROM f)"""
+
+
+@query("WITH RECURSIVE $STREAMS, m AS (SELECT trial_id, event_type, avg(value) - avg(heading) / 2 AS d FROM s GROUP BY ALL), " + _signed_rank_sql("m", "event_type") + _FAMILY + f" SELECT event_type, {_TESTED}, round(p_adjusted, 6) AS p_adjusted, CASE WHEN n < 2 OR p_adjusted IS NULL THEN 'inconclusive' WHEN p_adjusted < 0.05 THEN 'supported' ELSE 'not_supported' END AS decision FROM h")
 def rank_test_family(spark: SparkSession, d: str) -> DataFrame:
     """A signed-rank test for each event type over trials' mean values, with Holm adjustment and decisions."""
     means = stream(spark, d).groupBy("trial_id", "event_type").agg(F.avg("value").alias("a"), (F.avg("heading") / 2).alias("b"))
@@ -240,3 +241,35 @@ def heading_fit(spark: SparkSession, d: str) -> DataFrame:
     e = own(spark, d)
     times = e.select("trial_id").distinct().select("trial_id", F.lit(1.0001).alias("scale_a"), F.lit(-150000.0).alias("offset_b"))
     return alignment.heading_fit(e, other(spark, d), times, Settings(heading_distance_m=2000.0), ("value", "heading"), ("value", "heading"), "t", "t")
+
+
+@query("""WITH k AS (SELECT o_custkey, CASE o_orderkey % 4 WHEN 0 THEN 'planned_405' WHEN 1 THEN 'extended_previous_paper' ELSE 'unknown' END AS tier, o_totalprice / 1000 AS b, o_totalprice / 1000 - (o_custkey % 11 - 3) / 50 AS f FROM orders),
+p AS (SELECT 'planned_population' AS population, * FROM k WHERE tier = 'planned_405' UNION ALL SELECT 'extended_only_population', * FROM k WHERE tier = 'extended_previous_paper' UNION ALL SELECT 'combined_compatible_population', * FROM k WHERE tier <> 'unknown')
+SELECT population, count(*) AS paired_n, count(*) FILTER (WHERE abs(b - f) > 0.1) AS over_tenth, round(avg(b - f), 6) AS mean_delta_mm, round(median(b - f), 6) AS median_delta_mm, round(stddev_samp(b - f), 6) AS sd_delta_mm, round(quantile_cont(b - f, 0.95), 6) AS p95_delta_mm, round(max(abs(b - f)), 6) AS max_abs_delta_mm,
+round(avg(b), 6) AS mean_baseline_rmse_mm, round(median(b), 6) AS median_baseline_rmse_mm, round(avg(f), 6) AS mean_final_rmse_mm, round(median(f), 6) AS median_final_rmse_mm, CASE WHEN population = 'extended_only_population' THEN NULL ELSE 'shapiro' END AS normality_test_name FROM p GROUP BY population""")
+def baseline_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The populations' summary of two arms; the tests' figures are tested on their own."""
+    k = F.col("o_orderkey") % 4
+    arms = table(spark, d, "orders").select(F.when(k == 0, "planned_405").when(k == 1, "extended_previous_paper").otherwise("unknown").alias("dataset_tier"), (F.col("o_totalprice") / 1000).alias("baseline_rmse_mm"), (F.col("o_totalprice") / 1000 - (F.col("o_custkey") % 11 - 3) / 50).alias("final_rmse_mm"))
+    out = comparisons.baseline_summary(arms.withColumn("delta_rmse_mm", F.col("baseline_rmse_mm") - F.col("final_rmse_mm"))).withColumn("over_tenth", F.element_at("threshold_counts", F.lit("0.1")))
+    return out.select("population", "paired_n", "over_tenth", *[f"{c}_delta_mm" for c in ("mean", "median", "sd", "p95", "max_abs")], *[f"{c}_{a}_rmse_mm" for a in ("baseline", "final") for c in ("mean", "median")], "normality_test_name")
+
+
+@query("""WITH $STREAMS, d AS (SELECT trial_id, t, t - lag(t) OVER (PARTITION BY trial_id ORDER BY t) AS dt FROM e), g AS (SELECT trial_id, count(*) AS n, min(t) AS a, max(t) AS b, avg(dt) AS m, median(dt) AS h, stddev_pop(dt) AS s FROM d GROUP BY trial_id HAVING count(*) > 1)
+SELECT c_custkey AS trial_id, coalesce(n, 0) AS num_query_times, round(a, 4) AS query_start_s, round(b, 4) AS query_end_s, round(m, 4) AS mean_query_dt_s, round(h, 4) AS median_query_dt_s, round(s, 4) AS std_query_dt_s, CASE WHEN n IS NULL THEN 'failed_metric_computation' ELSE 'success' END AS query_status, 'ct_query' AS strategy_id, 'ev3' AS query_time_source
+FROM customer LEFT JOIN g ON g.trial_id = c_custkey""", 4)
+def query_time_report(spark: SparkSession, d: str) -> DataFrame:
+    """Times at which trials ask; customers without events have none."""
+    return asof.query_time_report(own(spark, d), table(spark, d, "customer").select(F.col("c_custkey").alias("trial_id")), "t")
+
+
+@query("""WITH $STREAMS, g AS (SELECT e.source_row_index, e.trial_id, min(abs(e.t - v.t)) * 1000 AS ms FROM e JOIN v ON e.trial_id = v.trial_id GROUP BY ALL), n AS (SELECT trial_id, count(*) AS num_vive_samples FROM v GROUP BY trial_id)
+SELECT trial_id, count(*) AS num_ev3_samples, any_value(num_vive_samples) AS num_vive_samples, round(avg(ms), 2) AS mean_nearest_timestamp_gap_ms, round(median(ms), 2) AS median_nearest_timestamp_gap_ms, round(quantile_cont(ms, 0.95), 2) AS p95_nearest_timestamp_gap_ms, round(max(ms), 2) AS max_nearest_timestamp_gap_ms, 'acceptable' AS asynchrony_status FROM g JOIN n USING (trial_id) GROUP BY trial_id""", 2)
+def timestamp_gap_report(spark: SparkSession, d: str) -> DataFrame:
+    return asof.gap_report(own(spark, d), other(spark, d), "t", "t")
+
+
+@query("""SELECT round(avg(l_discount) FILTER (WHERE l_returnflag = 'R'), 6) AS mean_delta_rmse, count(*) FILTER (WHERE l_returnflag = 'R') AS accepted_for_h1, count(*) FILTER (WHERE l_linestatus = 'O') AS excluded_ambiguous_count FROM lineitem""")
+def h1_summary(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").select(F.when(F.col("l_returnflag") != "N", F.col("l_returnflag") == "R").alias("valid_for_paper"), F.col("l_discount").alias("delta_rmse_mm"), F.when(F.col("l_linestatus") == "O", "ambiguous").otherwise("ok").alias("fit_status"))
+    return comparisons.h1_summary(rows)

@@ -344,10 +344,18 @@ def repeatability(spark: SparkSession, d: str) -> DataFrame:
     return metrics.repeatability(table(spark, d, "customer"), "c_acctbal", "c_nationkey", 3200.0)
 
 
-@query("""SELECT c_mktsegment, count(*) AS n, round(avg(c_acctbal), 4) AS mean, round(median(c_acctbal), 4) AS median, round(stddev_samp(c_acctbal), 4) AS std, round(min(c_acctbal), 4) AS min, round(max(c_acctbal), 4) AS max,
-count(*) FILTER (WHERE c_acctbal > 0) AS over_0, count(*) FILTER (WHERE c_acctbal > 1000) AS over_1000, round(quantile_cont(c_acctbal, 0.05), 4) AS p05, round(quantile_cont(c_acctbal, 0.95), 4) AS p95 FROM customer GROUP BY c_mktsegment""", 4)
+_DELTA = """WITH d AS (SELECT c_mktsegment, CASE c_custkey % 7 WHEN 0 THEN 0 WHEN 1 THEN c_acctbal / 1e15 WHEN 2 THEN -c_acctbal / 1e11 WHEN 3 THEN c_acctbal / 1e8 WHEN 4 THEN -c_acctbal / 1e5 ELSE c_acctbal / 1e4 END AS d FROM customer)"""
+
+
+@query(_DELTA + """ SELECT c_mktsegment, count(*) AS paired_n, count(*) FILTER (WHERE d = 0) AS exact_equality_count, count(*) FILTER (WHERE d <> 0) AS nonzero_count,
+count(*) FILTER (WHERE abs(d) > 0) AS over_0, count(*) FILTER (WHERE abs(d) > 1e-12) AS over_1, count(*) FILTER (WHERE abs(d) > 1e-9) AS over_2, count(*) FILTER (WHERE abs(d) > 1e-6) AS over_3, count(*) FILTER (WHERE abs(d) > 0.001) AS over_4, count(*) FILTER (WHERE abs(d) > 0.01) AS over_5, count(*) FILTER (WHERE abs(d) > 0.1) AS over_6,
+round(avg(d), 9) AS mean, round(median(d), 9) AS median, round(CASE WHEN count(*) > 1 THEN stddev_samp(d) END, 9) AS sd, round(quantile_cont(d, 0.75) - quantile_cont(d, 0.25), 9) AS iqr, round(quantile_cont(d, 0.01), 9) AS p01, round(quantile_cont(d, 0.05), 9) AS p05, round(quantile_cont(d, 0.25), 9) AS p25,
+round(quantile_cont(d, 0.75), 9) AS p75, round(quantile_cont(d, 0.95), 9) AS p95, round(quantile_cont(d, 0.99), 9) AS p99, round(min(d), 9) AS min, round(max(d), 9) AS max, round(max(abs(d)), 9) AS max_abs FROM d GROUP BY c_mktsegment""", 9)
 def describe_delta(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.describe_delta(table(spark, d, "customer"), "c_acctbal", ["c_mktsegment"], (0, 1000), (0.05, 0.95))
+    k, v = F.col("c_custkey") % 7, F.col("c_acctbal")
+    delta = F.when(k == 0, 0.0).when(k == 1, v / 1e15).when(k == 2, -v / 1e11).when(k == 3, v / 1e8).when(k == 4, -v / 1e5).otherwise(v / 1e4)
+    out = metrics.describe_delta(table(spark, d, "customer").withColumn("d", delta), "d", ["c_mktsegment"])
+    return out.withColumns({f"over_{i}": F.element_at("threshold_counts", F.lit(name)) for i, name in enumerate(metrics.EXCEEDED)}).drop("threshold_counts")
 
 
 @query("""SELECT population, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM (SELECT o_totalprice, 'primary' AS population FROM orders WHERE o_orderstatus IN ('F', 'O') UNION ALL SELECT o_totalprice, 'all' FROM orders WHERE o_orderstatus IN ('F', 'O', 'P')) GROUP BY population""", 4)
@@ -455,11 +463,40 @@ def signed_rank_sums(spark: SparkSession, d: str) -> DataFrame:
     return statistics.signed_rank_sums(_paired(spark, d), "a", "b", ["l_suppkey"])
 
 
-@query()
+def _signed_rank_sql(rows: str, group: str) -> str:
+    """CTEs of the whole test, for rows (group, d): exact below 51 differences without ties and zeros, by the distribution's recursion; else the normal tail by
+    the error function's series."""
+    return f"""r AS (SELECT *, rank() OVER (PARTITION BY {group} ORDER BY abs(d)) + (count(*) OVER (PARTITION BY {group}, abs(d)) - 1) / 2.0::DOUBLE AS r, row_number() OVER (PARTITION BY {group} ORDER BY d) AS i FROM {rows} WHERE d IS NOT NULL),
+ties AS (SELECT {group}, sum(c * c * c - c) AS ties FROM (SELECT {group}, abs(d) AS a, count(*)::DOUBLE AS c FROM r GROUP BY ALL) GROUP BY {group}),
+w AS (SELECT {group}, count(*) AS n, count(*) FILTER (WHERE d > 0) AS n_positive, count(*) FILTER (WHERE d < 0) AS n_negative, count(*) FILTER (WHERE d = 0) AS n_zero, sum(CASE WHEN d > 0 THEN r WHEN d = 0 THEN r / 2 ELSE 0 END)::DOUBLE AS w_plus, sum(CASE WHEN d < 0 THEN r WHEN d = 0 THEN r / 2 ELSE 0 END)::DOUBLE AS w_minus,
+  avg(d) AS mean_diff, median(d) AS median_diff FROM r GROUP BY {group}),
+u AS (SELECT w.*, ties, least(w_plus, w_minus) AS statistic, n * (n + 1) * (2 * n + 1) / 24.0::DOUBLE - ties / 48 - (n_zero * (n_zero + 1) * (2 * n_zero + 1) / 24.0::DOUBLE - (n_zero * n_zero * n_zero - n_zero) / 48.0::DOUBLE) AS var FROM w JOIN ties USING ({group})),
+law(n, c) AS (SELECT 0, [1.0]::DOUBLE[] UNION ALL SELECT n + 1, list_transform(range(0, (n + 1) * (n + 2) // 2 + 1), lambda k: coalesce(c[k + 1], 0) + CASE WHEN k > n THEN coalesce(c[k - n], 0) ELSE 0 END) FROM law WHERE n < 50),
+erf({group}, x, k, term, total) AS (SELECT {group}, least(abs(statistic - n * (n + 1) / 4.0::DOUBLE) / sqrt(var) / sqrt(2), 6), 0, least(abs(statistic - n * (n + 1) / 4.0::DOUBLE) / sqrt(var) / sqrt(2), 6), 0::DOUBLE FROM u WHERE var > 0
+  UNION ALL SELECT {group}, x, k + 1, term * 2 * x * x / (2 * k + 3), total + term FROM erf WHERE k < 250),
+tail AS (SELECT {group}, least(1, greatest(0, 1 - 2 / sqrt(pi()) * exp(-x * x) * total)) AS p FROM erf WHERE k = 250),
+walsh AS (SELECT a.{group}, median((a.d + b.d) / 2) AS pseudomedian FROM r a JOIN r b ON a.{group} = b.{group} AND a.i <= b.i GROUP BY a.{group}),
+test AS (SELECT u.{group}, u.n, n_positive, n_negative, n_zero, w_plus, w_minus, statistic, CASE WHEN u.n < 2 THEN NULL WHEN u.n <= 50 AND ties = 0 AND n_zero = 0 THEN least(1, 2 * list_sum(c[1 : floor(statistic)::INT + 1]) / list_sum(c)) WHEN var <= 0 THEN 1 ELSE p END AS p_value,
+  (w_plus - w_minus) / (w_plus + w_minus) AS rank_biserial, mean_diff, median_diff, pseudomedian, CASE WHEN u.n < 2 AND n_zero = u.n THEN 'insufficient_pairs_all_zero' WHEN u.n < 2 THEN 'insufficient_pairs' WHEN n_zero = u.n THEN 'all_zero_differences' ELSE 'ok' END AS status
+  FROM u LEFT JOIN law ON law.n = u.n LEFT JOIN tail ON tail.{group} = u.{group} JOIN walsh ON walsh.{group} = u.{group})"""
+
+
+_TESTED = "n, n_positive, n_negative, n_zero, w_plus, w_minus, statistic, round(p_value, 6) AS p_value, round(rank_biserial, 6) AS rank_biserial, round(mean_diff, 6) AS mean_diff, round(median_diff, 6) AS median_diff, round(pseudomedian, 6) AS pseudomedian, status"
+
+
+@query("WITH RECURSIVE $STREAMS, d AS (SELECT trial_id, value - heading AS d FROM e), " + _signed_rank_sql("d", "trial_id") + f" SELECT trial_id, {_TESTED} FROM test")
 def signed_rank_tests(spark: SparkSession, d: str) -> DataFrame:
     return statistics.signed_rank_tests(own(spark, d), "value", "heading", ["trial_id"])
 
 
+@query("""WITH d AS (SELECT l_suppkey, l_quantity - round(l_extendedprice / 2000, 0) AS d FROM lineitem), r AS (SELECT *, rank() OVER (PARTITION BY l_suppkey ORDER BY abs(d)) + (count(*) OVER (PARTITION BY l_suppkey, abs(d)) - 1) / 2.0 AS r FROM d WHERE d <> 0),
+w AS (SELECT l_suppkey, least(sum(r) FILTER (WHERE d > 0), sum(r) FILTER (WHERE d < 0))::DOUBLE AS test_statistic FROM r GROUP BY l_suppkey), m AS (SELECT l_suppkey, count(*) AS n_pairs, median(d) AS median_diff FROM d GROUP BY l_suppkey)
+SELECT l_suppkey, CASE WHEN n_pairs >= 3 THEN 'success' ELSE 'insufficient_data' END AS status, n_pairs, CASE WHEN n_pairs >= 3 THEN median_diff END AS median_diff, CASE WHEN n_pairs >= 3 THEN test_statistic END AS test_statistic FROM m LEFT JOIN w USING (l_suppkey)""")
+def compare_configurations(spark: SparkSession, d: str) -> DataFrame:
+    """The test of two configurations for each supplier; p-values are tested on their own."""
+    return statistics.compare_configurations(_paired(spark, d), "a", "b", ["l_suppkey"]).drop("p_value", "significant_05")
+
+
 @query("""WITH $STREAMS, d AS (SELECT trial_id, row_number() OVER (PARTITION BY trial_id ORDER BY source_row_index) AS i, value - heading AS d FROM e)
 SELECT a.trial_id, round(median((a.d + b.d) / 2), 6) AS pseudomedian FROM d a JOIN d b ON a.trial_id = b.trial_id AND a.i <= b.i GROUP BY a.trial_id""")
 def pseudomedian(spark: SparkSession, d: str) -> DataFrame:

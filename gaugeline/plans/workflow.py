@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.config import Settings, check_frozen
 from gaugeline.functions.columns import finite, is_evaluation
-from gaugeline.operators import alignment, cleaning, comparisons, gates, metrics, quality, support
+from gaugeline.operators import alignment, asof, cleaning, comparisons, gates, metrics, quality, statistics, support
 from gaugeline.plans.presentation import chart, figures, tables
 from gaugeline.sources import logs, sinks
 
@@ -184,6 +184,17 @@ def _scored(run: Run) -> DataFrame:
     return m
 
 
+def _timestamp_gaps(run: Run) -> DataFrame:
+    some = run["metrics"].select("trial_id")
+    return asof.gap_report(*(run[n].join(some, "trial_id", "left_semi") for n in ("telemetry", "tracking")))
+
+
+def _h1_audit(run: Run) -> DataFrame:
+    """The ranks that the H1 test rests on, a row for each trial and population."""
+    rows = comparisons.h1_eligible(run["h1"]).filter("why_not is null").join(comparisons.populations(run["accepted"]), "trial_id")
+    return statistics.signed_rank_rows(rows.select("trial_id", "population", "onset_rmse_mm", "refined_rmse_mm"), "onset_rmse_mm", "refined_rmse_mm", ["population"])
+
+
 def _compatible(run: Run) -> DataFrame:
     """The gate of the extended tier, for its paired trials."""
     extended = run["pairs"].filter("pair_status = 'paired' and dataset_tier = 'extended_previous_paper'").select("trial_id")
@@ -257,6 +268,11 @@ PRODUCTS: dict[str, Callable[[Run], DataFrame]] = {
     "baseline_arm": _baseline_arm,
     "baseline": lambda r: r["baseline_arm"].filter("reason is null").drop("reason", "canonical_support_count"),
     "baseline_rejections": lambda r: r["baseline_arm"].filter("reason is not null").select("trial_id", "dataset_tier", "reason", F.col("common_support_count").alias("baseline_common_support_count"), "canonical_support_count"),
+    "baseline_summary": lambda r: comparisons.baseline_summary(r["baseline"]),
+    "h1_summary": lambda r: comparisons.h1_summary(r["h1"]),
+    "h1_audit": _h1_audit,
+    "timestamp_gaps": _timestamp_gaps,
+    "query_times": lambda r: asof.query_time_report(r["aligned"], r["metrics"]),
     "compatible": _compatible,
     "summary": lambda r: metrics.group_summary(r["metrics"].filter("status = 'success'"), ["dataset_tier", "scenario_id"]),
     "repeatability": lambda r: metrics.scenario_repeatability(_scored(r)),
@@ -279,18 +295,18 @@ READS: dict[str, str] = {
     "pairs": "manifest", "telemetry": "pairs", "tracking": "pairs", "diagnostics": "telemetry tracking", "rejections": "diagnostics pairs", "accepted": "pairs rejections", "bounds": "telemetry accepted",
     "telemetry_rows": "telemetry bounds", "tracking_rows": "tracking bounds", "ledger": "telemetry_rows tracking_rows", "degeneracy": "telemetry_rows tracking_rows bounds", "times": "degeneracy", "spatial": "times",
     "params": "times spatial", "aligned": "params", "metrics": "aligned accepted spatial", "phases": "aligned", "schema": "metrics", "h1": "times", "h2": "params", "h3": "bounds ledger", "baseline_arm": "aligned accepted times",
-    "baseline": "baseline_arm", "baseline_rejections": "baseline_arm", "compatible": "pairs diagnostics", "summary": "metrics", "repeatability": "metrics params", "stability": "metrics params", "robustness": "metrics times diagnostics",
+    "baseline": "baseline_arm", "baseline_rejections": "baseline_arm", "baseline_summary": "baseline", "h1_summary": "h1", "h1_audit": "h1 accepted", "timestamp_gaps": "metrics telemetry tracking", "query_times": "aligned metrics", "compatible": "pairs diagnostics", "summary": "metrics", "repeatability": "metrics params", "stability": "metrics params", "robustness": "metrics times diagnostics",
     "variance": "metrics", "balance": "pairs accepted", "lag_curves": "degeneracy", "gate_ledger": "pairs rejections degeneracy times metrics", "gate_pivot": "gate_ledger", "cascade": "gate_ledger metrics ledger", "stage_summary": "cascade",
     "inference": "h1 h2 h3 accepted ledger", "conclusions": "inference", "friedman": "h2 accepted", "posthoc": "h2 accepted",
 }
 #: What each result consists of. Every run has the core; what is presented is drawn from all the others.
 RESULTS: dict[str, str] = {
     "core": "metrics phases ledger schema",
-    "h1": "h1",
+    "h1": "h1 h1_summary h1_audit",
     "h2": "h2 friedman posthoc",
     "h3": "h3",
-    "baseline": "baseline baseline_rejections",
-    "diagnostics": "gate_ledger gate_pivot cascade stage_summary compatible summary repeatability stability robustness variance balance lag_curves",
+    "baseline": "baseline baseline_rejections baseline_summary",
+    "diagnostics": "gate_ledger gate_pivot cascade stage_summary compatible summary repeatability stability robustness variance balance lag_curves timestamp_gaps query_times",
     "tables": "inference conclusions",
     "figures": "inference",
     "report": "inference",
