@@ -20,6 +20,7 @@ from gaugeline.functions import signals
 from gaugeline.functions.columns import aligned_phase, rotate_translate, scenario
 from gaugeline.operators import asof
 from gaugeline.operators.cleaning import difference, ordered, path_length
+from gaugeline.operators.digests import ordered_digests
 from gaugeline.operators.grouped import map_trials, numbers_of
 
 TEMPORAL = "b_onset double, b_refined double, b_final double, lag double, best double, second double, ratio double, temporal_status string"
@@ -222,8 +223,7 @@ def spatial(telemetry: DataFrame, tracking: DataFrame, times: DataFrame, s: Sett
         c, d = F.cos("theta_rad"), F.sin("theta_rad")
         fits = start.select(key, "n", "theta_rad", "start_residual", (F.col("ex0") - c * F.col("vx0") + d * F.col("vy0")).alias("tx"), (F.col("ey0") - d * F.col("vx0") - c * F.col("vy0")).alias("ty"), F.lit(None).cast("double").alias("trajectory_residual"))
     known = telemetry.filter("local_time_s is not null and odometry_x is not null and odometry_y is not null")
-    keys = known.groupBy(key).agg(F.array_sort(F.collect_list("source_row_index")).alias("k"))
-    used = keys.select(key, F.size("k").cast("long").alias("fit_source_key_count"), F.sha2(F.array_join(F.col("k").cast("array<string>"), "\n"), 256).alias("fit_source_key_hash"))
+    used = ordered_digests(known, [key], "source_row_index", "fit_source_key_count", "fit_source_key_hash")
     payload = F.to_json(F.struct(F.lit(s.spatial_method).alias("method"), F.col(key).cast("string").alias("trial"), F.lit(s.flip_y).alias("flip_y"), F.col("fit_source_key_hash").alias("keys")))
     return fits.join(used, key, "left").withColumns({"spatial_method": F.lit(s.spatial_method), "fit_hash": F.sha2(payload, 256)})
 

@@ -9,12 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def bracket(queries: DataFrame, samples: DataFrame, values: Sequence[str], key: str = "trial_id", query_time: str = "t", sample_time: str = "t", sample_order: str | None = None, at_equal: str = "before") -> DataFrame:
+def bracket(queries: DataFrame, samples: DataFrame, values: Sequence[str], key: str = "trial_id", query_time: str = "t", sample_time: str = "t", sample_order: str | None = None, at_equal: str = "before", slice_s: float | None = None) -> DataFrame:
     """Each query row with structs ``prev`` and ``next`` of (t, *values): the nearest samples on its two sides.
 
     ``at_equal``: whether a sample at the very time counts as before the query ("before": prev is backward inclusive, next
     strictly after) or after it ("after": prev strictly before, next inclusive). Samples of equal time are in the order of
     ``sample_order``. Rows with a NULL time match nothing.
+
+    ``slice_s``: cut every trial into slices of so many seconds, each sorted on its own, so that a trial of any size goes to many tasks. What a slice
+    can't see, the last sample before it and the first behind it, comes from a table with a row for each slice. Without it a trial is one slice.
     """
     order = F.col(sample_order) if sample_order else F.lit(0).cast("bigint")
     sample = F.struct(F.col(sample_time).alias("t"), *[F.col(v) for v in values])
@@ -24,14 +27,31 @@ def bracket(queries: DataFrame, samples: DataFrame, values: Sequence[str], key:
     s_kind = dict(samples.select(sample.alias("s")).dtypes)["s"]
     q = queries.select(F.col(key), F.col(query_time).cast("double").alias("__t"), F.lit(side[0]).alias("__side"), F.lit(None).cast("bigint").alias("__order"), kept.alias("q"), F.lit(None).cast(s_kind).alias("s"))
     s = samples.filter(F.col(sample_time).isNotNull()).select(F.col(key), F.col(sample_time).cast("double").alias("__t"), F.lit(side[1]).alias("__side"), order.cast("bigint").alias("__order"), F.lit(None).cast(kind).alias("q"), sample.alias("s"))
-    line = Window.partitionBy(key).orderBy(F.col("__t").asc_nulls_first(), "__side", "__order")
     both = q.unionByName(s)
-    found = both.withColumns({
+    place = [F.col("__t").asc_nulls_first(), "__side", "__order"]
+    if not slice_s:
+        found = _sides(both, [key], place)
+    else:
+        both = both.withColumn("__slice", F.struct(F.col(key).alias("key"), F.floor(F.col("__t") / float(slice_s)).alias("n")))
+        at = F.when(F.col("s").isNotNull(), F.struct("__t", "__side", "__order"))
+        ends = both.groupBy("__slice").agg(F.max_by("s", at).alias("last"), F.min_by("s", at).alias("first"))
+        line = Window.partitionBy("__slice.key").orderBy("__slice.n")
+        carried = ends.select(
+            "__slice", F.last("last", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
+            F.first("first", ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing)).alias("__after"),
+        )
+        found = _sides(both, ["__slice"], place).join(carried, "__slice").withColumns({"prev": F.coalesce("prev", "__before"), "next": F.coalesce("next", "__after")})
+    known = F.col("__t").isNotNull()
+    return found.select("q.*", F.when(known, F.col("prev")).alias("prev"), F.when(known, F.col("next")).alias("next"))
+
+
+def _sides(both: DataFrame, group: Sequence[str], place: list) -> DataFrame:
+    """Query rows with the nearest samples on either side within their group."""
+    line = Window.partitionBy(*group).orderBy(*place)
+    return both.withColumns({
         "prev": F.last("s", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0)),
         "next": F.first("s", ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing)),
     }).filter("q is not null")
-    known = F.col("__t").isNotNull()
-    return found.select("q.*", F.when(known, F.col("prev")).alias("prev"), F.when(known, F.col("next")).alias("next"))
 
 
 def inclusive_bracket(queries: DataFrame, samples: DataFrame, values: Sequence[str], **options) -> DataFrame:
@@ -72,7 +92,7 @@ def nearest_gap(queries: DataFrame, samples: DataFrame, **options) -> DataFrame:
     return found.withColumn("gap", gap).drop("prev", "next")
 
 
-def partner_after(df: DataFrame, values: Sequence[str], interval: float, tolerance: float, key: str = "trial_id", time: str = "t", identity: str = "source_row_index") -> DataFrame:
+def partner_after(df: DataFrame, values: Sequence[str], interval: float, tolerance: float, key: str = "trial_id", time: str = "t", identity: str = "source_row_index", slice_s: float | None = None) -> DataFrame:
     """A tolerance-band self join: each row with the struct ``partner`` of the sample nearest to t + interval.
 
     Only the last sample before that time and the first at or after it are candidates; of equally near ones that of the
@@ -81,7 +101,7 @@ def partner_after(df: DataFrame, values: Sequence[str], interval: float, toleran
     source = df.filter(F.col(time).isNotNull())
     carried = [identity, *values]
     queries = source.withColumn("__target", F.col(time) + F.lit(float(interval)))
-    found = bracket(queries, source, carried, key=key, query_time="__target", sample_time=time, sample_order=identity, at_equal="after")
+    found = bracket(queries, source, carried, key=key, query_time="__target", sample_time=time, sample_order=identity, at_equal="after", slice_s=slice_s)
 
     def candidate(side: str) -> Column:
         miss = F.abs(F.col(f"{side}.t") - F.col(time) - F.lit(float(interval)))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from gaugeline.config import Settings
 from gaugeline.functions.signals import METHODS
-from gaugeline.operators import alignment, metrics, ordered, quality, statistics, support
+from gaugeline.operators import alignment, keysets, metrics, ordered, quality, statistics, support
+from gaugeline.operators.digests import ordered_digests
 from gaugeline.functions.columns import finite, is_evaluation, rotate_translate
 
 KEY = ["source_row_index"]
@@ -110,18 +111,18 @@ def h2(telemetry: DataFrame, tracking: DataFrame, params: DataFrame, s: Settings
     rows = rows.select("trial_id", "source_row_index", "method", F.hypot(F.col("odometry_x") - x, F.col("odometry_y") - y).alias("r")).filter("r is not null")
     # A row counts if every method has it: one aggregate on the row's key, and no intersection of four tables.
     by_key = rows.groupBy("trial_id", "source_row_index").agg(F.count("*").alias("n"), F.collect_list(F.struct("method", "r")).alias("each")).filter(F.col("n") == len(methods))
-    keys = by_key.groupBy("trial_id").agg(F.array_sort(F.collect_list("source_row_index")).alias("k"))
-    hashed = keys.select("trial_id", F.size("k").cast("bigint").alias("common_support_count"), F.sha2(F.array_join(F.col("k").cast("array<string>"), "\n"), 256).alias("common_support_hash"))
+    hashed = ordered_digests(by_key, ["trial_id"], "source_row_index", "common_support_count", "common_support_hash")
     rmse = by_key.select("trial_id", F.inline("each")).groupBy("trial_id", "method").agg((F.sqrt(F.avg(F.col("r") * F.col("r"))) * 1000).alias("rmse_mm"))
     grid = params.select("trial_id", F.explode(F.array(*[F.lit(m) for m in methods])).alias("method"))
     out = grid.join(rmse, ["trial_id", "method"], "left").join(hashed, "trial_id", "left")
     return out.withColumn("status", F.when(F.col("rmse_mm").isNotNull(), "success").otherwise("no_common_support"))
 
 
-def h3(telemetry: DataFrame, tracking: DataFrame, bounds: DataFrame, ledger: DataFrame, s: Settings) -> DataFrame:
-    """Fit on calibration rows only against fit on all rows: two rows for each trial, or one reason why not.
+def h3(telemetry: DataFrame, tracking: DataFrame, bounds: DataFrame, ledger: DataFrame, s: Settings, eligible: DataFrame | None = None) -> DataFrame:
+    """Fit on calibration rows only against fit on all rows: two rows for each trial, with what each arm was fitted on, or the reason why not.
 
-    The full arm is meant to leak: it shows what a fit gains from the rows that it is scored on.
+    The full arm is meant to leak: it shows what a fit gains from the rows that it is scored on. Which keys are whose is checked against
+    the ledger first (``keysets.leakage``). ``eligible`` (trial_id, source_row_index): evaluation rows that may be fitted, by default all.
     """
     held = telemetry.filter("partition = 'evaluation'")
     arms, fits = {}, None
@@ -131,16 +132,23 @@ def h3(telemetry: DataFrame, tracking: DataFrame, bounds: DataFrame, ledger: Dat
         arms[mode] = fit_arm(a, b, held, tracking, times.select("trial_id", "scale_a", "offset_b"), s)
         status = times.select("trial_id", F.when(F.col("temporal_status").isin("missing_input", "invalid_data"), F.concat(F.lit("invalid_temporal_status:"), "temporal_status")).otherwise("ok").alias(mode))
         fits = status if fits is None else fits.join(status, "trial_id", "full")
-    parts = ledger.filter("stream = 'ev3'").groupBy("trial_id").pivot("partition", ["calibration", "evaluation"]).agg(F.first("identity_hash"))
-    gate = bounds.select("trial_id", "partition_status", "evaluation_duration_s").join(parts, "trial_id", "left").join(fits, "trial_id", "left")
+    sets = keysets.leakage(telemetry, tracking, ledger, eligible)
+    known = sets.withColumnRenamed("reason", "key_reason")
+    gate = bounds.select("trial_id", "partition_status", "evaluation_duration_s").join(known, "trial_id", "left").join(fits, "trial_id", "left")
+    unfit = lambda mode: F.coalesce(mode, F.lit("missing_or_empty_fitting_partition"))
     status = (
-        F.when(F.col("partition_status") == "insufficient_evaluation_duration", "insufficient_evaluation_duration").when(F.col("calibration").isNull() | F.col("evaluation").isNull(), "missing_persisted_h3_keys_or_partition_hash")
-        .when(F.coalesce("split", F.lit("missing_or_empty_fitting_partition")) != "ok", F.coalesce("split", F.lit("missing_or_empty_fitting_partition")))
-        .when(F.coalesce("full", F.lit("missing_or_empty_fitting_partition")) != "ok", F.coalesce("full", F.lit("missing_or_empty_fitting_partition"))).otherwise("ok")
+        F.when(F.col("partition_hash").isNull(), "missing_persisted_h3_keys_or_partition_hash").when(F.col("key_reason").isNotNull(), F.col("key_reason"))
+        .when(F.col("partition_status") == "insufficient_evaluation_duration", "insufficient_evaluation_duration")
+        .when(unfit("split") != "ok", unfit("split")).when(unfit("full") != "ok", unfit("full")).otherwise("ok")
     )
-    wide = paired(arms, "split", "full", gate.withColumn("fit_status", status))
-    modes = F.array(*[F.struct(F.lit(m).alias("calibration_mode"), F.col(f"{m}_rmse_mm").alias("heldout_rmse_mm")) for m in ("split", "full")])
-    return wide.select("trial_id", F.inline(modes), "delta_rmse_mm", "common_support_count", "common_support_hash", "support_status", "valid_for_paper", "reason")
+    wide = paired(arms, "split", "full", gate.withColumn("fit_status", status)).join(known.drop("key_reason"), "trial_id", "left")
+    of_mode = lambda m: F.struct(
+        F.lit(m).alias("calibration_mode"), F.col(f"{m}_rmse_mm").alias("heldout_rmse_mm"), F.col(f"{m}_count").alias("fit_source_key_count"), F.col(f"{m}_hash").alias("fit_source_key_hash"),
+        (F.col("split_excludes") if m == "split" else F.lit(None).cast("boolean")).alias("split_excludes_evaluation_fitting"), (F.col("full_includes") if m == "full" else F.lit(None).cast("boolean")).alias("full_includes_evaluation_fitting"),
+        F.lit(keysets.LEAKAGE[m]).alias("leakage_status"),
+    )
+    shared = ["delta_rmse_mm", "common_support_count", "common_support_hash", "support_status", "valid_for_paper", "reason", "partition_hash"]
+    return wide.select("trial_id", F.inline(F.array(*map(of_mode, MODES))), *shared, F.col("eligible_count").alias("eligible_evaluation_fitting_key_count"), F.col("eligible_hash").alias("eligible_evaluation_fitting_key_hash"))
 
 
 def baseline(telemetry: DataFrame, tracking: DataFrame, times: DataFrame, final: DataFrame, tiers: DataFrame, s: Settings) -> DataFrame:
@@ -219,27 +227,30 @@ def h1_eligible(rows: DataFrame) -> DataFrame:
     return rows.withColumn("why_not", refused)
 
 
-def h3_eligible(rows: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """One row for each trial of h3(): both arms side by side, and ``why_not``. ``ledger``: to check keys of the fit against the partition."""
+def h3_eligible(rows: DataFrame) -> DataFrame:
+    """One row for each trial of h3(): both arms side by side, and ``why_not``, the first check that fails, or NULL."""
+    one = lambda c: [F.min(c).alias(c), F.max(c).alias(f"{c}_b"), F.count(c).alias(f"n_{c}")]
+    of = lambda m, c, out: F.max(F.when(F.col("calibration_mode") == m, F.col(c))).alias(out)
     wide = rows.groupBy("trial_id").agg(
-        F.count("*").alias("n_rows"), F.count_distinct("calibration_mode").alias("n_modes"), F.bool_and(F.coalesce("valid_for_paper", F.lit(False))).alias("valid"), F.min("delta_rmse_mm").alias("delta"), F.max("delta_rmse_mm").alias("delta_b"), F.count("delta_rmse_mm").alias("n_delta"),
-        F.min("common_support_count").alias("support"), F.max("common_support_count").alias("support_b"), F.min("common_support_hash").alias("hash"), F.max("common_support_hash").alias("hash_b"), F.count("common_support_hash").alias("n_hash"),
-        F.bool_and(F.col("support_status") == "valid").alias("support_valid"), *[F.max(F.when(F.col("calibration_mode") == m, F.col("heldout_rmse_mm"))).alias(m) for m in MODES],
+        F.count("*").alias("n_rows"), F.count_distinct(F.when(F.col("calibration_mode").isin(*MODES), F.col("calibration_mode"))).alias("n_modes"), F.bool_and(F.coalesce("valid_for_paper", F.lit(False))).alias("valid"),
+        F.bool_and(F.col("support_status") == "valid").alias("support_valid"), *[of(m, "heldout_rmse_mm", m) for m in MODES],
+        *[x for c in ("delta_rmse_mm", "common_support_count", "common_support_hash", "partition_hash", "eligible_evaluation_fitting_key_count", "eligible_evaluation_fitting_key_hash") for x in one(c)],
+        *[of(m, c, f"{m}_{out}") for m in MODES for c, out in (("fit_source_key_count", "fit_count"), ("fit_source_key_hash", "fit_hash"), ("leakage_status", "leakage"))],
+        of("split", "split_excludes_evaluation_fitting", "excludes"), of("full", "full_includes_evaluation_fitting", "includes"),
     )
-    if ledger is not None:
-        own = ledger.filter("stream = 'ev3'").groupBy("trial_id").agg(*[F.max(F.when(F.col("partition") == p, F.size("source_rows"))).alias(f"n_{p}") for p in ("calibration", "evaluation")], F.max(F.when(F.col("partition") == "evaluation", F.col("identity_hash"))).alias("evaluation_hash"))
-        wide = wide.join(own, "trial_id", "left")
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    agree = lambda c: (F.col(f"n_{c}") == 2) & (F.col(c) == F.col(f"{c}_b"))
+    said = lambda c: F.length(F.trim(F.col(c))) > 0
     refused = (
-        F.when((F.col("n_rows") != 2) | (F.col("n_modes") != 2), "not_one_row_for_each_mode").when(~F.coalesce("valid", F.lit(False)), "not_valid").when((F.col("n_delta") != 2) | finite(F.col("delta")).isNull(), "delta_not_finite")
-        .when(finite(F.col("split")).isNull() | finite(F.col("full")).isNull(), "score_not_finite").when(F.coalesce("support", F.lit(0)) <= 0, "support_empty").when(F.col("support") != F.col("support_b"), "support_counts_differ")
-        .when((F.col("n_hash") != 2) | (F.length("hash") == 0), "support_hash_missing").when(F.col("hash") != F.col("hash_b"), "support_hashes_differ").when(~F.coalesce("support_valid", F.lit(False)), "support_not_valid")
-        .when(~_near(F.col("delta"), F.col("delta_b")), "deltas_differ").when(~_near(F.col("split") - F.col("full"), F.col("delta")), "delta_differs_from_arms")
+        F.when((F.col("n_rows") != 2) | (F.col("n_modes") != 2), "not_one_row_for_each_mode").when(no(F.col("valid")), "not_valid").when((F.col("n_delta_rmse_mm") != 2) | finite(F.col("delta_rmse_mm")).isNull(), "delta_not_finite")
+        .when(finite(F.col("split")).isNull() | finite(F.col("full")).isNull(), "score_not_finite").when(F.coalesce("common_support_count", F.lit(0)) <= 0, "support_empty").when(no(agree("common_support_count")), "support_counts_differ")
+        .when(no(said("common_support_hash")) | (F.col("n_common_support_hash") != 2), "support_hash_missing").when(no(agree("common_support_hash")), "support_hashes_differ").when(no(F.col("support_valid")), "support_not_valid")
+        .when(no(agree("partition_hash") & said("partition_hash")), "partition_hash_missing_or_different").when(no(_near(F.col("split") - F.col("full"), F.col("delta_rmse_mm"))), "delta_differs_from_arms").when(no(_near(F.col("delta_rmse_mm"), F.col("delta_rmse_mm_b"))), "deltas_differ")
+        .when(no(F.col("excludes")), "split_fit_holds_evaluation_keys").when(no(F.col("includes")), "full_fit_without_evaluation_keys")
+        .when(no((F.col("split_fit_count") > 0) & (F.col("full_fit_count") > F.col("split_fit_count"))), "fit_counts_not_nested").when(no(said("split_fit_hash") & said("full_fit_hash")), "fit_hash_missing")
+        .when(no((F.col("split_leakage") == keysets.LEAKAGE["split"]) & (F.col("full_leakage") == keysets.LEAKAGE["full"])), "leakage_status_wrong")
+        .when(no(agree("eligible_evaluation_fitting_key_count") & (F.col("eligible_evaluation_fitting_key_count") > 0)), "eligible_counts_differ_or_empty").when(no(said("eligible_evaluation_fitting_key_hash") & (F.col("n_eligible_evaluation_fitting_key_hash") == 2)), "eligible_hash_missing")
     )
-    if ledger is not None:
-        refused = (
-            refused.when(F.coalesce("n_calibration", F.lit(0)) <= 0, "split_fit_without_keys").when(F.coalesce("n_evaluation", F.lit(0)) <= 0, "no_evaluation_keys_to_leak")
-            .when(F.col("evaluation_hash").isNull(), "partition_hash_missing").when(F.col("support") > F.col("n_evaluation"), "support_beyond_evaluation_keys")
-        )
     return wide.withColumn("why_not", refused)
 
 
@@ -261,13 +272,13 @@ def h2_posthoc(h2_rows: DataFrame, tiers: DataFrame) -> DataFrame:
     return statistics.holm(statistics.signed_rank_tests(rows, "a", "b", ["population", "contrast"]), family=["population"])
 
 
-def inference(h1_rows: DataFrame, h2_rows: DataFrame, h3_rows: DataFrame, tiers: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+def inference(h1_rows: DataFrame, h2_rows: DataFrame, h3_rows: DataFrame, tiers: DataFrame) -> DataFrame:
     """H1, H2 and H3 over the planned and all populations, Holm-adjusted within the planned one, with decisions.
 
     A hypothesis that has no eligible trial in a population has a row too, with n = 0 and the commonest reason why not.
     """
     members = populations(tiers)
-    one, three = h1_eligible(h1_rows), h3_eligible(h3_rows, ledger)
+    one, three = h1_eligible(h1_rows), h3_eligible(h3_rows)
     pairs = one.filter("why_not is null").select("trial_id", F.lit("H1").alias("hypothesis_id"), F.col("onset_rmse_mm").alias("a"), F.col("refined_rmse_mm").alias("b"))
     pairs = pairs.unionByName(three.filter("why_not is null").select("trial_id", F.lit("H3").alias("hypothesis_id"), F.col("split").alias("a"), F.col("full").alias("b")))
     signed = statistics.signed_rank_tests(pairs.join(members, "trial_id"), "a", "b", ["hypothesis_id", "population"])

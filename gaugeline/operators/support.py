@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.functions.columns import canonical_key, row_token, support_hash
+from gaugeline.functions.columns import canonical_key, row_token
+from gaugeline.operators.digests import NO_LINES, ordered_digests
 
 
 def with_token(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -55,16 +56,15 @@ def common_keys(arms: Mapping[str, DataFrame], keys: Sequence[str], group: Seque
 def common_support(arms: Mapping[str, DataFrame], keys: Sequence[str], group: Sequence[str]) -> DataFrame:
     """Count and hash of the common keys of each group, and status; an invalid arm blocks its group.
 
-    The hash is over a group's keys in order, so a group's keys come together: a group is a trial.
+    The hash is over a group's keys in order, which go through it one after the other: a group may have any number of keys.
     """
     checks = reduce(DataFrame.unionByName, [validate(df, keys, group).withColumn("arm", F.lit(name)) for name, df in sorted(arms.items())])
     state = checks.groupBy(*group).agg(F.count("*").alias("arms"), F.min(F.when(F.col("support_status") != "valid", F.struct("arm", "support_status"))).alias("bad"))
-    shared = common_keys(arms, keys, group).groupBy(*group).agg(F.collect_list("support_key").alias("k"))
+    shared = ordered_digests(common_keys(arms, keys, group), group, "support_key")
     joined = state.join(shared, list(group), "left")
-    blocked = F.col("bad").isNotNull() | (F.col("arms") < len(arms))
-    used = F.when(blocked | F.col("k").isNull(), F.array().cast("array<string>")).otherwise(F.col("k"))
-    status = F.when(F.col("bad").isNotNull(), F.col("bad.support_status")).when(F.col("arms") < len(arms), "empty").when(F.size(used) == 0, "no_common_support").otherwise("valid")
-    return joined.select(*group, F.size(used).cast("bigint").alias("common_support_count"), support_hash(used).alias("common_support_hash"), status.alias("support_status"))
+    blocked = F.col("bad").isNotNull() | (F.col("arms") < len(arms)) | F.col("n_keys").isNull()
+    status = F.when(F.col("bad").isNotNull(), F.col("bad.support_status")).when(F.col("arms") < len(arms), "empty").when(F.col("n_keys").isNull(), "no_common_support").otherwise("valid")
+    return joined.select(*group, F.when(blocked, 0).otherwise(F.col("n_keys")).cast("bigint").alias("common_support_count"), F.when(blocked, NO_LINES).otherwise(F.col("keys_hash")).alias("common_support_hash"), status.alias("support_status"))
 
 
 def filter_common(arms: Mapping[str, DataFrame], keys: Sequence[str], group: Sequence[str] = ()) -> dict[str, DataFrame]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.config import Settings
 from gaugeline.functions import columns as C
-from gaugeline.operators import alignment, asof, cleaning, comparisons, gates, metrics, statistics
+from gaugeline.operators import alignment, asof, cleaning, comparisons, gates, keysets, metrics, quality, statistics
 from gaugeline.plans import presentation
 from gaugeline.plans.registry import _GATES, _TESTED, _ledger, _signed_rank_sql, query
 from gaugeline.plans.stand_ins import other, own, stream, table
@@ -273,3 +273,37 @@ def timestamp_gap_report(spark: SparkSession, d: str) -> DataFrame:
 def h1_summary(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").select(F.when(F.col("l_returnflag") != "N", F.col("l_returnflag") == "R").alias("valid_for_paper"), F.col("l_discount").alias("delta_rmse_mm"), F.when(F.col("l_linestatus") == "O", "ambiguous").otherwise("ok").alias("fit_status"))
     return comparisons.h1_summary(rows)
+
+
+@query("""WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, max(l_quantity) > 10 AS much FROM lineitem GROUP BY ALL),
+g AS (SELECT k, bool_or(n = 1) AS one, bool_or(n = 2) AS two, count(*) FILTER (WHERE n <= 2) AS n_calibration, count(*) FILTER (WHERE n > 2) AS e, count(*) FILTER (WHERE n > 2 AND much) AS m, count(*) AS full_count,
+  sha256('[' || string_agg(n::VARCHAR, ',' ORDER BY n) FILTER (WHERE n <= 2) || ']') AS split_hash, sha256('[' || string_agg(n::VARCHAR, ',' ORDER BY n) || ']') AS full_hash,
+  concat_ws(',', string_agg(n::VARCHAR, ',' ORDER BY n) FILTER (WHERE n > 2 AND much), CASE WHEN k % 13 = 0 AND bool_or(n = 1) THEN '99' END) AS may FROM l GROUP BY k),
+h AS (SELECT *, e + (k % 17 = 0 AND one)::INT AS n_evaluation, m + (k % 13 = 0 AND one)::INT AS eligible_count FROM g)
+SELECT k AS trial_id, n_calibration, n_evaluation, eligible_count, n_calibration AS split_count, full_count, true AS split_excludes, m > 0 AS full_includes, split_hash, full_hash, CASE WHEN may <> '' THEN sha256('[' || may || ']') END AS eligible_hash,
+CASE WHEN n_calibration = 0 OR n_evaluation = 0 OR eligible_count = 0 THEN 'missing_persisted_h3_keys_or_partition_hash' WHEN k % 17 = 0 AND one THEN 'persisted_calibration_evaluation_overlap' WHEN k % 23 = 0 AND one THEN 'persisted_vive_calibration_evaluation_overlap'
+  WHEN k % 19 = 0 THEN 'partition_hash_mismatch' WHEN k % 13 = 0 AND one THEN 'invalid_eligible_evaluation_fitting_keys' WHEN (k % 11 = 0 AND one) OR (k % 29 = 0 AND two) OR e = 0 THEN 'missing_persisted_stream_ids' END AS reason FROM h""", None)
+def leakage_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as trials and lines as keys, with overlaps, changed hashes, foreign, lost and repeated keys in some of them."""
+    k, n = F.col("trial_id"), F.col("source_row_index")
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("trial_id"), F.col("l_linenumber").alias("source_row_index"), F.when(F.col("l_linenumber") <= 2, "calibration").otherwise("evaluation").alias("partition"), (F.col("l_quantity") > 10).alias("much"))
+    lines = lines.groupBy("trial_id", "source_row_index", "partition").agg(F.max("much").alias("much"))
+    also = lambda every: lines.filter((k % every == 0) & (n == 1)).withColumn("partition", F.lit("evaluation"))
+    stored = lines.unionByName(also(17)).withColumn("stream", F.lit("ev3")).unionByName(lines.unionByName(also(23)).withColumn("stream", F.lit("vrmt")))
+    changed = (k % 19 == 0) & (F.col("stream") == "ev3") & (F.col("partition") == "calibration")
+    ledger = quality.ledger(stored).withColumn("identity_hash", F.when(changed, "other").otherwise(F.col("identity_hash")))
+    telemetry = lines.filter(~((k % 11 == 0) & (n == 1))).unionByName(lines.filter((k % 29 == 0) & (n == 2)))
+    foreign = lines.filter((k % 13 == 0) & (n == 1)).select("trial_id", F.lit(99).alias("source_row_index"))
+    eligible = lines.filter("partition = 'evaluation' and much").select("trial_id", "source_row_index").unionByName(foreign)
+    return keysets.leakage(telemetry, lines, ledger, eligible).drop("partition_hash")
+
+
+_SLICED = """WITH $STREAMS, u AS (SELECT trial_id, t, arg_min(value, source_row_index) AS value FROM v GROUP BY trial_id, t), a AS (SELECT e.trial_id, e.source_row_index, e.t, u.t AS t0, u.value AS v0 FROM e ASOF LEFT JOIN u ON e.trial_id = u.trial_id AND e.t >= u.t),
+b AS (SELECT e.source_row_index, u.t AS t1, u.value AS v1 FROM e ASOF LEFT JOIN u ON e.trial_id = u.trial_id AND e.t <= u.t)"""
+
+
+@query(_SLICED + " SELECT trial_id, source_row_index, round(CASE WHEN t1 > t0 THEN v0 + (v1 - v0) * (t - t0) / (t1 - t0) WHEN t1 = t0 THEN v0 END, 6) AS ref_value, coalesce(t0 IS NOT NULL AND t1 IS NOT NULL, false) AS valid FROM a JOIN b USING (source_row_index)")
+def sliced_interpolation(spark: SparkSession, d: str) -> DataFrame:
+    """Interpolation with every trial cut into days, as for a trial that is too large for one task."""
+    samples = other(spark, d).groupBy("trial_id", "t").agg(F.min_by("value", "source_row_index").alias("value"))
+    return asof.linear(own(spark, d), samples, ["value"], slice_s=86400.0).select("trial_id", "source_row_index", "ref_value", "valid")

@@ -285,7 +285,7 @@ PRODUCTS: dict[str, Callable[[Run], DataFrame]] = {
     "gate_pivot": lambda r: gates.gate_pivot(r["gate_ledger"], ["planned_405", "extended_previous_paper"]),
     "cascade": _cascade,
     "stage_summary": lambda r: gates.stage_summary(r["cascade"]),
-    "inference": lambda r: comparisons.inference(r["h1"], r["h2"], r["h3"], r["accepted"], r["ledger"]),
+    "inference": lambda r: comparisons.inference(r["h1"], r["h2"], r["h3"], r["accepted"]),
     "conclusions": lambda r: comparisons.conclusion_stability(r["inference"]),
     "friedman": lambda r: comparisons.h2_friedman(r["h2"], r["accepted"]),
     "posthoc": lambda r: comparisons.h2_posthoc(r["h2"], r["accepted"]),
@@ -297,7 +297,7 @@ READS: dict[str, str] = {
     "params": "times spatial", "aligned": "params", "metrics": "aligned accepted spatial", "phases": "aligned", "schema": "metrics", "h1": "times", "h2": "params", "h3": "bounds ledger", "baseline_arm": "aligned accepted times",
     "baseline": "baseline_arm", "baseline_rejections": "baseline_arm", "baseline_summary": "baseline", "h1_summary": "h1", "h1_audit": "h1 accepted", "timestamp_gaps": "metrics telemetry tracking", "query_times": "aligned metrics", "compatible": "pairs diagnostics", "summary": "metrics", "repeatability": "metrics params", "stability": "metrics params", "robustness": "metrics times diagnostics",
     "variance": "metrics", "balance": "pairs accepted", "lag_curves": "degeneracy", "gate_ledger": "pairs rejections degeneracy times metrics", "gate_pivot": "gate_ledger", "cascade": "gate_ledger metrics ledger", "stage_summary": "cascade",
-    "inference": "h1 h2 h3 accepted ledger", "conclusions": "inference", "friedman": "h2 accepted", "posthoc": "h2 accepted",
+    "inference": "h1 h2 h3 accepted", "conclusions": "inference", "friedman": "h2 accepted", "posthoc": "h2 accepted",
 }
 #: What each result consists of. Every run has the core; what is presented is drawn from all the others.
 RESULTS: dict[str, str] = {

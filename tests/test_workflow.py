@@ -86,16 +86,24 @@ def test_eligibility_names_the_check_that_fails(spark):
     rows = [(name, *[change.get(k, x) for k, x in enumerate(good)]) for name, change in cases.items()]
     df = spark.createDataFrame(rows, "trial_id string, fit_status string, valid_for_paper boolean, onset_rmse_mm double, refined_rmse_mm double, delta_rmse_mm double, common_support_count long, common_support_hash string")
     assert {r["trial_id"]: r["why_not"] for r in comparisons.h1_eligible(df).collect()} == {n: None if n == "good" else n for n in cases}
-    pair = {"split": ["split", 5.0, 2.0, 4, "h", "valid", True], "full": ["full", 3.0, 2.0, 4, "h", "valid", True]}
+    split_said, full_said = "split_excludes_evaluation_fitting_keys", "intentionally_leaky_evaluation_fitting_keys_included"
+    pair = {
+        "split": ["split", 5.0, 2.0, 4, "h", "valid", True, "p", 10, "s", split_said, True, None, 4, "e"],
+        "full": ["full", 3.0, 2.0, 4, "h", "valid", True, "p", 14, "f", full_said, None, True, 4, "e"],
+    }
     cases = {
         "good": {}, "not_valid": {("full", 6): False}, "delta_not_finite": {("full", 2): None}, "score_not_finite": {("split", 1): None}, "support_empty": {("split", 3): 0, ("full", 3): 0}, "support_counts_differ": {("full", 3): 5},
         "support_hash_missing": {("full", 4): None}, "support_hashes_differ": {("full", 4): "g"}, "support_not_valid": {("full", 5): "empty"}, "deltas_differ": {("full", 2): 2.5}, "delta_differs_from_arms": {("split", 1): 9.0}, "not_one_row_for_each_mode": {("full", 0): "split"},
+        "partition_hash_missing_or_different": {("full", 7): "q"}, "split_fit_holds_evaluation_keys": {("split", 11): False}, "full_fit_without_evaluation_keys": {("full", 12): None}, "fit_counts_not_nested": {("full", 8): 10}, "fit_hash_missing": {("split", 9): " "},
+        "leakage_status_wrong": {("full", 10): split_said}, "eligible_counts_differ_or_empty": {("split", 13): 3}, "eligible_hash_missing": {("split", 14): None},
     }
     rows = [(name, *[change.get((mode, k), x) for k, x in enumerate(row)]) for name, change in cases.items() for mode, row in pair.items()]
-    df = spark.createDataFrame(rows, "trial_id string, calibration_mode string, heldout_rmse_mm double, delta_rmse_mm double, common_support_count long, common_support_hash string, support_status string, valid_for_paper boolean")
+    df = spark.createDataFrame(
+        rows,
+        "trial_id string, calibration_mode string, heldout_rmse_mm double, delta_rmse_mm double, common_support_count long, common_support_hash string, support_status string, valid_for_paper boolean, partition_hash string, fit_source_key_count long, fit_source_key_hash string, "
+        "leakage_status string, split_excludes_evaluation_fitting boolean, full_includes_evaluation_fitting boolean, eligible_evaluation_fitting_key_count long, eligible_evaluation_fitting_key_hash string",
+    )
     assert {r["trial_id"]: r["why_not"] for r in comparisons.h3_eligible(df).collect()} == {n: None if n == "good" else n for n in cases}
-    ledger = spark.createDataFrame([("good", "ev3", "calibration", [], "x"), ("good", "ev3", "evaluation", [1, 2, 3, 4], "y")], "trial_id string, stream string, partition string, source_rows array<long>, identity_hash string")
-    assert comparisons.h3_eligible(df, ledger).filter("trial_id = 'good'").first()["why_not"] == "split_fit_without_keys"
 
 
 def test_cascade_checks_the_stored_support(spark, tmp_path):
