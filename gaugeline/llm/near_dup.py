@@ -22,7 +22,8 @@ Equal words are recognised by 64-bit hashes: among n distinct texts about n^2 /
 
 Defined results: lower-casing is of A-Z; a text of fewer words than ``width`` is one shingle; null and empty texts are
 equal texts and so one class; rows that repeat are in one class; a null doc_id is kept, and a class is named by its least
-non-null doc_id; an empty table gives no rows.
+non-null doc_id; an empty table gives no rows; texts of any length are read whole;
+other columns are carried along where rows are kept and not read elsewhere.
 """
 
 from __future__ import annotations
@@ -37,13 +38,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.llm.bytes import TO_LOWER, hashes, mixed, pieces, shingles, spans, utf8
-from gaugeline.llm.storage import Scratch, keep
+from gaugeline.llm.storage import SMALL_ROWS, Scratch, keep
 
 WIDTH, SIMILARITY = 5, 0.8
 #: 280 coordinates: a pair of similarity 0.8 shares none of the bands with a chance of 1e-4, one of 0.3 shares one with 1e-2.
 BANDS, ROWS = 40, 7
 #: Coordinates of the finer signatures, which members of buckets that a first round hasn't finished get.
 FINE = 1024
+#: Rows of a narrow table that go to one task at least: tables of keys and labels aren't dealt more finely than that, as each task has its own costs.
+NARROW_ROWS = 100_000
 #: Rank cells start at 2^-6 and double; an area above this is cut into equal slices.
 FIRST_RANK, MOST_AREA = 1 / 64, 64.0
 _UNIT = 1.0 / (1 << 53)
@@ -229,13 +232,16 @@ def fine_signatures(sets: DataFrame, k: int = FINE) -> DataFrame:
 # ------------------------------------------------------------------ components
 
 
-def components(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = keep) -> DataFrame:
-    """node, comp (least node of its component) for all nodes of the edges (a, b), by alternating large and small stars.
+def components(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = keep, small: int = SMALL_ROWS) -> DataFrame:
+    """node, comp (least node of its component) for all nodes of the edges (a, b).
 
-    Each half step is a map-side combined minimum and a join of two written tables, so that Spark can split a hub's rows.
-    Edges that are stars already take no step.
+    A graph of at most ``small`` edges, by a count of the written table, is one task's work of some MB. A larger one goes by alternating large and small
+    stars: each half step is a map-side combined minimum and a join of two written tables, so that Spark can split a hub's rows. Edges that
+    are stars already take no step.
     """
     edges = keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges")
+    if edges.limit(small + 1).count() <= small:
+        return edges.repartition(1).mapInArrow(_joined, "node long, comp long")
     while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = keep(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "cc-least")
@@ -249,6 +255,29 @@ def components(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = k
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of the edges of all batches: every node takes the least label of its neighbours and then its label's, until none changes."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not parts:
+        return
+    ends = np.concatenate([*(a for a, _ in parts), *(b for _, b in parts)])
+    nodes, place = np.unique(ends, return_inverse=True)
+    x, y = place[: len(ends) // 2], place[len(ends) // 2 :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        np.minimum.at(new, label[x], low)
+        np.minimum.at(new, label[y], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "comp"])
+
+
 def _stars(edges: DataFrame) -> bool:
     """Whether every node has one edge to a smaller node, or only edges to larger ones."""
     ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
@@ -282,11 +311,13 @@ def link_classes(sketches: DataFrame, docs: DataFrame, similarity: float = SIMIL
 
 def _link_classes(sketches: DataFrame, docs: DataFrame, similarity: float, width: int, coordinates: int, weighted: bool, gate: bool, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     spark = sketches.sparkSession
-    nodes = keep(sketches.filter("n > 0").groupBy("node").agg(F.min_by(F.struct("n", "bands", "sig", "doc_id"), F.coalesce("doc_id", F.lit(1 << 62))).alias("s")).select("node", "s.n", "s.bands", "s.sig", "s.doc_id"), "dup-nodes")
+    parts = max(16, -(-sketches.count() // NARROW_ROWS))
+    narrow = lambda df, name: keep(df.coalesce(parts), name)
+    nodes = narrow(sketches.filter("n > 0").groupBy("node").agg(F.min_by(F.struct("n", "bands", "sig", "doc_id"), F.coalesce("doc_id", F.lit(1 << 62))).alias("s")).select("node", "s.n", "s.bands", "s.sig", "s.doc_id"), "dup-nodes")
     entries = nodes.select("node", F.col("n").alias("size"), F.explode("bands").alias("bucket"))
-    shared = keep(entries.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").select("bucket"), "dup-buckets")
-    members = keep(entries.join(shared, "bucket").select("bucket", "node", "size", F.lit(False).alias("served")), "dup-members")
-    wanted = keep(members.select("node").distinct().join(nodes, "node").select("node", "doc_id", "bands", "sig"), "dup-wanted")
+    shared = narrow(entries.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").select("bucket"), "dup-buckets")
+    members = narrow(entries.join(shared, "bucket").select("bucket", "node", "size", F.lit(False).alias("served")), "dup-members")
+    wanted = narrow(members.select("node").distinct().join(nodes, "node").select("node", "doc_id", "bands", "sig"), "dup-wanted")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sets = shingle_sets(texts.join(wanted, texts.doc_id.eqNullSafe(wanted.doc_id), "left_semi"), width, weighted)
     sets = keep(sets.groupBy("node").agg(F.first("items").alias("items")), "dup-sets")
@@ -297,7 +328,7 @@ def _link_classes(sketches: DataFrame, docs: DataFrame, similarity: float, width
         linked = F.lit(False) if labels is None else F.col("in_class")
         if labels is not None:
             state = state.withColumn("in_class", F.coalesce("in_class", F.lit(False)))
-        state = keep(state.withColumn("linked", linked).select("bucket", "node", "size", "served", "comp", "linked").withColumn("draw", F.pmod(F.xxhash64("node", F.lit(hubs)), F.lit(1 << 52)) / F.lit(float(1 << 52))), "dup-state")
+        state = narrow(state.withColumn("linked", linked).select("bucket", "node", "size", "served", "comp", "linked").withColumn("draw", F.pmod(F.xxhash64("node", F.lit(hubs)), F.lit(1 << 52)) / F.lit(float(1 << 52))), "dup-state")
         open_ = ~F.col("served")
         stats = state.groupBy("bucket").agg(
             F.min("comp").alias("low"), F.max("comp").alias("high"), F.count_if(open_).alias("open"),
@@ -305,7 +336,7 @@ def _link_classes(sketches: DataFrame, docs: DataFrame, similarity: float, width
             F.min(F.when(open_, F.struct((~F.col("linked")).alias("l"), "node"))).alias("first"),
         )
         # With one member left that was no hub, it has been compared with all others.
-        stats = keep(stats.filter("low <> high and open > 1").select("bucket", "open", "open_linked", F.col("first.node").alias("first")), "dup-active")
+        stats = narrow(stats.filter("low <> high and open > 1").select("bucket", "open", "open_linked", F.col("first.node").alias("first")), "dup-active")
         if stats.isEmpty():
             break
         active = state.join(stats, "bucket")
@@ -333,8 +364,8 @@ def _link_classes(sketches: DataFrame, docs: DataFrame, similarity: float, width
         pairs = m.alias("m").join(h.alias("h"), (F.col("m.bucket") == F.col("h.bucket")) & near).select("a", "b").distinct()
         links = keep(_compare(keep(pairs, "dup-pairs"), sets, similarity), "dup-links")
         edges = links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")))
-        labels = keep(components(edges, keep).withColumn("in_class", F.lit(True)), "dup-labels")
-        members = keep(active.select("bucket", "node", "size", (F.col("served") | F.col("hub")).alias("served")), "dup-members")
+        labels = narrow(components(edges, narrow).withColumn("in_class", F.lit(True)), "dup-labels")
+        members = narrow(active.select("bucket", "node", "size", (F.col("served") | F.col("hub")).alias("served")), "dup-members")
         hubs *= 16
     return spark.createDataFrame([], "node long, comp long") if labels is None else labels.select("node", "comp")
 

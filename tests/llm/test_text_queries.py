@@ -114,7 +114,8 @@ def test_dedup_keeps_one_row_of_each_class(spark):
 
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(1, 40)] + [(100, x) for x in range(101, 160)] + [(200, 201), (201, 200), (5, 5)]
-    got = {r["node"]: r["comp"] for r in near_dup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    one, got = ({r["node"]: r["comp"] for r in near_dup.components(spark.createDataFrame(edges, "a long, b long"), small=small).collect()} for small in (1000, 0))
+    assert one == got
     assert got == {**{k: 1 for k in range(1, 41)}, **{k: 100 for k in range(100, 160)}, 200: 200, 201: 200}
 
 
