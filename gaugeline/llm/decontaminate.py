@@ -1,24 +1,27 @@
 """Benchmark decontamination: the n-grams of test items are seeds that find passages in training texts, and a Smith-Waterman
 alignment of words scores each passage, so that edited copies count too.
 
-The benchmark is the small side: it is taken in blocks of at most BLOCK_WORDS words (items are dealt to blocks by a hash, and
-every block runs over all texts), so what is sent to the tasks is bounded however large it grows. For each block the corpus
-is scanned once. Every n-gram of an item is a seed, however often it occurs, so a copy of any part of an item is found that
-keeps three words in a row. Common n-grams give many passages that are no copies; a bound no score can exceed sorts out those that can't
-reach the threshold, the others are aligned. Texts are never shuffled: a scan emits only hits, or drops the texts that have one.
+The benchmark is the small side: it is taken in blocks of at most BLOCK_WORDS words, one after the other, so what is sent to the tasks
+is bounded however large it grows; every block runs over all texts. Seeds are of two kinds. Every n-gram of an item is one, however
+often it occurs: passages around them hold the plain copies. The others are close pairs, words at most two apart in the item and in the
+text: an alignment that reaches the threshold has about as many of them as its score, so every text that is near an item, be each second word
+changed or another word put behind each, has a passage with that many, and few other texts have. A bound no score can exceed sorts
+out passages that can't reach the threshold, the others are aligned. Texts are never shuffled for it: a scan emits only hits, or drops
+the texts that have one.
 
 Words are runs of bytes other than ASCII white space and punctuation, with A-Z lower-cased. An alignment gets 1 for an equal word,
 -0.5 for an unequal one and for a gap; the score is its best local value over the item's number of words.
 
 Defined results: null and empty texts and items never match; an item of fewer words than the n-grams matches only as the whole of a
 text; items with equal ids or texts are each reported; rows that repeat are each judged; an empty benchmark or table
-gives no rows; a null item id is reported as null.
+gives no rows; a null item id is reported as null; texts of any length are searched whole; columns other than ids and texts are
+carried along where rows are kept and not read elsewhere, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -26,17 +29,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.llm.bytes import IN_PLAIN_WORD, TO_LOWER, hashes, mixed, pieces, shingles, spans, utf8
+from gaugeline.llm.storage import keep
 
 WIDTH = 3
 THRESHOLD = 0.4
 #: Short items need this much too, or four fifths of themselves.
 LEAST_SCORE = 6.0
 BLOCK_WORDS = 1_000_000
-#: An n-gram is rare if it is at most this share of all n-grams of the corpus.
-RARE = 1e-6
 #: Places where a seed occurs that are looked at together, whole texts at a time.
 PLACES = 1 << 20
 EQUAL, UNEQUAL, GAP = 1.0, -0.5, -0.5
+#: How far apart the words of a close pair are, in the item and in the text.
+DISTANCES = (1, 2)
 
 
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +108,7 @@ def alignments(items: list[np.ndarray], passages: list[np.ndarray]) -> list[tupl
 
 @dataclass
 class Matcher:
-    """The items of a block as word hashes, and their seeds, sorted: hash, item, offset in the item."""
+    """The items of a block as word hashes, their seeds, sorted (hash, item, offset in the item), and their close pairs of words, sorted (hash, item)."""
 
     ids: list[int | None]
     words: list[np.ndarray]
@@ -112,6 +116,8 @@ class Matcher:
     seed_item: np.ndarray
     seed_at: np.ndarray
     width: int = WIDTH
+    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    pair_item: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
     @staticmethod
     def of(ids: list[int | None], texts: list[str | None], width: int = WIDTH) -> Matcher:
@@ -120,34 +126,29 @@ class Matcher:
         item = np.repeat(np.arange(len(ids)), np.diff(offsets))
         order = np.argsort(grams, kind="stable")
         at = np.arange(len(grams)) - offsets[:-1][item] if len(ids) else np.zeros(0, np.int64)
-        return Matcher(ids, [hashed[a:b] for a, b in zip(before[:-1], before[1:], strict=True)], grams[order], item[order], at[order], width)
-
-    def rare(self, counts: dict[int, int], total: int) -> Matcher:
-        """With those seeds only that are rare; counts by hash (as signed), total of all n-grams. It misses copies of an item's commoner
-        half, so nothing that decides on texts uses it."""
-        n = np.array([counts.get(int(h), 0) for h in self.seeds.view(np.int64)], np.int64)
-        rank = np.zeros(len(n), np.int64)
-        order = np.lexsort((self.seed_at, n, self.seed_item))
-        size = np.bincount(self.seed_item, minlength=len(self.ids))
-        rank[order] = np.arange(len(n)) - np.repeat(np.cumsum(size) - size, size)
-        keep = (2 * rank < size[self.seed_item]) | (n <= RARE * total)
-        return Matcher(self.ids, self.words, self.seeds[keep], self.seed_item[keep], self.seed_at[keep], self.width)
-
-    def _sieve(self) -> tuple[np.ndarray, np.uint64]:
-        size = 1 << max(10, int(16 * len(self.seeds)).bit_length())
-        if getattr(self, "_bits", None) is None:
-            self._bits = np.zeros(size, bool)
-            self._bits[(self.seeds & np.uint64(size - 1)).astype(np.int64)] = True
-        return self._bits, np.uint64(size - 1)
-
-    def occurrences(self, grams: np.ndarray) -> np.ndarray:
-        """Positions of the n-grams that are seeds."""
-        if not len(self.seeds):
+        # Items of fewer words than the n-grams match as the whole of a text only.
+        whole = np.repeat(np.diff(before) >= width, np.diff(before))
+        some = np.concatenate([[0], np.cumsum(np.where(np.diff(before) >= width, np.diff(before), 0))])
+        near = [_close_pairs(hashed[whole], some, d) for d in DISTANCES]
+        pairs = np.unique(np.array([*zip(np.concatenate([h for h, _, _ in near]).tolist(), np.concatenate([i for _, i, _ in near]).tolist(), strict=True)], [("h", "<u8"), ("i", "<i8")]))
+        return Matcher(ids, [hashed[a:b] for a, b in zip(before[:-1], before[1:], strict=True)], grams[order], item[order], at[order], width, pairs["h"].copy(), pairs["i"].copy())
+
+    def _sieve(self, name: str, keys: np.ndarray) -> tuple[np.ndarray, np.uint64]:
+        size = 1 << max(10, int(16 * len(keys)).bit_length())
+        if (bits := self.__dict__.get(name)) is None:
+            bits = self.__dict__[name] = np.zeros(size, bool)
+            bits[(keys & np.uint64(size - 1)).astype(np.int64)] = True
+        return bits, np.uint64(size - 1)
+
+    def occurrences(self, grams: np.ndarray, name: str = "_bits", keys: np.ndarray | None = None) -> np.ndarray:
+        """Positions of the n-grams that are seeds, or of those hashes that are among the sorted ``keys``."""
+        keys = self.seeds if keys is None else keys
+        if not len(keys):
             return np.zeros(0, np.int64)
-        bits, mask = self._sieve()
+        bits, mask = self._sieve(name, keys)
         maybe = np.flatnonzero(bits[(grams & mask).astype(np.int64)])
-        found = np.searchsorted(self.seeds, grams[maybe])
-        return maybe[self.seeds[np.minimum(found, len(self.seeds) - 1)] == grams[maybe]]
+        found = np.searchsorted(keys, grams[maybe])
+        return maybe[keys[np.minimum(found, len(keys) - 1)] == grams[maybe]]
 
     def _item_words(self) -> np.ndarray:
         """The words of each item as hashes that tell items apart, sorted."""
@@ -191,25 +192,82 @@ class Matcher:
         text = np.searchsorted(offsets, where, "right") - 1
         # Whole texts, with PLACES places or one text at a time.
         done = np.concatenate([[0], np.cumsum(high - low)])
-        out, at = [], 0
+        found: dict[tuple[int, int], tuple[float, int, int]] = {}
+        at = 0
         while at < len(where):
             end = max(at + 1, int(np.searchsorted(done, done[at] + PLACES, "right")) - 1)
             end = int(np.searchsorted(text, text[end - 1], "left")) if end < len(where) and text[end] == text[end - 1] else end
             end = end if end > at else int(np.searchsorted(text, text[at], "right"))
-            out += self._hits(hashed, before, where[at:end] - offsets[text[at:end]], text[at:end], low[at:end], high[at:end], threshold)
+            self._add(found, hashed, before, self._of_seeds(where[at:end] - offsets[text[at:end]], text[at:end], low[at:end], high[at:end], before), threshold)
             at = end
-        return out
+        for passages in self._of_pairs(hashed, before, threshold):
+            self._add(found, hashed, before, passages, threshold)
+        return [(t, i, *rest) for (t, i), rest in sorted(found.items())]
+
+    def _needed(self, item: np.ndarray, threshold: float) -> np.ndarray:
+        """The least score of a hit."""
+        length = np.array([len(w) for w in self.words], np.int64)[item]
+        return np.maximum(threshold * length, np.minimum(LEAST_SCORE, 0.8 * length))
 
-    def _hits(self, hashed: np.ndarray, before: np.ndarray, position: np.ndarray, text: np.ndarray, low: np.ndarray, high: np.ndarray, threshold: float) -> list[tuple[int, int, float, int, int]]:
-        """The hits of some whole texts; low to high (exclusive) are the seeds at each position."""
+    def _of_pairs(self, hashed: np.ndarray, before: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, ...]]:
+        """Passages (text, item, first, end) that hold enough close pairs of an item near each other.
+
+        Between two equal words that follow each other in an alignment stand at most one unequal word or gap, and they are a close pair, or more, which
+        cost as much as the second word gives. So an alignment has its score less 1 of close pairs at least, and no more
+        words of the text than the item's and twice what the item's words may give beyond the score: no hit is without such a passage.
+        """
+        near = [_close_pairs(hashed, before, d) for d in DISTANCES]
+        grams, text, start = (np.concatenate([x[k] for x in near]) for k in range(3))
+        order = np.lexsort((start, text))
+        grams, text, start = grams[order], text[order], start[order]
+        where = self.occurrences(grams, "_pair_bits", self.pairs)
+        low, high = np.searchsorted(self.pairs, grams[where], "left"), np.searchsorted(self.pairs, grams[where], "right")
+        text, start = text[where], start[where]
+        done, at = np.concatenate([[0], np.cumsum(high - low)]), 0
+        while at < len(where):
+            # Whole texts, with PLACES places or one text at a time.
+            end = int(np.searchsorted(text, text[max(at, min(int(np.searchsorted(done, done[at] + PLACES, "right")), len(text)) - 1)], "left"))
+            end = end if end > at else int(np.searchsorted(text, text[at], "right"))
+            many = (high - low)[at:end]
+            pair = np.repeat(low[at:end], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            yield self._crowded(np.repeat(text[at:end], many), self.pair_item[pair], np.repeat(start[at:end], many), before, threshold)
+            at = end
+
+    def _crowded(self, text: np.ndarray, item: np.ndarray, start: np.ndarray, before: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((start, item, text))
+        text, item, start = text[order], item[order], start[order]
+        new = np.ones(len(text), bool)  # a word that begins several pairs counts once
+        new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (start[1:] != start[:-1])
+        text, item, start = text[new], item[new], start[new]
+        length = np.array([len(w) for w in self.words], np.int64)[item]
+        needed = self._needed(item, threshold)
+        span = length + np.ceil(2 * np.maximum(0.0, length - needed)).astype(np.int64) + 1
+        least = np.maximum(1, np.ceil(needed - 1 - 1e-6)).astype(np.int64)
+        last = np.arange(len(text)) + least - 1
+        there = np.flatnonzero(last < len(text))
+        z = last[there]
+        there = there[(text[z] == text[there]) & (item[z] == item[there]) & (start[z] - start[there] <= span[there])]
+        text, item, a, z, span, length = text[there], item[there], start[there], start[last[there]], span[there], length[there]
+        # Windows that begin near each other are one passage, which so is a few times the item's size at most.
+        part = a // (2 * length + 1)
+        new = np.ones(len(text), bool)
+        new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (part[1:] != part[:-1])
+        runs = np.flatnonzero(new)
+        if not len(runs):
+            return text, item, a, z
+        end = np.minimum(np.diff(before)[text[runs]], a[np.append(runs[1:], len(text)) - 1] + span[runs])
+        first = np.maximum(0, np.minimum.reduceat(z, runs) - span[runs])
+        return text[runs], item[runs], np.minimum(first, a[runs]), end
+
+    def _of_seeds(self, position: np.ndarray, text: np.ndarray, low: np.ndarray, high: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Passages (text, item, first, end) around seeds of some whole texts; low to high (exclusive) are the seeds at each position."""
         many = high - low
         seed = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         position, text = np.repeat(position, many), np.repeat(text, many)
         item, begin = self.seed_item[seed], position - self.seed_at[seed]
         order = np.lexsort((begin, item, text))
         text, item, begin = text[order], item[order], begin[order]
-        words = np.array([len(w) for w in self.words], np.int64)
-        length = words[item]
+        length = np.array([len(w) for w in self.words], np.int64)[item]
         # Seeds of one copy say nearly the same place of the item's start; further away another copy begins.
         new = np.ones(len(text), bool)
         new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > length[1:] // 2 + 3)
@@ -217,19 +275,29 @@ class Matcher:
         last = np.append(runs[1:], len(text)) - 1
         text, item, length = text[runs], item[runs], length[runs]
         pad = length // 4 + 3
-        first = np.maximum(0, begin[runs] - pad)
-        end = np.minimum(np.diff(before)[text], begin[last] + length + pad)
-        needed = np.maximum(threshold * length, np.minimum(LEAST_SCORE, 0.8 * length))
-        able = np.flatnonzero(self.bounds(hashed, item, before[text] + first, before[text] + end) >= needed - 1e-6)
+        return text, item, np.maximum(0, begin[runs] - pad), np.minimum(np.diff(before)[text], begin[last] + length + pad)
+
+    def _add(self, found: dict[tuple[int, int], tuple[float, int, int]], hashed: np.ndarray, before: np.ndarray, passages: tuple[np.ndarray, ...], threshold: float) -> None:
+        """Align the passages that can reach the threshold, and keep the best hit of each text and item."""
+        text, item, first, end = passages
+        able = np.flatnonzero(self.bounds(hashed, item, before[text] + first, before[text] + end) >= self._needed(item, threshold) - 1e-6)
         rows = list(zip(text[able].tolist(), item[able].tolist(), first[able].tolist(), end[able].tolist(), strict=True))
         scored = alignments([self.words[i] for _, i, _, _ in rows], [hashed[before[t] + a : before[t] + z] for t, _, a, z in rows])
-        best: dict[tuple[int, int], tuple[float, int, int]] = {}
         for (t, i, a, _), (value, begins, ends) in zip(rows, scored, strict=True):
             score = value / max(1, len(self.words[i]))
             enough = min(LEAST_SCORE, 0.8 * len(self.words[i]))
-            if score >= threshold - 1e-9 and value >= enough - 1e-9 and score > best.get((t, i), (0.0,))[0]:
-                best[t, i] = (score, a + begins, a + ends)
-        return [(t, i, *rest) for (t, i), rest in sorted(best.items())]
+            if score >= threshold - 1e-9 and value >= enough - 1e-9 and score > found.get((t, i), (0.0,))[0]:
+                found[t, i] = (score, a + begins, a + ends)
+
+
+def _close_pairs(words: np.ndarray, before: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text and first word's place (in the text) of all pairs of words so far from each other."""
+    n = np.maximum(0, np.diff(before) - distance)
+    text = np.repeat(np.arange(len(n)), n)
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at = before[:-1][text] + place
+    same = np.uint64(2)  # like an alignment, without telling apart words by the second bit
+    return mixed((words[at] | same) ^ mixed((words[at + distance] | same) + np.uint64(0x9E3779B97F4A7C15))), text, place
 
 
 def _of_item(words: np.ndarray, item: np.ndarray) -> np.ndarray:
@@ -240,52 +308,67 @@ def _of_item(words: np.ndarray, item: np.ndarray) -> np.ndarray:
 # ------------------------------------------------------------------ distributed
 
 
-def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[tuple[list, list]]:
-    """Ids and texts of the benchmark, block by block."""
+def block_count(benchmark: DataFrame, text_col: str = "text") -> int:
+    """Blocks of about BLOCK_WORDS words."""
     total = benchmark.select(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n = max(1, -(-total // (6 * BLOCK_WORDS)))
+    return max(1, -(-total // (6 * BLOCK_WORDS)))
+
+
+def matchers(benchmark: DataFrame, n: int, width: int = WIDTH, id_col: str = "item_id", text_col: str = "text") -> Iterator[Matcher]:
+    """Matchers of the benchmark's blocks, one after the other: items are dealt by a hash of id and text, so that equal texts don't meet in one block."""
     for k in range(n):
-        of_block = benchmark if n == 1 else benchmark.filter(F.pmod(F.xxhash64(text_col), F.lit(n)) == k)
+        of_block = benchmark if n == 1 else benchmark.filter(F.pmod(F.xxhash64(id_col, text_col), F.lit(n)) == k)
         rows = of_block.select(id_col, text_col).orderBy(id_col, text_col).collect()
-        yield [r[0] for r in rows], [r[1] for r in rows]
+        yield Matcher.of([r[0] for r in rows], [r[1] for r in rows], width)
 
 
-def matchers(benchmark: DataFrame, width: int = WIDTH) -> Iterator[Matcher]:
-    for ids, texts in blocks(benchmark):
-        yield Matcher.of(ids, texts, width)
+def _hit_rows(docs: DataFrame, matcher: Matcher, threshold: float) -> DataFrame:
+    """key, item_id, score, begin, end of the hits in rows (key, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, "text"):
+            found = matcher.hits(part.column("text"), threshold)
+            keys = part.column("key").take(pa.array([t for t, *_ in found], pa.int64()))
+            columns = [keys, pa.array([matcher.ids[i] for _, i, *_ in found], pa.int64()), pa.array([x for _, _, x, _, _ in found], pa.float64()), pa.array([x[3] for x in found], pa.int64()), pa.array([x[4] for x in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "item_id", "score", "begin", "end"])
+
+    return docs.mapInArrow(run, f"key {dict(docs.dtypes)['key']}, item_id long, score double, begin long, end long")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, score, begin, end (words of the text): the benchmark items that texts contain, edited or not."""
-    schema = "doc_id long, item_id long, score double, begin long, end long"
-    out = None
-    for matcher in matchers(benchmark, width):
-
-        def run(batches: Iterator[pa.RecordBatch], matcher: Matcher = matcher) -> Iterator[pa.RecordBatch]:
-            for part in pieces(batches, text_col):
-                found = matcher.hits(part.column(text_col), threshold)
-                ids = part.column(id_col).cast(pa.int64()).take(pa.array([t for t, *_ in found], pa.int64()))
-                columns = [ids, pa.array([matcher.ids[i] for _, i, *_ in found], pa.int64()), pa.array([x for _, _, x, _, _ in found], pa.float64()), pa.array([x[3] for x in found], pa.int64()), pa.array([x[4] for x in found], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "score", "begin", "end"])
-
-        found = docs.select(id_col, text_col).mapInArrow(run, schema)
+    """doc_id, item_id, score, begin, end (words of the text): the benchmark items that texts contain, edited or not.
+
+    With several blocks each one's hits are written before the next is made, so driver and tasks hold one block at a time.
+    """
+    n, out = block_count(benchmark), None
+    rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
+    for matcher in matchers(benchmark, n, width):
+        found = _hit_rows(rows, matcher, threshold)
+        found = found if n == 1 else keep(found, "leak-hits")
         out = found if out is None else out.unionByName(found)
-    return out
+    return out.withColumnRenamed("key", "doc_id")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text contains no benchmark item; no shuffle, as each text is judged where it is read."""
+    """The rows of ``docs`` whose text contains no benchmark item. With one block no text is shuffled, as each is judged where it is read; with several the texts with hits
+    are written block by block, as digests, and rows of these texts left out."""
+    n = block_count(benchmark)
+    if n > 1:
+        digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+        rows, leaks = docs.select(digest.alias("key"), F.col(text_col).alias("text")), None
+        for matcher in matchers(benchmark, n, width):
+            found = keep(_hit_rows(rows, matcher, threshold).select("key").distinct(), "leaks")
+            leaks = found if leaks is None else leaks.unionByName(found)
+        return docs.join(leaks.select(F.col("key").alias("__leak")).distinct(), digest == F.col("__leak"), "left_anti")
     # Columns go through under names of their own, as those of the table may hold dots.
     names = [f"c{k}" for k in range(len(docs.columns))]
     out, text = docs.toDF(*names), names[docs.columns.index(text_col)]
-    schema = out.schema
-    for matcher in matchers(benchmark, width):
+    matcher = next(matchers(benchmark, n, width))
 
-        def run(batches: Iterator[pa.RecordBatch], matcher: Matcher = matcher) -> Iterator[pa.RecordBatch]:
-            for part in pieces(batches, text):
-                clean = np.ones(part.num_rows, bool)
-                clean[[t for t, *_ in matcher.hits(part.column(text), threshold)]] = False
-                yield part.filter(pa.array(clean))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, text):
+            clean = np.ones(part.num_rows, bool)
+            clean[[t for t, *_ in matcher.hits(part.column(text), threshold)]] = False
+            yield part.filter(pa.array(clean))
 
-        out = out.mapInArrow(run, schema)
-    return out.toDF(*docs.columns)
+    return out.mapInArrow(run, out.schema).toDF(*docs.columns)

@@ -229,7 +229,7 @@ def plain_alignment(item, text):
 
 
 def test_contamination_against_all_alignments(spark):
-    """Every text against every item, edited at rates on both sides of the threshold; found are those with three item words in a row."""
+    """Every text against every item, edited at rates on both sides of the threshold, also so that no three item words stay in a row."""
     rng = random.Random(17)
     word = lambda: f"w{rng.randrange(600)}"
     items = [[word() for _ in range(n)] for n in (3, 5, 8, 20, 40, 90)]
@@ -245,14 +245,18 @@ def test_contamination_against_all_alignments(spark):
             at = rng.randrange(len(text) + 1)
             text = text[:at] + part + text[at:]
         rows.append((k, ", ".join(text)))
-    want = set()
+    every = lambda item, n, f: [w for i, x in enumerate(item) for w in (f(x) if i % n == n - 1 else [x])]
+    for k, item in enumerate(items[2:]):
+        edits = [every(item, 3, lambda x: [word()]), every(item, 2, lambda x: [x, word()]), every(item, 1, lambda x: [x, word()]), every(item, 3, lambda x: []), every(item, 2, lambda x: [word()])]
+        rows += [(1000 + 10 * k + e, ", ".join([*(word() for _ in range(15)), *text, *(word() for _ in range(15))])) for e, text in enumerate(edits)]
+    want, without = set(), 0
     for k, t in rows:
         own = t.replace(",", "").split()
-        grams = {tuple(own[i : i + 3]) for i in range(len(own) - 2)}
         for j, item in enumerate(items):
             score = plain_alignment(item, own)
-            if score >= max(0.4 * len(item), min(6, 0.8 * len(item))) - 1e-9 and grams & {tuple(item[i : i + 3]) for i in range(len(item) - 2)}:
+            if score >= max(0.4 * len(item), min(6, 0.8 * len(item))) - 1e-9:
                 want.add((k, j, round(score / len(item), 6)))
+                without += not {tuple(own[i : i + 3]) for i in range(len(own) - 2)} & {tuple(item[i : i + 3]) for i in range(len(item) - 2)}
     bench = spark.createDataFrame([(j, " ".join(i)) for j, i in enumerate(items)], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"], round(r["score"], 6)) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
-    assert got == want and 12 < len(want) < 120
+    assert got == want and 12 < len(want) < 140 and without >= 6

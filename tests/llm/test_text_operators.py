@@ -163,12 +163,6 @@ def test_matcher_finds_edited_copies_and_leaves_others():
     assert m.hits(pa.array([items[0]]), 0.4)[0][:3] == (0, 0, 1.0)
 
 
-def test_leaked_everywhere_keeps_its_seeds():
-    m = decontaminate.Matcher.of([1], ["a quick brown fox jumps over the lazy dog and then sleeps"])
-    r = m.rare({int(h): 10**6 for h in m.seeds.view(np.int64)}, 10**6)
-    assert 0 < len(r.seeds) and r.hits(pa.array(["x y z a quick brown fox jumps over the lazy dog and then sleeps q"]), 0.4)
-
-
 @pytest.mark.parametrize("seen", ["front", "back"])
 def test_copies_of_half_an_item_that_is_leaked_thousands_of_times(spark, seen):
     """The whole of the first item is leaked, and half of the second: the other copies are those of the halves."""
