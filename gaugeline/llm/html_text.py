@@ -11,7 +11,7 @@ order; nothing else is dropped or cut. Unclosed and misnested tags are closed as
 Defined results: null and empty pages, and pages without content, give an empty text; a page of plain text without any
 markup is one block and judged like any other; on a page where no block is worth anything by itself, the bias against blocks
 is left out; a page of any length or depth takes time in proportion to it, but for the cut; among equal cuts the one with the
-least text is taken; repeated rows each get the same answer; columns other than those named are not read.
+least text is taken; repeated rows each get the same answer; an empty table gives no rows; columns other than those named are not read.
 """
 
 from __future__ import annotations

@@ -22,7 +22,7 @@ tasks. A text isn't learnt from while it is scored: equal texts get equal scores
 
 Defined results: null texts are empty; an empty text is its end token alone; repeated rows are scored each, and each counts in
 training; without any training text all counts are 0, N and V are 0, and every bit has probability one half; zero bytes in a
-text read like its end; a text of any length is taken in portions; columns other than id and text are not read.
+text read like its end; a text of any length is taken in portions; an empty table gives no rows; columns other than id and text are not read.
 """
 
 from __future__ import annotations

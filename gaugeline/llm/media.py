@@ -9,7 +9,8 @@ is 8, so that a DC step is one grey level), 64 blocks to a row, a row to a resta
 hold go to further images, one after the other.
 
 Defined results: null and empty texts have a payload of 64 zero bytes; equal texts have equal media; media that is not
-baseline JPEG, is damaged or is null gives null results and a reason, and does not stop the job.
+baseline JPEG, is damaged or is null gives null results and a reason, and does not stop the job; texts of any length make as many images as they need; repeated
+rows each get their media; an empty table gives no rows; columns other than id and text are not read.
 """
 
 from __future__ import annotations

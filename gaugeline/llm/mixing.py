@@ -8,7 +8,8 @@ superset of what a smaller one takes, as the thresholds are nested.
 
 Defined results: a null text has size 0; null sources are one source, after all others; a null id hashes as the empty
 string; rows with equal ids are taken together; a target above the source's size takes every document one or more times
-whole and the remainder by threshold; an empty table gives no rows.
+whole and the remainder by threshold; an empty table gives no rows; texts of any length count in full; columns of other names are carried along
+as a struct where rows are kept and not read elsewhere.
 """
 
 from __future__ import annotations

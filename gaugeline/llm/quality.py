@@ -9,7 +9,8 @@ dictionaries, the others fit the curve, weighted to the classes' shares among al
 
 Defined results: null and empty texts compress alike under both dictionaries and get the score of a difference of zero;
 texts of any length are scored whole; equal texts get equal scores; with labels of one class only, or none, every score is 0.5; an id with several labels counts with the largest;
-labels without a text, texts without a label and labels other than 0 and 1 are not learnt from; rows are never dropped by scoring.
+labels without a text, texts without a label and labels other than 0 and 1 are not learnt from; rows are never dropped by scoring;
+an empty table gives no rows; columns other than id, text and label are not read.
 """
 
 from __future__ import annotations

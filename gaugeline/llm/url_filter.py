@@ -9,8 +9,8 @@ with each task and doesn't grow with the table.
 Rules look at host and path with a ``#`` between them, which neither can hold; all other characters, line ends too, may occur in both.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, fits no rule and gets the default verdict;
-of rules that fit, the longest rule wins, then the first by code point; repeated rows each get the same answer; columns of
-the input that clash with the output names are not looked at, as only ``id_col`` and ``url_col`` are read.
+of rules that fit, the longest rule wins, then the first by code point; repeated rows each get the same answer; urls of any length are
+judged whole; an empty table gives no rows; columns of the input that clash with the output names are not looked at, as only ``id_col`` and ``url_col`` are read.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ The reader checks lengths and payload digests. After a failed check it searches
 version line, or in plain archives the next version line, goes on from there, and reports the byte gap with the reason.
 
 Defined results: a null payload is empty; null or unusable urls have no target header; null page ids are kept as null; rows
-that share the group's largest page id are all responses; an empty table gives no file and no rows.
+that share the group's largest page id are all responses; an empty table gives no file and no rows; a payload of any length is one record; columns other than page id, url and html are
+not read.
 """
 
 from __future__ import annotations
