@@ -1,7 +1,9 @@
 """From raw documents to token files: quality, near duplicates, benchmark passages, source mix, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next stage's input.
-Defined results: an empty table passes through all stages empty; columns beyond those of documents are carried along.
+Defined results, for every stage: an empty table passes empty; null texts are judged as empty ones (the first stage scores them, the second takes them for equal texts,
+the third finds nothing in them, the fourth has their size 0, the last writes their end id); null ids are kept; of equal rows the second stage keeps one; texts of any
+length are read whole; columns beyond those of documents are carried along up to the last stage, which has columns of its own.
 """
 
 from __future__ import annotations
