@@ -120,3 +120,50 @@ def balance(nominal: DataFrame, found: DataFrame, accepted: DataFrame, on: Seque
     rows = [df.select(*on, *[F.lit(int(k == j)).alias(c) for j, c in enumerate(("nominal", "discovered", "accepted"))]) for k, df in enumerate((nominal, found, accepted))]
     out = rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy(*on).agg(*[F.sum(c).alias(c) for c in ("nominal", "discovered", "accepted")])
     return out.withColumn("complete", F.col("accepted") >= F.col("nominal"))
+
+
+#: Profiles of the design's drives and routes, by their place in it: three degrees of one property for each three of the other.
+DRIVE_PROFILES = (("Low", "Medium", "High"), ("Low", "Medium", "High"))
+ROUTE_PROFILES = (("Simple", "Moderate", "Complex"), ("Low", "Medium", "High"))
+#: The order in which a trial's checks are made; the last one that it fails is its reason.
+CHECKS = ("too_few_ev3_rows", "too_few_vrmt_rows", "insufficient_ev3_duration", "insufficient_vrmt_duration", "excessive_ev3_gap", "excessive_vrmt_gap", "excessive_ev3_irregularity", "excessive_vrmt_irregularity")
+
+
+def design_trials(pairs: DataFrame, rejected: DataFrame, scored: DataFrame) -> DataFrame:
+    """The discovered trials and what became of them: a row for each pair with its cell, tier, final acceptance and reason.
+
+    Accepted is a trial that no check rejects and that has a score; one that has none without a reason is pipeline_crash_or_missing_metric.
+    """
+    order = F.coalesce(F.array_position(F.array(*map(F.lit, CHECKS)), F.col("reason")), F.lit(0))
+    last = rejected.groupBy("trial_id").agg(F.max_by("reason", F.struct(order, "reason")).alias("rejected_for"))
+    out = pairs.select("trial_id", "drive_id", "route_id", "scenario_id", "repetition_id", "pair_status", "dataset_tier").join(last, "trial_id", "left").join(scored.select("trial_id", F.lit(True).alias("__scored")).distinct(), "trial_id", "left")
+    ok = F.col("rejected_for").isNull() & F.col("__scored").isNotNull()
+    reason = F.when(ok, "none").otherwise(F.coalesce("rejected_for", F.lit("pipeline_crash_or_missing_metric")))
+    return out.withColumns({"final_acceptance_status": ok, "final_rejection_reason": reason}).drop("rejected_for", "__scored")
+
+
+def design_missing(nominal: DataFrame, trials: DataFrame) -> DataFrame:
+    """Cells of the design without a discovered trial."""
+    return missing_cells(nominal, trials.select("drive_id", "route_id", F.col("repetition_id").cast("int").alias("repetition_id")))
+
+
+def design_overview(nominal: DataFrame, trials: DataFrame) -> DataFrame:
+    """Expected, discovered, accepted and rejected trials of the whole design and their rates."""
+    counts = trials.agg(F.count("*").alias("discovered_count"), F.count_if("final_acceptance_status").alias("accepted_count"))
+    out = nominal.agg(F.count("*").alias("expected_count")).crossJoin(counts).withColumn("rejected_count", F.col("discovered_count") - F.col("accepted_count"))  # one row each
+    rate = lambda a, b: F.col(a) / F.greatest(F.lit(1), F.col(b))
+    return out.withColumns({
+        "acceptance_rate": rate("accepted_count", "discovered_count"), "missing_rate": (F.col("expected_count") - F.col("discovered_count")) / F.greatest(F.lit(1), F.col("expected_count")), "rejection_rate": rate("rejected_count", "discovered_count"),
+    })
+
+
+def scenario_catalog(nominal: DataFrame) -> DataFrame:
+    """The design's scenarios, with the place of their drive and route in the table of profiles."""
+    number = lambda c: F.substring(c, 2, 4).cast("int") - 1
+    pick = lambda names, k: F.get(F.array(*map(F.lit, names)), k)
+    d, r = number("drive_id"), number("route_id")
+    return nominal.select("drive_id", "route_id").distinct().select(
+        F.concat_ws("_", "drive_id", "route_id").alias("scenario_id"), "drive_id", "route_id",
+        pick(DRIVE_PROFILES[0], F.floor(d / 3).cast("int")).alias("motion_dynamics_profile"), pick(DRIVE_PROFILES[1], (d % 3).cast("int")).alias("rotational_dynamics_profile"),
+        pick(ROUTE_PROFILES[0], F.floor(r / 3).cast("int")).alias("route_geometric_complexity"), pick(ROUTE_PROFILES[1], (r % 3).cast("int")).alias("route_maneuver_alternation"),
+    )

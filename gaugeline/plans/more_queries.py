@@ -9,7 +9,7 @@ from gaugeline.config import Settings
 from gaugeline.functions import columns as C
 from gaugeline.operators import alignment, asof, cleaning, comparisons, gates, keysets, metrics, quality, statistics
 from gaugeline.plans import presentation
-from gaugeline.plans.registry import _GATES, _TESTED, _ledger, _signed_rank_sql, query
+from gaugeline.plans.registry import _GATES, _TESTED, _ledger, _reference_sql, _signed_rank_sql, query
 from gaugeline.plans.stand_ins import other, own, stream, table
 from gaugeline.sources import sinks
 
@@ -152,7 +152,10 @@ def decision_rule(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select("n_nationkey", ((n < 2) | p.isNull()).alias("open"), statistics.decide(n, p).alias("decision"))
 
 
-@query()
+@query("WITH RECURSIVE $STREAMS, k AS (SELECT trial_id, (t - min(t0) OVER (PARTITION BY trial_id)) / 86400 AS t, value, heading FROM (SELECT *, first_value(t) OVER (PARTITION BY trial_id ORDER BY source_row_index) AS t0, row_number() OVER (PARTITION BY trial_id, t ORDER BY source_row_index) AS one FROM v) WHERE one = 1), q AS (SELECT trial_id, source_row_index, (t - first_value(t) OVER (PARTITION BY trial_id ORDER BY source_row_index)) / 86400 AS t FROM e), "
+       + _reference_sql(["value", "heading"]) + """, c AS (SELECT r.trial_id, r.source_row_index, method, sqrt(power(e.value - ref_value, 2) + power(e.heading + ref_heading, 2)) AS r FROM ref r JOIN e ON e.source_row_index = r.source_row_index WHERE r.valid),
+o AS (SELECT trial_id, method, round(sqrt(avg(r * r)) * 1000, 1) AS rmse_mm, count(*) AS common_support_count, sha256(string_agg(source_row_index::VARCHAR, chr(10) ORDER BY source_row_index)) AS common_support_hash FROM c GROUP BY ALL)
+SELECT d.trial_id, m.method, rmse_mm, common_support_count, common_support_hash, CASE WHEN rmse_mm IS NULL THEN 'no_common_support' ELSE 'success' END AS status FROM (SELECT DISTINCT trial_id FROM e) d CROSS JOIN (SELECT unnest(['zoh', 'linear', 'pchip', 'spline']) AS method) m LEFT JOIN o ON o.trial_id = d.trial_id AND o.method = m.method""", 1)
 def held_out_comparison(spark: SparkSession, d: str) -> DataFrame:
     """The four reference operators on held-out rows of the stand-in streams, with an identity motion."""
     day = lambda df: cleaning.elapsed(df, "t", "rel").withColumn("rel", F.col("rel") / 86400)

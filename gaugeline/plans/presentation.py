@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.functions.columns import truthy
 from gaugeline.operators.cleaning import ordered
+from gaugeline.sources.sinks import flat
 
 
 def histogram(df: DataFrame, column: str, bins: int = 20, group: Sequence[str] = ()) -> DataFrame:
@@ -97,6 +98,22 @@ def figures(made: Mapping[str, DataFrame]) -> list[Figure]:
     ]
 
 
+#: Tables with a row for each trial, and the products that stand for them in a report.
+PER_TRIAL = {"metrics": "summary", "baseline": "baseline_summary"}
+
+
+def reported(made: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """tables() for a report, whose rows are listed: those with a row for each trial are replaced by their summaries, or left out."""
+    out = {}
+    for name, df in tables(made).items():
+        stand_in = made.get(PER_TRIAL.get(name, ""))
+        if name not in PER_TRIAL:
+            out[name] = df
+        elif stand_in is not None:
+            out[name] = flat(stand_in)
+    return out
+
+
 def tables(made: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """The presentation tables that a run's products allow."""
     out: dict[str, DataFrame] = {}

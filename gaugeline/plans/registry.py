@@ -591,13 +591,51 @@ def repetition_numbers(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------------ without an SQL equivalent
 
 
-@query()
+def _reference_sql(values: list[str]) -> str:
+    """CTEs of all four reference operators: ref(trial_id, source_row_index, t, method, ref_*, valid) for queries q(trial_id, source_row_index, t) and knots
+    k(trial_id, t, values). The splines' tridiagonal systems are eliminated and solved row by row, all trials at once."""
+    each = lambda f: ", ".join(f(c) for c in values)
+    steps = each(lambda c: f"(lead({c}) OVER w - {c}) / (lead(t) OVER w - t) AS s_{c}")
+    sides = each(lambda c: f"lag(s_{c}) OVER w AS l_{c}, lead(s_{c}) OVER w AS n_{c}, lag(s_{c}, 2) OVER w AS p_{c}")
+
+    def end(c: str, h0: str, h1: str, a: str, b: str) -> str:
+        value = f"(((2 * {h0} + {h1}) * {a} - {h0} * {b}) / ({h0} + {h1}))"
+        return f"CASE WHEN sign({value}) <> sign({a}) THEN 0 WHEN sign({a}) <> sign({b}) AND abs({value}) > 3 * abs({a}) THEN 3 * {a} ELSE {value} END"
+
+    slope = each(lambda c: f"CASE WHEN n < 3 THEN NULL WHEN i = 1 THEN {end(c, 'h', 'hn', f's_{c}', f'n_{c}')} WHEN i = n THEN {end(c, 'hl', 'hp', f'l_{c}', f'p_{c}')} WHEN l_{c} * s_{c} > 0 THEN 3 * (hl + h) / ((2 * h + hl) / l_{c} + (h + 2 * hl) / s_{c}) ELSE 0 END AS d_{c}")
+    forward = each(lambda c: f"(6 * (g.s_{c} - g.l_{c}) - g.hl * f.r_{c}) / (2 * (g.hl + g.h) - g.hl * f.c)")
+    both = each(lambda c: f"p.{c} AS {c}0, x.{c} AS {c}1, p.d_{c} AS d{c}0, x.d_{c} AS d{c}1, p.m_{c} AS m{c}0, x.m_{c} AS m{c}1")
+    line = lambda c: f"CASE WHEN h > 0 THEN {c}0 + ({c}1 - {c}0) * u ELSE {c}0 END"
+    hermite = lambda c: f"CASE WHEN n < 3 OR NOT h > 0 THEN {line(c)} ELSE (1 + 2 * u) * (1 - u) * (1 - u) * {c}0 + u * (1 - u) * (1 - u) * h * d{c}0 + u * u * (3 - 2 * u) * {c}1 + u * u * (u - 1) * h * d{c}1 END"
+    spline = lambda c: f"CASE WHEN n < 4 OR NOT h > 0 THEN {line(c)} ELSE (1 - u) * {c}0 + u * {c}1 + ((power(1 - u, 3) - (1 - u)) * m{c}0 + (power(u, 3) - u) * m{c}1) * h * h / 6 END"
+    zoh = lambda c: f"{c}0"
+    kinds = {"zoh": zoh, "linear": line, "pchip": hermite, "spline": spline}
+    rows = " UNION ALL ".join(f"SELECT trial_id, source_row_index, t, '{m}' AS method, {each(lambda c, f=f: f'CASE WHEN valid THEN {f(c)} END AS ref_{c}')}, valid FROM between_knots" for m, f in kinds.items())
+    return f"""i AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY trial_id) AS n FROM k WINDOW w AS (PARTITION BY trial_id ORDER BY t)),
+j AS (SELECT *, lead(t) OVER w - t AS h, {steps} FROM i WINDOW w AS (PARTITION BY trial_id ORDER BY i)),
+g AS MATERIALIZED (SELECT *, lag(h) OVER w AS hl, lead(h) OVER w AS hn, lag(h, 2) OVER w AS hp, {sides} FROM j WINDOW w AS (PARTITION BY trial_id ORDER BY i)),
+f(trial_id, i, c, {each(lambda c: f'r_{c}')}) AS (SELECT trial_id, 1::BIGINT, 0::DOUBLE, {each(lambda c: '0::DOUBLE')} FROM g WHERE i = 1
+  UNION ALL SELECT g.trial_id, g.i, g.h / (2 * (g.hl + g.h) - g.hl * f.c), {forward} FROM f JOIN g ON g.trial_id = f.trial_id AND g.i = f.i + 1 AND g.i < g.n),
+fm AS MATERIALIZED (SELECT * FROM f),
+b(trial_id, i, {each(lambda c: f'm_{c}')}) AS (SELECT trial_id, n, {each(lambda c: '0::DOUBLE')} FROM g WHERE i = n
+  UNION ALL SELECT fm.trial_id, fm.i, {each(lambda c: f'CASE WHEN fm.i = 1 THEN 0 ELSE fm.r_{c} - fm.c * b.m_{c} END')} FROM b JOIN fm ON fm.trial_id = b.trial_id AND fm.i = b.i - 1),
+z AS MATERIALIZED (SELECT g.*, {each(lambda c: f'b.m_{c}')}, {slope} FROM g JOIN b USING (trial_id, i)),
+lo AS (SELECT q.trial_id, q.source_row_index, q.t, z.i FROM q ASOF LEFT JOIN z ON q.trial_id = z.trial_id AND q.t >= z.t), hi AS (SELECT q.source_row_index, z.i FROM q ASOF LEFT JOIN z ON q.trial_id = z.trial_id AND q.t <= z.t),
+between_knots AS MATERIALIZED (SELECT lo.trial_id, lo.source_row_index, lo.t, p.n, x.t - p.t AS h, CASE WHEN x.t > p.t THEN (lo.t - p.t) / (x.t - p.t) ELSE 0 END AS u, coalesce(p.i IS NOT NULL AND x.i IS NOT NULL, false) AS valid, {both}
+  FROM lo JOIN hi USING (source_row_index) LEFT JOIN z p ON p.trial_id = lo.trial_id AND p.i = lo.i LEFT JOIN z x ON x.trial_id = lo.trial_id AND x.i = hi.i),
+ref AS ({rows})"""
+
+
+_KNOTS = "WITH RECURSIVE $STREAMS, k AS (SELECT trial_id, t, arg_min(value, source_row_index) AS value FROM v GROUP BY trial_id, t), q AS (SELECT trial_id, source_row_index, t FROM e), " + _reference_sql(["value"])
+
+
+@query(_KNOTS + " SELECT trial_id, source_row_index, round(t, 4) AS t, method, round(ref_value, 4) AS ref_value, valid FROM ref", 4)
 def reference_methods(spark: SparkSession, d: str) -> DataFrame:
     """All four reference operators at every telemetry row."""
     return alignment.query_reference(own(spark, d), other(spark, d), ["value"])
 
 
-@query()
+@query(_KNOTS + """ SELECT r.trial_id, r.source_row_index, round(r.t, 4) AS t, CASE WHEN n >= 4 THEN round(ref_value, 4) END AS ref_value, coalesce(r.valid AND n >= 4, false) AS valid FROM ref r JOIN between_knots o ON o.source_row_index = r.source_row_index WHERE method = 'spline'""", 4)
 def spline_reference(spark: SparkSession, d: str) -> DataFrame:
     knots = alignment.spline_knots(other(spark, d), ["value"])
     return alignment.query_knots(own(spark, d).select("trial_id", "source_row_index", "t"), knots, ["value"])

@@ -12,9 +12,10 @@ import datetime
 import hashlib
 import json
 import platform
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field
 from functools import reduce
+from importlib import metadata
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from gaugeline.config import Settings, check_frozen
 from gaugeline.functions.columns import finite, is_evaluation
 from gaugeline.operators import alignment, asof, cleaning, comparisons, gates, metrics, quality, statistics, support
-from gaugeline.plans.presentation import chart, figures, tables
+from gaugeline.plans.presentation import PER_TRIAL, chart, figures, reported, tables
 from gaugeline.sources import logs, sinks
 
 class RunError(RuntimeError):
@@ -217,6 +218,23 @@ def _schema(run: Run) -> DataFrame:
     return reduce(DataFrame.unionByName, reports)
 
 
+#: What trials are summarised by, and the figures that are.
+SUMMARISED = ("rmse_mm", "ate_rmse_mm", "rpe_rmse_mm", "heading_rmse_deg")
+
+
+def _summary(run: Run) -> DataFrame:
+    """Overall, by tier, drive, route and scenario."""
+    m = run["metrics"].filter("status = 'success'")
+    parts = F.split("scenario_id", "_")
+    heading = F.degrees("heading_rmse") if "heading_rmse" in m.columns else F.lit(None).cast("double")
+    m = m.withColumns({"drive_id": F.get(parts, F.lit(0)), "route_id": F.get(parts, F.lit(1)), "ate_rmse_mm": F.col("ate_rmse") * 1000, "rpe_rmse_mm": F.col("rpe_rmse") * 1000, "heading_rmse_deg": heading})
+    return metrics.group_summary(m, ["dataset_tier", "drive_id", "route_id", "scenario_id"], SUMMARISED)
+
+
+def _phase_summary(run: Run) -> DataFrame:
+    return metrics.group_summary(run["phases"].withColumn("rmse_mm", F.col("phase_rmse") * 1000), ["movement_phase"], ["rmse_mm"])
+
+
 def _balance(run: Run) -> DataFrame:
     cells = lambda df: df.select(F.split("trial_id", "_")[0].alias("drive_id"), F.split("trial_id", "_")[1].alias("route_id"))
     return gates.balance(gates.design_grid(run.spark), cells(run["pairs"].filter("trial_id is not null")), cells(run["accepted"]))
@@ -274,12 +292,17 @@ PRODUCTS: dict[str, Callable[[Run], DataFrame]] = {
     "timestamp_gaps": _timestamp_gaps,
     "query_times": lambda r: asof.query_time_report(r["aligned"], r["metrics"]),
     "compatible": _compatible,
-    "summary": lambda r: metrics.group_summary(r["metrics"].filter("status = 'success'"), ["dataset_tier", "scenario_id"]),
+    "summary": _summary,
     "repeatability": lambda r: metrics.scenario_repeatability(_scored(r)),
     "stability": lambda r: metrics.parameter_stability(_scored(r)),
     "robustness": lambda r: metrics.scenario_robustness(_scored(r)),
     "variance": lambda r: metrics.variance_decomposition(r["metrics"].filter("status = 'success'"), "rmse_mm", "scenario_id"),
     "balance": _balance,
+    "design_trials": lambda r: gates.design_trials(r["pairs"], r["rejections"], r["metrics"].filter("status = 'success'")),
+    "design_missing": lambda r: gates.design_missing(gates.design_grid(r.spark), r["design_trials"]),
+    "design_overview": lambda r: gates.design_overview(gates.design_grid(r.spark), r["design_trials"]),
+    "scenario_catalog": lambda r: gates.scenario_catalog(gates.design_grid(r.spark)),
+    "phase_summary": _phase_summary,
     "lag_curves": _lag_curves,
     "gate_ledger": _gate_ledger,
     "gate_pivot": lambda r: gates.gate_pivot(r["gate_ledger"], ["planned_405", "extended_previous_paper"]),
@@ -296,7 +319,7 @@ READS: dict[str, str] = {
     "telemetry_rows": "telemetry bounds", "tracking_rows": "tracking bounds", "ledger": "telemetry_rows tracking_rows", "degeneracy": "telemetry_rows tracking_rows bounds", "times": "degeneracy", "spatial": "times",
     "params": "times spatial", "aligned": "params", "metrics": "aligned accepted spatial", "phases": "aligned", "schema": "metrics", "h1": "times", "h2": "params", "h3": "bounds ledger", "baseline_arm": "aligned accepted times",
     "baseline": "baseline_arm", "baseline_rejections": "baseline_arm", "baseline_summary": "baseline", "h1_summary": "h1", "h1_audit": "h1 accepted", "timestamp_gaps": "metrics telemetry tracking", "query_times": "aligned metrics", "compatible": "pairs diagnostics", "summary": "metrics", "repeatability": "metrics params", "stability": "metrics params", "robustness": "metrics times diagnostics",
-    "variance": "metrics", "balance": "pairs accepted", "lag_curves": "degeneracy", "gate_ledger": "pairs rejections degeneracy times metrics", "gate_pivot": "gate_ledger", "cascade": "gate_ledger metrics ledger", "stage_summary": "cascade",
+    "variance": "metrics", "balance": "pairs accepted", "design_trials": "pairs rejections metrics", "design_missing": "design_trials", "design_overview": "design_trials", "phase_summary": "phases", "lag_curves": "degeneracy", "gate_ledger": "pairs rejections degeneracy times metrics", "gate_pivot": "gate_ledger", "cascade": "gate_ledger metrics ledger", "stage_summary": "cascade",
     "inference": "h1 h2 h3 accepted", "conclusions": "inference", "friedman": "h2 accepted", "posthoc": "h2 accepted",
 }
 #: What each result consists of. Every run has the core; what is presented is drawn from all the others.
@@ -306,7 +329,7 @@ RESULTS: dict[str, str] = {
     "h2": "h2 friedman posthoc",
     "h3": "h3",
     "baseline": "baseline baseline_rejections baseline_summary",
-    "diagnostics": "gate_ledger gate_pivot cascade stage_summary compatible summary repeatability stability robustness variance balance lag_curves timestamp_gaps query_times",
+    "diagnostics": "gate_ledger gate_pivot cascade stage_summary compatible summary repeatability stability robustness variance balance design_trials design_missing design_overview scenario_catalog phase_summary lag_curves timestamp_gaps query_times",
     "tables": "inference conclusions",
     "figures": "inference",
     "report": "inference",
@@ -359,17 +382,6 @@ class Folder:
         out.write(bytearray(text.encode()))
         out.close()
 
-    def sha256(self) -> dict[str, str]:
-        """Of every file below the folder, by its path from here."""
-        found, files = {}, self._fs.listFiles(self._path(""), True)
-        while files.hasNext():
-            path = files.next().getPath()
-            if not path.getName().startswith((".", "_")):
-                stream = self._fs.open(path)
-                found[str(path.toUri().getPath()).removeprefix(str(self._path("").toUri().getPath())).lstrip("/")] = hashlib.sha256(bytes(stream.readAllBytes())).hexdigest()
-                stream.close()
-        return found
-
 
 def execute(spark: SparkSession, inputs: dict[str, str], folder: str, results: str = "core", settings: Settings | None = None, frozen: bool = False) -> Run:
     """Run a selection into an empty folder. status.json says RUNNING, PASS or FAILED with the reason; provenance.json has an entry for each
@@ -388,6 +400,7 @@ def execute(spark: SparkSession, inputs: dict[str, str], folder: str, results: s
     text = json.dumps(asdict(s), sort_keys=True, default=str)
     out.write("settings.json", text)
     head = {"settings_sha256": hashlib.sha256(text.encode()).hexdigest(), "spark": spark.version, "python": platform.python_version(), "results": list(chosen.results)}
+    out.write("software.json", json.dumps({"python": platform.python_version(), "platform": platform.platform()} | {p: metadata.version(p) for p in ("pyspark", "pyarrow", "pandas", "numpy")}, sort_keys=True))
     status = lambda **x: out.write("status.json", json.dumps(x | head, sort_keys=True))
     status(status="RUNNING")
     run, record = Run(spark, dict(inputs), f"{out.root}/products", s), []
@@ -399,12 +412,9 @@ def execute(spark: SparkSession, inputs: dict[str, str], folder: str, results: s
             out.write("provenance.json", json.dumps(record + not_made, indent=1))
             if name in POPULATIONS and (run["metrics"].filter("accepted_for_hypothesis_tests") if name == "metrics" else df).isEmpty():
                 raise RunError(POPULATIONS[name])
-        made = {}
-        if {"tables", "report"} & set(chosen.results):
-            made = tables(run.made)
         if "tables" in chosen.results:
-            for table_name, df in made.items():
-                sinks.write_csv(df, f"{out.root}/tables/{table_name}", df.columns[:1])
+            for table_name, df in tables(run.made).items():
+                sinks.write_csv(df, f"{out.root}/tables/{table_name}", df.columns[:1], table_name not in PER_TRIAL)
         sinks.write_json(run["times"], f"{out.root}/parameters/temporal")
         sinks.write_json(run["spatial"], f"{out.root}/parameters/spatial")
         if "lag_curves" in run.made:
@@ -416,11 +426,19 @@ def execute(spark: SparkSession, inputs: dict[str, str], folder: str, results: s
         if "figures" in chosen.results:
             write_figures(run, out)
         if "report" in chosen.results:
-            out.write("report.md", sinks.markdown("Trial alignment", made))
-            out.write("report.html", sinks.html("Trial alignment", made))
+            sections = reported(run.made)
+            out.write("report.md", sinks.markdown("Trial alignment", sections))
+            out.write("report.html", sinks.html("Trial alignment", sections))
         for name in chosen.results:
             validate_family(run, name)
-        out.write("index.json", json.dumps([{"file": f, "sha256": h} for f, h in sorted(out.sha256().items()) if not f.startswith(("status", "provenance"))], indent=1))
+        # Files are hashed by tasks; a name, a size and a hash of each come here.
+        index = [r.asDict() for r in sinks.file_hashes(spark, out.root).filter("file not like 'status%' and file not like 'provenance%'").orderBy("file").collect()]
+        out.write("index.json", json.dumps(index, indent=1))
+        for entry in record:
+            own = "".join(f"{r['file']} {r['sha256']}\n" for r in index if r["file"].startswith(f"products/{entry['product']}/"))
+            entry["outputs_sha256"] = hashlib.sha256(own.encode()).hexdigest()
+        of = {e["product"]: e["outputs_sha256"] for e in record}
+        out.write("provenance.json", json.dumps([e | {"inputs_sha256": {r: of[r] for r in e["reads"]}} for e in record] + not_made, indent=1))
     except Exception as e:
         status(status="FAILED", reason=str(e)[:500])
         raise
@@ -428,6 +446,42 @@ def execute(spark: SparkSession, inputs: dict[str, str], folder: str, results: s
     return run
 
 
+#: What a reader of a published family should know of it.
+FAMILIES = {
+    "core": "Held-out metrics of every trial, by phase, with the ledger that says which rows were held out.", "h1": "Onset against refined time offset.", "h2": "Four reference operators on the same held-out rows.",
+    "h3": "Fits without and with the rows that are scored; the second arm leaks on purpose.", "baseline": "The plain alignment against the final one, by population.", "diagnostics": "Gates, design, repeatability and robustness.",
+}
+
+
+def publish(run: Run, target: str, families: Sequence[str]) -> list[dict]:
+    """Copy the products of result families as tables to ``target``/family/product, check every copy by its number of rows and its content, and write an index and a
+    guide. Tables go from task to task; a family that was published there before is an error, as nothing that is published changes."""
+    if strange := [f for f in families if f not in FAMILIES]:
+        raise ValueError(f"no such family: {' '.join(strange)}; there are {' '.join(FAMILIES)}")
+    out = Folder(run.spark, target)
+    rows: list[dict] = []
+    for family in families:
+        if not Folder(run.spark, f"{out.root}/{family}").empty():
+            raise ValueError(f"{family} is published in {target} already")
+        validate_family(run, family)
+        for product in RESULTS[family].split():
+            path = f"{out.root}/{family}/{product}"
+            run[product].write.parquet(path)
+            own, copy = (sinks.content_hash(df).first().asDict() for df in (run[product], run.spark.read.parquet(path)))
+            if own != copy:
+                raise RunError(f"{family}: the copy of {product} differs: {copy} is not {own}")
+            rows.append({"family": family, "product": product, "columns": run[product].columns} | own)
+    guide = [f"# Published results\n\nSettings: {run.settings.config_id}. Tables are Parquet; The index has the number of rows and the content hash of each.\n"]
+    for family in families:
+        guide.append(f"## {family}\n\n{FAMILIES[family]}\n")
+        guide += [f"* `{family}/{r['product']}`: {r['rows']} rows of {', '.join(r['columns'])}" for r in rows if r["family"] == family]
+    # Earlier families have files of their own beside these.
+    name = "-".join(families)
+    out.write(f"index-{name}.json", json.dumps(rows, indent=1))
+    out.write(f"guide-{name}.md", "\n".join(guide) + "\n")
+    return rows
+
+
 def write_figures(run: Run, out: Folder) -> None:
     """Of every declared figure its extract, the cells of that with hashes, and a chart description; and a manifest that says which have rows."""
     manifest = []
@@ -482,12 +536,16 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--results", default="core")
     parser.add_argument("--settings")
     parser.add_argument("--frozen", action="store_true")
+    parser.add_argument("--publish", help="folder to copy result families to")
+    parser.add_argument("--families", default="core", help="families to publish, comma-separated")
     args = parser.parse_args(argv)
     from gaugeline.config import load
 
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
-        execute(spark, {"ev3": args.telemetry, "vrmt": args.tracking}, args.output, args.results, load(args.settings), args.frozen)
+        run = execute(spark, {"ev3": args.telemetry, "vrmt": args.tracking}, args.output, args.results, load(args.settings), args.frozen)
+        if args.publish:
+            publish(run, args.publish, args.families.split(","))
     except (RunError, ValueError) as e:
         print(e)
         return 1

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-import json
-import shutil
+import re
 from collections.abc import Mapping, Sequence
 from html import escape
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeline.functions.columns import finite, value_type
@@ -23,10 +22,13 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*[(F.to_json(c) if kind.startswith(("array", "map", "struct")) else finite(F.col(c)) if kind in ("float", "double") else F.col(c)).alias(c) for c, kind in df.dtypes])
 
 
-def write_csv(df: DataFrame, path: str, sort: Sequence[str] = ()) -> None:
-    """CSV with a header; small ledgers in one file, in order. An empty table is an empty file with its header."""
+def write_csv(df: DataFrame, path: str, sort: Sequence[str] = (), one_file: bool = True) -> None:
+    """CSV with a header, in order. Ledgers that are aggregates go to one file; a table with a row for each trial (``one_file=False``) to files of
+    consecutive ranges. An empty table is an empty file with its header."""
     out = flat(df)
-    (out.orderBy(*sort).coalesce(1) if sort else out).write.mode("overwrite").option("header", "true").csv(path)
+    if sort:
+        out = out.orderBy(*sort)
+    (out.coalesce(1) if sort and one_file else out).write.mode("overwrite").option("header", "true").csv(path)
 
 
 def write_json(df: DataFrame, path: str, drop: Sequence[str] = ()) -> None:
@@ -70,10 +72,28 @@ def cells(df: DataFrame, figure: str, source: str, run: str = "") -> DataFrame:
     return df.select(F.lit(figure).alias("figure_id"), F.lit(source).alias("source"), row_hash.alias("row_sha256"), F.inline(items))
 
 
-# ------------------------------------------------------------------ driver-side evidence: a few small files of a run
+# ------------------------------------------------------------------ evidence
+
+
+def file_hashes(spark: SparkSession, folder: str) -> DataFrame:
+    """file (its path from the folder), bytes and sha256 of every file below a folder: read and hashed by tasks, a file in each, in any store that Spark reads. Files without
+    a byte aren't read by Spark and have no row."""
+    root = re.sub("^file:/+", "file:/", folder).rstrip("/") + "/"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    path = F.regexp_replace("path", "^file:/+", "file:/")
+    return files.select(F.when(F.startswith(path, F.lit(root)), F.substring(path, len(root) + 1, 4096)).otherwise(path).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def content_hash(df: DataFrame) -> DataFrame:
+    """rows and content: the number of rows, and a hash that equal tables share whatever the order and the files of their rows."""
+    row = F.xxhash64(*[F.coalesce(F.to_json(F.struct(F.col(c))), F.lit("")) for c in df.columns])
+    both = df.select(row.alias("a"), F.xxhash64(F.lit(1), row).alias("b"))
+    parts = [F.lower(F.hex(F.bit_xor(c))) for c in ("a", "b")] + [F.sum(F.col("a").cast("decimal(38,0)")).cast("string")]
+    return both.agg(F.count("*").alias("rows"), F.concat_ws(":", *parts).alias("content"))
 
 
 def sha256_file(path: Path | str) -> str:
+    """Of one local file."""
     digest = hashlib.sha256()
     with open(path, "rb") as f:
         while block := f.read(1 << 20):
@@ -81,31 +101,8 @@ def sha256_file(path: Path | str) -> str:
     return digest.hexdigest()
 
 
-def append_provenance(path: Path | str, record: Mapping) -> None:
-    """One JSON line for each stage: nothing that is written changes later."""
-    with open(path, "a", encoding="utf-8") as f:
-        f.write(json.dumps(dict(record), sort_keys=True, default=str) + "\n")
-
-
-def publish(files: Mapping[str, Sequence[Path]], target: Path) -> Path:
-    """Copy the files of each result family byte by byte and write an index with their hashes."""
-    rows = []
-    for family, members in sorted(files.items()):
-        folder = target / family
-        folder.mkdir(parents=True, exist_ok=True)
-        for member in members:
-            copy = folder / Path(member).name
-            shutil.copyfile(member, copy)
-            if (digest := sha256_file(copy)) != sha256_file(member):
-                raise OSError(f"{copy} differs from {member}")
-            rows.append({"family": family, "file": f"{family}/{copy.name}", "sha256": digest, "bytes": copy.stat().st_size})
-    index = target / "index.json"
-    index.write_text(json.dumps(rows, indent=1, sort_keys=True), encoding="utf-8")
-    return index
-
-
 def _cells(df: DataFrame) -> list[list[str]]:
-    """All rows of a presentation table as text; these tables are aggregates, or have a row for each trial."""
+    """All rows of a presentation table as text: tables of a report are aggregates."""
     return [["" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v) for v in r] for r in df.toLocalIterator()]
 
 

@@ -266,11 +266,20 @@ def test_clock_export_contract(spark):
         sinks.clock_export(df.drop("reason"))
 
 
-def test_publish_is_byte_identical(tmp_path):
-    source = tmp_path / "a.csv"
-    source.write_bytes(b"x,\xff\r\n")
-    index = sinks.publish({"core": [source]}, tmp_path / "out")
-    assert (tmp_path / "out/core/a.csv").read_bytes() == source.read_bytes() and hashlib.sha256(b"x,\xff\r\n").hexdigest() in index.read_text()
+def test_files_are_hashed_by_tasks(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_bytes(b"x,\xff\r\n")
+    (tmp_path / "b.txt").write_bytes(b"")
+    got = {r["file"]: (r["bytes"], r["sha256"]) for r in sinks.file_hashes(spark, f"file://{tmp_path}").collect()}
+    assert got == {"in/a.csv": (5, hashlib.sha256(b"x,\xff\r\n").hexdigest())}
+
+
+def test_content_is_that_of_the_rows(spark):
+    df = spark.createDataFrame([(k, None if k == 3 else f"v{k}", [k]) for k in range(20)], "a int, b string, c array<int>")
+    one, other = sinks.content_hash(df).first(), sinks.content_hash(df.orderBy(F.desc("a")).repartition(5)).first()
+    assert one == other and one["rows"] == 20
+    for changed in (df.filter("a < 19"), df.union(df), df.withColumn("b", F.lit("v1")), df.withColumn("b", F.coalesce("b", F.lit("")))):
+        assert sinks.content_hash(changed).first()["content"] != one["content"]
 
 
 def test_gap_sessions_on_a_stream(spark, tmp_path):
