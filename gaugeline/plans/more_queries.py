@@ -9,7 +9,7 @@ from gaugeline.config import Settings
 from gaugeline.functions import columns as C
 from gaugeline.operators import alignment, asof, cleaning, comparisons, gates, keysets, metrics, quality, statistics
 from gaugeline.plans import presentation
-from gaugeline.plans.registry import _GATES, _TESTED, _ledger, _reference_sql, _signed_rank_sql, query
+from gaugeline.plans.registry import _TESTED, _reference_sql, _signed_rank_sql, query
 from gaugeline.plans.stand_ins import other, own, stream, table
 from gaugeline.sources import sinks
 

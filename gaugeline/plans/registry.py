@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeline.config import Settings
@@ -287,13 +287,14 @@ def time_overlap(spark: SparkSession, d: str) -> DataFrame:
     return alignment.overlap(own(spark, d), other(spark, d), "t", "t")
 
 
-@query("""WITH f AS (SELECT 'D' || (user_id % 9 + 1) || '_T1_' || user_id AS trial_id, event_type, event_id FROM events WHERE event_id % 29 < 3 AND event_type IN ('click', 'error')),
-g AS (SELECT trial_id, count(*) FILTER (WHERE event_type = 'click') AS e, count(*) FILTER (WHERE event_type = 'error') AS v FROM f GROUP BY trial_id)
+@query("""WITH f AS (SELECT 'D' || (event_id * 3 // 5 % 9 + 1) || '_T1_' || (event_id * 3 // 5) AS trial_id, event_type IN ('click', 'view') AS own FROM events),
+g AS (SELECT trial_id, count(*) FILTER (WHERE own) AS e, count(*) FILTER (WHERE NOT own) AS v FROM f GROUP BY trial_id)
 SELECT trial_id, CASE WHEN e > 1 THEN 'duplicate_ev3' WHEN v > 1 THEN 'duplicate_vrmt' WHEN e = 0 THEN 'missing_ev3' WHEN v = 0 THEN 'missing_vrmt' ELSE 'paired' END AS pair_status, e::INT AS n_ev3, v::INT AS n_vrmt FROM g""", None)
 def pair_streams(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").filter((F.col("event_id") % 29 < 3) & F.col("event_type").isin("click", "error"))
-    trial = F.concat(F.lit("D"), F.col("user_id") % 9 + 1, F.lit("_T1_"), F.col("user_id"))
-    files = e.select(trial.alias("trial_id"), F.when(F.col("event_type") == "click", "ev3").otherwise("vrmt").alias("stream_type"), F.concat(F.lit("/f/"), "event_id").alias("file_path"), F.col("event_id").cast("string").alias("file_name"), F.lit("").alias("file_checksum"), F.lit("ok").alias("parser_status"))
+    """Every event as a file, one or two neighbours to a trial."""
+    e = table(spark, d, "events").withColumn("g", F.expr("event_id * 3 div 5"))
+    trial = F.concat(F.lit("D"), F.col("g") % 9 + 1, F.lit("_T1_"), F.col("g"))
+    files = e.select(trial.alias("trial_id"), F.when(F.col("event_type").isin("click", "view"), "ev3").otherwise("vrmt").alias("stream_type"), F.concat(F.lit("/f/"), "event_id").alias("file_path"), F.col("event_id").cast("string").alias("file_name"), F.lit("").alias("file_checksum"), F.lit("ok").alias("parser_status"))
     return logs.pairs(files).select("trial_id", "pair_status", F.size("ev3_files").alias("n_ev3"), F.size("vrmt_files").alias("n_vrmt"))
 
 
