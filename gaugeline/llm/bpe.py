@@ -27,7 +27,7 @@ import json
 import re
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,9 @@ from pyspark.sql import types as T
 from gaugeline.llm.bytes import pieces, utf8
 
 #: Distinct fragments whose ids are remembered; beyond, the memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
+#: Bytes of text, or of ids, that are worked on together.
+PIECE = 2 << 20
 #: Fragments that are merged side by side, and the bytes above which a piece is merged on its own.
 BLOCK, LONG = 1 << 15, 64
 #: The rank of a pair that isn't joined.
@@ -63,14 +65,8 @@ class Vocabulary:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of = {i: bytes(map(BYTE_OF.__getitem__, token)) for token, i in model["vocab"].items() if token not in self.added}
         self.id_of = {raw: i for i, raw in self.bytes_of.items()}
-        merges = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
-        plain = model["vocab"]
-        self.merge = {(plain[a], plain[b]): (rank, plain[a + b]) for rank, (a, b) in enumerate(merges)}
-        pairs = sorted(((a << 32) | b, rank, joined) for (a, b), (rank, joined) in self.merge.items())
-        self.pair_keys, self.pair_ranks, self.pair_tokens = (np.array([p[k] for p in pairs] or [-1], np.int64) for k in range(3))
-        made = {joined: rank for rank, joined in self.merge.values()}
-        #: Whether no token is made twice, and none before its parts.
-        self.ordered = len(made) == len(self.merge) and all(max(made.get(a, -1), made.get(b, -1)) < rank for (a, b), (rank, _) in self.merge.items())
+        self._merges = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
+        self._ids = model["vocab"]
         self.single = [self.id_of.get(bytes([b])) for b in range(256)]
         if None in self.single:
             raise ValueError("the vocabulary has no token for some byte")
@@ -81,6 +77,28 @@ class Vocabulary:
         self._flat = np.frombuffer(b"".join(every.get(i, b"") for i in range(size)), np.uint8)
         self._at = np.concatenate([[0], np.cumsum([len(every.get(i, b"")) for i in range(size)])])
 
+    # What only encoding needs is made when it is first asked for; workers that decode have no use for it.
+
+    @cached_property
+    def merge(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """Rank and token of each pair of tokens that is joined."""
+        return {(self._ids[a], self._ids[b]): (rank, self._ids[a + b]) for rank, (a, b) in enumerate(self._merges)}
+
+    @cached_property
+    def _pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        pairs = sorted(((a << 32) | b, rank, joined) for (a, b), (rank, joined) in self.merge.items())
+        return tuple(np.array([p[k] for p in pairs] or [-1], np.int64) for k in range(3))
+
+    pair_keys = property(lambda self: self._pairs[0])
+    pair_ranks = property(lambda self: self._pairs[1])
+    pair_tokens = property(lambda self: self._pairs[2])
+
+    @cached_property
+    def ordered(self) -> bool:
+        """Whether no token is made twice, and none before its parts."""
+        made = {joined: rank for rank, joined in self.merge.values()}
+        return len(made) == len(self.merge) and all(max(made.get(a, -1), made.get(b, -1)) < rank for (a, b), (rank, _) in self.merge.items())
+
     def _forced(self) -> np.ndarray:
         """forced[a, b]: byte b never follows byte a inside a token."""
         forced = np.ones((256, 256), bool)
@@ -258,7 +276,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer_path)
-        for part in pieces(batches, "text"):
+        for part in pieces(batches, "text", PIECE):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(own.encode(*utf8(part.column("text"))), pa.binary())], ["doc_id", "ids"])
         own.known.clear()  # a worker outlives its task
 
@@ -270,7 +288,7 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = encoder(tokenizer_path).vocabulary
-        for part in pieces(batches, "ids"):
+        for part in pieces(batches, "ids", PIECE):
             ids, offsets = utf8(part.column("ids"))
             raw, at = vocabulary.decode(np.frombuffer(ids.tobytes(), "<u4"), offsets // 4)
             whole, at = raw.tobytes(), at.tolist()
