@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gaugeline.operators import grouped
+
 #: What stands before, between and after the keys.
 LINES = ("", "\n", "")
 JSON_LIST = ("[", ",", "]")
@@ -25,7 +27,7 @@ def ordered_digests(rows: DataFrame, group: Sequence[str], key: str, count: str
     begin, between, end = (x.encode() for x in form)
     chosen = rows.select(*group, F.col(key).cast("string").alias("__k")).filter("__k is not null")
     number = F.col("__k").try_cast("decimal(38,0)")
-    dealt = chosen.withColumns({"__t": number.isNull(), "__n": number}).repartition(*[F.col(g) for g in group]).sortWithinPartitions(*group, "__t", "__n", "__k").select(*group, "__k")
+    dealt = grouped.dealt(chosen.withColumns({"__t": number.isNull(), "__n": number}), group).sortWithinPartitions(*group, "__t", "__n", "__k").select(*group, "__k")
     fields = [f for f in dealt.schema.fields if f.name != "__k"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Rows of whole trials that are looked at together, about; a longer trial makes a block by itself.
 BLOCK = 1 << 16
@@ -45,6 +46,16 @@ def whole_trials(batches: Iterator[pa.RecordBatch], most: int = BLOCK) -> Iterat
         yield joined()
 
 
+def dealt(df: DataFrame, keys: Sequence[str], n: int | None = None) -> DataFrame:
+    """All rows of a key in one task, for functions on batches, of which Spark doesn't know that they need it.
+
+    The hash is one of our own: a plain repartition by keys that a window or an aggregate below has been dealt by is left out of the plan, and then
+    nothing keeps the tasks of a union's sides together when Spark merges small shuffle partitions of each side in its own way.
+    """
+    own = F.xxhash64(*[F.col(k) for k in keys])
+    return df.repartition(own) if n is None else df.repartition(n, own)
+
+
 def map_trials(df: DataFrame, order: Sequence[str | Column], work: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``work`` on blocks of whole trials (first column) whose rows are in this order."""
 
@@ -55,7 +66,7 @@ def map_trials(df: DataFrame, order: Sequence[str | Column], work: Callable[[pa.
     key = df.columns[0]
     # A number of its own, as kernels take far more time for a row than the bytes of small shuffles suggest, and those would be put together.
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+    return dealt(df, [key], n).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
 def numbers_of(block: pa.Table, name: str) -> np.ndarray:
