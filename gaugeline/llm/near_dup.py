@@ -31,10 +31,11 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.llm.bytes import TO_LOWER, hashes, mixed, pieces, shingles, spans, utf8
@@ -47,6 +48,8 @@ BANDS, ROWS = 40, 7
 FINE = 1024
 #: Rows of a narrow table that go to one task at least: tables of keys and labels aren't dealt more finely than that, as each task has its own costs.
 NARROW_ROWS = 100_000
+#: Members of a bucket, and hubs of it, that are compared in one place, about: what a larger bucket has to compare is dealt by cells of so many of each.
+CELL = 512
 #: Rank cells start at 2^-6 and double; an area above this is cut into equal slices.
 FIRST_RANK, MOST_AREA = 1 / 64, 64.0
 _UNIT = 1.0 / (1 << 53)
@@ -341,7 +344,7 @@ def _link_classes(sketches: DataFrame, docs: DataFrame, similarity: float, width
             break
         active = state.join(stats, "bucket")
         share = F.lit(float(hubs)) / F.when(F.col("linked"), F.col("open_linked")).otherwise(F.col("open"))
-        active = active.withColumn("hub", open_ & ((F.col("node") == F.col("first")) | (F.col("draw") < share))).select("bucket", "node", "size", "served", "comp", "hub")
+        active = active.withColumn("hub", open_ & ((F.col("node") == F.col("first")) | (F.col("draw") < share))).select("bucket", "node", "size", "served", "comp", "hub", "open")
         # A pair is compared only if the signatures allow the similarity, as buckets hold many pairs that are like, but not near; and after
         # the first round, in which each bucket has one hub, in one place only, the first bucket that it shares.
         extra = ["sig"] if labels is None else ["sig", "bands"]
@@ -350,7 +353,7 @@ def _link_classes(sketches: DataFrame, docs: DataFrame, similarity: float, width
             if fine is None:
                 fine = keep(fine_signatures(sets.join(active.select("node").distinct(), "node", "left_semi")), "dup-fine")
             active, extra = active.join(fine, "node"), [*extra, "fine"]
-        active = keep(active.select("bucket", "node", "size", "served", "comp", "hub", *extra), "dup-round")
+        active = keep(active.select("bucket", "node", "size", "served", "comp", "hub", "open", *extra), "dup-round")
         agree = lambda c: F.size(F.filter(F.zip_with(f"{c}_a", f"{c}_b", lambda x, y: x == y), lambda x: x))
         near = (F.least("sa", "sb") >= F.lit(similarity) * F.greatest("sa", "sb") - F.lit(1e-9)) & F.expr("ca <> cb and (not hb or a < b)")
         if gate:
@@ -359,9 +362,16 @@ def _link_classes(sketches: DataFrame, docs: DataFrame, similarity: float, width
                 near = near & (agree("fine") >= least_agreement(similarity, FINE))
         if labels is not None:
             near = near & (F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("h.bucket"))
-        h = active.filter("hub").select("bucket", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("sa"), *[F.col(c).alias(f"{c}_a") for c in extra])
-        m = active.filter("not served").select("bucket", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("size").alias("sb"), F.col("hub").alias("hb"), *[F.col(c).alias(f"{c}_b") for c in extra])
-        pairs = m.alias("m").join(h.alias("h"), (F.col("m.bucket") == F.col("h.bucket")) & near).select("a", "b").distinct()
+        # A bucket is a grid of cells, members by hubs; each member goes to the cells of its line, each hub to those of its column. Sides are dealt by cells and not
+        # by Spark's splitting of large partitions, which makes a task of each piece of one side with each of the other.
+        lines, columns = F.ceil(F.col("open") / CELL).cast("int"), F.ceil(F.least("open", F.lit(2 * hubs)) / CELL).cast("int")
+        own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        h = active.filter("hub").select("bucket", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("sa"), *[F.col(c).alias(f"{c}_a") for c in extra], every(lines).alias("line"), own(columns).alias("column"))
+        m = active.filter("not served").select("bucket", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("size").alias("sb"), F.col("hub").alias("hb"), *[F.col(c).alias(f"{c}_b") for c in extra], own(lines).alias("line"), every(columns).alias("column"))
+        cell = ("bucket", "line", "column")
+        meet = reduce(Column.__and__, [F.col(f"m.{c}") == F.col(f"h.{c}") for c in cell])
+        pairs = m.repartition(*cell).alias("m").join(h.repartition(*cell).alias("h"), meet & near).select("a", "b").distinct()
         links = keep(_compare(keep(pairs, "dup-pairs"), sets, similarity), "dup-links")
         edges = links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")))
         labels = narrow(components(edges, narrow).withColumn("in_class", F.lit(True)), "dup-labels")
