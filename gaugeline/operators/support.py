@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.functions.columns import canonical_key, row_token
@@ -49,8 +49,11 @@ def common_keys(arms: Mapping[str, DataFrame], keys: Sequence[str], group: Seque
     """group columns and support_key of the keys that all arms have."""
     named = [with_token(df, keys).filter("key_reason is null").select(*group, "support_key", F.lit(name).alias("arm")) for name, df in sorted(arms.items())]
     every = reduce(DataFrame.unionByName, named)
-    have = every.groupBy(*group, "support_key").agg(F.count_distinct("arm").alias("n"))
-    return have.filter(F.col("n") == len(named)).drop("n")
+    # Arms as bits: one aggregate that combines before it shuffles, and a key's arms are never rows of their own.
+    words = [sorted(arms)[k : k + 62] for k in range(0, len(arms), 62)]
+    bit = lambda word: reduce(lambda rest, kn: F.when(F.col("arm") == kn[1], F.lit(1 << kn[0]).cast("bigint")).otherwise(rest), enumerate(word), F.lit(0).cast("bigint"))
+    have = every.groupBy(*group, "support_key").agg(*[F.bit_or(bit(w)).alias(f"__w{k}") for k, w in enumerate(words)])
+    return have.filter(reduce(Column.__and__, [F.col(f"__w{k}") == (1 << len(w)) - 1 for k, w in enumerate(words)])).select(*group, "support_key")
 
 
 def common_support(arms: Mapping[str, DataFrame], keys: Sequence[str], group: Sequence[str]) -> DataFrame:

@@ -104,3 +104,13 @@ def test_a_single_trial_is_sorted_by_slices(spark):
     q = spark.range(1000).selectExpr("'a' as trial_id", "id as source_row_index", "cast(id as double) as t")
     plan = asof.linear(q, q.selectExpr("trial_id", "t", "t as v"), ["v"], slice_s=10.0)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(__slice" in plan.replace("_groupingexpression", "__slice")
+
+
+def test_common_keys_come_from_one_aggregate_for_any_number_of_arms(spark):
+    from gaugeline.operators import support
+
+    arms = {f"a{k:02d}": spark.createDataFrame([(1, 5), (1, 5), (2, k), (None, 7)], "g int, k int") for k in range(65)}
+    out = support.common_keys(arms, ["k"], ["g"])
+    assert sorted(map(tuple, out.collect()), key=repr) == [(1, "5"), (None, "7")]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("+- == Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
