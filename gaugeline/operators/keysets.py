@@ -11,7 +11,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeline.functions.columns import json_list_hash, sort_keys
 from gaugeline.operators.digests import JSON_LIST, ordered_digests
+from gaugeline.sources.kept import kept
 
 #: The sets of the leakage comparison: what the ledger and the streams hold in either partition, and what may be fitted of the evaluation rows.
 SETS = {name: 1 << k for k, name in enumerate(("ledger_calibration", "ledger_evaluation", "calibration", "evaluation", "eligible"))}
@@ -19,6 +21,16 @@ PARTITIONS = ("calibration", "evaluation")
 LEAKAGE = {"split": "split_excludes_evaluation_fitting_keys", "full": "intentionally_leaky_evaluation_fitting_keys_included"}
 
 
+#: Keys of a trial that are hashed as one array at most.
+SMALL = 1000
+
+
+def _list_hash(keys: Column, kind: str) -> Column:
+    """SHA-256 of an array's keys in order as a JSON list, as ordered_digests has it; NULL for none."""
+    whole = kind in ("tinyint", "smallint", "int", "bigint")
+    return F.when(F.size(keys) > 0, json_list_hash(F.array_sort(keys) if whole else sort_keys(keys.cast("array<string>"))))
+
+
 def bits_of(members: DataFrame, group: Sequence[str], key: str, sets: Mapping[str, int]) -> DataFrame:
     """group columns, key, bits and repeated (whether a set holds the key more than once), of rows (group, key, set)."""
     bit = F.lit(0)
@@ -44,12 +56,12 @@ def leakage(telemetry: DataFrame, tracking: DataFrame, ledger: DataFrame, eligib
     reason, the first that holds: keys or hashes are missing; a stream's calibration and evaluation keys overlap; a hash isn't that of its keys;
     an eligible key is no evaluation key; a key of the ledger isn't in its stream, or a stream repeats one. NULL if none does.
     """
-    kept = ledger.filter(F.col("partition").isin(*PARTITIONS))
-    persisted = kept.select(key, "stream", F.explode("source_rows").alias("key"), F.concat(F.lit("ledger_"), "partition").alias("set"))
+    parts = ledger.filter(F.col("partition").isin(*PARTITIONS))
+    persisted = parts.select(key, "stream", F.explode("source_rows").alias("key"), F.concat(F.lit("ledger_"), "partition").alias("set"))
     there = [df.filter(F.col("partition").isin(*PARTITIONS)).select(key, F.lit(s).alias("stream"), F.col(identity).alias("key"), F.col("partition").alias("set")) for s, df in (("ev3", telemetry), ("vrmt", tracking))]
     may = persisted.filter("stream = 'ev3' and set = 'ledger_evaluation'") if eligible is None else eligible.select(key, F.lit("ev3").alias("stream"), F.col(identity).alias("key"))
     members = persisted.unionByName(there[0]).unionByName(there[1]).unionByName(may.select(key, "stream", "key", F.lit("eligible").alias("set")))
-    keys = bits_of(members, [key, "stream"], "key", SETS)
+    keys = kept(bits_of(members, [key, "stream"], "key", SETS))  # counted and hashed
     ev3 = F.col("stream") == "ev3"
     n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     fit_split, fit_full = holds(SETS, "ledger_calibration"), F.col("bits").bitwiseAND(SETS["ledger_calibration"] | SETS["ledger_evaluation"]) != 0
@@ -62,11 +74,20 @@ def leakage(telemetry: DataFrame, tracking: DataFrame, ledger: DataFrame, eligib
         n(ev3 & fit_split).alias("split_count"), n(ev3 & fit_full).alias("full_count"), (n(ev3 & fit_split & holds(SETS, "eligible")) == 0).alias("split_excludes"), (n(ev3 & fit_full & holds(SETS, "eligible")) > 0).alias("full_includes"),
     )
     named = F.array_compact(F.array(F.when(fit_split, "split"), F.when(fit_full, "full"), F.when(holds(SETS, "eligible"), "eligible")))
-    hashes = ordered_digests(keys.filter(ev3).select(key, F.explode(named).alias("set"), "key"), [key, "set"], "key", "n", "h", JSON_LIST)
-    hashes = hashes.groupBy(key).agg(*[F.max(F.when(F.col("set") == s, F.col("h"))).alias(f"{s}_hash") for s in ("split", "full", "eligible")])
-    stored = kept.select(key, "stream", "partition", "identity_hash")
-    fresh = ordered_digests(persisted.select(key, "stream", F.substring("set", 8, 40).alias("partition"), "key").distinct(), [key, "stream", "partition"], "key", "n", "h", JSON_LIST)
-    matched = stored.join(fresh, [key, "stream", "partition"], "left").groupBy(key).agg(
+    # Trials of few keys are hashed as arrays, the others key by key, so that a trial may have any number of keys.
+    large = keys.filter(ev3).groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > SMALL).select(key)
+    sets = {"split": fit_split, "full": fit_full, "eligible": holds(SETS, "eligible")}
+    named = F.array_compact(F.array(*[F.when(c, F.lit(s)) for s, c in sets.items()]))
+    one = ordered_digests(keys.filter(ev3).join(large, key, "left_semi").select(key, F.explode(named).alias("set"), "key"), [key, "set"], "key", "n", "h", JSON_LIST)
+    one = one.groupBy(key).agg(*[F.max(F.when(F.col("set") == s, F.col("h"))).alias(f"{s}_hash") for s in sets])
+    few = keys.filter(ev3).join(large, key, "left_anti").groupBy(key).agg(*[F.collect_list(F.when(c, F.col("key"))).alias(s) for s, c in sets.items()])
+    kind = dict(keys.dtypes)["key"]
+    hashes = one.unionByName(few.select(key, *[_list_hash(F.col(s), kind).alias(f"{s}_hash") for s in sets]))
+    # The ledger has a partition's keys as one array.
+    stored = parts.groupBy(key, "stream", "partition").agg(F.collect_list(F.struct(F.col("identity_hash").alias("h"))).alias("told"), F.array_distinct(F.flatten(F.collect_list("source_rows"))).alias("__rows"))
+    fresh = _list_hash(F.array_compact("__rows"), kind)
+    stored = stored.select(key, "stream", "partition", fresh.alias("h"), F.explode("told.h").alias("identity_hash"))
+    matched = stored.groupBy(key).agg(
         n(F.col("identity_hash").isNull() | (F.col("identity_hash") == "")).alias("unhashed"), n(F.col("identity_hash") != F.col("h")).alias("mismatched"),
         F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "stream", "partition", "identity_hash"))), "\n"), 256).alias("partition_hash"),  # four hashes
     )

@@ -12,6 +12,7 @@ from gaugeline.plans import presentation
 from gaugeline.plans.registry import _TESTED, _reference_sql, _signed_rank_sql, query
 from gaugeline.plans.stand_ins import other, own, stream, table
 from gaugeline.sources import sinks
+from gaugeline.sources.kept import kept
 
 
 @query("""SELECT c_custkey, c_custkey % 4 IN (0, 1, 2) AS truth, c_custkey % 3 IN (0, 1) AS evaluation, c_custkey % 5 IN (0, 1) AS upstream FROM customer""", None)
@@ -290,11 +291,11 @@ def leakage_keys(spark: SparkSession, d: str) -> DataFrame:
     """Orders as trials and lines as keys, with overlaps, changed hashes, foreign, lost and repeated keys in some of them."""
     k, n = F.col("trial_id"), F.col("source_row_index")
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("trial_id"), F.col("l_linenumber").alias("source_row_index"), F.when(F.col("l_linenumber") <= 2, "calibration").otherwise("evaluation").alias("partition"), (F.col("l_quantity") > 10).alias("much"))
-    lines = lines.groupBy("trial_id", "source_row_index", "partition").agg(F.max("much").alias("much"))
+    lines = kept(lines.groupBy("trial_id", "source_row_index", "partition").agg(F.max("much").alias("much")))
     also = lambda every: lines.filter((k % every == 0) & (n == 1)).withColumn("partition", F.lit("evaluation"))
     stored = lines.unionByName(also(17)).withColumn("stream", F.lit("ev3")).unionByName(lines.unionByName(also(23)).withColumn("stream", F.lit("vrmt")))
     changed = (k % 19 == 0) & (F.col("stream") == "ev3") & (F.col("partition") == "calibration")
-    ledger = quality.ledger(stored).withColumn("identity_hash", F.when(changed, "other").otherwise(F.col("identity_hash")))
+    ledger = kept(quality.ledger(stored)).withColumn("identity_hash", F.when(changed, "other").otherwise(F.col("identity_hash")))
     telemetry = lines.filter(~((k % 11 == 0) & (n == 1))).unionByName(lines.filter((k % 29 == 0) & (n == 2)))
     foreign = lines.filter((k % 13 == 0) & (n == 1)).select("trial_id", F.lit(99).alias("source_row_index"))
     eligible = lines.filter("partition = 'evaluation' and much").select("trial_id", "source_row_index").unionByName(foreign)

@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeline.operators import asof, keysets
+from gaugeline.operators import asof, keysets, quality
 from gaugeline.operators.digests import JSON_LIST, ordered_digests
 
 
@@ -114,3 +114,13 @@ def test_common_keys_come_from_one_aggregate_for_any_number_of_arms(spark):
     assert sorted(map(tuple, out.collect()), key=repr) == [(1, "5"), (None, "7")]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.split("+- == Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
+
+
+def test_trials_of_few_and_of_many_keys_are_hashed_alike(spark, monkeypatch):
+    lines = spark.range(60).select((F.col("id") % 7 % 3).alias("trial_id"), F.col("id").alias("source_row_index"), F.when(F.col("id") % 2 == 0, "calibration").otherwise("evaluation").alias("partition"))
+    ledger = quality.ledger(lines.withColumn("stream", F.lit("ev3")).unionByName(lines.withColumn("stream", F.lit("vrmt"))))
+    got = {}
+    for most in (1000, 20):
+        monkeypatch.setattr(keysets, "SMALL", most)
+        got[most] = sorted(map(tuple, keysets.leakage(lines, lines, ledger).collect()))
+    assert got[1000] == got[20] and all(r[-1] is None for r in got[20])
