@@ -1,7 +1,8 @@
-"""Sets of keys by trial and stream as bits of one row for each key: subsets, disjointness, unions and their hashes without any array.
+"""Sets of keys by trial and stream as bits of one row for each key: subsets, disjointness, unions and their hashes.
 
 Each set has a bit. A key's bits say which sets hold it, and come from one aggregate that combines before it shuffles; counts of what a question
-asks for, as keys in both of two sets or in one and not in the other, are a second aggregate. No set of a trial is ever in one row.
+asks for, as keys in both of two sets or in one and not in the other, are a second aggregate. Only trials of at most SMALL keys are hashed as arrays,
+and the ledger's own arrays; no larger set of a trial is ever in one row.
 """
 
 from __future__ import annotations
