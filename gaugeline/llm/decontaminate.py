@@ -5,9 +5,10 @@ The benchmark is the small side: it is taken in blocks of at most BLOCK_WORDS wo
 is bounded however large it grows; every block runs over all texts. Seeds are of two kinds. Every n-gram of an item is one, however
 often it occurs: passages around them hold the plain copies. The others are close pairs, words at most two apart in the item and in the
 text: an alignment that reaches the threshold has about as many of them as its score, so every text that is near an item, be each second word
-changed or another word put behind each, has a passage with that many, and few other texts have. A bound no score can exceed sorts
-out passages that can't reach the threshold, the others are aligned. Texts are never shuffled for it: a scan emits only hits, or drops
-the texts that have one.
+changed or another word put behind each, has a passage with that many, and few other texts have. Two bounds no score can exceed sort
+out passages that can't reach the threshold or a better hit than one that is known: the words that item and passage share, then the
+score alone of the alignment, by halves of the word hashes in small integers. The others are aligned with their places. Texts are never
+shuffled for it: a scan emits only hits, or drops the texts that have one.
 
 Words are runs of bytes other than ASCII white space and punctuation, with A-Z lower-cased. An alignment gets 1 for an equal word,
 -0.5 for an unequal one and for a gap; the score is its best local value over the item's number of words.
@@ -38,6 +39,8 @@ LEAST_SCORE = 6.0
 BLOCK_WORDS = 1_000_000
 #: Places where a seed occurs that are looked at together, whole texts at a time.
 PLACES = 1 << 20
+#: Cells of alignments that are scored at a time, which stay in the processor's caches.
+CELLS = 1 << 16
 EQUAL, UNEQUAL, GAP = 1.0, -0.5, -0.5
 #: How far apart the words of a close pair are, in the item and in the text.
 DISTANCES = (1, 2)
@@ -129,8 +132,11 @@ class Matcher:
         # Items of fewer words than the n-grams match as the whole of a text only.
         whole = np.repeat(np.diff(before) >= width, np.diff(before))
         some = np.concatenate([[0], np.cumsum(np.where(np.diff(before) >= width, np.diff(before), 0))])
-        near = [_close_pairs(hashed[whole], some, d) for d in DISTANCES]
-        pairs = np.unique(np.array([*zip(np.concatenate([h for h, _, _ in near]).tolist(), np.concatenate([i for _, i, _ in near]).tolist(), strict=True)], [("h", "<u8"), ("i", "<i8")]))
+        near, of_word = [], np.repeat(np.arange(len(ids)), np.diff(some))
+        for d, both in _close_pairs(hashed[whole]):
+            inside = np.flatnonzero(of_word[: len(both)] == of_word[d:])
+            near.append((both[inside], of_word[inside]))
+        pairs = np.unique(np.array([*zip(np.concatenate([h for h, _ in near]).tolist(), np.concatenate([i for _, i in near]).tolist(), strict=True)], [("h", "<u8"), ("i", "<i8")]))
         return Matcher(ids, [hashed[a:b] for a, b in zip(before[:-1], before[1:], strict=True)], grams[order], item[order], at[order], width, pairs["h"].copy(), pairs["i"].copy())
 
     def _sieve(self, name: str, keys: np.ndarray) -> tuple[np.ndarray, np.uint64]:
@@ -140,15 +146,24 @@ class Matcher:
             bits[(keys & np.uint64(size - 1)).astype(np.int64)] = True
         return bits, np.uint64(size - 1)
 
-    def occurrences(self, grams: np.ndarray, name: str = "_bits", keys: np.ndarray | None = None) -> np.ndarray:
-        """Positions of the n-grams that are seeds, or of those hashes that are among the sorted ``keys``."""
-        keys = self.seeds if keys is None else keys
+    def occurrences(self, grams: np.ndarray, name: str = "seeds") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions of the n-grams that are seeds (or close pairs: "pairs"), and the range of those each one is: first and last (exclusive)."""
+        keys = getattr(self, name)
         if not len(keys):
-            return np.zeros(0, np.int64)
-        bits, mask = self._sieve(name, keys)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        bits, mask = self._sieve(f"_bits_of_{name}", keys)
         maybe = np.flatnonzero(bits[(grams & mask).astype(np.int64)])
-        found = np.searchsorted(keys, grams[maybe])
-        return maybe[keys[np.minimum(found, len(keys) - 1)] == grams[maybe]]
+        low = np.minimum(np.searchsorted(keys, grams[maybe]), len(keys) - 1)
+        true = np.flatnonzero(keys[low] == grams[maybe])
+        if (ends := self.__dict__.get(f"_ends_of_{name}")) is None:
+            ends = self.__dict__[f"_ends_of_{name}"] = np.searchsorted(keys, keys, "right")
+        return maybe[true], low[true], ends[low[true]]
+
+    def _lengths(self) -> np.ndarray:
+        """Words of each item."""
+        if getattr(self, "_long", None) is None:
+            self._long = np.array([len(w) for w in self.words], np.int64)
+        return self._long
 
     def _item_words(self) -> np.ndarray:
         """The words of each item as hashes that tell items apart, sorted."""
@@ -183,12 +198,54 @@ class Matcher:
             out[some] = (sums - np.minimum.accumulate(sums, axis=1)).max(axis=1)
         return out
 
+    def scores(self, hashed: np.ndarray, item: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The score of each passage's alignment with the item, if words with equal lower halves of their hashes were equal: never less than that of alignments().
+
+        Cells are doubled scores in the smallest integers that hold them, a diagonal of some pairs' matrices at a time: each needs the two diagonals before it only.
+        """
+        out = np.zeros(len(item))
+        length, size = self._lengths()[item], end - first
+        begin = np.concatenate([[0], np.cumsum(self._lengths())])[item]
+        own = np.concatenate([np.zeros(0, np.uint64), *self.words])
+        order = np.lexsort((size, length))
+        equal, cost = int(2 * (EQUAL - UNEQUAL)), int(-2 * UNEQUAL)  # a gap costs the same
+        at = 0
+        while at < len(order):
+            # Items and passages of like length.
+            high = max(1, int(length[order[min(at + 255, len(order) - 1)]]))
+            some = order[at : at + max(1, min(CELLS // high, 256, PLACES // max(1, int(size[order[at : at + 256]].max()))))]
+            at += len(some)
+            high, wide = int(length[some].max()), int(size[some].max())
+            if not high or not wide:
+                continue
+            kind = np.int8 if 2 * high + equal < 1 << 7 else np.int16 if 2 * high + equal < 1 << 15 else np.int32
+            rows, columns = np.arange(high)[:, None], np.arange(wide)[::-1, None]
+            q = np.ones((high, len(some)), np.uint32)
+            np.copyto(q, own[np.minimum(begin[some] + rows, len(own) - 1)].astype(np.uint32) | np.uint32(2), where=rows < length[some])
+            # The passages backwards, so that a diagonal meets words that follow each other.
+            p = np.zeros((wide + 2 * high - 2, len(some)), np.uint32)
+            np.copyto(p[high - 1 : high - 1 + wide], hashed[np.minimum(first[some] + columns, len(hashed) - 1)].astype(np.uint32) | np.uint32(2), where=columns < size[some])
+            one, two, new = (np.zeros((high + 1, len(some)), kind) for _ in range(3))
+            same, best = np.zeros(q.shape, bool), np.zeros(q.shape, kind)
+            for k in range(wide + high - 2, -1, -1):
+                cell = new[1:]
+                np.equal(q, p[k : k + high], out=same)
+                np.multiply(same.view(np.int8), kind(equal), out=cell, dtype=kind)
+                cell += two[:-1]
+                np.maximum(cell, one[:-1], out=cell)
+                np.maximum(cell, one[1:], out=cell)
+                cell -= kind(cost)
+                np.maximum(cell, kind(0), out=cell)
+                np.maximum(best, cell, out=best)
+                one, two, new = new, one, two
+            out[some] = best.max(axis=0) / 2
+        return out
+
     def hits(self, column: pa.Array, threshold: float) -> list[tuple[int, int, float, int, int]]:
         """(text, item, score, first word, end word) for each text and item with an alignment that reaches the threshold; the best each."""
         hashed, before = words_of(column)
         grams, offsets = shingles(hashed, before, self.width)
-        where = self.occurrences(grams)
-        low, high = np.searchsorted(self.seeds, grams[where], "left"), np.searchsorted(self.seeds, grams[where], "right")
+        where, low, high = self.occurrences(grams)
         text = np.searchsorted(offsets, where, "right") - 1
         # Whole texts, with PLACES places or one text at a time.
         done = np.concatenate([[0], np.cumsum(high - low)])
@@ -206,7 +263,7 @@ class Matcher:
 
     def _needed(self, item: np.ndarray, threshold: float) -> np.ndarray:
         """The least score of a hit."""
-        length = np.array([len(w) for w in self.words], np.int64)[item]
+        length = self._lengths()[item]
         return np.maximum(threshold * length, np.minimum(LEAST_SCORE, 0.8 * length))
 
     def _of_pairs(self, hashed: np.ndarray, before: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, ...]]:
@@ -216,38 +273,46 @@ class Matcher:
         cost as much as the second word gives. So an alignment has its score less 1 of close pairs at least, and no more
         words of the text than the item's and twice what the item's words may give beyond the score: no hit is without such a passage.
         """
-        near = [_close_pairs(hashed, before, d) for d in DISTANCES]
-        grams, text, start = (np.concatenate([x[k] for x in near]) for k in range(3))
-        order = np.lexsort((start, text))
-        grams, text, start = grams[order], text[order], start[order]
-        where = self.occurrences(grams, "_pair_bits", self.pairs)
-        low, high = np.searchsorted(self.pairs, grams[where], "left"), np.searchsorted(self.pairs, grams[where], "right")
-        text, start = text[where], start[where]
+        near = []
+        for d, both in _close_pairs(hashed):
+            where, low, high = self.occurrences(both, "pairs")
+            inside = np.flatnonzero(where + d < before[np.searchsorted(before, where, "right")])
+            near.append((where[inside], low[inside], high[inside]))
+        place, low, high = (np.concatenate([x[k] for x in near]) for k in range(3))
+        order = np.argsort(place, kind="stable")
+        place, low, high = place[order], low[order], high[order]
+        text = np.repeat(np.arange(len(before) - 1), np.diff(np.searchsorted(place, before)))
         done, at = np.concatenate([[0], np.cumsum(high - low)]), 0
-        while at < len(where):
+        while at < len(place):
             # Whole texts, with PLACES places or one text at a time.
             end = int(np.searchsorted(text, text[max(at, min(int(np.searchsorted(done, done[at] + PLACES, "right")), len(text)) - 1)], "left"))
             end = end if end > at else int(np.searchsorted(text, text[at], "right"))
             many = (high - low)[at:end]
-            pair = np.repeat(low[at:end], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            yield self._crowded(np.repeat(text[at:end], many), self.pair_item[pair], np.repeat(start[at:end], many), before, threshold)
+            pair = np.repeat(low[at:end] - (done[at:end] - done[at]), many) + np.arange(done[end] - done[at])
+            yield self._crowded(self.pair_item[pair], np.repeat(place[at:end], many), before, threshold)
             at = end
 
-    def _crowded(self, text: np.ndarray, item: np.ndarray, start: np.ndarray, before: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
-        order = np.lexsort((start, item, text))
-        text, item, start = text[order], item[order], start[order]
-        new = np.ones(len(text), bool)  # a word that begins several pairs counts once
-        new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (start[1:] != start[:-1])
-        text, item, start = text[new], item[new], start[new]
-        length = np.array([len(w) for w in self.words], np.int64)[item]
-        needed = self._needed(item, threshold)
-        span = length + np.ceil(2 * np.maximum(0.0, length - needed)).astype(np.int64) + 1
+    def _crowded(self, item: np.ndarray, place: np.ndarray, before: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
+        """The passages of items and the places, in all words, of their close pairs. They are sorted as one number, item and place."""
+        bits = int(before[-1]).bit_length()
+        key = np.sort((item << bits) | place)
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]]  # a word that begins several pairs counts once
+        length = self._lengths()
+        needed = self._needed(np.arange(len(length)), threshold)
+        spans = length + np.ceil(2 * np.maximum(0.0, length - needed)).astype(np.int64) + 1
         least = np.maximum(1, np.ceil(needed - 1 - 1e-6)).astype(np.int64)
-        last = np.arange(len(text)) + least - 1
-        there = np.flatnonzero(last < len(text))
-        z = last[there]
-        there = there[(text[z] == text[there]) & (item[z] == item[there]) & (start[z] - start[there] <= span[there])]
-        text, item, a, z, span, length = text[there], item[there], start[there], start[last[there]], span[there], length[there]
+        item = key >> bits
+        last = np.arange(len(key)) + least[item] - 1
+        # An item's last places and the next one's first can look near each other: that is seen below.
+        there = np.flatnonzero(key[np.minimum(last, len(key) - 1)] - key <= spans[item])
+        there = there[last[there] < len(key)]
+        z = key[last[there]]
+        there, z = there[z >> bits == item[there]], z[z >> bits == item[there]]
+        item, a, z = item[there], key[there] & ((1 << bits) - 1), z & ((1 << bits) - 1)
+        text = np.searchsorted(before, a, "right") - 1
+        same = np.flatnonzero(z < before[text + 1])
+        text, item = text[same], item[same]
+        a, z, span, length = a[same] - before[text], z[same] - before[text], spans[item], length[item]
         # Windows that begin near each other are one passage, which so is a few times the item's size at most.
         part = a // (2 * length + 1)
         new = np.ones(len(text), bool)
@@ -267,7 +332,7 @@ class Matcher:
         item, begin = self.seed_item[seed], position - self.seed_at[seed]
         order = np.lexsort((begin, item, text))
         text, item, begin = text[order], item[order], begin[order]
-        length = np.array([len(w) for w in self.words], np.int64)[item]
+        length = self._lengths()[item]
         # Seeds of one copy say nearly the same place of the item's start; further away another copy begins.
         new = np.ones(len(text), bool)
         new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > length[1:] // 2 + 3)
@@ -278,9 +343,15 @@ class Matcher:
         return text, item, np.maximum(0, begin[runs] - pad), np.minimum(np.diff(before)[text], begin[last] + length + pad)
 
     def _add(self, found: dict[tuple[int, int], tuple[float, int, int]], hashed: np.ndarray, before: np.ndarray, passages: tuple[np.ndarray, ...], threshold: float) -> None:
-        """Align the passages that can reach the threshold, and keep the best hit of each text and item."""
+        """Align the passages that can reach the threshold and are not known to be no better, and keep the best hit of each text and item."""
         text, item, first, end = passages
-        able = np.flatnonzero(self.bounds(hashed, item, before[text] + first, before[text] + end) >= self._needed(item, threshold) - 1e-6)
+        able = np.arange(len(text))
+        for bound in (self.bounds, self.scores):
+            most = bound(hashed, item[able], before[text[able]] + first[able], before[text[able]] + end[able])
+            enough = np.flatnonzero(most >= self._needed(item[able], threshold) - 1e-6)
+            able, most = able[enough], most[enough]
+        known = [found.get(k, (0.0,))[0] for k in zip(text[able].tolist(), item[able].tolist(), strict=True)]
+        able = able[most / np.maximum(1, self._lengths()[item[able]]) > np.array(known)]
         rows = list(zip(text[able].tolist(), item[able].tolist(), first[able].tolist(), end[able].tolist(), strict=True))
         scored = alignments([self.words[i] for _, i, _, _ in rows], [hashed[before[t] + a : before[t] + z] for t, _, a, z in rows])
         for (t, i, a, _), (value, begins, ends) in zip(rows, scored, strict=True):
@@ -290,14 +361,12 @@ class Matcher:
                 found[t, i] = (score, a + begins, a + ends)
 
 
-def _close_pairs(words: np.ndarray, before: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text and first word's place (in the text) of all pairs of words so far from each other."""
-    n = np.maximum(0, np.diff(before) - distance)
-    text = np.repeat(np.arange(len(n)), n)
-    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    at = before[:-1][text] + place
-    same = np.uint64(2)  # like an alignment, without telling apart words by the second bit
-    return mixed((words[at] | same) ^ mixed((words[at + distance] | same) + np.uint64(0x9E3779B97F4A7C15))), text, place
+def _close_pairs(words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each distance, and the hashes of all pairs of words so far from each other, whether or not they stand in one text."""
+    first = words | np.uint64(2)  # like an alignment, without telling apart words by the second bit
+    second = mixed(first + np.uint64(0x9E3779B97F4A7C15))
+    for d in DISTANCES:
+        yield d, mixed(first[: max(0, len(words) - d)] ^ second[d:])
 
 
 def _of_item(words: np.ndarray, item: np.ndarray) -> np.ndarray:
