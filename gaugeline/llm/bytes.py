@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -38,7 +39,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of whole rows with about ``most`` bytes of text each, which bounds what numpy needs at once."""
     for batch in batches:
         size = np.cumsum(np.concatenate([[0], pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)]))
@@ -49,6 +50,14 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             at = end
 
 
+def give_back() -> None:
+    """Return this process's freed memory to the system: a Python worker outlives its task, and the next one's comes on top of what it holds."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the GNU library has it
+    if trim is not None:
+        trim(0)
+
+
 def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = IN_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and how many words stand before each text (n+1 numbers). Words never cross texts.
     ``inside``: which bytes belong to words."""

@@ -50,6 +50,8 @@ FINE = 1024
 NARROW_ROWS = 100_000
 #: Members of a bucket, and hubs of it, that are compared in one place, about: what a larger bucket has to compare is dealt by cells of so many of each.
 CELL = 512
+#: Darts and elements that are handled at once, about, as numpy needs about a hundred bytes for each; a single text's are always handled together.
+DARTS = 1 << 19
 #: Rank cells start at 2^-6 and double; an area above this is cut into equal slices.
 FIRST_RANK, MOST_AREA = 1 / 64, 64.0
 _UNIT = 1.0 / (1 << 53)
@@ -85,7 +87,21 @@ def _cells(limit: float, first: float) -> Iterator[tuple[int, float, float]]:
 
 def dart_signatures(elements: np.ndarray, weights: np.ndarray | None, offsets: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
     """Signatures (texts x k, 64 bits) of weighted sets; elements of a text are distinct and stand at offsets[i]:offsets[i+1].
-    weights: None for 1 each. Texts without elements get zeros."""
+    weights: None for 1 each. Texts without elements get zeros. Texts go by runs of about DARTS elements and darts, as a text has some thousand darts however short it is."""
+    n = len(offsets) - 1
+    out = np.zeros((n, k), np.uint64)
+    cost = np.cumsum(np.concatenate([[0], np.diff(offsets) + math.ceil(k * (math.log(k) + 3))]))
+    at = 0
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(cost, cost[at] + DARTS, "right")) - 1)
+        of_run = slice(offsets[at], offsets[end])
+        out[at:end] = _thrown(elements[of_run], None if weights is None else weights[of_run], offsets[at : end + 1] - offsets[at], k, seed)
+        at = end
+    return out
+
+
+def _thrown(elements: np.ndarray, weights: np.ndarray | None, offsets: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Signatures of the texts of one run."""
     n = len(offsets) - 1
     out = np.zeros((n, k), np.uint64)
     size = np.diff(offsets)

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gaugeline.llm.bytes import hashes, mixed, pieces, utf8
+from gaugeline.llm.bytes import give_back, hashes, mixed, pieces, utf8
 from gaugeline.llm.storage import Scratch, keep, open_fs, work_folder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -276,6 +276,7 @@ def encode_table(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                 columns.append(pa.array(ranges.shard[range_], pa.int32()))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tokens", "shard"][: len(columns)])
         own.known.clear()
+        give_back()
 
     return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, tokens binary" + (", shard int" if ranges is not None else ""))
 
